@@ -24,13 +24,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbatch as wb
-from .tables import materialise, shuffle_width
+from .tables import materialise
 
 #: A pair of similarity 0.8 shares no key with probability (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
@@ -92,53 +92,82 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def shingle_sets(documents: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes that name the set) and shingles (uint64, ascending)."""
+def _views(column: pa.Array, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype) for x in column]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, row = batch.column("doc_id"), 0
-            for values, counts in shingles(batch.column("text"), width):
-                at = np.cumsum(counts) - counts
-                some = counts > 0
-                key = np.zeros((len(counts), 2), np.uint64)
-                for half in range(2):
-                    mixed = wb.mix64(values + np.uint64(half * 0x51ED2701))
-                    if some.any():
-                        key[some, half] = np.add.reduceat(mixed, at[some])
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(counts)), pa.array(counts.astype(np.int64)), _binary(key.ravel(), np.full(len(counts), 2)), _binary(values, counts)], ["doc_id", "n_shingles", "set_key", "shingles"])
-                row += len(counts)
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, shingles binary")
+def _signature(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and odd sketches of the sets that begin at ``starts``."""
+    x = (values >> np.uint64(32)).astype(np.uint32)
+    least = np.empty((len(starts), SAMPLES), np.uint32)
+    for j in range(SAMPLES):
+        least[:, j] = np.minimum.reduceat(x * _FACTORS[j] + _ADDENDS[j], starts)
+    rows = wb.mix64(least.astype(np.uint64) + _PLACES)
+    odd = np.zeros((len(starts), BITS), np.uint8)
+    np.add.at(odd, (np.arange(len(starts))[:, None], (rows >> np.uint64(54)).astype(np.int64)), 1)  # BITS = 2**10
+    keys = wb.mix64(np.add.reduce(rows.reshape(len(starts), BANDS, ROWS), axis=2) + np.arange(BANDS, dtype=np.uint64))
+    return keys.view(np.int64), np.packbits(odd & 1, axis=1)
 
 
-def _views(column: pa.Array, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), dtype) for x in column]
+def signatures(documents: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, set_key (16 bytes that name the set), keys (array<long>, one a band) and sketch.
 
+    An empty set has a null set_key, keys and sketch.
+    """
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """doc_id, keys (array<long>, one a band) and sketch (binary, BITS bits)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, row = batch.column("doc_id"), 0
+            for values, counts in shingles(batch.column("text"), width):
+                n, some = len(counts), np.flatnonzero(counts)
+                at = (np.cumsum(counts) - counts)[some]
+                name = np.zeros((n, 2), np.uint64)
+                keys, sketch = np.zeros((n, BANDS), np.int64), np.zeros((n, BITS // 8), np.uint8)
+                for half in range(2 if len(some) else 0):
+                    name[some, half] = np.add.reduceat(wb.mix64(values + np.uint64(half * 0x51ED2701)), at)
+                for lo in range(0, len(some), 256):
+                    part = some[lo : lo + 256]
+                    stop = at[lo + 256] if lo + 256 < len(some) else len(values)
+                    keys[part], sketch[part] = _signature(values[at[lo] : stop], at[lo : lo + 256] - at[lo])
+                empty = pa.array(counts == 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel()))
+                columns = [_binary(name.ravel(), np.full(n, 2)), lists, _binary(sketch.ravel(), np.full(n, BITS // 8))]
+                columns = [pc.if_else(empty, pa.scalar(None, c.type), c) for c in columns]
+                yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array(counts.astype(np.int64)), *columns], ["doc_id", "n_shingles", "set_key", "keys", "sketch"])
+                row += n
+
+    return documents.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary")
+
+
+#: Bits of the filter that spares documents outside all pairs; its megabyte is all that is broadcast.
+FILTER_BITS = 1 << 23
+
+
+def shingle_sets(documents: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and shingles (uint64, ascending) of at least the documents in ``wanted(doc_id)``.
+
+    Ids are looked up in a bitmap of fixed size, so no text is shuffled; other
+    documents may pass where it is full, which costs time and changes nothing.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
+    chunks = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    filled = np.zeros(FILTER_BITS, bool)
+    for r in chunks.collect():  # FILTER_BITS / 32768 rows of 4 KB
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        filled[(r["chunk"] - 1) * len(bits) : r["chunk"] * len(bits)] = bits
+    held = documents.sparkSession.sparkContext.broadcast(np.packbits(filled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                held = _views(batch.column("shingles"), np.uint64)
-                starts = np.cumsum([0, *map(len, held)])[:-1]
-                x = (np.concatenate(held) >> np.uint64(32)).astype(np.uint32)
-                least = np.empty((len(held), SAMPLES), np.uint32)
-                for j in range(SAMPLES):
-                    least[:, j] = np.minimum.reduceat(x * _FACTORS[j] + _ADDENDS[j], starts)
-                rows = wb.mix64(least.astype(np.uint64) + _PLACES)
-                bit = (rows >> np.uint64(54)).astype(np.int64)  # BITS = 2**10
-                odd = np.zeros((len(held), BITS), np.uint8)
-                np.add.at(odd, (np.arange(len(held))[:, None], bit), 1)
-                sketch = np.packbits(odd & 1, axis=1)
-                keys = wb.mix64(np.add.reduce(rows.reshape(len(held), BANDS, ROWS), axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(held) + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, _binary(sketch.ravel(), np.full(len(held), BITS // 8))], ["doc_id", "keys", "sketch"])
-
-    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, keys array<long>, sketch binary")
+        bits = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[batch.column("spot").to_numpy() - 1]))
+            ids, row = batch.column("doc_id"), 0
+            for values, counts in shingles(batch.column("text"), width):
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(counts)), pa.array(counts.astype(np.int64)), _binary(values, counts)], ["doc_id", "n_shingles", "shingles"])
+                row += len(counts)
+
+    some = documents.where("doc_id is not null").select("doc_id", "text", spot.alias("spot"))
+    return some.mapInArrow(run, "doc_id long, n_shingles long, shingles binary").where("n_shingles > 0")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,6 +189,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _linked(near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs of ``near`` that their full sets confirm; only texts of those pairs are read into sets."""
+    pairs = materialise(near, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    return _confirm(pairs, materialise(shingle_sets(texts, width, wanted), "sets"), percent).distinct()
+
+
 def _near(pairs: DataFrame, marks: DataFrame, most: int) -> DataFrame:
     """Pairs whose sketches differ in at most ``most`` bits."""
     x = marks.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"))
@@ -286,20 +322,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     null component and is kept.  An empty table gives an empty one; other
     columns are not read.
     """
-    spark = documents.sparkSession
-    sets = materialise(shingle_sets(documents, width, id_col, text_col), "shingles")
-    filled = sets.where("n_shingles > 0 and doc_id is not null")
-    heads = materialise(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    first = filled.join(heads.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
-    # A doc_id with several sets would stand for several classes: its links hold for all of them.
-    reps = materialise(first.select("doc_id", "n_shingles", "shingles"), "representatives")
-    marks = materialise(signatures(reps), "signatures")
-    rows = marks.select("doc_id", F.explode("keys").alias("key"))
+    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = materialise(signatures(texts, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    filled = marked.where("n_shingles > 0 and doc_id is not null")
+    heads = materialise(filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("head")).select("set_key", F.col("head.doc_id").alias("rep"), "head.row"), "classes")
+    reps = materialise(filled.select("row", "doc_id", "keys", "sketch").join(heads.select("row"), "row", "left_semi").drop("row"), "representatives")
+    marks = reps.select("doc_id", "sketch")
+    rows = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre != last")
     buckets = materialise(rows.join(shared.select("key", "centre"), "key"), "buckets")
     most = largest_difference(percent / 100)
     stars = buckets.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    starred = materialise(_confirm(_near(stars, marks, most), reps, percent), "star-links")
+    starred = materialise(_linked(_near(stars, marks, most), texts, width, percent), "star-links")
     direct = starred.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("via"))
     labels = materialise(
         direct.join(direct.select(F.col("doc_id").alias("via"), F.col("via").alias("beyond")), "via", "left")
@@ -307,9 +341,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
         .union(starred.select("a").distinct().join(direct, F.col("a") == F.col("doc_id"), "left_anti").select("a", "a")),
         "labels",
     )
-    others = _confirm(_apart(buckets.select("key", "doc_id"), marks, labels, most), reps, percent)
+    others = _linked(_apart(buckets.select("key", "doc_id"), marks, labels, most), texts, width, percent)
     linked = components(starred.union(others))
     classes = heads.join(linked.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(classes, "set_key", "left")
+    out = marked.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
