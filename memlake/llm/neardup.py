@@ -211,10 +211,10 @@ def _near(pairs: DataFrame, marks: DataFrame, most: int) -> DataFrame:
 
 
 def _apart(buckets: DataFrame, marks: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Pairs of one bucket but of different labels whose sketches are near.
+    """Bucket members, by cells, with a member of another label whose sketch is near.
 
     Members that share the label of the bucket's centre are never compared with
-    each other; all others meet in blocks of about BLOCK x BLOCK.
+    each other; all others meet in cells of about BLOCK x BLOCK.
     """
     named = buckets.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     open_ = named.groupBy("key").agg(F.min("label").alias("home"), F.max("label").alias("other"), F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("home != other")
@@ -223,7 +223,7 @@ def _apart(buckets: DataFrame, marks: DataFrame, labels: DataFrame, most: int) -
     with_home = with_home.join(centre_label, "centre", "left").withColumn("inside", F.coalesce("home", "centre") == F.col("label"))
     sizes = with_home.groupBy("key").agg(F.ceil(F.count_if("inside") / BLOCK).cast("int").alias("inner"), F.ceil(F.count_if(~F.col("inside")) / BLOCK).cast("int").alias("outer"))
     spot = F.xxhash64("doc_id", "key")
-    # A block is (key, p, q): p an outer part, q an inner part (below 0) or an outer part from p on.
+    # A cell is (key, p, q): p an outer part, q an inner part (below 0) or an outer part from p on.
     outer = F.flatten(F.array(
         F.transform(F.sequence(F.lit(1), F.col("inner")), lambda i: F.struct(F.col("part").alias("p"), (-i).alias("q"))),
         F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda i: F.struct(F.least(F.col("part"), i).alias("p"), F.greatest(F.col("part"), i).alias("q"))),
@@ -238,48 +238,131 @@ def _apart(buckets: DataFrame, marks: DataFrame, labels: DataFrame, most: int) -
         .join(marks.select("doc_id", "sketch"), "doc_id")
     )
 
-    def compare(ids, labels, side, sketch, p, q) -> tuple[np.ndarray, np.ndarray]:
-        left = np.flatnonzero(side == p)
-        right = np.flatnonzero(side == q) if q >= 0 else np.flatnonzero(side < 0)
-        out_a, out_b = [], []
-        for i in range(0, len(left), 64):
-            some = left[i : i + 64]
-            for j in range(0, len(right), 1024):
-                others = right[j : j + 1024]
-                apart = np.bitwise_count(sketch[some][:, None, :] ^ sketch[others][None, :, :]).sum(axis=2, dtype=np.int64)
-                r, c = np.nonzero((apart <= most) & (labels[some][:, None] != labels[others][None, :]))
-                out_a.append(np.minimum(ids[some[r]], ids[others[c]]))
-                out_b.append(np.maximum(ids[some[r]], ids[others[c]]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def cells(table: pa.Table, last: bool):
-            """Finished cells of a table sorted by cell; what may go on in the next batch is returned."""
-            key, p, q, ids, label, side = (table.column(c).to_numpy() for c in ("key", "p", "q", "doc_id", "label", "side"))
-            change = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            bounds = np.concatenate([[0], change, [len(key)]])
-            stop = bounds[-1] if last else bounds[-2]
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            found = [compare(ids[a:b], label[a:b], side[a:b], sketch[a:b], p[a], q[a]) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b <= stop and b - a > 1]
-            return found, table.slice(int(stop))
-
-        rest = None
-        for batch in batches:
-            held = [batch] if rest is None or rest.num_rows == 0 else [*rest.to_batches(), batch]
-            found, rest = cells(pa.Table.from_batches(held), False)
-            for a, b in found:
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        if rest is not None and rest.num_rows:
-            for a, b in cells(rest, True)[0]:
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for cell in _cells(batches):
+            side, label = cell.column("side").to_numpy(), cell.column("label").to_numpy()
+            left, right = _sides(cell, side)
+            sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            near = np.zeros(cell.num_rows, bool)
+            for i in range(0, len(left), 64):
+                some = left[i : i + 64]
+                for j in range(0, len(right), 1024):
+                    others = right[j : j + 1024]
+                    apart = np.bitwise_count(sketch[some][:, None, :] ^ sketch[others][None, :, :]).sum(axis=2, dtype=np.int64)
+                    found = (apart <= most) & (label[some][:, None] != label[others][None, :])
+                    near[some] |= found.any(axis=1)
+                    near[others] |= found.any(axis=0)
+            if near.any():
+                yield from cell.select(["key", "p", "q", "doc_id", "label", "side"]).filter(pa.array(near)).combine_chunks().to_batches()
+
+    return _by_cell(members).mapInArrow(run, _MEMBER)
+
+
+_MEMBER = "key long, p int, q int, doc_id long, label long, side int"
+
+
+def _by_cell(members: DataFrame) -> DataFrame:
+    return members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, p, q) of sorted batches; cells of one row are left out."""
+    rest: pa.Table | None = None
+    for batch in _with_end(batches):
+        table = rest if batch is None else pa.Table.from_batches([*(rest.to_batches() if rest is not None else []), batch])
+        if table is None or not table.num_rows:
+            continue
+        key, p, q = (table.column(c).to_numpy() for c in ("key", "p", "q"))
+        bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1, [len(key)]])
+        stop = len(bounds) - 1 if batch is None else len(bounds) - 2
+        for lo, hi in zip(bounds[:stop], bounds[1 : stop + 1], strict=True):
+            if hi - lo > 1:
+                yield table.slice(int(lo), int(hi - lo))
+        rest = table.slice(int(bounds[stop]))
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
-    dealt = members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+def _sides(cell: pa.Table, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p, q = cell.column("p")[0].as_py(), cell.column("q")[0].as_py()
+    return np.flatnonzero(side == p), np.flatnonzero(side == q) if q >= 0 else np.flatnonzero(side < 0)
+
+
+#: Up to so many sets a shingle's pairs are counted one by one.
+RARE = 16
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set.
+
+    Shingles of many sets are counted as products of 0/1 matrices, those of a
+    few sets pair by pair.
+    """
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    bounds = wb.group_bounds(values)
+    times = np.diff(bounds)
+    each = np.repeat(times, times)
+    out = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2**24 are exact
+    dense = np.cumsum(times > RARE) - 1
+    column, many = np.repeat(dense, times), each > RARE
+    wide = max(256, (1 << 22) // len(sets))
+    for lo in range(0, int((times > RARE).sum()), wide):
+        here = many & (column >= lo) & (column < lo + wide)
+        matrix = np.zeros((len(sets), min(wide, int(dense[-1]) + 1 - lo)), np.float32)
+        matrix[owner[here], column[here] - lo] = 1
+        out += matrix[left] @ matrix[right].T
+    few = (each > 1) & ~many
+    values, owner = values[few], owner[few]
+    pairs = np.zeros((len(sets), len(sets)), np.float32)
+    for step in range(1, min(RARE, len(values))):
+        same = values[step:] == values[:-step]
+        np.add.at(pairs, (owner[:-step][same], owner[step:][same]), 1)
+    return out + pairs[np.ix_(left, right)] + pairs.T[np.ix_(left, right)]
+
+
+def _bridges(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between labels, confirmed on full sets inside each cell.
+
+    A cell returns links only until its labels hang together: at most one less
+    than it has labels, whatever the number of linked pairs.
+    """
+    near = materialise(members, "near")
+    sets = materialise(shingle_sets(texts, width, near.select("doc_id").distinct()), "near-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            left, right = _sides(cell, cell.column("side").to_numpy())
+            if not len(left) or not len(right):
+                continue
+            ids, label = cell.column("doc_id").to_numpy(), cell.column("label").to_numpy()
+            held = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in held])
+            common = _common(held, left, right).astype(np.int64)
+            linked = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (label[left][:, None] != label[right][None, :])
+            group = {x: x for x in label.tolist()}
+
+            def root(x, group=group):
+                while group[x] != x:
+                    x = group[x]
+                return x
+
+            out = []
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                a, b = left[i], right[j]
+                x, y = root(label[a]), root(label[b])
+                if x != y:
+                    group[max(x, y)] = min(x, y)
+                    out.append((ids[a], ids[b]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return _by_cell(near.join(sets.select("doc_id", "shingles"), "doc_id").select("key", "p", "q", "doc_id", "label", "side", "shingles")).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -334,15 +417,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     most = largest_difference(percent / 100)
     stars = buckets.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     starred = materialise(_linked(_near(stars, marks, most), texts, width, percent), "star-links")
-    direct = starred.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("via"))
-    labels = materialise(
-        direct.join(direct.select(F.col("doc_id").alias("via"), F.col("via").alias("beyond")), "via", "left")
-        .select("doc_id", F.coalesce("beyond", "via").alias("label"))
-        .union(starred.select("a").distinct().join(direct, F.col("a") == F.col("doc_id"), "left_anti").select("a", "a")),
-        "labels",
-    )
-    others = _linked(_apart(buckets.select("key", "doc_id"), marks, labels, most), texts, width, percent)
-    linked = components(starred.union(others))
+    labels = materialise(components(starred).withColumnRenamed("component_id", "label"), "labels")
+    others = _bridges(_apart(buckets.select("key", "doc_id"), marks, labels, most), texts, width, percent)
+    linked = components(labels.select(F.col("label").alias("a"), F.col("doc_id").alias("b")).union(others))
     classes = heads.join(linked.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
     out = marked.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
