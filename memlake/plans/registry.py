@@ -1,11 +1,327 @@
-"""Registered queries over the test tables and their SQL."""
+"""Registered queries over the test tables and their SQL, one for each operator of the survey."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from memlake.functions import text as X
+from memlake.operators import analyse as A
+from memlake.operators import store as S
+from memlake.schema import CONV_SQL, EDGE_SQL, MEM_SQL, edges, memories, turns
+
+_QUERIES, _SQL = {}, {}
+NOW = 44640  # minutes from the first record to the as-of time
+MEM, CONV, EDGE = f"mem as ({MEM_SQL})", f"conv as ({CONV_SQL})", f"edge as ({EDGE_SQL})"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, d, name) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def oplog(spark, d) -> DataFrame:
+    op = F.when(F.col("event_type") == "error", "delete").when((F.col("event_type") == "signup") & (F.col("event_id") % 97 == 0), "clear").otherwise("upsert")
+    return table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), "value", op.alias("op"))
+
+
+OPLOG = "log as (select user_id, event_id as seq, value, case when event_type = 'error' then 'delete' when event_type = 'signup' and event_id % 97 = 0 then 'clear' else 'upsert' end as op from events)"
+
+
+@query(f"with {OPLOG}, r as (select *, row_number() over (partition by user_id order by seq desc) as n from log where op <> 'clear') select user_id, seq, value from r where n = 1 and op <> 'delete'")
+def s1_compact_log(spark, d):
+    return S.compact_log(oplog(spark, d).where("op != 'clear'"), "user_id", "seq", "op")
+
+
+@query(f"with {OPLOG}, c as (select coalesce(max(seq), -1) as at from log where op = 'clear'), r as (select log.*, row_number() over (partition by user_id order by seq desc) as n from log, c where seq > c.at) select user_id, seq, value from r where n = 1 and op <> 'delete'")
+def s2_replay_wal(spark, d):
+    return S.replay_wal(oplog(spark, d), "user_id", "seq", "op")
+
+
+@query("with x as (select doc_id, 'old' as origin from documents where doc_id % 3 <> 0), y as (select case when doc_id % 10 <> 0 then doc_id end as doc_id, 'new' as origin from documents where doc_id % 2 = 0) select * from x union all select * from y where doc_id is null or doc_id not in (select doc_id from x)")
+def s5_import_append(spark, d):
+    docs = table(spark, d, "documents")
+    old = docs.where("doc_id % 3 != 0").select("doc_id", F.lit("old").alias("origin"))
+    new = docs.where("doc_id % 2 = 0").select(F.when(F.col("doc_id") % 10 != 0, F.col("doc_id")).alias("doc_id"), F.lit("new").alias("origin"))
+    return S.import_append(old, new, "doc_id")
+
+
+@query("with x as (select doc_id, n_chars as updated, 0 as source_no from documents union all select doc_id, n_chars + doc_id % 3 - 1, 1 from documents where doc_id % 2 = 0), r as (select *, row_number() over (partition by doc_id order by updated desc, source_no) as n from x) select doc_id, updated, source_no from r where n = 1")
+def s6_merge_sources(spark, d):
+    docs = table(spark, d, "documents")
+    return S.merge_sources([docs.select("doc_id", F.col("n_chars").alias("updated")), docs.where("doc_id % 2 = 0").select("doc_id", (F.col("n_chars") + F.col("doc_id") % 3 - 1).alias("updated"))], "doc_id", "updated")
+
+
+@query("select event_id, cast(user_id as varchar) as ts, event_type as operation, 'a | b' as details from events where event_id % 3 = 0 order by event_id desc limit 50")
+def s10_parse_op_log(spark, d):
+    line = F.when(F.col("event_id") % 3 == 0, F.concat_ws(" | ", F.col("user_id").cast("string"), "event_type", F.lit("a | b"))).otherwise(F.col("event_type"))
+    return S.parse_op_log(table(spark, d, "events").select("event_id", line.alias("line")), "line", "event_id", 50)
+
+
+@query(f"with {MEM} select id, importance from mem where memory_type = 'decision' and importance >= 4 and tag in ('en', 'de')")
+def f1_filter_records(spark, d):
+    return S.filter_records(memories(spark, d), memory_type="decision", tags=["en", "de"], min_importance=4).select("id", "importance")
+
+
+@query(f"with {MEM}, r as (select id, importance from mem where not coalesce(ttl_days > 0 and {NOW} > age_minutes + ttl_days * 1440, false)) select id, importance, (select count(*) from r) as total, (select count(*) from r) > 30 as truncated from r order by importance desc, id limit 20 offset 10")
+def f2_list_records(spark, d):
+    live = memories(spark, d).where(~S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW)).select("id", "importance")
+    return S.page(live, [F.desc("importance"), "id"], 20, 10)
+
+
+@query(f"with {MEM} select id, privacy_level = 'global' or (privacy_level = 'user' and user_id is not distinct from 'u1') as for_user, privacy_level = 'global' or (privacy_level = 'session' and user_id is null and session_id is not distinct from 's0') as for_session from mem")
+def f3_visible(spark, d):
+    return memories(spark, d).select("id", S.visible("user", user="u1").alias("for_user"), S.visible("session", session="s0").alias("for_session"))
+
+
+@query(f"with {MEM} select id, coalesce(ttl_days > 0 and {NOW} > age_minutes + ttl_days * 1440, false) as expired from mem")
+def f5_expired(spark, d):
+    return memories(spark, d).select("id", S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW).alias("expired"))
+
+
+LIFE = """ops as (select user_id as id, event_id as seq, case event_type when 'error' then 'suppressed' when 'signup' then 'clear' when 'purchase' then 'superseded' else 'touch' end as op from events),
+ cl as (select id, max(case when op = 'clear' then seq end) as cleared from ops group by id),
+ life as (select ops.id, coalesce(arg_max(op, case when op in ('superseded', 'suppressed') then seq end), 'active') as state, count(*) filter (where op = 'touch') as hits, max(case when op = 'touch' then seq end) as last_hit from ops join cl on ops.id = cl.id where cleared is null or seq > cleared group by ops.id)"""
+
+
+def life_events(spark, d):
+    op = F.when(F.col("event_type") == "error", "suppressed").when(F.col("event_type") == "signup", "clear").when(F.col("event_type") == "purchase", "superseded").otherwise("touch")
+    return table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), op.alias("op"))
+
+
+@query(f"with {LIFE} select * from life")
+def l11_lifecycle_apply(spark, d):
+    return S.lifecycle_apply(life_events(spark, d))
+
+
+@query(f"with {MEM}, {LIFE} select id from mem where id not in (select id from life where state <> 'active')")
+def f6_exclude_inactive(spark, d):
+    return S.exclude_inactive(memories(spark, d), S.lifecycle_apply(life_events(spark, d))).select("id")
+
+
+@query(f"with {MEM}, alive as (select id from mem where memory_type <> 'synthesis'), e as (select doc_id as a, doc_id * 7 % 500 as b from documents) select a, b from e where a <> b and a in (select id from alive) and b in (select id from alive)")
+def f15_stored_edge_guard(spark, d):
+    links = table(spark, d, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") * 7 % 500).alias("b"))
+    return S.stored_edge_guard(links, memories(spark, d).where("memory_type != 'synthesis'"))
+
+
+@query(f"with {CONV} select x.id as a, y.id as b, x.event_id from conv x join conv y on x.event_id = y.event_id and x.id < y.id")
+def j2_same_event(spark, d):
+    return A.same_event(turns(spark, d))
+
+
+MENTIONS = "m as (select l_orderkey as doc, l_partkey as name, l_orderkey % 200 as grp from lineitem where l_partkey % 4 = 0), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(distinct doc) as df from m group by grp, name), h as (select f.grp, name, df, size from f join g on f.grp = g.grp where df >= 2 and df >= 0.05 * size)"
+
+
+def mentions(spark, d):
+    return table(spark, d, "lineitem").where("l_partkey % 4 = 0").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("name"), (F.col("l_orderkey") % 200).alias("grp"))
+
+
+@query(f"with {MENTIONS} select * from h")
+def a6_hubs(spark, d):
+    return A.hubs(mentions(spark, d), "name", "doc", "grp", 2, 0.05)
+
+
+@query("with m as (select distinct l_orderkey as doc, l_partkey as name, l_orderkey % 200 as grp from lineitem where l_partkey % 4 = 0), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(*) as df from m group by grp, name), h as (select f.grp, name from f join g on f.grp = g.grp where df >= 5 and df >= 0.35 * size), u as (select * from m where not exists (select 1 from h where h.grp = m.grp and h.name = m.name)) select x.doc as a, y.doc as b, count(*) as shared from u x join u y on x.grp = y.grp and x.name = y.name and x.doc < y.doc group by 1, 2")
+def j4_shared_entity(spark, d):
+    return A.shared_names(mentions(spark, d), "name", "doc", "grp")
+
+
+EMB = "v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as vec, label from embeddings), c as (select q.vec_id as qid, v.id, round(list_dot_product(list_transform(q.embedding, lambda x: x::double), v.vec) / sqrt(list_dot_product(list_transform(q.embedding, lambda x: x::double), list_transform(q.embedding, lambda x: x::double))) / sqrt(list_dot_product(v.vec, v.vec)), 9) as score from embeddings q, v where q.vec_id % 50 = 0 and q.vec_id <> v.id), run as (select * from (select *, row_number() over (partition by qid order by score desc, id) as rank from c) where rank <= 10)"
+
+
+def vector_run(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return v, A.vector_topk(v.where("id % 50 = 0"), v, 10)
+
+
+@query(f"with {EMB} select qid, id, round(score, 6) as score, rank from run")
+def j8_vector_topk(spark, d):
+    return vector_run(spark, d)[1].withColumn("score", F.round("score", 6))
+
+
+@query(f"with {EMB}, rel as (select q.vec_id as qid, v.id from embeddings q join v on q.label = v.label and q.vec_id <> v.id where q.vec_id % 50 = 0), h as (select rel.qid, min(rank) as first, count(rank) as hits, count(*) as relevant from rel left join run on rel.qid = run.qid and rel.id = run.id group by 1) select qid, round(coalesce(1.0 / first, 0), 6) as rr, hits, round(hits / relevant, 6) as recall, coalesce(first, 11) as first from h")
+def e3_rank_summary(spark, d):
+    v, run = vector_run(spark, d)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), "label")
+    qrels = v.join(q, "label").where("id != qid").select("qid", "id")
+    return A.evaluate(run, qrels, 10).select("qid", F.round("rr", 6).alias("rr"), "hits", F.round("recall", 6).alias("recall"), "first")
+
+
+WORDS = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda w: w <> '')"
+
+
+@query(f"select doc_id as id, array_to_string({WORDS}, ' ') as tokens from documents")
+def x1_tokenize(spark, d):
+    return memories(spark, d).select("id", F.concat_ws(" ", X.tokenize(F.col("content"))).alias("tokens"))
+
+
+@query(rf"with s as (select list_sort(list_distinct({WORDS})) as s, min(doc_id) as id from documents group by 1), w as (select id, unnest(s) as w from s), c as (select x.id as a, y.id as b, count(*) as common from w x join w y on x.w = y.w and x.id < y.id group by 1, 2), j as (select a, b, common / (len(x.s) + len(y.s) - common) as similarity from c join s x on x.id = a join s y on y.id = b) select a, b, round(similarity, 6) as similarity from j where similarity >= 0.85")
+def j10_near_dup_pairs(spark, d):
+    return A.near_dup_pairs(memories(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
+BM25 = rf"""t as (select doc_id as id, {WORDS} as t from documents), p as (select id, len(t) as length, unnest(t) as term from t), i as (select term, id, length, count(*) as tf from p group by all),
+ q as (select item_id as qid, unnest(list_distinct({WORDS.replace("text", "substr(text, 1, 60)")})) as term from benchmark), f as (select term, count(*) as df from i group by term), st as (select count(*) as docs, avg(len(t)) as avgl from t),
+ sc as (select q.qid, i.id, sum(round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgl)) * 1e6)::bigint) as points from q join i on q.term = i.term join f on f.term = i.term, st group by 1, 2),
+ run as (select * from (select qid, id, row_number() over (partition by qid order by points desc, id) as rank, points / 1e6 as score from sc) where rank <= 5)"""
+
+
+def bm25_run(spark, d, k=5):
+    queries_ = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("content"))
+    return A.bm25(queries_, memories(spark, d), k)
+
+
+@query(f"with {BM25} select * from run")
+def r1_bm25(spark, d):
+    return bm25_run(spark, d)
+
+
+@query(f"with {BM25} select *, score / max(score) over (partition by qid) as normal from run")
+def r2_recall_fast(spark, d):
+    return A.rank_normalise(bm25_run(spark, d), "score", "qid")
+
+
+@query(f"with {BM25}, b as (select qid, id, rank from (select qid, id, row_number() over (partition by qid order by length(text) desc, id) as rank from run join documents on id = doc_id)), e as (select qid, id, 1.0 / (60 + rank) as part from run union all select qid, id, 0.5 / (60 + rank) from b) select qid, id, round(sum(part), 9) as score, count(*) as routes from e group by 1, 2")
+def r5_rrf(spark, d):
+    first = bm25_run(spark, d)
+    second = first.select("qid", "id").join(memories(spark, d).select("id", F.length("content").alias("n")), "id")
+    return A.rrf([first, A.topk(second, "qid", "n", "id", 5)], [1.0, 0.5]).withColumn("score", F.round("score", 9))
+
+
+@query(f"with {MEM} select count(*) as total, count(*) filter (where memory_type = 'synthesis') as synthesis, count(*) filter (where memory_type = 'code_context') as code_context, count(*) filter (where memory_type = 'experience') as experience, count(*) filter (where coalesce(ttl_days > 0 and {NOW} > age_minutes + ttl_days * 1440, false)) as expired, count(distinct lower(project)) as projects, greatest(count(*) - count(*) filter (where memory_type in ('synthesis', 'code_context')), 0) as incident_candidates from mem")
+def a1_a3_stats(spark, d):
+    of = lambda *t: F.count_if(F.col("memory_type").isin(*t))
+    stats = memories(spark, d).agg(F.count("*").alias("total"), of("synthesis").alias("synthesis"), of("code_context").alias("code_context"), of("experience").alias("experience"), F.count_if(S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW)).alias("expired"), F.count_distinct(F.lower("project")).alias("projects"))
+    return stats.withColumn("incident_candidates", F.greatest(F.expr("total - synthesis - code_context"), F.lit(0)))
+
+
+@query(f"with {MEM} select memory_type, lower(project) as project, count(*) as n from mem group by rollup (memory_type, lower(project))")
+def a2_stats_rollup(spark, d):
+    return memories(spark, d).select("memory_type", F.lower("project").alias("project")).rollup("memory_type", "project").agg(F.count("*").alias("n"))
+
+
+@query(f"with {CONV} select event_id, count(*) as size from conv group by 1")
+def a4_event_index(spark, d):
+    return turns(spark, d).groupBy("event_id").agg(F.count("*").alias("size"))
+
+
+@query(f"with t as (select distinct doc_id, unnest({WORDS}) as term from documents) select term, count(*) as df from t group by 1")
+def a5_document_frequency(spark, d):
+    return A.document_frequency(memories(spark, d).select("id", F.explode(X.tokenize(F.col("content"))).alias("term")), "term", "id")
+
+
+@query("with t as (select count(distinct user_id) as queries from events) select event_type, count(distinct user_id) as hits, round(least(count(distinct user_id) / greatest(any_value(queries), 1), 1.0), 6) as rate from events, t group by 1")
+def a7_query_frequency(spark, d):
+    pool = table(spark, d, "events").select("user_id", "event_type").distinct()
+    total = pool.agg(F.count_distinct("user_id").alias("queries"))
+    return pool.groupBy("event_type").agg(F.count("*").alias("hits")).join(F.broadcast(total)).select("event_type", "hits", F.round(F.least(F.col("hits") / F.greatest("queries", F.lit(1)), F.lit(1.0)), 6).alias("rate"))
+
+
+@query("with c as (select count(*) as n, sum(count(*)) over () as t from embeddings group by label % 8), e as (select round(-sum(n / t * log2(n / t)), 6) as entropy from c) select entropy, round(entropy / 3, 6) as balance from e")
+def a8_bucket_entropy(spark, d):
+    return A.entropy(table(spark, d, "embeddings").select((F.col("label") % 8).alias("bucket")), "bucket", 8)
+
+
+@query(f"with {MEM} select project, round(count(*) filter (where memory_type = 'synthesis') / count(*), 6) as ratio from mem group by 1")
+def a9_synthesis_ratio(spark, d):
+    return memories(spark, d).groupBy("project").agg(F.round(F.count_if(F.col("memory_type") == "synthesis") / F.count("*"), 6).alias("ratio"))
+
+
+@query("select event_type, count(*) as n from events group by 1")
+def a11_audit_type_stats(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(f"with {EDGE} select node, count(*) as degree from (select a as node from edge union all select b from edge) group by 1")
+def a14_edge_stats(spark, d):
+    e = edges(spark, d)
+    return e.select(F.col("a").alias("node")).union(e.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+
+
+@query("select event_type, quantile_disc(value, 0.5) as p50 from events where value is not null group by 1")
+def a17_latency_percentiles(spark, d):
+    return table(spark, d, "events").where("value is not null").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"))
+
+
+@query(f"with {CONV}, r as (select *, row_number() over (partition by event_id order by turn, id) as version, row_number() over (partition by event_id order by turn desc, id desc) as back from conv) select event_id, max(version) as version, arg_max(content, version) as content, count(*) filter (where back > 1) as kept from r where back <= 6 group by 1")
+def w1_version_history(spark, d):
+    return S.version_history(turns(spark, d), "event_id", "id", "content")
+
+
+@query(f"with {MEM} select * from (select project, id, importance, row_number() over (partition by project order by importance desc, id) as rank from mem) where rank <= 3")
+def w3_topk_per_group(spark, d):
+    return A.topk(memories(spark, d).select("project", "id", "importance"), "project", "importance", "id", 3)
+
+
+@query(rf"with {MEM} select id from (select id, row_number() over (partition by lower(regexp_replace(content, '[ \t\n\r]+', '', 'g')) order by id) as n from mem) where n = 1")
+def w4_first_occurrence(spark, d):
+    key = F.lower(F.regexp_replace("content", r"[ \t\n\r]+", ""))
+    return memories(spark, d).withColumn("key", key).groupBy("key").agg(F.min("id").alias("id")).select("id")
+
+
+@query("select user_id, event_id, case when gap < 120 then concat(cast(gap as varchar), 's') when gap is not null then concat(cast(gap // 60 as varchar), 'min') end as gap from (select user_id, event_id, cast(epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts, event_id) as bigint) as gap from (select user_id, event_id, date_trunc('second', ts) as ts from events))")
+def w8_event_gaps(spark, d):
+    at = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))
+    gap = at - F.lag(at).over(W.partitionBy("user_id").orderBy(at, "event_id"))
+    word = F.when(gap < 120, F.concat(gap.cast("string"), F.lit("s"))).when(gap.isNotNull(), F.concat(F.floor(gap / 60).cast("string"), F.lit("min")))
+    return table(spark, d, "events").select("user_id", "event_id", word.alias("gap"))
+
+
+@query(f"with {MEM} select id, rank, total, truncated from (select id, row_number() over (order by age_minutes desc, id) as rank, count(*) over () as total, count(*) over () > 20 as truncated from mem) where rank <= 20")
+def t2_recent(spark, d):
+    top = S.page(memories(spark, d).select("id", "age_minutes"), [F.desc("age_minutes"), "id"], 20, 0)
+    return top.select("id", F.row_number().over(W.orderBy(F.desc("age_minutes"), "id")).alias("rank"), "total", "truncated")
+
+
+@query("with e as (select doc_id % 50 as a, doc_id % 37 as b, doc_id / 500.0 - 0.2 as weight, 0 as n from documents union all select doc_id % 37, doc_id % 50, 0.9, 1 from documents), t as (select least(a, b) as a, greatest(a, b) as b, least(greatest(weight, 0.0), 1.0) as weight, n from e where a <> b) select a, b, round(arg_min(weight, {'n': n, 'w': weight}), 6) as weight from t group by 1, 2")
+def u2_edge_union(spark, d):
+    docs = table(spark, d, "documents")
+    x = docs.select((F.col("doc_id") % 50).alias("a"), (F.col("doc_id") % 37).alias("b"), (F.col("doc_id") / 500.0 - 0.2).alias("weight"))
+    y = docs.select((F.col("doc_id") % 37).alias("a"), (F.col("doc_id") % 50).alias("b"), F.lit(0.9).alias("weight"))
+    return S.edge_union(x, y).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"with {EDGE} select * from edge where a % 3 <> 0 and b % 3 <> 0")
+def u3_remove_nodes(spark, d):
+    e = edges(spark, d)
+    ids = e.select(F.col("a").alias("id")).union(e.select("b")).where("id % 3 = 0").distinct()
+    return S.remove_nodes(e, ids)
+
+
+@query(f"with recursive {EDGE}, b as (select a as u, b as v from edge union select b, a from edge), r as (select distinct u, u as v from b union select r.u, b.v from r join b on r.v = b.u) select u, min(v) as label from r group by 1")
+def g2_components(spark, d):
+    return A.components(edges(spark, d))
+
+
+@query(f"with {MEM}, o as (select project, count(*) filter (where privacy_level <> 'global') as owned, count(distinct case when privacy_level <> 'global' then coalesce(user_id, '') end) as users, count(distinct case when privacy_level <> 'global' then coalesce(session_id, '') end) as sessions, count(*) filter (where privacy_level = 'session') as in_session, max(case when privacy_level <> 'global' then user_id end) as owner from (select *, id // 2 as grp from mem where id % 4 < 2) group by project, grp) select count(*) as n, case when owned = 0 then 'global' when users > 1 then 'rejected' when in_session = owned and sessions = 1 then 'session' else 'user' end as level from o group by 2")
+def l15_inherit_scope(spark, d):
+    pairs = memories(spark, d).where("id % 4 < 2").withColumn("grp", F.concat_ws("/", "project", F.floor(F.col("id") / 2).cast("string")))
+    return S.inherit_scope(pairs, "grp").groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query(rf"with {MEM} select id, round(least(greatest(exp(-0.05 * (({NOW} - age_minutes) // 60 / 24.0) / importance) * (1 - (id % 11) / 10.0 * 0.3), 0), 1), 6) as decay, case when length(content) > 80 then concat(substr(content, 1, 80), '…') else content end as preview, case when session_id is not null then 'session' when user_id is not null then 'user' else 'none' end as scope, cast(round(least(greatest(4 + id % 9, 3.0), 9.0)) as int) as from_score, concat(substr(sha256(trim(project)), 1, 32), '::', coalesce(user_id, '-')) as owner from mem")
+def x_record_functions(spark, d):
+    hours = F.floor((NOW - F.col("age_minutes")) / 60)
+    return memories(spark, d).select(
+        "id", F.round(X.decay(F.col("importance"), hours, F.col("id") % 11 / 10.0), 6).alias("decay"), X.preview(F.col("content"), 80).alias("preview"), X.scope_of(F.col("user_id"), F.col("session_id")).alias("scope"),
+        X.importance_from_score(F.col("id") % 9).alias("from_score"), X.owner_key(F.col("project"), F.coalesce("user_id", F.lit("-"))).alias("owner"),
+    )
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
