@@ -9,25 +9,9 @@ from pyspark.sql import functions as F
 from memlake.functions import text as X
 from memlake.operators import analyse as A
 from memlake.operators import store as S
-from memlake.schema import CONV_SQL, EDGE_SQL, MEM_SQL, edges, memories, turns
-
-_QUERIES, _SQL = {}, {}
-NOW = 44640  # minutes from the first record to the as-of time
-MEM, CONV, EDGE = f"mem as ({MEM_SQL})", f"conv as ({CONV_SQL})", f"edge as ({EDGE_SQL})"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark, d, name) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from memlake.plans import corpus_queries  # noqa: F401  (registers its queries)
+from memlake.plans.common import CONV, EDGE, MEM, NOW, QUERIES, SQL, query, table
+from memlake.schema import edges, memories, turns
 
 
 def oplog(spark, d) -> DataFrame:
@@ -320,8 +304,8 @@ def x_record_functions(spark, d):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
