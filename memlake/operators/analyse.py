@@ -101,13 +101,6 @@ def rrf(runs: list[DataFrame], weights: list[float], k: int = 60) -> DataFrame:
     return every.groupBy("qid", "id").agg(F.sum("part").alias("score"), F.count("*").alias("routes"))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of a stated query set against all rows; other dimensions are skipped."""
-    q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("q"))
-    pairs = vectors.crossJoin(q).where("id != qid").select("qid", "id", F.round(X.cosine(F.col("q"), F.col("vec")), 9).alias("score"))
-    return topk(pairs.where("score is not null"), "qid", "score", "id", k)
-
-
 def evaluate(runs: DataFrame, qrels: DataFrame, top_k: int) -> DataFrame:
     """Reciprocal rank, hits, recall and first rank (top_k + 1 for a miss) of every judged query."""
     hits = qrels.join(runs, ["qid", "id"], "left").groupBy("qid").agg(F.min("rank").alias("first"), F.count("rank").alias("hits"), F.count("*").alias("relevant"))

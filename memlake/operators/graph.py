@@ -7,12 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Edge types that may come from outside, and the loss of weight a hop.
-LOGICAL = ("supports", "contradicts", "causes", "depends_on", "refines")
+LOGICAL = ("cause", "temporal", "constraint", "facilitate", "coordinate")
 HOP_LOSS = 0.7
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.withColumnsRenamed({"a": "b", "b": "a"}))
+    rest = [c for c in edges.columns if c not in ("a", "b")]
+    return edges.select("a", "b", *rest).union(edges.select("b", "a", *rest))
 
 
 def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def decide_branch(scores: DataFrame, by: str, score: str) -> DataFrame:
     lead = F.round(F.col("top") - F.col("next"), 9)
     choice = F.when((F.col("top") >= 0.85) & (lead >= 0.20), "contract").when(lead >= 0.15, "single").otherwise("branch")
     wide = F.greatest(F.size(F.filter("s", lambda x: x >= 0.8 * F.col("top"))), F.lit(2))
-    return per.withColumn("decision", choice).select(by, "decision", F.when(F.col("decision") == "branch", F.least(wide, F.size("s"))).otherwise(1).alias("width"))
+    return per.withColumn("decision", choice).select(by, "decision", F.when(F.col("decision") == "branch", wide).otherwise(1).alias("width"))
 
 
 def derived_from(mem: DataFrame) -> DataFrame:

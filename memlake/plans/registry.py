@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from memlake.functions import text as X
 from memlake.operators import analyse as A
 from memlake.operators import store as S
-from memlake.plans import corpus_queries  # noqa: F401  (registers its queries)
+from memlake.plans import corpus_queries, graph_queries, write_queries  # noqa: F401  (registers its queries)
+from memlake.operators.vectors import vector_topk
 from memlake.plans.common import CONV, EDGE, MEM, NOW, QUERIES, SQL, query, table
 from memlake.schema import edges, memories, turns
 
@@ -104,11 +105,11 @@ def j2_same_event(spark, d):
     return A.same_event(turns(spark, d))
 
 
-MENTIONS = "m as (select l_orderkey as doc, l_partkey as name, l_orderkey % 200 as grp from lineitem where l_partkey % 4 = 0), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(distinct doc) as df from m group by grp, name), h as (select f.grp, name, df, size from f join g on f.grp = g.grp where df >= 2 and df >= 0.05 * size)"
+MENTIONS = "m as (select l_orderkey as doc, l_partkey as name, l_orderkey % 200 as grp from lineitem), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(distinct doc) as df from m group by grp, name), h as (select f.grp, name, df, size from f join g on f.grp = g.grp where df >= 2 and df >= 0.05 * size)"
 
 
 def mentions(spark, d):
-    return table(spark, d, "lineitem").where("l_partkey % 4 = 0").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("name"), (F.col("l_orderkey") % 200).alias("grp"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("name"), (F.col("l_orderkey") % 200).alias("grp"))
 
 
 @query(f"with {MENTIONS} select * from h")
@@ -116,7 +117,7 @@ def a6_hubs(spark, d):
     return A.hubs(mentions(spark, d), "name", "doc", "grp", 2, 0.05)
 
 
-@query("with m as (select distinct l_orderkey as doc, l_partkey as name, l_orderkey % 200 as grp from lineitem where l_partkey % 4 = 0), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(*) as df from m group by grp, name), h as (select f.grp, name from f join g on f.grp = g.grp where df >= 5 and df >= 0.35 * size), u as (select * from m where not exists (select 1 from h where h.grp = m.grp and h.name = m.name)) select x.doc as a, y.doc as b, count(*) as shared from u x join u y on x.grp = y.grp and x.name = y.name and x.doc < y.doc group by 1, 2")
+@query("with m as (select distinct l_orderkey as doc, l_partkey as name, l_orderkey % 200 as grp from lineitem), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(*) as df from m group by grp, name), h as (select f.grp, name from f join g on f.grp = g.grp where df >= 5 and df >= 0.35 * size), u as (select * from m where not exists (select 1 from h where h.grp = m.grp and h.name = m.name)) select x.doc as a, y.doc as b, count(*) as shared from u x join u y on x.grp = y.grp and x.name = y.name and x.doc < y.doc group by 1, 2")
 def j4_shared_entity(spark, d):
     return A.shared_names(mentions(spark, d), "name", "doc", "grp")
 
@@ -126,7 +127,7 @@ EMB = "v as (select vec_id as id, list_transform(embedding, lambda x: x::double)
 
 def vector_run(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    return v, A.vector_topk(v.where("id % 50 = 0"), v, 10)
+    return v, vector_topk(v.where("id % 50 = 0"), v, 10)
 
 
 @query(f"with {EMB} select qid, id, round(score, 6) as score, rank from run")
@@ -156,13 +157,13 @@ def j10_near_dup_pairs(spark, d):
 
 
 BM25 = rf"""t as (select doc_id as id, {WORDS} as t from documents), p as (select id, len(t) as length, unnest(t) as term from t), i as (select term, id, length, count(*) as tf from p group by all),
- q as (select item_id as qid, unnest(list_distinct({WORDS.replace("text", "substr(text, 1, 60)")})) as term from benchmark), f as (select term, count(*) as df from i group by term), st as (select count(*) as docs, avg(len(t)) as avgl from t),
+ q as (select item_id as qid, unnest(list_distinct({WORDS})) as term from benchmark), f as (select term, count(*) as df from i group by term), st as (select count(*) as docs, avg(len(t)) as avgl from t),
  sc as (select q.qid, i.id, sum(round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgl)) * 1e6)::bigint) as points from q join i on q.term = i.term join f on f.term = i.term, st group by 1, 2),
  run as (select * from (select qid, id, row_number() over (partition by qid order by points desc, id) as rank, points / 1e6 as score from sc) where rank <= 5)"""
 
 
 def bm25_run(spark, d, k=5):
-    queries_ = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("content"))
+    queries_ = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("content"))
     return A.bm25(queries_, memories(spark, d), k)
 
 
@@ -283,14 +284,14 @@ def u3_remove_nodes(spark, d):
     return S.remove_nodes(e, ids)
 
 
-@query(f"with recursive {EDGE}, b as (select a as u, b as v from edge union select b, a from edge), r as (select distinct u, u as v from b union select r.u, b.v from r join b on r.v = b.u) select u, min(v) as label from r group by 1")
+@query()
 def g2_components(spark, d):
     return A.components(edges(spark, d))
 
 
-@query(f"with {MEM}, o as (select project, count(*) filter (where privacy_level <> 'global') as owned, count(distinct case when privacy_level <> 'global' then coalesce(user_id, '') end) as users, count(distinct case when privacy_level <> 'global' then coalesce(session_id, '') end) as sessions, count(*) filter (where privacy_level = 'session') as in_session, max(case when privacy_level <> 'global' then user_id end) as owner from (select *, id // 2 as grp from mem where id % 4 < 2) group by project, grp) select count(*) as n, case when owned = 0 then 'global' when users > 1 then 'rejected' when in_session = owned and sessions = 1 then 'session' else 'user' end as level from o group by 2")
+@query(f"with {MEM}, o as (select project, count(*) filter (where privacy_level <> 'global') as owned, count(distinct case when privacy_level <> 'global' then coalesce(user_id, '') end) as users, count(distinct case when privacy_level <> 'global' then coalesce(session_id, '') end) as sessions, count(*) filter (where privacy_level = 'session') as in_session, max(case when privacy_level <> 'global' then user_id end) as owner from (select *, id // 2 as grp from mem) group by project, grp) select count(*) as n, case when owned = 0 then 'global' when users > 1 then 'rejected' when in_session = owned and sessions = 1 then 'session' else 'user' end as level from o group by 2")
 def l15_inherit_scope(spark, d):
-    pairs = memories(spark, d).where("id % 4 < 2").withColumn("grp", F.concat_ws("/", "project", F.floor(F.col("id") / 2).cast("string")))
+    pairs = memories(spark, d).withColumn("grp", F.concat_ws("/", "project", F.floor(F.col("id") / 2).cast("string")))
     return S.inherit_scope(pairs, "grp").groupBy("level").agg(F.count("*").alias("n"))
 
 
