@@ -133,3 +133,37 @@ def entropy(df: DataFrame, col: str, classes: int) -> DataFrame:
     total = counts.agg(F.sum("count").alias("total"))
     p = F.col("count") / F.col("total")
     return counts.join(F.broadcast(total)).agg(F.round(-F.sum(p * F.log2(p)), 6).alias("entropy")).withColumn("balance", F.round(F.col("entropy") / math.log2(classes), 6))
+
+
+def near_dup_pairs_lsh(docs: DataFrame, t: float = 0.85, bands: int = 20, rows: int = 5) -> DataFrame:
+    """Pairs of ``near_dup_pairs`` found through MinHash bands, each confirmed on the full sets."""
+    sets = docs.select("id", F.array_sort(F.array_distinct(X.tokenize(F.col("content")))).alias("s")).where(F.size("s") > 0)
+    reps = sets.groupBy("s").agg(F.min("id").alias("id"))
+    sample = lambda i: F.array_min(F.transform("s", lambda w: F.xxhash64(F.lit(i), w)))
+    keys = F.array(*[F.xxhash64(F.lit(b), *[sample(b * rows + r) for r in range(rows)]) for b in range(bands)])
+    buckets = reps.select("id", F.explode(keys).alias("key"))
+    pairs = buckets.select(F.col("id").alias("a"), "key").join(buckets.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    sa, sb = (reps.select(F.col("id").alias(x), F.col("s").alias("s" + x)) for x in ("a", "b"))
+    return pairs.join(sa, "a").join(sb, "b").withColumn("similarity", X.jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= t).select("a", "b", "similarity")
+
+
+def recall_semantic(queries: DataFrame, vectors: DataFrame, visible: DataFrame, k: int) -> DataFrame:
+    """Exact vector top-k over the rows a caller may see."""
+    from memlake.operators.vectors import vector_topk
+
+    return vector_topk(queries, vectors.join(visible.select("id"), "id", "left_semi"), k)
+
+
+def rediscover(triggers: DataFrame, mem: DataFrame, now_minutes: int, least: float = 0.35, stale_days: int = 7, most: int = 3) -> DataFrame:
+    """Old rows that a trigger brings back: within ``least`` of its best score, untouched for a week, three at most."""
+    ranked = rank_normalise(bm25(triggers, mem, 50), "score", "qid")
+    old = mem.where(now_minutes - F.col("age_minutes") >= stale_days * 1440).select("id")
+    return topk(ranked.where(F.col("normal") >= least).join(old, "id", "left_semi").drop("rank"), "qid", "normal", "id", most)
+
+
+def multi_view_recall(views: DataFrame, mem: DataFrame, k: int) -> DataFrame:
+    """Rankings of several wordings (qid, view, content) of a question, fused into one."""
+    each = views.withColumn("v", F.struct("qid", "view"))
+    runs = bm25(each.select(F.col("v").alias("qid"), "content"), mem, k)
+    fused = runs.groupBy(F.col("qid.qid").alias("qid"), "id").agg(F.sum(F.round(1e9 / (60 + F.col("rank"))).cast("long")).alias("points"))
+    return topk(fused, "qid", "points", "id", k)

@@ -97,3 +97,56 @@ def chunk_markdown(files: DataFrame, key: str, content: str = "content") -> Data
 
 def chunk_windows(rows: DataFrame, key: str, content: str = "content", n: int = 160) -> DataFrame:
     return rows.select(key, F.posexplode(X.windows(F.col(content), n)).alias("window_no", "content"))
+
+
+def declared_items(turns: DataFrame, conv: str, turn: str, marker: str, kinds: dict[str, str], content: str = "content") -> DataFrame:
+    """Items of the last declared block of each conversation: kind, item, verdict (ok, unknown_kind, empty).
+
+    A block follows the marker line up to a heading, a rule or the end, as a
+    JSON array of {type, content} or as ``kind: text`` lines.
+    """
+    marked = turns.where(F.contains(content, F.lit(marker)))
+    last = marked.groupBy(conv).agg(F.max_by(F.struct(F.col(turn).alias("turn"), F.col(content).alias("content")), turn).alias("t"))
+    block = F.regexp_replace(F.element_at(F.split("t.content", r"\Q" + marker + r"\E"), -1), r"(?s)\n(?:#|---).*$", "")
+    rows = last.select(conv, F.col("t.turn").alias(turn), R.bare(block).alias("b"))
+    parsed = F.from_json("b", "array<struct<type:string,content:string>>")
+    lines = F.filter(F.split("b", "\n"), lambda x: x.rlike(r"^\s*[-*]?\s*\w+\s*[:：]"))
+    plain = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^\s*[-*]?\s*(\w+)", 1)).alias("type"), R.bare(F.regexp_extract(x, "[:：](.*)$", 1)).alias("content")))
+    items = rows.select(conv, turn, F.posexplode(F.when(F.startswith("b", F.lit("[")), parsed).otherwise(plain)).alias("pos", "i"))
+    known = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.lower("i.type")]
+    verdict = F.when(known.isNull(), "unknown_kind").when(F.coalesce(F.trim("i.content"), F.lit("")) == "", "empty").otherwise("ok")
+    return items.select(conv, turn, "pos", known.alias("kind"), F.col("i.content").alias("item"), verdict.alias("verdict"))
+
+
+def dedupe_within(items: DataFrame, by: str, order: list[str], text: str, importance: str, t: float = 0.85, most: int = 64) -> DataFrame:
+    """Later items that resemble an earlier one (character pairs) fold into it: the first text, the highest importance, how many.
+
+    Items come in pages of ``most`` (in order); a page is one bounded array.
+    Equal texts are folded first, by a grouping, so pages hold distinct ones.
+    """
+    from pyspark.sql import Window as W_
+
+    same = items.groupBy(by, text).agg(F.min(F.struct(*order)).alias("o"), F.max(importance).alias("importance"), F.count("*").alias("n"))
+    page = F.floor((F.row_number().over(W_.partitionBy(by).orderBy("o")) - 1) / most)
+    item = F.struct("o", F.col(text).alias("text"), F.col("importance").cast("int").alias("importance"), "n", X.char_bigrams(F.col(text)).alias("g"))
+    pages = same.withColumn("page", page).groupBy(by, "page").agg(F.array_sort(F.collect_list(item)).alias("rows"))
+
+    def near(y: Column, x: Column) -> Column:
+        return X.jaccard(y["g"], x["g"]) >= t
+
+    def fold(kept: Column, x: Column) -> Column:
+        place = F.aggregate(F.transform(kept, lambda y: near(y, x)), F.struct(F.lit(0).alias("i"), F.lit(-1).alias("at")), lambda s, hit: F.struct((s["i"] + 1).alias("i"), F.when((s["at"] < 0) & hit, s["i"]).otherwise(s["at"]).alias("at")), lambda s: s["at"])
+        taken = lambda y: F.struct(y["o"].alias("o"), y["text"].alias("text"), F.greatest(y["importance"], x["importance"]).alias("importance"), (y["n"] + x["n"]).alias("n"), y["g"].alias("g"))
+        return F.when(place < 0, F.concat(kept, F.array(x))).otherwise(F.transform(kept, lambda y, i: F.when(i == place, taken(y)).otherwise(y)))
+
+    kept = F.aggregate("rows", F.slice("rows", F.lit(1), F.lit(0)), fold)
+    return pages.select(by, F.explode(kept).alias("k")).select(by, "k.o.*", F.col("k.text").alias(text), "k.importance", "k.n")
+
+
+def absorb(turns: DataFrame, conv: str, turn: str, content: str = "content", cap: int = 4, most: int = 10) -> DataFrame:
+    """What a run would store of each conversation: distilled items past the guards, importance at most ``cap``, ``most`` a conversation."""
+    safe = guarded(turns, conv, content)
+    kept = distill(safe, conv, turn, content).where(~R.is_process_narration(F.col("sentence")))
+    ranked = kept.withColumn("r", F.row_number().over(W.partitionBy(conv).orderBy(F.desc("score"), turn, "pos"))).where(F.col("r") <= most)
+    importance = F.least(X.importance_from_score(F.col("score").cast("double")), F.lit(cap))
+    return ranked.select(conv, turn, "pos", "kind", "sentence", importance.alias("importance"), F.concat(F.lit("session:"), F.col(conv).cast("string")).alias("event_id"))

@@ -10,6 +10,9 @@ from memlake.plans.common import MARKED, MEM, query, table
 from memlake.schema import marked_turns, memories
 
 
+WORDS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda w: w <> '')"
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -31,6 +34,11 @@ def noise(col: str) -> str:
     return f"(regexp_matches({t}, {lit(R.NOISE)}) or (contains({t}, '](') and length(regexp_replace(regexp_replace({t}, {lit(R.LINK)}, '', 'g'), '[^\\p{{L}}\\p{{N}}]', '', 'g')) < 4))"
 
 
+def narration(col: str) -> str:
+    t = bare(col)
+    return rf"(regexp_matches({t}, '^(?:```|\$|>)') or (starts_with({t}, '/') and not contains({t}, ' ') and octet_length(encode({t})) < 120) or length({t}) < 8 or (not {has(t, R.STRONG)} and regexp_matches(lower({t}), {lit('^' + R.any_of(R.NARRATION))})))"
+
+
 def question(col: str) -> str:
     return f"(regexp_matches({bare(col)}, '[?？]$') or regexp_matches(lower({bare(col)}), {lit('^' + R.any_of(R.QUESTION))}))"
 
@@ -59,7 +67,7 @@ def f8_drop_markdown_noise(spark, d):
     return lines.where(~R.is_markdown_noise(F.col("line")))
 
 
-@query(rf"with {MARKED}, t as (select id, {bare('content')} as t from marked) select id from t where not (regexp_matches(t, '^(?:```|\$|>)') or (starts_with(t, '/') and not contains(t, ' ') and octet_length(encode(t)) < 120) or length(t) < 8 or (not {has('t', R.STRONG)} and regexp_matches(lower(t), {lit('^' + R.any_of(R.NARRATION))})))")
+@query(f"with {MARKED} select id from marked where not {narration('content')}")
 def f9_drop_process_narration(spark, d):
     return marked_turns(spark, d).where(~R.is_process_narration(F.col("content"))).select("id")
 

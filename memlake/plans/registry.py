@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from memlake.functions import text as X
 from memlake.operators import analyse as A
 from memlake.operators import store as S
-from memlake.plans import corpus_queries, graph_queries, write_queries  # noqa: F401  (registers its queries)
+from memlake.plans import corpus_queries, graph_queries, report_queries, retrieval_queries, stream_queries, write_queries  # noqa: F401  (registers its queries)
 from memlake.operators.vectors import vector_topk
 from memlake.plans.common import CONV, EDGE, MEM, NOW, QUERIES, SQL, query, table
 from memlake.schema import edges, memories, turns

@@ -17,7 +17,7 @@ def _pick(values: tuple, key: str) -> str:
 
 MEM_SQL = f"""select doc_id as id, text as content, source as project, {_pick(MEMORY_TYPES, "doc_id")} as memory_type,
  cast(1 + doc_id % 10 as int) as importance, {_pick((0, None, 1, 7, 30), "doc_id")} as ttl_days, doc_id as age_minutes,
- {_pick((None, "u1", "u2"), "doc_id")} as user_id, case when doc_id % 4 = 0 then concat('s', cast(doc_id % 8 as varchar(9))) end as session_id,
+ {_pick((None, "u1", "u2"), "floor(doc_id / 3)")} as user_id, case when doc_id % 4 = 0 then concat('s', cast(doc_id % 8 as varchar(9))) end as session_id,
  {_pick(PRIVACY_LEVELS, "doc_id")} as privacy_level, lang as tag from documents"""
 CONV_SQL = "select conv_id * 1000 + turn as id, conv_id as event_id, turn, role, text as content from conversations"
 #: Turns with a phrase in front, so that the distilling rules have something to find.

@@ -85,3 +85,16 @@ def test_round_robin_over_seeds(spark):
     rows = [("x", 0.9, 1), ("x", 0.8, 2), ("x", 0.7, 3), ("y", 0.1, 4)]
     got = S.rotate_seeds(spark.createDataFrame(rows, "seed string, score double, id int"), "seed", "score", "id", 3).collect()
     assert [r.id for r in got] == [1, 4, 2]
+
+
+@pytest.mark.parametrize("name", ["g2_components", "k4_activation_stream", "l12_cluster_vectors", "a19_approx_distinct", "r10_search_chunks", "r15_rediscover", "r16_multi_view_recall", "l4_dedupe_within", "l16_synthesise"])
+def test_queries_without_sql_run(spark, name):
+    assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_lsh_pairs_are_true_and_many(spark):
+    q = registry.queries()
+    every, found = ({(r.a, r.b) for r in q[n](spark, SF).select("a", "b").collect()} for n in ("j10_near_dup_pairs", "j11_near_dup_pairs_lsh"))
+    assert found <= every and len(found) >= 0.95 * len(every)
+    near, approx = ({(r.qid, r.id) for r in q[n](spark, SF).collect()} for n in ("j8_vector_topk", "j9_vector_topk_lsh"))
+    assert len(near & approx) >= 0.9 * len(near)
