@@ -192,3 +192,31 @@ def e6_noise_robustness(spark, d):
 def e8_isolation_check(spark, d):
     run = memories(spark, d).where("privacy_level = 'user' and importance >= 5")
     return run.where(~S.visible("user", user="u1")).select("id", "privacy_level")
+
+
+@query("with recursive l as (select doc_id, generate_subscripts(regexp_split_to_array(text, '\\n'), 1) as i from documents), p as (select doc_id, lang, max(i) as lines from l join documents using (doc_id) group by 1, 2) select lang, count(*) as files, round(avg(lines), 6) as mean_lines from p group by 1")
+def a13_codebase_stats(spark, d):
+    lines = F.size(F.split("text", "\n"))
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.round(F.avg(lines), 6).alias("mean_lines"))
+
+
+@query(f"with {MEM} select id, case when length(content) > 100 then concat(substr(content, 1, 100), '…') else content end as preview, count(*) over () as total from mem where tag = 'en' and project is not null order by age_minutes desc, id limit 50")
+def f19_distilled_index(spark, d):
+    from memlake.functions.text import preview
+
+    kept = memories(spark, d).where("tag = 'en' and project is not null")
+    return S.page(kept, [F.desc("age_minutes"), "id"], 50, 0).select("id", preview(F.col("content"), 100).alias("preview"), "total")
+
+
+@query(f"with {MEM}, e as (select doc_id as a, doc_id * 7 % 500 as b from documents), gone as (select id from mem where memory_type = 'fact') select a, b from e where a not in (select id from gone) and b not in (select id from gone)")
+def l9_forget_edges(spark, d):
+    links = table(spark, d, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") * 7 % 500).alias("b"))
+    return S.remove_nodes(links, memories(spark, d).where("memory_type = 'fact'"))
+
+
+@query("with e as (select user_id, event_id, unnest([event_id % 40, event_id % 40 + 1]) as id from events where event_type <> 'error'), ok as (select distinct e.event_id, e.user_id, e.id from e join documents d on d.doc_id = e.id where d.doc_id % 3 = 0) select event_id, user_id, array_to_string(list_sort(list(id)), ',') as ids, count(*) as n from ok group by 1, 2")
+def f17_association_records(spark, d):
+    """Retrieval events with the ids the caller may see; those without any drop out."""
+    log = table(spark, d, "events").where("event_type != 'error'").select("event_id", "user_id", F.explode(F.array(F.col("event_id") % 40, F.col("event_id") % 40 + 1)).alias("id"))
+    seen = memories(spark, d).where("privacy_level = 'session'").select("id")
+    return log.join(seen, "id", "left_semi").groupBy("event_id", "user_id").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count_distinct("id").alias("n"))
