@@ -24,6 +24,21 @@ def tokenize(text: Column) -> Column:
     return F.when(share >= 0.3, F.concat(runs, pairs)).otherwise(words)
 
 
+def index_terms(text: Column) -> Column:
+    """What an index must list for a text so that every scored word is found: distinct tokens, and more.
+
+    Tokens that mix ASCII letters and digits also count by their runs of
+    digits and of other characters; in mostly ASCII text, neighbouring CJK
+    characters count as pairs.
+    """
+    low, tokens = F.lower(text), tokenize(text)
+    mixed = F.filter(tokens, lambda w: w.rlike("^[a-z0-9_-]+$") & w.rlike("[0-9]") & w.rlike("[a-z]"))
+    pieces = F.flatten(F.transform(mixed, lambda w: F.regexp_extract_all(w, F.lit("[0-9]+|[^0-9]+"), 0)))
+    runs = F.filter(F.regexp_extract_all(low, F.lit(CJK + "+"), 0), lambda r: F.length(r) >= 2)
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.array_distinct(F.concat(tokens, pieces, pairs))
+
+
 def char_bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters, white space and ASCII punctuation removed."""
     bare = F.regexp_replace(text, r"[\s!-/:-@\[-`{-~]", "")
@@ -35,6 +50,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1))
 
 
+def word_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets of content words; 0 where either is empty or null."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), jaccard(a, b)).otherwise(0.0)
+
+
 def count_word(text: Column, word: str) -> Column:
     """ASCII words of three letters or more count at letter boundaries, others as substrings."""
     if word.isascii() and len(word) >= 3:

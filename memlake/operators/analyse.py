@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -61,8 +62,8 @@ def postings(docs: DataFrame) -> DataFrame:
     return tokens.select("id", "length", F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents of each query(qid, content).
+def bm25_points(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """qid, id, points for every query(qid, content) and document that share a term.
 
     Query terms meet the postings by term; only terms of some query are
     scored.  Term scores are rounded to whole millionths before they are
@@ -77,8 +78,12 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     value = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     terms = scored.select("term", "id", F.round(value * 1e6).cast("long").alias("points"))
-    total = wanted.join(terms, "term").groupBy("qid", "id").agg(F.sum("points").alias("points"))
-    return topk(total, "qid", "points", "id", k).select("qid", "id", "rank", (F.col("points") / 1e6).alias("score"))
+    return wanted.join(terms, "term").groupBy("qid", "id").agg(F.sum("points").alias("points"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The k best documents of each query(qid, content)."""
+    return topk(bm25_points(queries, docs, k1, b), "qid", "points", "id", k).select("qid", "id", "rank", (F.col("points") / 1e6).alias("score"))
 
 
 def topk(df: DataFrame, by: str, score: str, name: str, k: int) -> DataFrame:
@@ -107,21 +112,26 @@ def evaluate(runs: DataFrame, qrels: DataFrame, top_k: int) -> DataFrame:
     return hits.select("qid", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), "hits", (F.col("hits") / F.col("relevant")).alias("recall"), F.coalesce("first", F.lit(top_k + 1)).alias("first"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` behind a reliable checkpoint in the cluster's shared folder; a folder of our own only where none is set."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="memlake-"))
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """The smallest node reachable from each node, by minima over neighbours with pointer jumping.
 
     Every round's labels go through a reliable checkpoint.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct()
-    context = edges.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir"))
-    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).checkpoint()
+    labels = checkpointed(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
         step = labels.join(near, "u").select("u", F.least("label", "other").alias("label"))
         jump = step.select(F.col("u").alias("label"), F.col("label").alias("beyond"))
-        now = step.join(jump, "label", "left").select("u", F.least("label", F.coalesce("beyond", "label")).alias("label")).checkpoint()
+        now = checkpointed(step.join(jump, "label", "left").select("u", F.least("label", F.coalesce("beyond", "label")).alias("label")))
         if now.join(labels.withColumnRenamed("label", "before"), "u").where("label != before").isEmpty():
             return now
         labels = now

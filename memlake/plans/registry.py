@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from memlake.functions import text as X
 from memlake.operators import analyse as A
 from memlake.operators import store as S
-from memlake.plans import corpus_queries, graph_queries, report_queries, retrieval_queries, stream_queries, write_queries  # noqa: F401  (registers its queries)
+from memlake.plans import corpus_queries, graph_queries, recall_queries, report_queries, retrieval_queries, stream_queries, write_queries  # noqa: F401  (registers its queries)
 from memlake.operators.vectors import vector_topk
-from memlake.plans.common import CONV, EDGE, MEM, NOW, QUERIES, SQL, query, table
+from memlake.plans.common import CONV, EDGE, MEM, NOW, QUERIES, SQL, WORDS, bm25_sql, query, table
 from memlake.schema import edges, memories, turns
 
 
@@ -143,7 +143,6 @@ def e3_rank_summary(spark, d):
     return A.evaluate(run, qrels, 10).select("qid", F.round("rr", 6).alias("rr"), "hits", F.round("recall", 6).alias("recall"), "first")
 
 
-WORDS = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda w: w <> '')"
 
 
 @query(f"select doc_id as id, array_to_string({WORDS}, ' ') as tokens from documents")
@@ -156,10 +155,7 @@ def j10_near_dup_pairs(spark, d):
     return A.near_dup_pairs(memories(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-BM25 = rf"""t as (select doc_id as id, {WORDS} as t from documents), p as (select id, len(t) as length, unnest(t) as term from t), i as (select term, id, length, count(*) as tf from p group by all),
- q as (select item_id as qid, unnest(list_distinct({WORDS})) as term from benchmark), f as (select term, count(*) as df from i group by term), st as (select count(*) as docs, avg(len(t)) as avgl from t),
- sc as (select q.qid, i.id, sum(round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgl)) * 1e6)::bigint) as points from q join i on q.term = i.term join f on f.term = i.term, st group by 1, 2),
- run as (select * from (select qid, id, row_number() over (partition by qid order by points desc, id) as rank, points / 1e6 as score from sc) where rank <= 5)"""
+BM25 = bm25_sql("select doc_id as id, text as content from documents", 5)
 
 
 def bm25_run(spark, d, k=5):
@@ -172,11 +168,6 @@ def r1_bm25(spark, d):
     return bm25_run(spark, d)
 
 
-@query(f"with {BM25} select *, score / max(score) over (partition by qid) as normal from run")
-def r2_recall_fast(spark, d):
-    return A.rank_normalise(bm25_run(spark, d), "score", "qid")
-
-
 @query(f"with {BM25}, b as (select qid, id, rank from (select qid, id, row_number() over (partition by qid order by length(text) desc, id) as rank from run join documents on id = doc_id)), e as (select qid, id, 1.0 / (60 + rank) as part from run union all select qid, id, 0.5 / (60 + rank) from b) select qid, id, round(sum(part), 9) as score, count(*) as routes from e group by 1, 2")
 def r5_rrf(spark, d):
     first = bm25_run(spark, d)
