@@ -21,7 +21,8 @@ def tokenize(text: Column) -> Column:
     cjk = F.regexp_extract_all(low, F.lit(CJK + "+"), 0)
     pairs = F.flatten(F.transform(cjk, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
     share = F.regexp_count(low, F.lit(CJK)) / F.greatest(F.length(low), F.lit(1))
-    return F.when(share >= 0.3, F.concat(runs, pairs)).otherwise(words)
+    wide = F.octet_length(text) - F.length(text) >= 0.6 * F.length(text)  # a CJK character is three bytes long; cheaper than counting
+    return F.when(wide & (share >= 0.3), F.concat(runs, pairs)).otherwise(words)
 
 
 def index_terms(text: Column) -> Column:
