@@ -13,10 +13,10 @@ MEM, CONV, EDGE, MARKED = f"mem as ({MEM_SQL})", f"conv as ({CONV_SQL})", f"edge
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda w: w <> '')"
 
 
-def bm25_sql(rows: str, k: int) -> str:
-    """Tables of the BM25 oracle over ``rows`` (id, content): sc has all points, run the k best of each benchmark item."""
+def bm25_sql(rows: str, k: int, asked: str = "select item_id as qid, text from benchmark") -> str:
+    """Tables of the BM25 oracle over ``rows`` (id, content): sc has all points, run the k best of each query in ``asked`` (qid, text)."""
     return rf"""t as (select id, {WORDS.replace("text", "content")} as t from ({rows})), p as (select id, len(t) as length, unnest(t) as term from t), i as (select term, id, length, count(*) as tf from p group by all),
- q as (select item_id as qid, unnest(list_distinct({WORDS})) as term from benchmark), f as (select term, count(*) as df from i group by term), st as (select count(*) as docs, avg(len(t)) as avgl from t),
+ q as (select qid, unnest(list_distinct({WORDS})) as term from ({asked})), f as (select term, count(*) as df from i group by term), st as (select count(*) as docs, avg(len(t)) as avgl from t),
  sc as (select q.qid, i.id, sum(round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgl)) * 1e6)::bigint) as points from q join i on q.term = i.term join f on f.term = i.term, st group by 1, 2),
  run as (select * from (select qid, id, row_number() over (partition by qid order by points desc, id) as rank, points / 1e6 as score from sc) where rank <= {k})"""
 

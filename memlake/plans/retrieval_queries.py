@@ -10,12 +10,15 @@ from memlake.operators import analyse as A
 from memlake.operators import corpus as C
 from memlake.operators import report as R
 from memlake.operators import write as L
-from memlake.plans.common import MEM, NOW, query, table
+from memlake.plans.common import MEM, NOW, bm25_sql, query, table
 from memlake.plans.corpus_queries import DISTILLED, WORDS_SQL, has, narration
 from memlake.schema import marked_turns, memories
 
 IDX = f"t as (select doc_id as id, {WORDS_SQL} as t from documents), ix as (select id, unnest(list_distinct(t)) as w from t), q as (select item_id as qid, unnest(list_distinct({WORDS_SQL})) as w from benchmark)"
 
+DOCS = "select doc_id as id, text as content from documents"
+VIEWS = "select item_id * 2 as qid, text from benchmark union all select item_id * 2 + 1, split_part(text, '. ', 1) from benchmark"
+
 
 def asked(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("content"))
@@ -49,12 +52,12 @@ def r10_search_chunks(spark, d):
     return A.bm25(asked(spark, d), chunks.select(F.struct("page_id", "chunk_no").alias("id"), "content"), 5).select("qid", "id.*", "rank", "score")
 
 
-@query()
+@query(f"with {MEM}, {bm25_sql(DOCS, 50)}, n as (select qid, id, score, score / max(score) over (partition by qid) as normal from run), z as (select n.*, row_number() over (partition by qid order by normal desc, id) as rank from n join mem using (id) where normal >= 0.35 and {NOW} - age_minutes >= 10080) select * from z where rank <= 3")
 def r15_rediscover(spark, d):
     return A.rediscover(asked(spark, d), memories(spark, d), NOW)
 
 
-@query()
+@query(f"with {bm25_sql(DOCS, 5, VIEWS)}, fused as (select qid // 2 as qid, id, sum(round(1e9::double / (60 + rank))::bigint) as points from run group by 1, 2), z as (select *, row_number() over (partition by qid order by points desc, id) as rank from fused) select * from z where rank <= 5")
 def r16_multi_view_recall(spark, d):
     whole = asked(spark, d).withColumn("view", F.lit(0))
     return A.multi_view_recall(whole.unionByName(whole.withColumn("view", F.lit(1)).withColumn("content", F.element_at(F.split("content", r"\. "), 1))), memories(spark, d), 5)
