@@ -36,12 +36,34 @@ def shared_names(mentions: DataFrame, name: str, doc: str, group: str) -> DataFr
     return a.join(b, [group, name]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def _word_sets(docs: DataFrame) -> DataFrame:
+    """id and the SHA-256 that names the word set (no word holds a space); rows without words are left out."""
+    sets = docs.select("id", F.array_sort(F.array_distinct(X.tokenize(F.col("content")))).alias("s")).where(F.size("s") > 0)
+    return sets.select("id", F.sha2(F.array_join("s", " "), 256).alias("s"))
+
+
+def copy_classes(docs: DataFrame) -> DataFrame:
+    """id, representative: every document with words, and the smallest id of its word set (its own without a copy).
+
+    With the pairs of ``near_dup_pairs`` or ``near_dup_pairs_lsh``, which are
+    pairs of representatives, this is every near duplicate there is.
+    """
+    sets = _word_sets(docs)
+    return sets.join(sets.groupBy("s").agg(F.min("id").alias("representative")), "s").select("id", "representative")
+
+
+def class_sizes(docs: DataFrame) -> DataFrame:
+    """id, copies: the representatives of ``copy_classes`` and how many documents each stands for, itself included."""
+    return _word_sets(docs).groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "copies")
+
+
 def near_dup_pairs(docs: DataFrame, t: float = 0.85) -> DataFrame:
     """All pairs with a Jaccard similarity of at least t over distinct words, by exact prefix filtering.
 
     Tokens are ordered by rarity; two similar sets share one among the first
     ``n - ceil(t n) + 1`` of each.  The length filter is part of the join.
-    Exact copies of a set are joined as one representative each.
+    Exact copies of a set are joined as one representative each;
+    ``copy_classes`` says which documents it stands for.
     """
     sets = docs.select("id", F.array_sort(F.array_distinct(X.tokenize(F.col("content")))).alias("s")).where(F.size("s") > 0)
     reps = sets.groupBy("s").agg(F.min("id").alias("id"))
@@ -146,7 +168,7 @@ def entropy(df: DataFrame, col: str, classes: int) -> DataFrame:
 
 
 def near_dup_pairs_lsh(docs: DataFrame, t: float = 0.85, bands: int = 20, rows: int = 5) -> DataFrame:
-    """Pairs of ``near_dup_pairs`` found through MinHash bands, each confirmed on the full sets."""
+    """Pairs of ``near_dup_pairs`` (representatives, see ``copy_classes``) found through MinHash bands, each confirmed on the full sets."""
     sets = docs.select("id", F.array_sort(F.array_distinct(X.tokenize(F.col("content")))).alias("s")).where(F.size("s") > 0)
     reps = sets.groupBy("s").agg(F.min("id").alias("id"))
     sample = lambda i: F.array_min(F.transform("s", lambda w: F.xxhash64(F.lit(i), w)))

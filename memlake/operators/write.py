@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import text as X
-from memlake.operators.analyse import components, near_dup_pairs
+from memlake.operators.analyse import checkpointed, class_sizes, components, near_dup_pairs
 
 
 def merge_into(existing: DataFrame, matched: DataFrame) -> DataFrame:
@@ -56,11 +56,17 @@ def remember_batch(incoming: DataFrame, existing: DataFrame, t: float, scope: li
 
 
 def duplicate_groups(mem: DataFrame, t: float, limit: int = 50) -> DataFrame:
-    """The largest groups of near duplicates: component, members, best similarity."""
-    pairs = near_dup_pairs(mem, t)
+    """The largest groups of near duplicates: label (smallest id), members, best similarity.
+
+    Every row counts, exact copies of a word set too (similarity 1), and a
+    group may consist of those alone.  Rows without words are in no group.
+    """
+    pairs = checkpointed(near_dup_pairs(mem, t))
     label = components(pairs.select("a", "b"))
-    best = pairs.join(label, pairs["a"] == label["u"]).groupBy("label").agg(F.max("similarity").alias("best"))
-    return label.groupBy("label").agg(F.count("*").alias("members")).join(best, "label").orderBy(F.desc("members"), "label").limit(limit)
+    near = pairs.join(label, pairs["a"] == label["u"]).groupBy("label").agg(F.max("similarity").alias("near"))
+    held = class_sizes(mem).join(label, F.col("id") == F.col("u"), "left").withColumn("label", F.coalesce("label", "id"))
+    groups = held.groupBy("label").agg(F.sum("copies").alias("members"), F.max(F.when(F.col("copies") > 1, 1.0)).alias("same")).where("members > 1")
+    return groups.join(near, "label", "left").select("label", "members", F.greatest("near", "same").alias("best")).orderBy(F.desc("members"), "label").limit(limit)
 
 
 def split_by(mem: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:

@@ -155,6 +155,12 @@ def j10_near_dup_pairs(spark, d):
     return A.near_dup_pairs(memories(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(rf"with s as (select doc_id as id, list_sort(list_distinct({WORDS})) as s from documents) select id, min(id) over (partition by s) as representative from s where len(s) > 0")
+def j10_copy_classes(spark, d):
+    """Which documents the representatives of j10 and j11 stand for."""
+    return A.copy_classes(memories(spark, d))
+
+
 BM25 = bm25_sql("select doc_id as id, text as content from documents", 5)
 
 
