@@ -84,12 +84,17 @@ def r8_result_reasons(spark, d):
     return Q.result_reasons(A.bm25(asked(spark, d), memories(spark, d), 20), links(spark, d))
 
 
+def deep_route(asked, vectors, mem):
+    """The deep run of r9; 64 bands of 4 bits, as its cosines are low."""
+    return Q.recall_deep(asked, vectors, mem, 20, 64, bands=64, bits=4)
+
+
 @query()
 def r9_recall(spark, d):
     """Three routes (words, windows by sign bands, vectors), fused, associated, folded."""
     mem, v, q = live(spark, d), vectors(spark, d), asked(spark, d)
     qv = v.join(q.select(F.col("qid").alias("id")), "id", "left_semi")
-    runs = {"fast": Q.recall_fast(q, mem, 20, NOW), "deep": Q.recall_deep(qv, v, mem, 20, 64), "semantic": A.recall_semantic(qv, v, mem, 40)}
+    runs = {"fast": Q.recall_fast(q, mem, 20, NOW), "deep": deep_route(qv, v, mem), "semantic": A.recall_semantic(qv, v, mem, 40)}
     return Q.recall(runs, {"deep": 0.8}, mem, links(spark, d), v, 10)
 
 
@@ -155,15 +160,20 @@ def g6_expand(spark, d):
     return Q.expand(A.bm25(asked(spark, d), memories(spark, d), 3), edges, seen)
 
 
+def nearest(vectors, width=3, least=0.3):
+    """The exact width + 2 nearest rows of every row, cosine of ``least`` or more: a, b, score."""
+    return V.vector_topk(vectors, vectors, width + 2).where(F.col("score") >= least).select(F.col("qid").alias("a"), F.col("id").alias("b"), "score")
+
+
 @query()
 def g7_explore(spark, d):
     """Walks over similar vectors from every 50th record, with the recorded relations on the way."""
-    near = V.similar_pairs(vectors(spark, d), 0.3, 64, bits=8)
+    near = nearest(vectors(spark, d))
     about = memories(spark, d).select("id", rules.content_words(F.col("content")).alias("words"), (F.col("memory_type") == "code_context").alias("code"))
     liked = table(spark, d, "events").select((F.col("event_id") % 500).alias("a"), F.col("user_id").alias("b"), F.when(F.col("event_type") == "error", -1.0).otherwise(0.5).alias("adjust"))
     recorded = G.both_ways(links(spark, d).select("a", "b")).withColumn("weight", F.col("b") % 10 / 10.0)
     roots = about.where("id % 50 = 0").select("id")
-    return Q.explore(G.both_ways(near), recorded, roots, about, liked.groupBy("a", "b").agg(F.avg("adjust").alias("adjust")), 3, 3)
+    return Q.explore(near, recorded, roots, about, liked.groupBy("a", "b").agg(F.avg("adjust").alias("adjust")), 3, 3)
 
 
 @query(rf"with {BM25}, {MEM}, k as (select qid, id, count(*) as n from q join (select distinct id, term from p) x using (term) group by 1, 2), kp as (select qid, k.id, 100 * n + case when contains(lower(content), lower(b.text)) then 400 else 0 end + 10 * importance as points from k join mem on mem.id = k.id join benchmark b on b.item_id = qid), kr as (select qid, id, row_number() over (partition by qid order by points desc, id) as rank from kp), every as (select 'words' as ranker, qid, id, rank from run where rank <= 5 union all select 'keyword', qid, id, rank from kr where rank <= 5), rel as (select qid, id from run join documents on doc_id = id join benchmark on item_id = qid where rank <= 20 and contains(documents.text, substr(benchmark.text, 1, 60))), h as (select n.ranker, rel.qid, min(rank) as first, count(rank) as hits, count(*) as relevant from rel cross join (select distinct ranker from every) n left join every on every.ranker = n.ranker and every.qid = rel.qid and every.id = rel.id group by 1, 2) select ranker, qid, round(coalesce(1.0 / first, 0), 6) as rr, hits, round(hits / relevant, 6) as recall, coalesce(first, 6) as first from h")
