@@ -42,9 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their ids, sequence and offset."""
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END, SEQUENCE, drops_space=True)
-    return packing.pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), SEQUENCE)
+    return packing.pack(pieces, SEQUENCE).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("quality", keep_good), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]

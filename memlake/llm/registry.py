@@ -62,8 +62,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END, SEQUENCE, drops_space=True)
-    digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(digest, SEQUENCE)
+    packed = packing.pack(pieces, SEQUENCE)  # with the ids; the digest is taken of what comes out
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(read_table(spark, sf_dir, "pages"))).drop("content", "record")
+    return warc.derive(warc.responses(read_table(spark, sf_dir, "pages")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
