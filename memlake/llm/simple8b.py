@@ -38,54 +38,64 @@ _MAGIC = b"S8B1"
 
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
-    width = np.zeros(len(ids), np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step)
-        big = high > 0
-        width[big] += step
-        rest = np.where(big, high, rest)
-    return width + (rest > 0)
-
-
-def encode_words(ids: np.ndarray) -> np.ndarray:
-    """The Simple-8b words of one run of ids: at each id the selector that packs most."""
+    width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    wide = np.flatnonzero(width > 53)  # doubles may have been rounded up
+    width[wide] = [int(x).bit_length() for x in ids[wide].tolist()]
+    return width
+
+
+def _steps(width: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """At each id the selector that packs most ids without leaving its block, and how many those are."""
+    n, blocks = len(width), -(-len(width) // block)
+    runs = [count for count, _ in PACKED.values()] + [RUN] * bool((width == 0).any())
+    held = np.full((blocks, block), 255, np.uint8)
+    held.ravel()[:n] = width
+    highest = {1: np.concatenate([held, np.full((blocks, max(runs)), 255, np.uint8)], axis=1)}  # of the next p ids
+    for p in (1, 2, 4, 8, 16, 32, 64):
+        highest[2 * p] = np.maximum(highest[p][:, :-p], highest[p][:, p:])
+    selector = np.where(held > 60, np.uint8(ESCAPE), np.uint8(15))
+    step = np.ones((blocks, block), np.int64)
+    for sel, (count, bits) in [*sorted(PACKED.items(), reverse=True)[1:], (ZEROS, (RUN, 0))]:
+        if count in runs:
+            p = 1 << (count.bit_length() - 1)
+            fits = np.maximum(highest[p][:, :block], highest[p][:, count - p : count - p + block]) <= bits
+            selector[fits], step[fits] = sel, count
+    return selector.ravel()[:n], step.ravel()[:n]
+
+
+def encode_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The Simple-8b words of blocks of ids, each coded alone, and where each block's words begin (and the end)."""
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     if n == 0:
-        return np.zeros(0, np.uint64)
-    width = _bit_lengths(ids)
-    selector = np.where(width > 60, ESCAPE, 15).astype(np.uint8)
-    step = np.ones(n, np.int64)
-    for sel, (count, bits) in sorted(PACKED.items(), reverse=True)[1:]:
-        if count > n:
-            continue
-        fits = np.concatenate([[0], np.cumsum(width > bits)])
-        ok = np.flatnonzero(fits[count:] == fits[:-count])
-        selector[ok], step[ok] = sel, count
-    if n >= RUN:
-        fits = np.concatenate([[0], np.cumsum(ids > 0)])
-        ok = np.flatnonzero(fits[RUN:] == fits[:-RUN])
-        selector[ok], step[ok] = ZEROS, RUN
-    chain, following, i = [], (step + np.arange(n)).tolist(), 0
-    while i < n:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    selector, step = _steps(_bit_lengths(ids), block)
+    chain, following, i = [], step.tolist(), 0
+    while i < n:  # no word leaves its block, so one walk goes through all of them
         chain.append(i)
-        i = following[i]
+        i += following[i]
     at = np.array(chain, np.int64)
     chosen = selector[at]
-    place = np.cumsum(np.where(chosen == ESCAPE, 2, 1)) - np.where(chosen == ESCAPE, 2, 1)
-    words = np.zeros(int(place[-1]) + (2 if chosen[-1] == ESCAPE else 1), np.uint64)
+    size = np.where(chosen == ESCAPE, 2, 1)
+    place = np.cumsum(size) - size
+    words = np.zeros(int(size.sum()), np.uint64)
     words[place] = chosen.astype(np.uint64) << np.uint64(60)
     for sel, (count, bits) in PACKED.items():
-        here = chosen == sel
-        if here.any():
-            first, packed = at[here], np.zeros(int(here.sum()), np.uint64)
+        here = np.flatnonzero(chosen == sel)
+        if len(here):
+            first, packed = at[here], np.zeros(len(here), np.uint64)
             for k in range(count):
                 packed |= ids[first + k] << np.uint64(bits * k)
             words[place[here]] |= packed
     here = chosen == ESCAPE
     words[place[here] + 1] = ids[at[here]]
-    return words
+    begins = place[np.searchsorted(at, np.arange(0, n, block))]
+    return words, np.append(begins, len(words))
+
+
+def encode_words(ids: np.ndarray) -> np.ndarray:
+    """The words of one run of ids."""
+    return encode_blocks(ids, max(len(ids), 1))[0]
 
 
 def decode_words(words: np.ndarray) -> np.ndarray:
@@ -115,13 +125,11 @@ def decode_words(words: np.ndarray) -> np.ndarray:
 
 def encode_segment(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """Header, document index, block offsets, words."""
-    blocks = [encode_words(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
-    offsets = np.cumsum([0, *map(len, blocks)]).astype("<u4")
+    words, offsets = encode_blocks(ids, BLOCK)
     known = np.array([x is not None for x in doc_ids], np.uint8)
     names = np.array([x if x is not None else 0 for x in doc_ids], "<i8")
-    words = np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)
-    head = _HEADER.pack(_MAGIC, len(doc_ids), len(ids), len(blocks), len(words))
-    return b"".join([head, names.tobytes(), known.tobytes(), np.asarray(counts, "<u4").tobytes(), offsets.tobytes(), words.astype("<u8").tobytes()])
+    head = _HEADER.pack(_MAGIC, len(doc_ids), len(ids), len(offsets) - 1, len(words))
+    return b"".join([head, names.tobytes(), known.tobytes(), np.asarray(counts, "<u4").tobytes(), offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
 
 
 def decode_segment(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -156,7 +164,8 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
 
     ``documents`` needs ``doc_id`` and ``text``; other columns are not read.
     A null text counts as empty and holds only the end id; rows with a null
-    doc_id come first; rows that repeat a doc_id follow each other by text.
+    doc_id come first; rows that repeat a doc_id follow each other by a hash of
+    their text, then by text.
     An empty table writes no segment.  Texts are dealt by ranges of doc_id
     (one shuffle) and each task encodes its range as it streams by.
     """
@@ -201,9 +210,9 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
             yield close()
 
     (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(shuffle_width(documents.sparkSession), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("spot"))
+        .repartitionByRange(shuffle_width(documents.sparkSession), "doc_id", "spot")  # rows of one id may fill several ranges
+        .sortWithinPartitions("doc_id", "spot", "text")
         .mapInArrow(encode, SEGMENTS)
         .write.option("compression", "zstd")
         .parquet(path)

@@ -93,28 +93,58 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, first: int, last: int) ->
     return starts, ends, docs
 
 
+#: Bytes up to which a span is hashed eight at a time.
+_SHORT = 64
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit multilinear hash of each span's bytes.
+    """A 64-bit hash of each span's bytes, the same wherever the span lies.
 
-    Two given different strings collide with a probability below 2**-56.
+    Short spans are mixed eight bytes at a time; longer ones get a multilinear
+    sum.  Two given different strings collide with a probability below 2**-56.
     """
-    out = np.zeros(len(starts), np.uint64)
     lengths = ends - starts
-    if len(starts) == 0:
+    out = lengths.astype(np.uint64)
+    if not len(starts):
         return out
-    weights = _weights(int(lengths.max()))
-    done = 0
-    total = np.cumsum(lengths)
+    lo = int(starts.min())
+    padded = np.concatenate([data[lo : int(ends.max())], np.zeros(8, np.uint8)])
+    at_any_byte = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    who = np.flatnonzero((lengths > 0) & (lengths <= _SHORT))
+    place, left = starts[who] - lo, lengths[who]
+    while len(who):
+        word = at_any_byte[place] & _KEEP[np.minimum(left, 8)]
+        out[who] = mix64(out[who] ^ word)
+        more = left > 8
+        who, place, left = who[more], place[more] + 8, left[more] - 8
+    long = np.flatnonzero(lengths > _SHORT)
+    if len(long):
+        out[long] = _hash_long(data, starts[long], lengths[long])
+    return out
+
+
+def _hash_long(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(starts), np.uint64)
+    total, done = np.cumsum(lengths), 0
     while done < len(starts):
+        if lengths[done] > WINDOW:  # one span alone, in pieces
+            for lo in range(0, int(lengths[done]), WINDOW):
+                part = data[starts[done] + lo : starts[done] + min(lo + WINDOW, int(lengths[done]))].astype(np.uint64) + np.uint64(1)
+                weights = mix64(np.arange(lo, lo + len(part))) | np.uint64(1)
+                out[done] += (part * weights).sum(dtype=np.uint64)
+            done += 1
+            continue
         base = total[done - 1] if done else 0
         upto = max(int(np.searchsorted(total, base + WINDOW, "right")), done + 1)
         s, n = starts[done:upto], lengths[done:upto]
+        weights = _weights(int(n.max()))
         at = np.cumsum(n) - n
         position = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(at, n)
         terms = (data[np.repeat(s, n) + position].astype(np.uint64) + np.uint64(1)) * weights[position]
-        out[done:upto] = np.add.reduceat(terms, at) + n.astype(np.uint64)
+        out[done:upto] = np.add.reduceat(terms, at)
         done = upto
-    return mix64(out)
+    return mix64(out + lengths.astype(np.uint64))
 
 
 def group_bounds(sorted_keys: np.ndarray) -> np.ndarray:
