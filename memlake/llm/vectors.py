@@ -2,8 +2,9 @@
 
 Both searches lay the work out as a grid: candidates are dealt into shards of
 bounded size, queries into groups of bounded size, and one task handles one
-(group, shard) cell.  A cell returns each query's best k of the shard; a window
-over the few survivors picks the best k of all.  No list of pairs is ever made.
+(group, shard) cell that some query needs.  A cell returns each query's best k
+of the shard; a window over the few survivors picks the best k of all.  No list
+of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from .tables import materialise, shuffle_width
 
-#: Candidates in a shard, queries in a group, rows in a block.
-SHARD, GROUP, BLOCK = 4096, 2048, 256
+#: Candidates in a shard, queries in a group, rows in a block, shards whose bounds are computed together.
+SHARD, GROUP, BLOCK, BUNDLE = 4096, 2048, 256, 64
+#: Queries of a group that are scored at once.
+_CHUNK = 256
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str, dim: int, nonzero: bool = False) -> DataFrame:
@@ -31,12 +34,15 @@ def usable(rows: DataFrame, id_col: str, vec_col: str, dim: int, nonzero: bool =
     return rows.where(keep).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
 
 
-def _grid(queries: DataFrame, shards: DataFrame, n_shards: int, n_queries: int, cell, schema: str) -> DataFrame:
-    """``cell(query rows, shard rows)`` for every pair of a query group and a shard."""
-    groups = max(1, -(-n_queries // GROUP))
-    left = queries.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    right = shards.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return left.groupBy("group", "shard").cogroup(right.groupBy("group", "shard")).applyInPandas(cell, schema)
+def _grouped(queries: DataFrame, n_queries: int) -> DataFrame:
+    return queries.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_queries // GROUP)))).cast("int"))
+
+
+def _grid(asked: DataFrame, shards: DataFrame, cell, schema: str) -> DataFrame:
+    """``cell(query rows, shard rows)`` for each (group, shard) that occurs among the queries."""
+    pairs = asked.select(F.col("group").alias("team"), F.col("shard").alias("place")).distinct()
+    needed = shards.join(pairs, F.col("shard") == F.col("place"))
+    return asked.groupBy("group", "shard").cogroup(needed.groupBy("team", "place")).applyInPandas(cell, schema)
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -44,19 +50,34 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id."""
-    if len(ids) > 4 * k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= cut)
-        return near[np.lexsort((ids[near], -scores[near]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+def _top(who: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k highest scores, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, who))
+    named = who[order]
+    return order[np.arange(len(named)) - np.searchsorted(named, named) < k]
 
 
 def _matrix(column: pd.Series, dtype, dim: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(dtype) if len(column) else np.zeros((0, dim), dtype)
 
 
+def _edges(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest and smallest value of each dimension in each block of rows."""
+    starts = np.arange(0, len(docs), BLOCK)
+    return np.maximum.reduceat(docs, starts), np.minimum.reduceat(docs, starts)
+
+
+def _bounds(query: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """What each query can score at most in each block: the sum of its terms' maxima."""
+    return np.maximum(query, 0) @ high.T + np.minimum(query, 0) @ low.T
+
+
+def _exact(*parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The integer matrices as doubles where every product and sum is exact in them."""
+    largest = np.prod([float(np.abs(x).max(initial=0)) for x in parts[:2]]) * parts[0].shape[1]
+    return tuple(x.astype(np.float64) for x in parts) if largest < 2**52 else parts
+
+
 def exact_topk(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """Each query's k highest integer inner products, exactly.
 
@@ -65,14 +86,17 @@ def exact_topk(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: st
     ids; a block keeps its largest and smallest value of each dimension and
     its rows (the forward index).  A query's bound for a block is the sum of
     its terms' maxima; blocks are scored in order of their bounds until none
-    reaches the query's kth best score.
+    reaches the query's kth best score.  The shard with a query's best block
+    is scored first; its kth score there is where all other shards start, and
+    shards whose bounds stay below it never see the query.
 
     Rows with an unusable vector (null, of another dimension, or with a null
     or non-finite component) or a null id take no part.  Rows that share the
     query's id are never its answers; a query id that repeats is one query
-    (with the smallest vector).  Ties go to the smaller id.  Products are
-    64-bit; magnitudes from 2**62 up are not supported.  Other columns are
-    not read.
+    (with the smallest vector), and rows that repeat an id are candidates
+    each, spread over shards.  Ties go to the smaller id.  Products are
+    64-bit; magnitudes from 2**62 up are not supported.  An empty table gives
+    an empty one; other columns are not read.
     """
     spark = rows.sparkSession
     terms = F.transform("vec", lambda x: F.floor(x.cast("double") * scale).cast("long"))
@@ -82,46 +106,62 @@ def exact_topk(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: st
     if not n or not q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n_shards = -(-n // SHARD)
-    shards = candidates.repartitionByRange(n_shards, "id").withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(n_shards)))
-
-    def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    ranges = candidates.withColumn("spot", F.xxhash64("vec")).repartitionByRange(n_shards, "id", "spot")
+    shards = materialise(ranges.select("id", "vec", F.spark_partition_id().alias("shard")), "shards")
+    asked = materialise(_grouped(asked, q), "queries")
+    bundles = -(-n_shards // BUNDLE)
+
+    def summarise(held: pd.DataFrame) -> pd.DataFrame:
+        high, low = _edges(_matrix(held.sort_values("id", kind="stable")["vec"], np.int64, dim))
+        return pd.DataFrame({"of": [held["shard"].iloc[0]], "high": [high.tobytes()], "low": [low.tobytes()]})
+
+    def bound(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out, query = [], _matrix(asked["vec"], np.int64, dim)
+        for of, high, low in zip(held["of"], held["high"], held["low"], strict=True):
+            x, h, lo = _exact(query, *(np.frombuffer(e, np.int64).reshape(-1, dim) for e in (high, low)))
+            out.append(pd.DataFrame({"query_id": asked["id"], "shard": of, "bound": _bounds(x, h, lo).max(axis=1).astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "shard": [], "bound": []}, dtype="int64")
+
+    def score(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or held.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         held = held.sort_values("id", kind="stable")
-        ids, docs, query = held["id"].to_numpy(), _matrix(held["vec"], np.int64, dim), _matrix(asked["vec"], np.int64, dim)
-        names = asked["id"].to_numpy()
-        if float(np.abs(docs).max()) * float(np.abs(query).max()) * dim < 2**52:
-            docs, query = docs.astype(np.float64), query.astype(np.float64)  # integers of this size are exact
-        edges = np.arange(0, len(ids), BLOCK)
-        high, low = np.maximum.reduceat(docs, edges), np.minimum.reduceat(docs, edges)
-        bound = np.maximum(query, 0) @ high.T + np.minimum(query, 0) @ low.T
-        order = np.argsort(-bound, axis=1, kind="stable")
+        ids, names = held["id"].to_numpy(), asked["id"].to_numpy()
+        docs, query = _exact(_matrix(held["vec"], np.int64, dim), _matrix(asked["vec"], np.int64, dim))
+        bounds = _bounds(query, *_edges(docs))
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        start = asked["start"].to_numpy(np.float64, na_value=-np.inf)  # whole numbers; a lower bound may be rounded down
         best = np.full((len(names), k), -np.inf)  # scores so far, worst first
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for turn in range(len(edges)):
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for turn in range(order.shape[1]):
             block = order[:, turn]
-            open_ = np.flatnonzero(bound[np.arange(len(names)), block] >= best[:, 0])
+            least = np.maximum(best[:, 0], start)
+            open_ = np.flatnonzero(bounds[np.arange(len(names)), block] >= least)
             if not len(open_):
                 break
             for b in np.unique(block[open_]):
                 who = open_[block[open_] == b]
-                at = slice(edges[b], edges[b] + BLOCK)
-                score = query[who] @ docs[at].T
-                mine = ids[at]
-                good = (score >= best[who, :1]) & (mine[None, :] != names[who, None])
+                at = slice(b * BLOCK, (b + 1) * BLOCK)
+                points, mine = query[who] @ docs[at].T, ids[at]
+                good = (points >= least[who, None]) & (mine[None, :] != names[who, None])
                 r, c = np.nonzero(good)
-                found.append((who[r], mine[c], score[r, c]))
-                best[who] = np.sort(np.concatenate([best[who], np.where(good, score, -np.inf)], axis=1), axis=1)[:, -k:]
-        who, mine, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = score >= best[who, 0]
-        who, mine, score = who[keep], mine[keep], score[keep]
-        order = np.lexsort((mine, -score, who))
-        who, mine, score = who[order], mine[order], score[order]
-        place = np.arange(len(who)) - np.searchsorted(who, who)
-        keep = place < k
-        return pd.DataFrame({"query_id": names[who[keep]], "vec_id": mine[keep], "score": score[keep].astype(np.int64)})
-
-    return _best(_grid(asked, shards, n_shards, q, cell, "query_id long, vec_id long, score long"), k)
+                found.append((who[r], mine[c], points[r, c]))
+                best[who] = np.sort(np.concatenate([best[who], np.where(good, points, -np.inf)], axis=1), axis=1)[:, -k:]
+        who, mine, points = (np.concatenate(x) for x in zip(*found, strict=True))
+        top = _top(who, mine, points, k)
+        return pd.DataFrame({"query_id": names[who[top]], "vec_id": mine[top], "score": points[top].astype(np.int64)})
+
+    hit = "query_id long, vec_id long, score long"
+    summaries = shards.groupBy("shard").applyInPandas(summarise, "of int, high binary, low binary").withColumn("shard", F.floor(F.col("of") / BUNDLE).cast("int"))
+    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))))
+    limits = materialise(_grid(everywhere, summaries, bound, "query_id long, shard int, bound long"), "bounds")
+    first = limits.groupBy("query_id").agg(F.max_by("shard", F.struct("bound", -F.col("shard"))).alias("shard"))
+    seats = first.select(F.col("query_id").alias("id"), "shard")
+    begun = materialise(_grid(asked.join(seats, "id").withColumn("start", F.lit(None).cast("double")), shards, score, hit), "first-hits")
+    kth = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("start"))
+    later = limits.join(first.withColumnRenamed("shard", "seat"), "query_id").where("shard != seat").join(kth, "query_id", "left").where("start is null or bound >= start")
+    later = later.select(F.col("query_id").alias("id"), "shard", F.col("start").cast("double").alias("start"))
+    return _best(begun.unionByName(_grid(asked.join(later, "id"), shards, score, hit)), k)
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -135,27 +175,31 @@ def _kmeans(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> float:
+def traverse(first: np.ndarray, second: np.ndarray, rows: np.ndarray, columns: np.ndarray, sizes: np.ndarray, wanted: int) -> float:
     """Visit pairs of half-centroids by ascending summed distance, with a heap, until their cells hold ``wanted`` entries.
 
-    Returns the sum of the last pair visited.
+    ``rows`` (ascending), ``columns`` and ``sizes`` describe the cells that
+    hold entries.  The heap keeps each row's nearest unvisited cell.  Returns
+    the sum of the last pair visited.
     """
-    order_a, order_b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    a, b, count = first[order_a].tolist(), second[order_b].tolist(), sizes[np.ix_(order_a, order_b)].tolist()
-    heap, ahead, seen, last = [(a[0] + b[0], 0, 0)], [0] * len(a), 0, a[0] + b[0]
+    order = np.lexsort((second[columns], rows))
+    sums, held = (first[rows] + second[columns][order]).tolist(), sizes[order].tolist()
+    begins = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
+    stops = {*begins, len(sums)}
+    heap, seen, last = [(sums[b], b) for b in begins], 0, -np.inf
+    heapq.heapify(heap)
     while heap and seen < wanted:
-        last, i, j = heapq.heappop(heap)
-        seen += count[i][j]
-        ahead[i] = j + 1
-        if j + 1 < len(b) and (i == 0 or ahead[i - 1] > j + 1):
-            heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
-        if i + 1 < len(a) and ahead[i + 1] == j:
-            heapq.heappush(heap, (a[i + 1] + b[j], i + 1, j))
+        last, at = heap[0]
+        seen += held[at]
+        if at + 1 in stops:
+            heapq.heappop(heap)
+        else:
+            heapq.heapreplace(heap, (sums[at + 1], at + 1))
     return last
 
 
 def inverted_multi_index(
-    rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = 64, share: float = 0.45, least: int = 2000, sample: int = 16384
+    rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = 512, share: float = 0.3, sample: int = 16384
 ) -> DataFrame:
     """Each query's k nearest found by largest inner product.
 
@@ -163,20 +207,24 @@ def inverted_multi_index(
     means fitted on at most ``sample`` rows (those of the smallest id hashes);
     every row is indexed under its pair.  A query visits pairs in order of
     their summed distance (the negative inner product of each half) until the
-    visited cells hold ``share`` of all entries, ``least`` at least, and
-    reranks all entries of the visited cells exactly.  The defaults gave a
-    recall over 0.9 at 20 on the test tables (README).
+    visited cells hold ``share`` of all entries, and reranks all entries of
+    those cells.  The same rule holds at every size; README gives the recall.
+
+    The index lies in shards of neighbouring first halves; a query goes only
+    to shards that hold a cell it visits.  Cells of any size are split over
+    shards by a hash of the id.
 
     Rows with an unusable vector (null, zero, of another dimension, or with a
     null or non-finite component) or a null id take no part.  Rows that share
     the query's id are never its answers; a query id that repeats is one query
-    (with the smallest vector).  Ties go to the smaller id; other columns are
-    not read.  A cell may hold any number of rows: they lie over all shards.
+    (with the smallest vector), rows that repeat an id are candidates each.
+    Ties go to the smaller id; an empty table gives an empty one; other
+    columns are not read.
     """
     spark = rows.sparkSession
     candidates = usable(rows, id_col, vec_col, dim, nonzero=True)
     asked = usable(queries, id_col, vec_col, dim, nonzero=True).groupBy("id").agg(F.min("vec").alias("vec"))
-    some = candidates.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()  # bounded by `sample`
+    some = candidates.orderBy(F.xxhash64("id"), "id", "vec").limit(sample).toPandas()  # bounded by `sample`
     if some.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     points, half = _matrix(some["vec"], np.float64, dim), dim // 2
@@ -192,35 +240,48 @@ def inverted_multi_index(
         return pd.Series((a * wide + b).astype(np.int32))
 
     index = materialise(candidates.withColumn("cell", cell_of("vec")), "multi-index")
-    sizes = np.zeros(len(halves[0]) * wide, np.int64)
-    for r in index.groupBy("cell").count().collect():  # at most centroids**2 rows
-        sizes[r["cell"]] = r["count"]
-    n, q = int(sizes.sum()), asked.count()
-    n_shards, wanted = -(-n // SHARD), max(int(share * n), least, k)
-    table = sizes.reshape(len(halves[0]), wide)
-
-    @F.pandas_udf("double")
-    def reach(vec: pd.Series) -> pd.Series:
-        x = _matrix(vec, np.float64, dim)
-        return pd.Series([traverse(-(halves[0] @ v[:half]), -(halves[1] @ v[half:]), table, wanted) for v in x], dtype="float64")
+    counted = index.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toArrow()  # at most centroids**2 rows
+    cells, sizes = (counted.column(c).to_numpy() for c in ("cell", "n"))
+    across, down = cells // wide, cells % wide
+    wanted = max(int(np.ceil(share * sizes.sum())), k + 1)
+    # Shards: neighbouring first halves until one has SHARD entries; more parts for a larger one.
+    total = np.bincount(across, weights=sizes, minlength=len(halves[0])).astype(np.int64)
+    bundle = (np.cumsum(total) - total) // SHARD
+    parts = np.maximum(1, -(-np.bincount(bundle, weights=total).astype(np.int64) // SHARD))
+    base = np.cumsum(parts) - parts
+    layout = spark.createDataFrame([(i, int(base[b]), int(parts[b])) for i, b in enumerate(bundle)], "half int, base int, parts int")
+    q = asked.count()
+
+    @F.pandas_udf("reach double, shards array<int>")
+    def route(vec: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in _matrix(vec, np.float64, dim):
+            first, second = -(halves[0] @ v[:half]), -(halves[1] @ v[half:])
+            limit = traverse(first, second, across, down, sizes, wanted)
+            limit += 1e-9 * (1 + abs(limit))  # sums of the same cell may differ in their last bits
+            near = np.unique(bundle[across[first[across] + second[down] <= limit]])
+            out.append((limit, np.concatenate([np.arange(base[b], base[b] + parts[b]) for b in near])))
+        return pd.DataFrame(out, columns=["reach", "shards"])
 
     def rerank(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})]
         if not asked.empty and not held.empty:
-            held = held.sort_values(["cell", "id"], kind="stable")
             ids, docs, cells = held["id"].to_numpy(), _matrix(held["vec"], np.float64, dim), held["cell"].to_numpy()
-            present, first = np.unique(cells, return_index=True)
-            length = np.diff(np.append(first, len(cells)))
-            for name, v, limit in zip(asked["id"].to_numpy(), _matrix(asked["vec"], np.float64, dim), asked["reach"].to_numpy(), strict=True):
-                sums = -(halves[0] @ v[:half])[present // wide] - (halves[1] @ v[half:])[present % wide]
-                visited = sums <= limit
-                n = length[visited]
-                at = np.repeat(first[visited] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                at = at[ids[at] != name]
-                score = np.einsum("ij,j->i", docs[at], v)
-                top = _top(ids[at], score, k)
-                out.append(pd.DataFrame({"query_id": name, "vec_id": ids[at][top], "score": score[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    shards = index.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_shards)).cast("int"))
-    return _best(_grid(asked.withColumn("reach", reach("vec")), shards, n_shards, q, rerank, "query_id long, vec_id long, score double"), k)
+            names, query, reach = asked["id"].to_numpy(), _matrix(asked["vec"], np.float64, dim), asked["reach"].to_numpy()
+            for lo in range(0, len(names), _CHUNK):
+                x, name = query[lo : lo + _CHUNK], names[lo : lo + _CHUNK]
+                sums = -(x[:, :half] @ halves[0].T)[:, cells // wide] - (x[:, half:] @ halves[1].T)[:, cells % wide]
+                open_ = (sums <= reach[lo : lo + _CHUNK, None]) & (ids[None, :] != name[:, None])
+                score = np.where(open_, x @ docs.T, -np.inf)
+                least = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(name), -np.inf)
+                r, c = np.nonzero(open_ & (score >= least[:, None] - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))[:, None]))
+                exact = np.einsum("ij,ij->i", x[r], docs[c])  # equal vectors get equal scores
+                top = _top(r, ids[c], exact, k)
+                out.append(pd.DataFrame({"query_id": name[r[top]], "vec_id": ids[c[top]], "score": exact[top]}))
+        return pd.concat(out)
+
+    dealt = index.withColumn("half", F.floor(F.col("cell") / wide).cast("int")).join(F.broadcast(layout), "half")  # one row a first half
+    shards = dealt.select("id", "vec", "cell", (F.col("base") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))).cast("int").alias("shard"))
+    routed = asked.repartition(shuffle_width(spark), "id").withColumn("route", route("vec"))
+    left = materialise(_grouped(routed, q).select("id", "vec", "group", F.col("route.reach").alias("reach"), F.explode("route.shards").alias("shard")), "routes")
+    return _best(_grid(left, shards, rerank, "query_id long, vec_id long, score double"), k)

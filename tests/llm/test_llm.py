@@ -217,7 +217,7 @@ def test_op9_chain_and_star(spark):
 
 def brute_vectors(frame, every, k, whole):
     frame = frame.dropna(subset=["vec_id"])
-    x = np.stack([np.floor(256 * v.astype(np.float64)) if whole else v.astype(np.float64) for v in frame["embedding"]])
+    x = np.stack([np.floor(256 * np.asarray(v, np.float64)) if whole else np.asarray(v, np.float64) for v in frame["embedding"]])
     ids, out = frame["vec_id"].to_numpy().astype(np.int64), []
     for p in np.flatnonzero(ids % every == 0):
         score = (x * x[p]).sum(1)
@@ -226,13 +226,56 @@ def brute_vectors(frame, every, k, whole):
     return out
 
 
-def test_op5_and_op8(spark, sf):
+def test_op5(spark, sf):
     frame = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     frame["embedding"] = [np.asarray(v) for v in frame["embedding"]]
     assert sorted(map(tuple, registry.op5_exact_topk(spark, sf).collect())) == sorted(brute_vectors(frame, 50, 5, True))
-    want = {(q, v) for q, _, v, _ in brute_vectors(frame, 20, 20, False)}
-    got = registry.op8_inverted_multi_index(spark, sf).collect()
-    assert len(got) == len(want) and len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
+
+
+def recall(frame, got, every, k):
+    want = brute_vectors(frame, every, k, False)
+    score = {(q, v): s for q, _, v, s in want}
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.query_id, r.vec_id) not in score or r.score == pytest.approx(score[r.query_id, r.vec_id])
+    return sum((r.query_id, r.vec_id) in score for r in got) / len(want)
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_op8_recall(spark, table):
+    """No size is searched in full: the same share of the index is visited on every table."""
+    frame = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet").toPandas()
+    assert recall(frame, registry.op8_inverted_multi_index(spark, f"/root/testdata/{table}").collect(), 20, 20) >= 0.9
+
+
+def test_op8_recall_on_many_rows(spark):
+    """Seeded directions without any structure, the hardest case, and over several shards."""
+    x = np.random.default_rng(11).normal(size=(20_000, 64)).astype(np.float32)
+    frame = pd.DataFrame({"vec_id": np.arange(20_000), "embedding": list(x / np.linalg.norm(x, axis=1, keepdims=True))})
+    table = spark.createDataFrame(frame.assign(embedding=[v.tolist() for v in frame["embedding"]]), "vec_id long, embedding array<float>")
+    got = vectors.inverted_multi_index(table, table.where("vec_id % 100 = 0"), 20, 64).collect()
+    assert recall(frame, got, 100, 20) >= 0.9
+
+
+def test_op5_over_several_shards(spark):
+    """Shards beyond the first start at the kth score found before; hot ids are spread."""
+    r = np.random.default_rng(12)
+    x = (r.normal(size=(9_000, 8)) * np.exp(r.normal(size=(9_000, 1)))).astype(np.float32)
+    ids = np.where(np.arange(9_000) < 3_000, 50, np.arange(9_000))
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True) if i % 500 == 0 or i == 50]
+    got = vectors.exact_topk(table, spark.createDataFrame(asked, table.schema), 5, 8).collect()
+    whole, queries = np.floor(256 * x.astype(np.float64)), {}
+    for i, v in asked:
+        v = np.floor(256 * np.array(v, np.float64)).tolist()
+        queries[i] = min(queries.get(i, v), v)
+    want = []
+    for i, v in queries.items():
+        score = (whole * np.array(v)).sum(1)
+        best = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:5]
+        want += [(i, n + 1, int(ids[j]), int(score[j])) for n, j in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_vectors_odd_and_empty(spark):
@@ -244,9 +287,14 @@ def test_vectors_odd_and_empty(spark):
     frame = pd.DataFrame({"vec_id": [i for i, _ in good], "embedding": [np.array(v, np.float32) for _, v in good]})
     got = vectors.exact_topk(table, table.where("vec_id % 50 = 0"), 5, 4)
     assert sorted(map(tuple, got.collect())) == sorted(brute_vectors(frame, 50, 5, True))
-    got = vectors.inverted_multi_index(table, table.where("vec_id % 20 = 0"), 20, 4, centroids=4)
+    got = vectors.inverted_multi_index(table, table.where("vec_id % 20 = 0"), 20, 4, centroids=4, share=1.0)
     want = brute_vectors(frame, 20, 20, False)
-    assert sorted(map(tuple, got.collect())) == [(a, b, c, pytest.approx(d)) for a, b, c, d in sorted(want)]  # `least` covers them all
+    assert sorted(map(tuple, got.collect())) == [(a, b, c, pytest.approx(d)) for a, b, c, d in sorted(want)]  # all cells visited
+    again = table.union(table.where("vec_id = 40")).union(table.where("vec_id = 41"))  # repeated rows, as query and as candidates
+    got = vectors.inverted_multi_index(again, again.where("vec_id % 20 = 0"), 20, 4, centroids=4, share=1.0)
+    twice = [i for i in range(len(good)) for _ in range(1 + (good[i][0] in (40, 41)))]
+    want = {(q, n, v) for q, n, v, _ in brute_vectors(frame.iloc[twice].reset_index(drop=True), 20, 20, False)}
+    assert {(r.query_id, r.rank, r.vec_id) for r in got.collect()} == want
     empty = table.where("false")
     assert vectors.exact_topk(empty, empty, 5, 4).count() == vectors.inverted_multi_index(empty, empty, 5, 4).count() == 0
     few = table.where("vec_id < 3")
@@ -257,11 +305,12 @@ def test_traverse_visits_by_summed_distance():
     r = np.random.default_rng(4)
     for _ in range(50):
         a, b, sizes = r.normal(size=6), r.normal(size=9), r.integers(0, 5, (6, 9))
+        rows, columns = np.nonzero(sizes)
         wanted = int(r.integers(1, sizes.sum()))
         sums = (a[:, None] + b[None, :]).ravel()
         order = np.argsort(sums)
         last = order[np.searchsorted(np.cumsum(sizes.ravel()[order]), wanted)]
-        assert vectors.traverse(a, b, sizes, wanted) == pytest.approx(sums[last])
+        assert vectors.traverse(a, b, rows, columns, sizes[rows, columns], wanted) == pytest.approx(sums[last])
 
 
 def test_op6(spark, sf):
