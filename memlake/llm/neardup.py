@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbatch as wb
-from .tables import materialise
+from .tables import materialise, release
 
 #: A pair of similarity 0.8 shares no key with probability (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
@@ -39,8 +39,8 @@ SAMPLES = BANDS * ROWS
 BITS = 1024
 #: Standard deviations of the estimate that a pair may fall short by.
 MARGIN = 5.5
-#: Members that meet in one block of round two.
-BLOCK = 512
+#: Members that meet in one block of round two, and the shingles of all of them (8 bytes each).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 _FACTORS = (wb.mix64(np.arange(SAMPLES)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADDENDS = (wb.mix64(np.arange(SAMPLES) + 1_000_003) >> np.uint64(32)).astype(np.uint32)
@@ -193,7 +193,10 @@ def _linked(near: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     """The pairs of ``near`` that their full sets confirm; only texts of those pairs are read into sets."""
     pairs = materialise(near, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    return _confirm(pairs, materialise(shingle_sets(texts, width, wanted), "sets"), percent).distinct()
+    sets = materialise(shingle_sets(texts, width, wanted), "sets")
+    linked = materialise(_confirm(pairs, sets, percent).distinct(), "star-links")
+    release(pairs, sets)
+    return linked
 
 
 def _near(pairs: DataFrame, marks: DataFrame, most: int) -> DataFrame:
@@ -214,14 +217,21 @@ def _apart(buckets: DataFrame, marks: DataFrame, labels: DataFrame, most: int) -
     """Bucket members, by cells, with a member of another label whose sketch is near.
 
     Members that share the label of the bucket's centre are never compared with
-    each other; all others meet in cells of about BLOCK x BLOCK.
+    each other; all others meet in cells of about BLOCK x BLOCK members and
+    BLOCK_SHINGLES shingles a side.
     """
     named = buckets.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     open_ = named.groupBy("key").agg(F.min("label").alias("home"), F.max("label").alias("other"), F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("home != other")
     with_home = named.join(open_.select("key", "centre"), "key")
     centre_label = labels.select(F.col("doc_id").alias("centre"), F.col("label").alias("home"))
     with_home = with_home.join(centre_label, "centre", "left").withColumn("inside", F.coalesce("home", "centre") == F.col("label"))
-    sizes = with_home.groupBy("key").agg(F.ceil(F.count_if("inside") / BLOCK).cast("int").alias("inner"), F.ceil(F.count_if(~F.col("inside")) / BLOCK).cast("int").alias("outer"))
+
+
+    def parts(here):  # as many as keep both bounds, on average: members are dealt by a hash
+        held = F.coalesce(F.sum(F.when(here, F.col("n_shingles"))), F.lit(0))
+        return F.ceil(F.greatest(F.count_if(here) / BLOCK, F.when(held > 0, held / BLOCK_SHINGLES).otherwise(0.0))).cast("int")
+
+    sizes = with_home.groupBy("key").agg(parts(F.col("inside")).alias("inner"), parts(~F.col("inside")).alias("outer"))
     spot = F.xxhash64("doc_id", "key")
     # A cell is (key, p, q): p an outer part, q an inner part (below 0) or an outer part from p on.
     outer = F.flatten(F.array(
@@ -362,7 +372,10 @@ def _bridges(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    return _by_cell(near.join(sets.select("doc_id", "shingles"), "doc_id").select("key", "p", "q", "doc_id", "label", "side", "shingles")).mapInArrow(run, "a long, b long")
+    met = _by_cell(near.join(sets.select("doc_id", "shingles"), "doc_id").select("key", "p", "q", "doc_id", "label", "side", "shingles"))
+    links = materialise(met.mapInArrow(run, "a long, b long"), "bridges")
+    release(near, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -380,7 +393,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
         small_min = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(small_min, "hi").select(F.explode(F.array("lo", "hi")).alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
-        edges = materialise(small, "stars")
+        last, edges = edges, materialise(small, "stars")
+        release(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -409,17 +423,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     marked = materialise(signatures(texts, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
     filled = marked.where("n_shingles > 0 and doc_id is not null")
     heads = materialise(filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("head")).select("set_key", F.col("head.doc_id").alias("rep"), "head.row"), "classes")
-    reps = materialise(filled.select("row", "doc_id", "keys", "sketch").join(heads.select("row"), "row", "left_semi").drop("row"), "representatives")
+    reps = materialise(filled.select("row", "doc_id", "n_shingles", "keys", "sketch").join(heads.select("row"), "row", "left_semi").drop("row"), "representatives")
     marks = reps.select("doc_id", "sketch")
-    rows = reps.select("doc_id", F.explode("keys").alias("key"))
+    rows = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre != last")
     buckets = materialise(rows.join(shared.select("key", "centre"), "key"), "buckets")
     most = largest_difference(percent / 100)
     stars = buckets.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    starred = materialise(_linked(_near(stars, marks, most), texts, width, percent), "star-links")
+    starred = _linked(_near(stars, marks, most), texts, width, percent)
     labels = materialise(components(starred).withColumnRenamed("component_id", "label"), "labels")
-    others = _bridges(_apart(buckets.select("key", "doc_id"), marks, labels, most), texts, width, percent)
+    release(starred)
+    others = _bridges(_apart(buckets.select("key", "doc_id", "n_shingles"), marks, labels, most), texts, width, percent)
     linked = components(labels.select(F.col("label").alias("a"), F.col("doc_id").alias("b")).union(others))
+    release(others, labels, buckets, reps)
     classes = heads.join(linked.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
     out = marked.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, neardup, packing, quality, simple8b, tokencount, urlrules, vectors, warc
-from .tables import materialise, read_table, scratch_root
+from .tables import materialise, read_table, scratch_path
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 END, SEQUENCE, DIM = 2, 4096, 64
@@ -45,7 +43,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_root(spark)}/memlake-token-files-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "token-files")
     simple8b.write_token_files(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END)
     return simple8b.read_token_files(spark, path)
 

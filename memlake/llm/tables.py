@@ -16,16 +16,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, notebooks) a local temporary
-    folder is made and set.
+    Only a local session that names none (tests, notebooks) gets a temporary
+    folder, which is set; on a cluster a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="memlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Folders that this process wrote and that are still there.
+_WRITTEN: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; ``release`` and ``clear_scratch`` know it."""
+    _WRITTEN.append(f"{scratch_root(spark)}/memlake-{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -33,9 +45,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     the only state that later stages depend on.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/memlake-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for frames that nothing will read again."""
+    for df in frames:
+        path = df.__dict__.get("_scratch")
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def written() -> set[str]:
+    return set(_WRITTEN)
+
+
+def release_since(before: set[str], keep: DataFrame) -> None:
+    """Delete what was written after ``before = written()``, but for ``keep``."""
+    for path in [x for x in _WRITTEN if x not in before and x != keep.__dict__.get("_scratch")]:
+        _WRITTEN.remove(path)
+        _delete(keep.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this process still has in the shared folder; results not yet consumed are lost with it."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
 
 
 def shuffle_width(spark: SparkSession) -> int:
