@@ -13,36 +13,47 @@ from pyspark.sql import functions as F
 
 from memlake.llm import mixing, neardup, packing, quality
 from memlake.llm.registry import END, SEQUENCE, quality_model
-from memlake.llm.tables import materialise, read_table
+from memlake.llm.tables import materialise, read_table, release, release_since, written
 
 #: A random-indexing model and a tokeniser have no SQL form; tests hold ``run`` against brute force.
 ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.3 or more; rows with a null doc_id are scored like others."""
+    """Rows with a quality score of 0.3 or more.
+
+    Every row is judged by its own text and filtered where it lies: null and
+    repeated ids need no care, equal rows share their fate, an empty or null
+    text gets the model's answer for empty texts.  An empty table, or one
+    without labels, keeps all it has.  Columns of any name pass through.
+    """
     model = quality_model(spark, docs, sf_dir)
-    verdicts = quality.score(docs.select("doc_id", "text"), model)
-    bad = verdicts.where("score < 0.3").select("doc_id").distinct()
-    if docs.where("doc_id is null").head(1):  # ids can't carry their verdicts
-        known = docs.where("doc_id is not null").join(bad, "doc_id", "left_anti")
-        return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return quality.with_score(docs, model, name="__score").where("__score >= 0.3").drop("__score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8): that of the smallest id."""
-    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group (five-word shingles, similarity 0.8): that of the smallest id.
+
+    Rows are told apart by a number of their own, so ids may repeat or be
+    null (a null id counts as the largest; among equal ids the first row
+    stays).  Exact repeats of a row are copies like others.  Rows without
+    words are copies of nothing and all stay.
+    """
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = neardup.near_duplicates(rows, id_col="__row")
+    named = rows.select("__row", "doc_id").join(found.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    kept = named.groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's rate says."""
+    """Documents as often as their source's rate says (``mixing.mix``); rows that repeat an id get equal numbers of copies."""
     return mixing.repeat(mixing.mix(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their ids, sequence and offset."""
+    """Token pieces with their ids, sequence and offset; a null text is empty and holds the end id alone."""
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END, SEQUENCE, drops_space=True)
     return packing.pack(pieces, SEQUENCE).withColumn("ids_crc32", F.crc32("ids"))
 
@@ -53,5 +64,8 @@ STAGES = [("quality", keep_good), ("near_dedup", drop_near_copies), ("mixing", m
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before, others = docs, written()
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
+        release_since(others, docs)
     return docs

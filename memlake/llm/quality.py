@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import wordbatch as wb
 from .tables import materialise
@@ -154,10 +155,13 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on at most SAMPLE labelled documents; None if there is no label.
 
     ``labels`` holds doc_id and label (0 or 1); null labels and null ids are
-    left out, a doc_id that repeats counts once (largest label).
+    left out, a doc_id that repeats counts once (largest label, smallest text).
+    Units beyond the UNITS most frequent of the sample, and those seen once,
+    have no vector; documents meet them through their shapes and shares.
     """
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(SAMPLE)
-    sample = materialise(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "quality-sample")
+    known = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE ids
+    sample = materialise(known.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "quality-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,14 +222,17 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     return Model(table, vectors, mean, scale, layers, temperature)
 
 
-def score(documents: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of every document, by its whole text alone.
+def with_score(documents: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """All columns of each document, and the score of its whole text alone as ``name`` (a column of that name is replaced).
 
     The score estimates the probability of label 1.  Empty and null texts pool
     to zeros and get the network's answer for those; without a model (no label
-    at all) every score is 0.5.  Repeated rows are scored each.
+    at all) every score is 0.5.  Rows are scored where they are, each on its
+    own: null and repeated ids change nothing, and nothing is shuffled.
     """
     held = documents.sparkSession.sparkContext.broadcast(model)  # bounded by UNITS x DIM
+    rest = documents.drop(name)
+    names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -233,7 +240,13 @@ def score(documents: DataFrame, model: Model | None, id_col: str = "doc_id", tex
             if m is None:
                 scores = np.full(batch.num_rows, 0.5)
             else:
-                scores = np.concatenate([np.zeros(0), *(m.score(x.astype(np.float64)) for x in pool(batch.column("text"), m.table, m.vectors))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+                scores = np.concatenate([np.zeros(0), *(m.score(x.astype(np.float64)) for x in pool(batch.column(text_col), m.table, m.vectors))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*names, name])
+
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(name, DoubleType())]))
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+def score(documents: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every document; ``with_score`` says how odd rows fare.  Other columns are not read."""
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_score(rows, model).select("doc_id", "score")

@@ -492,6 +492,29 @@ def test_pipeline_against_brute_force(spark, sf, odd_documents, none, tmp_path):
         check_packing(at.collect(), p.pack_sequences(spark, at, sf).collect())
 
 
+def test_pipeline_stages_row_by_row(spark, sf, odd_documents, monkeypatch):
+    """Null and repeated ids: decisions hold for rows, not for ids."""
+    import corpus_pipeline as p
+
+    text = " ".join(f"alpha{i} beta{i}" for i in range(60))
+    near, other = text + " omega", " ".join(f"gamma{i} delta{i}" for i in range(60))
+    rows = [(1, text), (5, text), (1, text), (5, other), (7, other + " omega"), (None, near), (None, "short"), (None, "short"), (3, ""), (3, ""), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(map(tuple, p.drop_near_copies(spark, docs, sf).collect()))
+    assert got == collections.Counter([(1, text), (5, other), (None, "short"), (3, ""), (3, ""), (2, None)])
+
+    model = quality.fit(*(spark.read.parquet(f"{sf}/{t}.parquet") if t == "documents" else spark.read.parquet(f"{sf}/{t}.parquet").withColumnRenamed("quality", "label") for t in ("documents", "labels")))
+    monkeypatch.setattr(p, "quality_model", lambda *_: model)
+    table = odd_documents.union(odd_documents.withColumn("doc_id", F.lit(None).cast("long"))).withColumn("score", F.lit("kept"))
+    want = collections.Counter()
+    for r in table.collect():
+        x = np.concatenate(list(quality.pool(pa.array([r.text], pa.string()), model.table, model.vectors)))
+        want[tuple(r)] += model.score(x.astype(np.float64))[0] >= 0.3
+    judged = p.keep_good(spark, table, sf)
+    assert collections.Counter(map(tuple, judged.collect())) == +want and judged.columns == table.columns
+    assert "Exchange" not in judged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_queries_have_names_and_json_schemas(spark, sf):
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]

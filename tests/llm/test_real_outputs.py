@@ -28,3 +28,14 @@ def test_the_pipeline_ends_with_token_ids(spark, sf):
         ids = np.frombuffer(bytes(r.ids), "<u4")
         assert len(ids) == r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
         assert (ids[-1] == registry.END) == (r.start + r.length == r.doc_tokens)
+
+
+def test_the_pipeline_keeps_only_its_last_stage(spark, sf, monkeypatch):
+    from memlake.llm import tables
+
+    before = tables.written()
+    got = corpus_pipeline.run(spark, sf)
+    left = tables.written() - before
+    assert left == {got._scratch} and got.count() > 0
+    tables.release(got)
+    assert tables.written() == before
