@@ -16,9 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .tables import materialise
 from .tokens import encoder
@@ -76,17 +78,34 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, d
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
+#: Parts into which the pieces of one length and written partition are dealt when they meet their first rank.
+SALT = 16
+
+
 def pack(pieces: DataFrame, size: int) -> DataFrame:
     """Adds sequence_id and offset to pieces with a ``length`` from 1 to ``size``.
 
-    All other columns pass through (one of those two names is replaced).  Equal rows are different pieces.  An empty
-    table gives an empty one.  Ranks are counted inside (length, written
-    partition) and raised by the sizes of the partitions before, so a length
-    that most pieces share is spread over all partitions.
+    All other columns pass through (one of those two names is replaced).
+    Equal rows are different pieces.  An empty table gives an empty one.
+    Each task counts its pieces of every length as they stream by; the counts
+    of the partitions before raise these ranks, so a length that most pieces
+    share is spread over all partitions, and no partition is sorted.
     """
     pieces = pieces.drop("sequence_id", "offset")
     schema = pieces.schema
-    held = materialise(pieces.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "pieces")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        for batch in batches:
+            length = batch.column("length").to_numpy(zero_copy_only=False)
+            order = np.argsort(length, kind="stable")
+            ordered, rank = length[order], np.empty(len(length), np.int64)
+            rank[order] = np.arange(len(length)) - np.searchsorted(ordered, ordered) + seen[ordered]
+            seen += np.bincount(length, minlength=size + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], [*schema.names, "__part", "__rank"])
+
+    numbered = StructType([*schema.fields, StructField("__part", IntegerType()), StructField("__rank", LongType())])
+    held = materialise(pieces.mapInArrow(number, numbered), "pieces")
     counts = held.groupBy("length", "__part").agg(F.count("*").alias("__n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most `size` rows
     rules = plan_packs(histogram, size).sort_values(["length", "lo"])
@@ -95,15 +114,15 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
 
     before = W.partitionBy("length").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     firsts = counts.select("length", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    here = W.partitionBy("length", "__part").orderBy("__row")
-    ranked = held.withColumn("__rank", F.row_number().over(here) - 1).join(firsts, ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__first"))
+    salted = firsts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    ranked = held.withColumn("__salt", F.pmod("__rank", F.lit(SALT)).cast("int")).join(salted, ["length", "__part", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__first"))
 
-    def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "__rank"))
             at = np.searchsorted(keys, length * (1 << 48) + rank, "right") - 1
             columns = [batch.column(c) for c in schema.names] + [pa.array(base[at] + rank - low[at]), pa.array(offset[at])]
             yield pa.RecordBatch.from_arrays(columns, [*schema.names, "sequence_id", "offset"])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return ranked.select(*schema.names, "__rank").mapInArrow(place, f"{out}, sequence_id long, offset long")
+    placed = StructType([*schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return ranked.select(*schema.names, "__rank").mapInArrow(place, placed)
