@@ -23,13 +23,17 @@ def path_of(url: str):
 
 
 def tokens_of(url: str):
-    """What a URL is made of: scheme, host and its labels, path parts with digits as 0, query keys."""
+    """What a URL is made of: scheme, host labels, path parts with digits as 0, query keys.
+
+    The host itself is no token: it follows from its labels, and a token that
+    others imply only multiplies the rules.
+    """
     host = host_of(url)
     parts = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
     keys = F.regexp_extract_all(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(r"([^&=]+)="), 1)
     return F.array_distinct(
         F.concat(
-            F.array(F.concat(F.lit("scheme:"), F.regexp_extract(url, r"(?s)^(.*?)://", 1)), F.concat(F.lit("host:"), host)),
+            F.array(F.concat(F.lit("scheme:"), F.regexp_extract(url, r"(?s)^(.*?)://", 1))),
             F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("label:."), x)),
             F.transform(parts, lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "0"))),
             F.transform(keys, lambda x: F.concat(F.lit("key:"), x)),
@@ -37,23 +41,42 @@ def tokens_of(url: str):
     )
 
 
+RULE = "rule_id long, antecedent array<string>, trigger string, confidence double, support double"
+
+
 def mine_rules(urls: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
     """Association rules from URL tokens to the block label: rule_id, antecedent, trigger, confidence, support.
 
-    ``urls`` holds url and blocked (boolean) of labelled pages.  FP-growth runs
-    over all of them; rules below either bound are pruned.  A rule's trigger is
-    its rarest token, under which the inverted index lists it.
+    ``urls`` holds url and blocked (boolean) of labelled pages; rows with a
+    null in either are left out, repeated rows count each, and an empty table
+    gives no rule.  FP-growth runs over all of them; rules below either bound
+    are pruned, and so is a rule with no more confidence than one whose tokens
+    it contains: that one matches wherever it does.  A rule's trigger is its
+    rarest token, under which the inverted index lists it.
     """
     spark = urls.sparkSession
-    baskets = materialise(urls.where("url is not null and blocked is not null").select(F.concat(tokens_of("url"), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")), "baskets")
+    block = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
+    known = urls.where("url is not null and blocked is not null")
+    baskets = materialise(known.select(F.concat(tokens_of("url"), block).alias("items")), "baskets")
     if not baskets.head(1):
-        return spark.createDataFrame([], "rule_id long, antecedent array<string>, trigger string, confidence double, support double")
+        return spark.createDataFrame([], RULE)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    to_block = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK)))
+    rules = to_block.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = materialise(rules.withColumn("rule_id", F.xxhash64("antecedent")), "rules")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rarest = rules.select("rule_id", F.explode("antecedent").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("trigger"))
-    return rules.join(rarest, "rule_id").select("rule_id", "antecedent", "trigger", "confidence", "support")
+    tokens = rules.select("rule_id", F.explode("antecedent").alias("token")).join(single, "token")
+    rarest = tokens.groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("trigger"))
+    indexed = materialise(rules.join(rarest, "rule_id"), "indexed-rules")
+    return indexed.join(_redundant(indexed), "rule_id", "left_anti").select("rule_id", "antecedent", "trigger", "confidence", "support")
+
+
+def _redundant(rules: DataFrame) -> DataFrame:
+    """Ids of rules that contain another with the same confidence or more, found by the other's trigger."""
+    wide = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("trigger"))
+    other = rules.select("trigger", F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"))
+    inside = (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0)
+    return wide.join(other, "trigger").where(inside & (F.col("part_confidence") >= F.col("confidence"))).select("rule_id").distinct()
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
