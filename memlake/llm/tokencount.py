@@ -1,9 +1,10 @@
 """Token counts of a unigram vocabulary without making the tokens.
 
 Aho-Corasick lists the vocabulary's matches in a word; dynamic programming over
-end positions keeps the best score and the number of pieces.  Ties follow the
-unigram tokeniser: pieces are tried by ascending start and only a strictly
-better score replaces one found before; a character no piece covers costs the
+end positions keeps the best score and the number of pieces, for no more
+positions than the longest piece has characters, so a word of any length needs
+no more memory than that.  Ties follow the unigram tokeniser: pieces are tried
+by ascending start and only a strictly better score replaces one found before; a character no piece covers costs the
 lowest score less 10, neighbouring ones fuse, and with byte fallback they count
 one token a byte.
 """
@@ -45,28 +46,33 @@ class UnigramCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(piece) for piece, _ in vocabulary), default=1)
         self.lowest = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
         self.byte_fallback = byte_fallback
         self.memo: dict[int, int] = {}
 
     def count(self, word: str) -> int:
-        n = len(word)
-        score, pieces, unknown = [0.0] + [None] * n, [0] * (n + 1), [False] * (n + 1)
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (length, value) in self.automaton.iter(word):
-            matches[end - length + 1].append((length, value))
-        for start in range(n):
-            here, single = score[start], False
-            for length, value in sorted(matches[start]):
-                end = start + length
+        ring = self.longest + 1  # a piece reaches back so far at most
+        score, pieces, unknown = [0.0] * ring, [0] * ring, [False] * ring
+        matches = self.automaton.iter(word)
+        stop, match = next(matches, (-1, None))
+        for last, char in enumerate(word):
+            end, before = (last + 1) % ring, last % ring
+            best, count, single = None, 0, False
+            while stop == last:  # the longest, which starts first, comes first
+                length, value = match
+                start = (last + 1 - length) % ring
                 single |= length == 1
-                if score[end] is None or here + value > score[end]:
-                    score[end], pieces[end], unknown[end] = here + value, pieces[start] + 1, False
-            if not single and (score[start + 1] is None or here + self.lowest > score[start + 1]):
-                fused = unknown[start] and not self.byte_fallback
-                cost = len(word[start].encode()) if self.byte_fallback else 1
-                score[start + 1], pieces[start + 1], unknown[start + 1] = here + self.lowest, pieces[start] + (0 if fused else cost), True
-        return pieces[n]
+                if best is None or score[start] + value > best:
+                    best, count = score[start] + value, pieces[start] + 1
+                stop, match = next(matches, (-1, None))
+            alone = not single and (best is None or score[before] + self.lowest > best)
+            if alone:
+                fused = unknown[before] and not self.byte_fallback
+                cost = len(char.encode()) if self.byte_fallback else 1
+                best, count = score[before] + self.lowest, pieces[before] + (0 if fused else cost)
+            score[end], pieces[end], unknown[end] = best, count, alone
+        return pieces[len(word) % ring]
 
     def counts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """For runs of rows, in order: the number of tokens of each; texts begin with a word mark."""
