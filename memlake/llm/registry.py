@@ -74,7 +74,9 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(read_table(spark, sf_dir, "pages")))
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.derive(warc.responses(read_table(spark, sf_dir, "pages"))), path)
+    return warc.derived_rows(warc.read_warc(spark, path))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

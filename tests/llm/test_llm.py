@@ -1,10 +1,15 @@
 """Operators against brute force, exact round trips and held-out accuracy, with their edge cases."""
 
 import collections
+import gzip
+import itertools
 import json
 import random
 import re
+import time
+import tracemalloc
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -395,6 +400,37 @@ def test_op1(spark, sf):
             assert r.rule is None and r.verdict in ("allow", "block")
 
 
+def brute_tokens(url):
+    host, path = brute_url(url)
+    query = re.search(r"\?([^#]*)", url)
+    keys = re.findall(r"([^&=]+)=", query[1]) if query else []
+    parts = [re.sub("[0-9]+", "0", x) for x in path.split("/") if x]
+    return frozenset(["scheme:" + url.split("://")[0], *("label:." + x for x in host.split(".")), *("path:" + x for x in parts), *("key:" + x for x in keys)])
+
+
+def test_op1_mined_verdicts_equal_brute_force(spark, sf):
+    """Every subset of every blocked page's tokens is a candidate rule here."""
+    labelled = [(brute_tokens(r.url), r.blocked) for r in registry.labelled_urls(spark, sf).collect() if r.url is not None and r.blocked is not None]
+    least, good = -(-len(labelled) * 2 // 1000), set()
+    subsets = {frozenset(c) for t, blocked in labelled if blocked for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n)}
+    for rule in subsets:
+        hits = [blocked for t, blocked in labelled if rule <= t]
+        if sum(hits) >= least and sum(hits) >= 0.6 * len(hits):
+            good.add(rule)
+    assert good
+    smallest = [r for r in good if not any(o < r for o in good)]
+    got = {r.page_id: r for r in registry.op1_url_filters(spark, sf).collect()}
+    judged = 0
+    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        if got[p.page_id].rule is None:
+            judged += 1
+            blocked = p.url is not None and any(rule <= brute_tokens(p.url) for rule in smallest)
+            assert got[p.page_id].verdict == ("block" if blocked else "allow"), p.url
+    assert judged > 100
+    kept = {frozenset(r.antecedent): r.confidence for r in urlrules.mine_rules(registry.labelled_urls(spark, sf)).collect()}
+    assert set(kept) <= good and not any(a < b and kept[a] >= kept[b] for a in kept for b in kept)
+
+
 def test_op1_mines_planted_rules(spark):
     rows = [(f"https://{h}.example.com/{p}/{i}?ref=x", h == "spam" and p == "buy") for i in range(50) for h in ("spam", "good") for p in ("buy", "read")]
     rules = urlrules.mine_rules(spark.createDataFrame([*rows, (None, True), ("x", None)], "url string, blocked boolean"), 0.05, 0.9)
@@ -437,6 +473,27 @@ def test_unigram_ties():
         assert got.tolist() == [len(model.encode("▁" + text).ids)]
 
 
+def test_op2_equals_the_library_on_whole_texts(spark):
+    vocabulary = tokencount.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    model = unigram(vocabulary, True)
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = registry.op2_token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.n_tokens == len(model.encode("▁" + texts[r.doc_id].replace(" ", "▁")).ids if texts[r.doc_id] else [])
+
+
+def test_op2_long_words_need_no_memory():
+    vocabulary = tokencount.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    counter = tokencount.UnigramCounter(vocabulary, True)
+    word = "▁" + "abcdefghij中" * 30_000
+    tracemalloc.start()
+    counter.count(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+
+
 def test_op2_odd_and_empty(odd_documents, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = tokencount.token_counts(odd_documents, path).collect()
@@ -446,7 +503,7 @@ def test_op2_odd_and_empty(odd_documents, none):
 
 def test_op10_records_round_trip(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    rows = warc.derive(warc.responses(spark.read.parquet(f"{sf}/pages.parquet"))).collect()
+    rows = registry.op10_warc_derivatives(spark, sf).collect()
     assert len(rows) == 2 * len(pages) and len({r.record_id for r in rows}) == len(rows)
     for r in rows:
         headers, block = warc.parse_record(bytes(r.record))
@@ -460,15 +517,77 @@ def test_op10_records_round_trip(spark, sf):
     assert set(both) == {r.record_id for r in rows if r.record_type == "conversion"}
 
 
+class Reader(HTMLParser):
+    """An independent reading of pages: the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden is None and tag in ("script", "style", "noscript", "template"):
+            self.hidden = tag
+        self.out.append("\n" if tag in warc._LINES else "")
+
+    def handle_endtag(self, tag):
+        if tag == self.hidden:
+            self.hidden = None
+        elif self.hidden is None:
+            self.out.append("\n" if tag in warc._LINES else "")
+
+    def handle_data(self, data):
+        if self.hidden is None:
+            self.out.append(data)
+
+
+def test_op10_text_equals_another_parser(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        reader = Reader()
+        reader.feed(r.html)
+        reader.close()
+        lines = (re.sub(r"[^\S\n]+", " ", x).strip() for x in "".join(reader.out).split("\n"))
+        assert warc.plain_text(r.html) == "\n".join(x for x in lines if x)
+
+
 def test_op10_plain_text_odd_and_empty(spark):
     page = "<html lang='de'><head><title>A &amp; B</title><script>var t='</p>';</script></head><body><!-- x --><p>1 &lt; 2<br>b  c</p><a href='/q?a=1&amp;b'>l</a></body>"
     assert warc.plain_text(page) == "A & B\n1 < 2\nb c\nl"
     assert warc.page_fields(page) == [("title", "A & B"), ("language", "de"), ("outlink", "/q?a=1&b")]
+    assert warc.plain_text("a < b <3 c <p>d<!-- never closed <p>e") == "a < b <3 c\nd" and warc.plain_text("x<script>y") == "x" and warc.plain_text("a <b") == "a <b"
+    assert warc.plain_text("&#" + "9" * 5000 + "; &#65;") == "\ufffd A"
     table = spark.createDataFrame([(1, None, None, "c"), (None, "http://a/ b\nc", "", "c"), (2, "u", "<p", "c"), (2, "u", "<p", "c")], "page_id long, url string, html string, record_id string")
     assert warc.derive(warc.responses(table)).count() == 8 and warc.derive(warc.responses(table.where("false"))).count() == 0
     assert all(bytes(r.member)[:2] == b"\x1f\x8b" for r in warc.members(warc.derive(warc.responses(table))).collect())
 
 
+def test_op10_hostile_pages_take_linear_time():
+    for part in ("<script>", "<a href=", "<!--", "<", "<title>", "</p", "&#", "<a href='", "</script "):
+        began = time.process_time()
+        warc.read_page(part * (5_000_000 // len(part)))
+        assert time.process_time() - began < 20
+
+
+def test_op10_files_round_trip(spark, sf, tmp_path):
+    """Responses through a WARC file give the same derivatives; files of single members and plain ones are read too."""
+    odd = [(1, "http://a/", "<p>é\r\n\r\nx", "c"), (None, None, None, "c"), (3, "http://b/", "WARC/1.1\r\n\r\n\r\n\r\n", "c")]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(60).union(spark.createDataFrame([r[:3] for r in odd], "page_id long, url string, html string"))
+    rows = warc.responses(pages)
+    warc.write_warc(warc.response_records(rows), f"file://{tmp_path}/responses")
+    back = warc.responses_in(warc.read_warc(spark, f"file://{tmp_path}/responses"))
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, rows.select(F.col("page_id").cast("long").alias("page_id"), "record_id", "target_uri", "date", "http_headers", "body").collect()), key=repr)
+    want = sorted(bytes(r.record) for r in warc.derive(rows).collect())
+    warc.write_warc(warc.derive(back), f"file://{tmp_path}/derived")
+    assert sorted(bytes(r.record) for r in warc.read_warc(spark, f"file://{tmp_path}/derived").collect()) == want
+    whole = b"".join(want)
+    for data in (whole, b"".join(gzip.compress(r) for r in want), gzip.compress(whole)):
+        assert list(warc.split_records(data)) == want
+    for bad in (whole[:-9], gzip.compress(whole)[:-20], b"x" + whole):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.split_records(bad))
+    warc.write_warc(warc.derive(rows.where("false")), f"file://{tmp_path}/none")
+    assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_pipeline_against_brute_force(spark, sf, odd_documents, none, tmp_path):
     import corpus_pipeline as p
 
