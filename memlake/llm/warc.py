@@ -211,7 +211,7 @@ def write_warc(records: DataFrame, path: str) -> None:
     behind each row.  The records must be UTF-8, as all made here are.
     """
     body = F.expr("cast(substring(record, 1, length(record) - 4) as string)").alias("value")
-    records.select(body).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    records.select(body).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def _inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -258,8 +258,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 rows: list[tuple] = []
                 for record in split_records(content.as_buffer().to_pybytes()):
-                    headers, block = parse_record(record)
-                    rows.append((list(headers.items()), block, record))
+                    rows.append((list(parse_record(record)[0].items()), record))
                     if len(rows) == 500:
                         yield _batch(rows)
                         rows = []
@@ -267,10 +266,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.map_(pa.string(), pa.string()), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["headers", "block", "record"])
+        headers, records = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(headers), pa.map_(pa.string(), pa.string())), pa.array(list(records), pa.binary())], ["headers", "record"])
 
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(run, "headers map<string,string>, block binary, record binary")
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
+    found = files.mapInArrow(run, "headers map<string,string>, record binary")
+    n = F.try_element_at("headers", F.lit("Content-Length")).cast("int")
+    return found.withColumn("block", F.substring("record", F.length("record") - 3 - n, n))
 
 
 def derived_rows(records: DataFrame) -> DataFrame:
