@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .tables import materialise, shuffle_width
 
 #: Candidates in a shard, queries in a group, rows in a block, shards whose bounds are computed together.
-SHARD, GROUP, BLOCK, BUNDLE = 4096, 2048, 256, 64
+SHARD, GROUP, BLOCK, BUNDLE = 32_768, 2048, 256, 64
+#: Cells of one first half that a search visits together.
+STEP = 4
 #: Queries of a group that are scored at once.
 _CHUNK = 256
 
@@ -175,23 +177,37 @@ def _kmeans(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def traverse(first: np.ndarray, second: np.ndarray, rows: np.ndarray, columns: np.ndarray, sizes: np.ndarray, wanted: int) -> float:
+def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int, step: int = 1) -> float:
     """Visit pairs of half-centroids by ascending summed distance, with a heap, until their cells hold ``wanted`` entries.
 
-    ``rows`` (ascending), ``columns`` and ``sizes`` describe the cells that
-    hold entries.  The heap keeps each row's nearest unvisited cell.  Returns
-    the sum of the last pair visited.
+    ``sizes`` counts the entries of each pair; empty cells are passed over.
+    The heap keeps each first half's nearest unvisited cells, ``step`` of them
+    at a time under the sum of the last.  Returns the sum of the last pair
+    visited: all cells up to it hold ``wanted`` entries or (with more than one
+    a step) some more.
     """
-    order = np.lexsort((second[columns], rows))
-    sums, held = (first[rows] + second[columns][order]).tolist(), sizes[order].tolist()
-    begins = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
-    stops = {*begins, len(sums)}
+    near = np.argsort(second, kind="stable")
+    table = sizes[:, near]
+    cells = np.flatnonzero(table > 0)
+    if not len(cells):
+        return -np.inf
+    rows, columns = np.divmod(cells, len(second))
+    sums, held = first[rows] + second[near][columns], table.ravel()[cells]
+    begins = np.flatnonzero(np.diff(rows, prepend=-1))
+    place = np.arange(len(cells)) - np.repeat(begins, np.diff(np.append(begins, len(cells))))
+    starts = np.flatnonzero(place % step == 0)
+    held = np.add.reduceat(held, starts).tolist()
+    sums = sums[np.append(starts[1:], len(cells)) - 1].tolist()
+    begins = np.flatnonzero(place[starts] == 0).tolist()
+    ends = bytearray(len(sums))
+    for b in [*begins[1:], len(sums)]:
+        ends[b - 1] = 1
     heap, seen, last = [(sums[b], b) for b in begins], 0, -np.inf
     heapq.heapify(heap)
     while heap and seen < wanted:
         last, at = heap[0]
         seen += held[at]
-        if at + 1 in stops:
+        if ends[at]:
             heapq.heappop(heap)
         else:
             heapq.heapreplace(heap, (sums[at + 1], at + 1))
@@ -243,6 +259,8 @@ def inverted_multi_index(
     counted = index.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toArrow()  # at most centroids**2 rows
     cells, sizes = (counted.column(c).to_numpy() for c in ("cell", "n"))
     across, down = cells // wide, cells % wide
+    table = np.zeros((len(halves[0]), wide), np.int32)
+    table[across, down] = sizes
     wanted = max(int(np.ceil(share * sizes.sum())), k + 1)
     # Shards: neighbouring first halves until one has SHARD entries; more parts for a larger one.
     total = np.bincount(across, weights=sizes, minlength=len(halves[0])).astype(np.int64)
@@ -257,7 +275,7 @@ def inverted_multi_index(
         out = []
         for v in _matrix(vec, np.float64, dim):
             first, second = -(halves[0] @ v[:half]), -(halves[1] @ v[half:])
-            limit = traverse(first, second, across, down, sizes, wanted)
+            limit = traverse(first, second, table, wanted, STEP)
             limit += 1e-9 * (1 + abs(limit))  # sums of the same cell may differ in their last bits
             near = np.unique(bundle[across[first[across] + second[down] <= limit]])
             out.append((limit, np.concatenate([np.arange(base[b], base[b] + parts[b]) for b in near])))
@@ -282,6 +300,7 @@ def inverted_multi_index(
 
     dealt = index.withColumn("half", F.floor(F.col("cell") / wide).cast("int")).join(F.broadcast(layout), "half")  # one row a first half
     shards = dealt.select("id", "vec", "cell", (F.col("base") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))).cast("int").alias("shard"))
-    routed = asked.repartition(shuffle_width(spark), "id").withColumn("route", route("vec"))
+    spread = asked.repartition(max(1, min(shuffle_width(spark), q // 64)), F.xxhash64("id"))
+    routed = spread.withColumn("route", route("vec"))
     left = materialise(_grouped(routed, q).select("id", "vec", "group", F.col("route.reach").alias("reach"), F.explode("route.shards").alias("shard")), "routes")
     return _best(_grid(left, shards, rerank, "query_id long, vec_id long, score double"), k)

@@ -253,8 +253,9 @@ def test_op8_recall(spark, table):
     assert recall(frame, registry.op8_inverted_multi_index(spark, f"/root/testdata/{table}").collect(), 20, 20) >= 0.9
 
 
-def test_op8_recall_on_many_rows(spark):
+def test_op8_recall_on_many_rows(spark, monkeypatch):
     """Seeded directions without any structure, the hardest case, and over several shards."""
+    monkeypatch.setattr(vectors, "SHARD", 3000)
     x = np.random.default_rng(11).normal(size=(20_000, 64)).astype(np.float32)
     frame = pd.DataFrame({"vec_id": np.arange(20_000), "embedding": list(x / np.linalg.norm(x, axis=1, keepdims=True))})
     table = spark.createDataFrame(frame.assign(embedding=[v.tolist() for v in frame["embedding"]]), "vec_id long, embedding array<float>")
@@ -262,8 +263,10 @@ def test_op8_recall_on_many_rows(spark):
     assert recall(frame, got, 100, 20) >= 0.9
 
 
-def test_op5_over_several_shards(spark):
+def test_op5_over_several_shards(spark, monkeypatch):
     """Shards beyond the first start at the kth score found before; hot ids are spread."""
+    monkeypatch.setattr(vectors, "SHARD", 2000)
+    monkeypatch.setattr(vectors, "BUNDLE", 2)
     r = np.random.default_rng(12)
     x = (r.normal(size=(9_000, 8)) * np.exp(r.normal(size=(9_000, 1)))).astype(np.float32)
     ids = np.where(np.arange(9_000) < 3_000, 50, np.arange(9_000))
@@ -310,12 +313,12 @@ def test_traverse_visits_by_summed_distance():
     r = np.random.default_rng(4)
     for _ in range(50):
         a, b, sizes = r.normal(size=6), r.normal(size=9), r.integers(0, 5, (6, 9))
-        rows, columns = np.nonzero(sizes)
         wanted = int(r.integers(1, sizes.sum()))
         sums = (a[:, None] + b[None, :]).ravel()
         order = np.argsort(sums)
         last = order[np.searchsorted(np.cumsum(sizes.ravel()[order]), wanted)]
-        assert vectors.traverse(a, b, rows, columns, sizes[rows, columns], wanted) == pytest.approx(sums[last])
+        assert vectors.traverse(a, b, sizes, wanted) == pytest.approx(sums[last])
+        assert wanted <= sizes.ravel()[sums <= vectors.traverse(a, b, sizes, wanted, 3) + 1e-9].sum() <= wanted + 5 * 6 * 3
 
 
 def test_op6(spark, sf):
