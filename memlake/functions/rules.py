@@ -30,7 +30,7 @@ ERROR = [
     "panic:", "panicked", "panic at", "traceback", "stack trace", "stacktrace", "segmentation fault", "segfault", "error:", "exception:", "assertion failed", "assertion `left", "exit code", "exit status",
     "报错", "崩溃", "异常退出", "编译错误", "运行时错误", "错误信息", "堆栈", "调用栈",
 ]
-DELETION = ["已删除该记忆", "已从记忆库删除", "已忘记", "已移除该记忆", "已修正该记忆", "删除记忆成功", "forget memory", "lrc forget", "correct_memory", "已撤销记忆"]
+DELETION = ["已删除该记忆", "已从记忆库删除", "已忘记", "已移除该记忆", "已修正该记忆", "删除记忆成功", "forget memory", "correct_memory", "已撤销记忆"]
 NARRATION = ["我先", "我先来", "接下来", "然后", "下面", "现在", "让我", "我来", "我会", "首先", "接着", "最后", "let me", "i'll", "i will", "next,", "next ", "first,", "now ", "we need to", "i'm going to"]
 STRONG = ["决定", "采用", "必须", "不要", "禁止", "结论", "建议", "根因", "修复", "因为", "decision", "constraint", "must", "should", "conclusion", "root cause"]
 FORGET_EN = ["please forget ", "please delete the memory ", "please delete memory ", "forget ", "delete the memory ", "delete memory ", "do not remember ", "don't remember ", "dont remember "]
@@ -38,6 +38,7 @@ FORGET_ZH = ["请不要再记得", "请别再记得", "不要再记得", "别再
 POLITE = ["麻烦你", "麻烦", "请帮我", "帮我"]
 EXPLICIT = ["请", "麻烦", "帮我", "记忆", "记录", "信息", "关于", "这条", "那条", "这个", "那个"]
 
+# What makes a line noise, and what is cut off the ends of a forget target.
 NOISE = r"(?s)^$|^[#>]|^```|^\|.*\||\|.*\|$|^[-*_ ]{3,}$"
 LINK, EDGE_MARKS = r"\[[^\]]*\]\([^)]*\)", r" \t：:，,、\"'“”‘’「」《》（(【\[。．.！!？?；;）)】\]"
 QUESTION_CHAIN, HARD_STOP = None, "[。！!；;\n]"

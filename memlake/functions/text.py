@@ -11,6 +11,8 @@ LANGUAGES = {
     "rs": "rust", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go", "md": "markdown", "mdx": "markdown",
     "yaml": "yaml", "yml": "yaml", "toml": "toml", "json": "json", "html": "html", "htm": "html", "css": "css", "scss": "css", "less": "css", "xml": "xml", "svg": "xml", "sh": "shell", "bash": "shell", "zsh": "shell", "sql": "sql",
 }
+#: Further extensions that are read, as text.
+PLAIN = ("txt", "rst", "java", "kt", "swift", "c", "h", "cpp", "hpp", "cc", "cxx", "hxx")
 
 
 def tokenize(text: Column) -> Column:

@@ -3,23 +3,35 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import text as X
+from memlake.storage import checkpointed
 
 
-def same_event(mem: DataFrame, event: str = "event_id") -> DataFrame:
-    """Pairs that share an event, smaller id first."""
-    a, b = mem.select(event, F.col("id").alias("a")), mem.select(event, F.col("id").alias("b"))
-    return a.join(b, event).where("a < b").select("a", "b", event)
+def same_event(mem: DataFrame, event: str = "event_id", most: int = 1000) -> DataFrame:
+    """Pairs that share an event, smaller id first: a, b, event.
+
+    An event of more than ``most`` rows would give pairs by the square of its
+    size; its rows are linked with its smallest id instead, and belong
+    together by the event that the link names.
+    """
+    rows = mem.where(F.col(event).isNotNull()).select(event, "id").distinct()
+    sizes = rows.groupBy(event).agg(F.count("*").alias("__n"), F.min("id").alias("__centre"))
+    sized = rows.join(sizes, event)
+    small = sized.where(F.col("__n") <= most)
+    a, b = small.select(event, F.col("id").alias("a")), small.select(event, F.col("id").alias("b"))
+    stars = sized.where((F.col("__n") > most) & (F.col("id") != F.col("__centre"))).select(F.col("__centre").alias("a"), F.col("id").alias("b"), event)
+    return a.join(b, event).where("a < b").select("a", "b", event).unionByName(stars)
 
 
-def document_frequency(tokens: DataFrame, name: str, doc: str) -> DataFrame:
-    return tokens.groupBy(name).agg(F.count_distinct(doc).alias("df"))
+def document_frequency(docs: DataFrame, terms: Column, by: list[str] | None = None) -> DataFrame:
+    """term, df over all documents, or within each group of ``by``; a document counts once for each of its ``terms``."""
+    each = docs.select(*(by or []), F.explode(F.array_distinct(terms)).alias("term"))
+    return each.groupBy(*(by or []), "term").agg(F.count("*").alias("df"))
 
 
 def hubs(mentions: DataFrame, name: str, doc: str, group: str, least: int = 5, share: float = 0.35) -> DataFrame:
@@ -87,20 +99,21 @@ def postings(docs: DataFrame) -> DataFrame:
 def bm25_points(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """qid, id, points for every query(qid, content) and document that share a term.
 
-    Query terms meet the postings by term; only terms of some query are
-    scored.  Term scores are rounded to whole millionths before they are
+    Query terms meet the postings by term; words that no query holds drop out
+    before anything is counted.  Term scores are rounded to whole millionths before they are
     summed, so the order of summing doesn't matter.
     """
-    index = postings(docs)
     stats = docs.select(F.size(X.tokenize(F.col("content"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_length"))
     wanted = queries.select("qid", F.explode(F.array_distinct(X.tokenize(F.col("content")))).alias("term"))
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    terms = wanted.select("term").distinct()
+    tokens = docs.select("id", X.tokenize(F.col("content")).alias("t")).select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    hits = tokens.join(terms, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(df, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     value = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    terms = scored.select("term", "id", F.round(value * 1e6).cast("long").alias("points"))
-    return wanted.join(terms, "term").groupBy("qid", "id").agg(F.sum("points").alias("points"))
+    valued = scored.select("term", "id", F.round(value * 1e6).cast("long").alias("points"))
+    return wanted.join(valued, "term").groupBy("qid", "id").agg(F.sum("points").alias("points"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -134,30 +147,30 @@ def evaluate(runs: DataFrame, qrels: DataFrame, top_k: int) -> DataFrame:
     return hits.select("qid", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), "hits", (F.col("hits") / F.col("relevant")).alias("recall"), F.coalesce("first", F.lit(top_k + 1)).alias("first"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` behind a reliable checkpoint in the cluster's shared folder; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="memlake-"))
-    return df.checkpoint()
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """The smallest node reachable from each node, by minima over neighbours with pointer jumping.
+def components(edges: DataFrame) -> DataFrame:
+    """u, label: the smallest node reachable from each end of an edge (a, b).
 
-    Every round's labels go through a reliable checkpoint.
+    Alternating large-star and small-star rounds: each turns the edges into
+    stars around ever smaller centres, with two grouped minima, until nothing
+    moves (about the logarithm of the longest chain).  Every round's edges go
+    through a reliable checkpoint.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct()
-    labels = checkpointed(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
-        step = labels.join(near, "u").select("u", F.least("label", "other").alias("label"))
-        jump = step.select(F.col("u").alias("label"), F.col("label").alias("beyond"))
-        now = checkpointed(step.join(jump, "label", "left").select("u", F.least("label", F.coalesce("beyond", "label")).alias("label")))
-        if now.join(labels.withColumnRenamed("label", "before"), "u").where("label != before").isEmpty():
-            return now
-        labels = now
-    raise RuntimeError("components: rounds used up")
+    nodes = edges.select(F.col("a").alias("u")).union(edges.select("b")).distinct()
+    now = checkpointed(edges.where("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
+    before = None
+    while True:
+        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        centre = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(centre, "hi").select(F.explode(F.array("lo", "hi")).alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
+        now = checkpointed(small)
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    found = now.groupBy("hi").agg(F.min("lo").alias("label")).select(F.col("hi").alias("u"), "label")
+    return nodes.join(found, "u", "left").select("u", F.coalesce("label", "u").alias("label"))
 
 
 def entropy(df: DataFrame, col: str, classes: int) -> DataFrame:
@@ -186,11 +199,22 @@ def recall_semantic(queries: DataFrame, vectors: DataFrame, visible: DataFrame,
     return vector_topk(queries, vectors.join(visible.select("id"), "id", "left_semi"), k)
 
 
-def rediscover(triggers: DataFrame, mem: DataFrame, now_minutes: int, least: float = 0.35, stale_days: int = 7, most: int = 3) -> DataFrame:
-    """Old rows that a trigger brings back: within ``least`` of its best score, untouched for a week, three at most."""
-    ranked = rank_normalise(bm25(triggers, mem, 50), "score", "qid")
+def rediscover(triggers: DataFrame, mem: DataFrame, now_minutes: int, contexts: DataFrame | None = None, least: float = 0.35, stale_days: int = 7, most: int = 3, pool: int = 50) -> DataFrame:
+    """Old rows that a trigger (qid, content) brings back: qid, id, normal, rank.
+
+    Only rows untouched for ``stale_days`` are ranked, the ``pool`` best for
+    the trigger and, where there is one, for its context (qid, content); the
+    two rankings are fused by reciprocal ranks.  Rows with ``least`` of the
+    best fused score stay, ``most`` a trigger.
+    """
     old = mem.where(now_minutes - F.col("age_minutes") >= stale_days * 1440).select("id")
-    return topk(ranked.where(F.col("normal") >= least).join(old, "id", "left_semi").drop("rank"), "qid", "normal", "id", most)
+    every = None
+    for asked in [triggers] if contexts is None else [triggers, contexts]:
+        run = topk(bm25_points(asked, mem).join(old, "id", "left_semi"), "qid", "points", "id", pool)
+        part = run.select("qid", "id", F.round(1e9 / (60 + F.col("rank"))).cast("long").alias("part"))
+        every = part if every is None else every.unionByName(part)
+    ranked = rank_normalise(every.groupBy("qid", "id").agg(F.sum("part").alias("points")), "points", "qid")
+    return topk(ranked.where(F.col("normal") >= least).select("qid", "id", F.round("normal", 9).alias("normal")), "qid", "normal", "id", most)
 
 
 def multi_view_recall(views: DataFrame, mem: DataFrame, k: int) -> DataFrame:

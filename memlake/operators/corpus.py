@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import rules as R
 from memlake.functions import text as X
+from memlake.storage import checkpointed
 
 WEIGHTS = {"decision": 2, "convention": 2, "weak": 1, "preference": 2, "negation": 2, "conclusion": 1, "proper": 1}
 
@@ -52,9 +54,9 @@ def distill_digest(items: DataFrame, conv: str) -> DataFrame:
     return counts.withColumn("digest", F.concat_ws(", ", F.concat("items", F.lit(" items")), F.concat("decision", F.lit(" decisions")), F.concat("constraint", F.lit(" constraints"))))
 
 
-def guarded(turns: DataFrame, conv: str, content: str = "content") -> DataFrame:
-    """Conversations of which no turn speaks of deleting a record."""
-    return turns.join(turns.where(R.has_any(F.col(content), R.DELETION)).select(conv).distinct(), conv, "left_anti")
+def guarded(turns: DataFrame, conv: str, content: str = "content", markers: list[str] = R.DELETION) -> DataFrame:
+    """Conversations of which no turn speaks of deleting a record; ``markers`` are the phrases that say so."""
+    return turns.join(turns.where(R.has_any(F.col(content), markers)).select(conv).distinct(), conv, "left_anti")
 
 
 def error_blocks(turns: DataFrame, keys: list[str], content: str = "content", most: int = 12, chars: int = 300) -> DataFrame:
@@ -118,29 +120,43 @@ def declared_items(turns: DataFrame, conv: str, turn: str, marker: str, kinds: d
     return items.select(conv, turn, "pos", known.alias("kind"), F.col("i.content").alias("item"), verdict.alias("verdict"))
 
 
-def dedupe_within(items: DataFrame, by: str, order: list[str], text: str, importance: str, t: float = 0.85, most: int = 64) -> DataFrame:
+def dedupe_within(items: DataFrame, by: str, order: list[str], text: str, importance: str, t: float = 0.85) -> DataFrame:
     """Later items that resemble an earlier one (character pairs) fold into it: the first text, the highest importance, how many.
 
-    Items come in pages of ``most`` (in order); a page is one bounded array.
-    Equal texts are folded first, by a grouping, so pages hold distinct ones.
+    Equal texts are one item at its first place.  Items of one ``by`` meet
+    over the rare character pairs that any partner at t must share (prefix
+    filter), so none is missed; each then folds into the first kept item that
+    it resembles.  Only the places of similar pairs are walked in order.
+    Texts without character pairs resemble nothing.
     """
-    from pyspark.sql import Window as W_
-
     same = items.groupBy(by, text).agg(F.min(F.struct(*order)).alias("o"), F.max(importance).alias("importance"), F.count("*").alias("n"))
-    page = F.floor((F.row_number().over(W_.partitionBy(by).orderBy("o")) - 1) / most)
-    item = F.struct("o", F.col(text).alias("text"), F.col("importance").cast("int").alias("importance"), "n", X.char_bigrams(F.col(text)).alias("g"))
-    pages = same.withColumn("page", page).groupBy(by, "page").agg(F.array_sort(F.collect_list(item)).alias("rows"))
-
-    def near(y: Column, x: Column) -> Column:
-        return X.jaccard(y["g"], x["g"]) >= t
-
-    def fold(kept: Column, x: Column) -> Column:
-        place = F.aggregate(F.transform(kept, lambda y: near(y, x)), F.struct(F.lit(0).alias("i"), F.lit(-1).alias("at")), lambda s, hit: F.struct((s["i"] + 1).alias("i"), F.when((s["at"] < 0) & hit, s["i"]).otherwise(s["at"]).alias("at")), lambda s: s["at"])
-        taken = lambda y: F.struct(y["o"].alias("o"), y["text"].alias("text"), F.greatest(y["importance"], x["importance"]).alias("importance"), (y["n"] + x["n"]).alias("n"), y["g"].alias("g"))
-        return F.when(place < 0, F.concat(kept, F.array(x))).otherwise(F.transform(kept, lambda y, i: F.when(i == place, taken(y)).otherwise(y)))
-
-    kept = F.aggregate("rows", F.slice("rows", F.lit(1), F.lit(0)), fold)
-    return pages.select(by, F.explode(kept).alias("k")).select(by, "k.o.*", F.col("k.text").alias(text), "k.importance", "k.n")
+    sets = same.withColumn("i", F.row_number().over(W.partitionBy(by).orderBy("o", text))).withColumn("g", X.char_bigrams(F.col(text)))
+    sets = checkpointed(sets.where(F.col(by).isNotNull()))
+    each = sets.select(by, "i", F.size("g").alias("size"), F.explode("g").alias("w"))
+    rarity = each.groupBy(by, "w").agg(F.count("*").alias("df")).where("df > 1")
+    place = F.row_number().over(W.partitionBy(by, "i").orderBy("df", "w"))
+    # Pairs of characters seen once come first in the order of rarity and meet nothing.
+    shared = each.join(rarity, [by, "w"]).withColumn("alone", F.col("size") - F.count("*").over(W.partitionBy(by, "i")))
+    prefix = shared.withColumn("place", place + F.col("alone")).where(F.col("place") <= F.col("size") - F.ceil(t * F.col("size") - 1e-9) + 1)
+    x, y = (prefix.select(by, "w", F.col("i").alias(n), F.col("size").alias("s" + n)) for n in ("x", "y"))
+    close = (F.col("x") < F.col("y")) & (F.least("sx", "sy") >= t * F.greatest("sx", "sy") - 1e-9)
+    pairs = x.join(y, [by, "w"]).where(close).select(by, "x", "y").distinct()
+    gx, gy = (sets.select(by, F.col("i").alias(n), F.col("g").alias("g" + n)) for n in ("x", "y"))
+    near = pairs.join(gx, [by, "x"]).join(gy, [by, "y"]).where(X.jaccard(F.col("gx"), F.col("gy")) >= t).select(by, "x", "y")
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        into: dict[int, int] = {}
+        for later, earlier in group.groupby("y")["x"]:
+            first = min((e for e in earlier if e not in into), default=None)
+            if first is not None:
+                into[later] = first
+        return pd.DataFrame({by: [group[by].iloc[0]] * len(into), "i": list(into), "head": list(into.values())})
+
+    kind = sets.schema[by].dataType.simpleString()
+    folded = near.groupBy(by).applyInPandas(walk, f"`{by}` {kind}, i int, head int")
+    headed = sets.join(folded, [by, "i"], "left").withColumn("head", F.coalesce("head", "i"))
+    best = headed.groupBy(by, "head").agg(F.max("importance").cast("int").alias("importance"), F.sum("n").alias("n")).withColumnRenamed("head", "i")
+    return sets.select(by, "i", "o", text).join(best, [by, "i"]).select(by, "o.*", text, "importance", "n")
 
 
 def absorb(turns: DataFrame, conv: str, turn: str, content: str = "content", cap: int = 4, most: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,23 +22,27 @@ def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return near.groupBy(F.col("a").alias("id"), "relation").agg(F.array_sort(F.collect_set("b")).alias("neighbours"))
 
 
-def khop(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
-    """Nodes within 1 to 3 hops of each root, at their first hop: root, node, hop, weight.
+def khop(edges: DataFrame, roots: DataFrame, hops: int, relations: list[str] | None = None) -> DataFrame:
+    """Nodes within 1 to 3 hops of each root, at their first hop: root, node, hop, weight, relation, path.
 
-    A node's weight is its best last edge, times 0.7 for each further hop.
-    Each hop is one join of the frontier; nodes already reached drop out.
+    A node's weight is its best last edge, times 0.7 for each further hop;
+    relation and path (root to node) are those of that edge, the smallest path
+    among equals.  ``relations`` filters what is returned, not what is walked.
+    Each hop is one join of the frontier; nodes already reached drop out, so
+    no path has a loop.  A root without edges gives nothing.
     """
-    near = both_ways(edges.select("a", "b", "weight"))
-    frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
-    seen, found = frontier, None
+    near = both_ways(edges.select("a", "b", "weight", "relation"))
+    frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct().withColumn("path", F.array("root"))
+    seen, found = frontier.select("root", "node"), None
     for hop in range(1, min(max(hops, 1), 3) + 1):
-        step = frontier.join(near, frontier["node"] == near["a"]).groupBy("root", "b").agg(F.max("weight").alias("weight")).withColumnRenamed("b", "node")
-        fresh = step.join(seen, ["root", "node"], "left_anti")
-        part = fresh.select("root", "node", F.lit(hop).alias("hop"), (F.col("weight") * HOP_LOSS ** (hop - 1)).alias("weight"))
-        found = part if found is None else found.unionByName(part)
-        frontier = fresh.select("root", "node")
-        seen = seen.unionByName(frontier)
-    return found
+        reached = frontier.join(near, frontier["node"] == near["a"]).select("root", F.col("b").alias("node"), "weight", "relation", F.concat("path", F.array("b")).alias("path"))
+        best = F.min(F.struct((-F.col("weight")).alias("loss"), "path", "relation")).alias("best")
+        step = reached.join(seen, ["root", "node"], "left_anti").groupBy("root", "node").agg(best)
+        fresh = step.select("root", "node", F.lit(hop).alias("hop"), (-F.col("best.loss") * HOP_LOSS ** (hop - 1)).alias("weight"), "best.relation", "best.path")
+        found = fresh if found is None else found.unionByName(fresh)
+        frontier = fresh.select("root", "node", "path")
+        seen = seen.unionByName(fresh.select("root", "node"))
+    return found.where(F.col("relation").isin(*relations)) if relations else found
 
 
 def indirect(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -51,12 +55,21 @@ def indirect(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def ego_graph(edges: DataFrame, roots: DataFrame, max_nodes: int = 50) -> DataFrame:
-    """The nearest nodes of each root (2 to 500, nearest hop and highest weight first) with total and truncated."""
+    """The nearest nodes of each root (2 to 500 with it; nearest hop and highest weight first) with total and truncated."""
     most, mine = min(max(max_nodes, 2), 500), W.partitionBy("root")
-    ranked = khop(edges, roots, 2).withColumn("rank", F.row_number().over(mine.orderBy("hop", F.desc("weight"), "node"))).withColumn("total", F.count("*").over(mine))
+    place = F.row_number().over(mine.orderBy("hop", F.desc("weight"), "node"))
+    ranked = khop(edges, roots, 2).select("root", "node", "hop", "weight").withColumn("rank", place).withColumn("total", F.count("*").over(mine))
     return ranked.where(F.col("rank") < most).withColumn("truncated", F.col("total") >= most)
 
 
+def ego_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The recorded edges among the nodes of each ego graph (root included): root, a, b, relation, direct (touches the root)."""
+    held = nodes.select("root", "node").unionByName(nodes.select("root", F.col("root").alias("node"))).distinct()
+    a, b = held.withColumnRenamed("node", "a"), held.withColumnRenamed("node", "b")
+    met = edges.select("a", "b", "relation").join(a, "a").join(b, ["root", "b"])
+    return met.select("root", "a", "b", "relation", ((F.col("a") == F.col("root")) | (F.col("b") == F.col("root"))).alias("direct"))
+
+
 def ingest_edges(edges: DataFrame, alive: DataFrame, allowed: tuple[str, ...] = LOGICAL) -> DataFrame:
     """Edges from outside with their verdict: ok, loop, unknown_type or missing_end; types in either case."""
     ids = alive.select("id").distinct()
@@ -88,13 +101,26 @@ def derived_from(mem: DataFrame) -> DataFrame:
     return real.select("a", "b", F.lit("derived_from").alias("relation")).unionByName(real.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("crystallized_into").alias("relation")))
 
 
-def relations(parts: dict[str, DataFrame]) -> DataFrame:
-    """Pairs of several kinds as one table; the kind that comes first in ``parts`` explains a pair."""
+#: Why two rows are related, by kind of relation.
+WHY = {"stored": "a recorded edge", "same_event": "the same event", "same_event_auto": "close in time", "shared_entity": "a shared name", "shared_artifact": "a shared file", "derived_from": "one was made from the other"}
+
+
+def relations(parts: dict[str, DataFrame], mem: DataFrame | None = None, chars: int = 80) -> DataFrame:
+    """Pairs of several kinds as one table: a, b, relation, kinds, why.
+
+    The kind that comes first in ``parts`` explains a pair.  With ``mem`` (id,
+    content) each pair also shows the head of its second row, ``preview``.
+    """
+    from memlake.functions.text import preview
+
     every = None
     for i, (name, f) in enumerate(parts.items()):
         part = f.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(name).alias("relation"), F.lit(i).alias("__i"))
         every = part if every is None else every.unionByName(part)
-    return every.groupBy("a", "b").agg(F.min_by("relation", "__i").alias("relation"), F.count_distinct("relation").alias("kinds"))
+    told = F.create_map(*[F.lit(x) for kv in WHY.items() for x in kv])
+    out = every.groupBy("a", "b").agg(F.min_by("relation", "__i").alias("relation"), F.count_distinct("relation").alias("kinds"))
+    out = out.withColumn("why", F.coalesce(F.try_element_at(told, F.col("relation")), F.col("relation")))
+    return out if mem is None else out.join(mem.select(F.col("id").alias("b"), preview(F.col("content"), chars).alias("preview")), "b", "left")
 
 
 def unlinked(candidates: DataFrame, edges: DataFrame) -> DataFrame:
@@ -109,16 +135,53 @@ def inferred_events(mem: DataFrame, group: str, at: str, window: str = "1 hour",
     return events.where((F.col("size") >= 2) & (F.col("span") / F.col("size") >= least_span))
 
 
-def fold_similar(ranked: DataFrame, vectors: DataFrame, t: float, most: int = 100) -> DataFrame:
+def gap_text(seconds: Column) -> Column:
+    """A gap in words: seconds below two minutes, then whole minutes."""
+    return F.when(seconds < 120, F.concat(seconds.cast("string"), F.lit("s"))).when(seconds.isNotNull(), F.concat(F.floor(seconds / 60).cast("string"), F.lit("min")))
+
+
+def inferred_links(mem: DataFrame, group: str, at: str, window: str = "1 hour", least_span: int = 60, explicit: DataFrame | None = None) -> DataFrame:
+    """Neighbours in time within each inferred event: a, b, bucket, gap; pairs in ``explicit`` (a, b) are left out.
+
+    Each row is linked with the one before it, so an event of n rows has n - 1
+    links; the bucket says what belongs together.
+    """
+    rows = mem.select("id", group, at, F.window(at, window)["start"].alias("bucket"))
+    events = inferred_events(mem, group, at, window, least_span).select(group, "bucket")
+    mine = W.partitionBy(group, "bucket").orderBy(at, "id")
+    met = rows.join(events, [group, "bucket"])
+    gap = F.unix_timestamp(F.col(at)) - F.unix_timestamp(F.lag(at).over(mine))
+    linked = met.select(F.lag("id").over(mine).alias("p"), F.col("id").alias("q"), "bucket", gap_text(gap).alias("gap")).where("p is not null")
+    pairs = linked.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "bucket", "gap")
+    return pairs if explicit is None else pairs.join(explicit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+
+
+def fold_similar(ranked: DataFrame, vectors: DataFrame, t: float) -> DataFrame:
     """Each query's ranking without rows that resemble a better kept one; rows without a vector stay.
 
-    At most ``most`` rows a query are compared (the length of a result page);
-    those beyond pass unchanged.  The walk is a fold over that bounded array.
+    The walk is a fold over the ranking of one query, a result page that the
+    ranker has cut to its k.
     """
     from memlake.functions.text import cosine
 
     rows = ranked.join(vectors.select("id", "vec"), "id", "left")
-    page = rows.where(F.col("rank") <= most).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "vec"))).alias("rows"))
+    page = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "vec"))).alias("rows"))
     none = F.slice(F.col("rows"), F.lit(1), F.lit(0))
-    kept = F.aggregate("rows", none, lambda kept, x: F.when(F.exists(kept, lambda y: F.coalesce(cosine(y["vec"], x["vec"]) >= t, F.lit(False))), kept).otherwise(F.concat(kept, F.array(x))))
-    return page.select("qid", F.explode(kept).alias("r")).select("qid", "r.id", "r.rank").unionByName(rows.where(F.col("rank") > most).select("qid", "id", "rank"))
+    near = lambda y, x: F.coalesce(cosine(y["vec"], x["vec"]) >= t, F.lit(False))
+    kept = F.aggregate("rows", none, lambda kept, x: F.when(F.exists(kept, lambda y: near(y, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    return page.select("qid", F.explode(kept).alias("r")).select("qid", "r.id", "r.rank")
+
+
+def write_back(relations: DataFrame, weight: float = 1.0) -> DataFrame:
+    """Relations of the record layer (a, b, relation) as edges: symmetric ones once, directed ones as they are."""
+    from memlake.operators.store import edge_union
+
+    return edge_union(relations.select("a", "b", "relation", F.lit(weight).alias("weight")))
+
+
+def accept_edges(verdicts: DataFrame, stored: DataFrame | None = None, weight: float = 1.0) -> DataFrame:
+    """The edges that ``ingest_edges`` found good, united with those stored (which keep their weight)."""
+    from memlake.operators.store import edge_union
+
+    good = verdicts.where("verdict = 'ok'").select("a", "b", "relation", F.lit(weight).alias("weight"))
+    return edge_union(stored.select("a", "b", "relation", "weight"), good) if stored is not None else edge_union(good)

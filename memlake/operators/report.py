@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def visible_join(mem: DataFrame, callers: DataFrame) -> DataFrame:
     """caller, id for all rows each caller (caller, level, session_id, user_id) may see.
 
-    Global rows are one branch; owned ones meet callers by owner (and session), null meeting null.
+    Owned rows meet callers by owner (and session), null meeting null.  A
+    global row stands once, with a null caller: everyone sees it.  A caller
+    without a level sees everything and stands once, with a null id.
     """
     c = callers.select("caller", "level", F.col("user_id").alias("cu"), F.col("session_id").alias("cs"))
     user = mem.where("privacy_level = 'user'").join(c.where("level = 'user'"), F.col("user_id").eqNullSafe(F.col("cu")))
     session = mem.where("privacy_level = 'session'").join(c.where("level = 'session'"), F.col("user_id").eqNullSafe(F.col("cu")) & F.col("session_id").eqNullSafe(F.col("cs")))
-    return user.select("caller", "id").unionByName(session.select("caller", "id"))
+    nobody, nothing = F.lit(None).cast(callers.schema["caller"].dataType), F.lit(None).cast(mem.schema["id"].dataType)
+    everyone = mem.where("privacy_level = 'global'").select(nobody.alias("caller"), "id")
+    unbound = c.where("level is null").select("caller", nothing.alias("id"))
+    return user.select("caller", "id").unionByName(session.select("caller", "id")).unionByName(everyone).unionByName(unbound)
 
 
-def audit_query(log: DataFrame, since: str | None = None, until: str | None = None, types: list[str] | None = None, record: int | None = None) -> DataFrame:
+def audit_query(log: DataFrame, since: str | None = None, until: str | None = None, types: list[str] | None = None, record: int | None = None, limit: int | None = None) -> DataFrame:
+    """Events of a time range, of some types, that touch a record; the newest ``limit``."""
     out = log
     for given, cond in ((since, F.col("ts") >= F.lit(since)), (until, F.col("ts") < F.lit(until)), (types, F.col("event_type").isin(types or [])), (record, F.array_contains("ids", F.lit(record)))):
         out = out.where(cond) if given is not None else out
-    return out
+    return out.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit) if limit is not None else out
 
 
 def classify_feedback(kind: Column) -> Column:
@@ -37,11 +48,23 @@ def association_feedback(log: DataFrame, by: str, kind: str) -> DataFrame:
     return agg.withColumn("score", (F.col("positive") - F.col("negative")) / F.col("n"))
 
 
+def _hits(name: str) -> Column:
+    return F.try_element_at("metadata", F.lit(name)).try_cast("bigint")
+
+
 def association_activity(log: DataFrame) -> DataFrame:
-    """Executions, mean candidates, fast-only, deep-only and both; metadata that isn't a number is ignored."""
-    n = lambda k: F.try_element_at("metadata", F.lit(k)).try_cast("bigint")
-    fast, deep = n("fast_hits"), n("deep_hits")
-    return log.where(fast.isNotNull() & deep.isNotNull()).agg(F.count("*").alias("executions"), F.avg(fast + deep).alias("mean_candidates"), F.count_if((fast > 0) & (deep == 0)).alias("fast_only"), F.count_if((fast == 0) & (deep > 0)).alias("deep_only"), F.count_if((fast > 0) & (deep > 0)).alias("both"))
+    """Executions, mean candidates, fast-only, deep-only and both, the last time; metadata that isn't a number is ignored."""
+    fast, deep = _hits("fast_hits"), _hits("deep_hits")
+    return log.where(fast.isNotNull() & deep.isNotNull()).agg(
+        F.count("*").alias("executions"), F.avg(fast + deep).alias("mean_candidates"), F.count_if((fast > 0) & (deep == 0)).alias("fast_only"),
+        F.count_if((fast == 0) & (deep > 0)).alias("deep_only"), F.count_if((fast > 0) & (deep > 0)).alias("both"), F.max("ts").alias("last_at"),
+    )
+
+
+def newest_associations(log: DataFrame, n: int = 10) -> DataFrame:
+    """The n newest executions: event_id, ts, candidates."""
+    fast, deep = _hits("fast_hits"), _hits("deep_hits")
+    return log.where(fast.isNotNull() & deep.isNotNull()).select("event_id", "ts", (fast + deep).alias("candidates")).orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
 
 def zscore_threshold(rows: DataFrame, by: str, x: str, z: float = 0.35, least: int = 4, plain: float = 0.62) -> DataFrame:
@@ -65,17 +88,40 @@ def positive_topk_z(rows: DataFrame, by: str, bucket: str, x: str, k: int = 3) -
     return ranked.where(F.col("rank") <= k)
 
 
-def link_hashes(log: DataFrame, by: str, seq: str, payload: Column) -> DataFrame:
-    """Each row's content hash and that of the row before, hashed together: a chain that any change breaks."""
-    own = F.sha2(payload, 256)
-    before = F.lag(own).over(W.partitionBy(by).orderBy(seq))
-    return log.withColumn("prev", F.coalesce(before, F.lit(""))).withColumn("hash", F.sha2(F.concat("prev", own), 256))
+def seal_chain(log: DataFrame, by: str, seq: str, payload: Column) -> DataFrame:
+    """Adds ``prev`` and ``hash`` to each log's rows in the order of ``seq``: hash = sha256(prev, payload), prev the hash before ("" at first).
+
+    A chain is sequential by nature: each log is sorted within one partition
+    and hashed as it streams by; nothing of it is held but the last hash.
+    """
+    schema = log.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, last = object(), ""
+        for batch in batches:
+            before, own = [], []
+            for name, text in zip(batch.column(by).to_pylist(), batch.column("__payload").to_pylist(), strict=True):
+                if name != owner:
+                    owner, last = name, ""
+                before.append(last)
+                last = hashlib.sha256((last + (text or "")).encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names), pa.array(before, pa.string()), pa.array(own, pa.string())], [*schema.names, "prev", "hash"])
+
+    ordered = log.withColumn("__payload", payload).repartition(by).sortWithinPartitions(by, seq)
+    return ordered.mapInArrow(run, StructType([*schema.fields, StructField("prev", StringType()), StructField("hash", StringType())]))
 
 
 def chain_verify(log: DataFrame, by: str, seq: str, payload: Column) -> DataFrame:
-    """First place of each log where the stored hash doesn't follow; null where all do."""
-    again = link_hashes(log.withColumnRenamed("hash", "__stored").drop("prev"), by, seq, payload)
-    return again.groupBy(by).agg(F.min(F.when(F.col("hash") != F.col("__stored"), F.col(seq))).alias("first_break"), F.count("*").alias("entries"))
+    """First place of each sealed log that doesn't hold: first_break (null where all do) and how many entries there are.
+
+    Every row is checked by itself and against the stored hash before it, so
+    an edited, inserted, moved or deleted entry shows (but for a cut-off end).
+    """
+    own = F.sha2(F.concat(F.coalesce("prev", F.lit("")), F.coalesce(payload, F.lit(""))), 256)
+    before = F.coalesce(F.lag("hash").over(W.partitionBy(by).orderBy(seq)), F.lit(""))
+    checked = log.withColumn("__ok", F.coalesce((own == F.col("hash")) & (before == F.col("prev")), F.lit(False)))
+    return checked.groupBy(by).agg(F.min(F.when(~F.col("__ok"), F.col(seq))).alias("first_break"), F.count("*").alias("entries"))
 
 
 def slot_inject(ranked: DataFrame, found: DataFrame, top_k: int, quota: int = 3, denom: int = 4) -> DataFrame:

@@ -13,6 +13,13 @@ def compact_log(log: DataFrame, key: str, seq: str, op: str) -> DataFrame:
     return last.where(F.col(f"r.{op}") != "delete").select(key, "r.*").drop(op)
 
 
+def parse_log(lines: DataFrame, col: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a log of JSON lines, and one row that counts the lines that are none (``skipped``)."""
+    good = F.try_parse_json(col).isNotNull() & F.col(col).rlike(r"^\s*\{")
+    rows = lines.where(good).select(F.from_json(col, schema).alias("r")).select("r.*")
+    return rows, lines.agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("skipped"))
+
+
 def replay_wal(log: DataFrame, key: str, seq: str, op: str) -> DataFrame:
     """As ``compact_log``, after the last ``clear`` of the whole log (one row, joined back)."""
     cleared = log.where(F.col(op) == "clear").agg(F.coalesce(F.max(seq), F.lit(-1)).alias("__clear"))
@@ -24,14 +31,34 @@ def import_append(existing: DataFrame, incoming: DataFrame, key: str) -> DataFra
     return existing.unionByName(incoming.join(existing.select(key), key, "left_anti").select(*existing.columns))
 
 
+def _tagged(frames: list[DataFrame]) -> DataFrame:
+    every = frames[0].withColumn("source_no", F.lit(0))
+    for i, f in enumerate(frames[1:], 1):
+        every = every.unionByName(f.withColumn("source_no", F.lit(i)))
+    return every
+
+
 def merge_sources(frames: list[DataFrame], key: str, updated: str) -> DataFrame:
-    """The newest row per key of many stores; ties go to the first store; rows without key all stay."""
-    tagged = [f.withColumn("source_no", F.lit(i)) for i, f in enumerate(frames)]
-    every = tagged[0]
-    for f in tagged[1:]:
-        every = every.unionByName(f)
+    """The newest row per key of many stores; ties go to the first store.
+
+    Rows without a key all stay, each under a new one: a hash of the row, its
+    store and how often it occurred there before, so reruns agree.
+    """
+    every = _tagged(frames)
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(updated), "source_no"))
-    return every.where(f"{key} is not null").withColumn("__r", rank).where("__r = 1").drop("__r").unionByName(every.where(f"{key} is null"))
+    newest = every.where(F.col(key).isNotNull()).withColumn("__r", rank).where("__r = 1").drop("__r")
+    row = F.xxhash64("source_no", F.to_json(F.struct(*frames[0].columns)))
+    nameless = every.where(F.col(key).isNull()).withColumn("__h", row).withColumn("__n", F.row_number().over(W.partitionBy("__h").orderBy("__h")))
+    named = nameless.withColumn(key, F.xxhash64("__h", "__n").cast(frames[0].schema[key].dataType)).drop("__h", "__n")
+    return newest.unionByName(named)
+
+
+def merge_report(frames: list[DataFrame], key: str, updated: str) -> DataFrame:
+    """Per store: rows, those that the merge takes, those that another row replaces, and those without a key."""
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(updated), "source_no"))
+    ranked = _tagged(frames).select("source_no", F.col(key), F.when(F.col(key).isNotNull(), rank).alias("__r"))
+    nameless = F.col(key).isNull()
+    return ranked.groupBy("source_no").agg(F.count("*").alias("total"), F.count_if(nameless | (F.col("__r") == 1)).alias("added"), F.count_if(F.col("__r") > 1).alias("duplicates"), F.count_if(nameless).alias("without_id"))
 
 
 def parse_op_log(lines: DataFrame, col: str, order: str, n: int) -> DataFrame:
@@ -41,8 +68,9 @@ def parse_op_log(lines: DataFrame, col: str, order: str, n: int) -> DataFrame:
 
 
 def expired(age_minutes: Column, ttl_days: Column, now_minutes: int) -> Column:
-    """A null or zero ttl never expires."""
-    return F.coalesce((ttl_days > 0) & (now_minutes > age_minutes + ttl_days * 1440), F.lit(False))
+    """A null or zero ttl never expires, nor does one so long that its end can't be told."""
+    ends = F.try_add(age_minutes.cast("long"), F.try_multiply(ttl_days.cast("long"), F.lit(1440).cast("long")))
+    return F.coalesce((ttl_days > 0) & (now_minutes > ends), F.lit(False))
 
 
 def filter_records(mem: DataFrame, memory_type: str | None = None, project: str | None = None, tags: list[str] | None = None, min_importance: int | None = None) -> DataFrame:
@@ -96,13 +124,24 @@ def inherit_scope(sources: DataFrame, group: str) -> DataFrame:
     return agg.select(group, level.alias("level"), F.when(F.col("users") == 1, F.col("owner")).alias("owner"))
 
 
-def edge_union(*parts: DataFrame) -> DataFrame:
-    """Symmetric edges once (small end first), no loops, the first part's weight, clamped."""
+#: Relations without a direction.
+SYMMETRIC = ("same_event", "same_event_auto", "shared_entity", "shared_artifact", "related", "coordinate")
+
+
+def edge_union(*parts: DataFrame, symmetric: tuple[str, ...] = SYMMETRIC) -> DataFrame:
+    """Edges (a, b, relation, weight) of several tables, each once: a, b, relation, weight.
+
+    Symmetric relations have their small end first, directed ones keep their
+    direction; loops are dropped; the first part's weight (the smallest within
+    a part) stays, clamped to 0..1.
+    """
     every = parts[0].withColumn("__no", F.lit(0))
     for i, f in enumerate(parts[1:], 1):
         every = every.unionByName(f.withColumn("__no", F.lit(i)))
-    tidy = every.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(F.greatest("weight", F.lit(0.0)), F.lit(1.0)).alias("weight"), "__no")
-    return tidy.groupBy("a", "b").agg(F.min_by("weight", F.struct("__no", "weight")).alias("weight"))
+    both = F.col("relation").isin(*symmetric)
+    ends = [F.when(both, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(both, F.greatest("a", "b")).otherwise(F.col("b")).alias("b")]
+    tidy = every.where("a != b").select(*ends, "relation", F.least(F.greatest("weight", F.lit(0.0)), F.lit(1.0)).alias("weight"), "__no")
+    return tidy.groupBy("a", "b", "relation").agg(F.min_by("weight", F.struct("__no", "weight")).alias("weight"))
 
 
 def remove_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import text as X
-from memlake.operators.analyse import checkpointed, class_sizes, components, near_dup_pairs
+from memlake.operators.analyse import class_sizes, components, near_dup_pairs
+from memlake.storage import checkpointed
 
 
 def merge_into(existing: DataFrame, matched: DataFrame) -> DataFrame:
@@ -137,6 +138,27 @@ def summarise_clusters(members: DataFrame, texts: DataFrame, items: int = 5, cha
     return heads.join(total, "cluster").select("cluster", "total", F.concat_ws("\n", F.transform("rows", lambda x: x["head"])).alias("digest"))
 
 
+def purge_archived(archive: DataFrame, ids: DataFrame) -> DataFrame:
+    """The archive without these ids, for good; asking again changes nothing."""
+    return archive.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def synthesise(mem: DataFrame, vectors: DataFrame, t: float, dim: int, min_size: int = 5, least_gain: float = 0.01) -> DataFrame:
+    """New synthesis rows: one for each group of rows with similar vectors that adds something and has one owner.
+
+    Groups (``cluster_vectors`` of exact pairs at t), their information gain,
+    the scope of their sources (mixed owners are rejected) and a digest.
+    """
+    from memlake.operators.store import inherit_scope
+    from memlake.operators.vectors import similar_pairs
+
+    members = checkpointed(cluster_vectors(similar_pairs(vectors, t, dim), min_size))
+    gain = information_gain(members, vectors).where(F.col("gain") >= least_gain).select("cluster", "gain")
+    scope = inherit_scope(mem.join(members.select("id", "cluster"), "id"), "cluster").where("level != 'rejected'")
+    rows = summarise_clusters(members, mem).join(gain, "cluster").join(scope, "cluster")
+    return rows.select("cluster", "total", "digest", "gain", "level", F.lit(7).alias("importance"), F.lit(0.65).alias("confidence"))
+
+
 def quarantine(synthesis: DataFrame, hits: DataFrame, least: int = 3, below: float = 0.3) -> DataFrame:
     """Synthesis rows whose hits (id, quality) were poor again and again."""
     poor = hits.groupBy("id").agg(F.count("*").alias("hits"), F.avg("quality").alias("mean")).where((F.col("hits") >= least) & (F.col("mean") < below))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions import rules as R
+from memlake.operators import chunks as K
 from memlake.operators import corpus as C
 from memlake.plans.common import MARKED, MEM, query, table
 from memlake.schema import marked_turns, memories
@@ -148,3 +149,30 @@ def x_sentence_functions(spark, d):
 def x20_text_stats(spark, d):
     n = F.size(F.filter(F.split(F.lower("text"), r"[ \t\n\r\f]+"), lambda w: w != ""))
     return table(spark, d, "documents").select(n.alias("n")).agg(F.count("*").alias("docs"), F.sum("n").alias("words"), F.max("n").alias("longest"))
+
+
+@query(r"""with d as (select doc_id as id, translate(text, '{}', '  ') as text, len(regexp_split_to_array(text, '\r?\n'))::int as n from documents)
+ select id, 2 as start_line, 3 + n as end_line, 'fn' as chunk_type, concat('f_', id) as name, concat('doc ', id) as doc_comment from d where id % 2 = 0
+ union all select id, 5 + n, 6 + n, 'enum', concat('E_', id), null from d where id % 2 = 0
+ union all select id, 2, 3 + n, 'def', concat('f_', id), concat('doc ', id) from d where id % 2 = 1
+ union all select id, 4 + n, 5 + n, 'class', concat('C_', id), null from d where id % 2 = 1""")
+def c8_chunk_code(spark, d):
+    """Rust and Python files whose functions hold the document's lines."""
+    name, inner = F.col("id").cast("string"), F.translate("content", "{}", "  ")
+    rust = F.concat(F.lit("/// doc "), name, F.lit("\npub fn f_"), name, F.lit("() {\n"), inner, F.lit("\n}\n\nenum E_"), name, F.lit(" {\n}"))
+    indented = F.concat(F.lit("    "), F.regexp_replace(inner, "(\r?\n)", "$1    "))
+    python = F.concat(F.lit("# doc "), name, F.lit("\ndef f_"), name, F.lit("(x):\n"), indented, F.lit("\n    return x\nclass C_"), name, F.lit(":\n    pass"))
+    even = F.col("id") % 2 == 0
+    files = memories(spark, d).select("id", F.when(even, "rust").otherwise("python").alias("language"), F.when(even, rust).otherwise(python).alias("content"))
+    return K.chunk_code(files, "id").select("id", "start_line", "end_line", "chunk_type", "name", "doc_comment")
+
+
+@query(r"""with t as (select conv_id, row_number() over (partition by conv_id order by turn, text) as turn_no, role, len(regexp_split_to_array(text, '\n')) as n from conversations)
+ select conv_id, turn_no, case role when 'user' then 'User' when 'assistant' then 'Assistant' else 'System' end as role, (sum(n) over w - n + 1)::bigint as start_line, (sum(n) over w)::bigint as end_line
+ from t window w as (partition by conv_id order by turn_no)""")
+def c8_chunk_roles(spark, d):
+    """Conversations written out with a role before each turn."""
+    role = F.when(F.col("role") == "user", "User: ").when(F.col("role") == "assistant", "助手：").otherwise("SYSTEM: ")
+    said = table(spark, d, "conversations").select("conv_id", F.struct("turn", "text", F.concat(role, "text").alias("line")).alias("s"))
+    whole = said.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["line"]), "\n").alias("content"))
+    return K.chunk_roles(whole, "conv_id").select("conv_id", "turn_no", "role", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))

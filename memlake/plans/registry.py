@@ -13,6 +13,7 @@ from memlake.plans import corpus_queries, graph_queries, recall_queries, report_
 from memlake.operators.vectors import vector_topk
 from memlake.plans.common import CONV, EDGE, MEM, NOW, QUERIES, SQL, WORDS, bm25_sql, query, table
 from memlake.schema import edges, memories, turns
+from memlake.storage import checkpointed
 
 
 def oplog(spark, d) -> DataFrame:
@@ -41,10 +42,35 @@ def s5_import_append(spark, d):
     return S.import_append(old, new, "doc_id")
 
 
-@query("with x as (select doc_id, n_chars as updated, 0 as source_no from documents union all select doc_id, n_chars + doc_id % 3 - 1, 1 from documents where doc_id % 2 = 0), r as (select *, row_number() over (partition by doc_id order by updated desc, source_no) as n from x) select doc_id, updated, source_no from r where n = 1")
-def s6_merge_sources(spark, d):
+def two_stores(spark, d):
     docs = table(spark, d, "documents")
-    return S.merge_sources([docs.select("doc_id", F.col("n_chars").alias("updated")), docs.where("doc_id % 2 = 0").select("doc_id", (F.col("n_chars") + F.col("doc_id") % 3 - 1).alias("updated"))], "doc_id", "updated")
+    named = lambda f: f.withColumn("doc_id", F.when(F.col("doc_id") % 10 != 7, F.col("doc_id")))
+    return [named(docs.select("doc_id", F.col("n_chars").alias("updated"))), named(docs.where("doc_id % 2 = 0").select("doc_id", (F.col("n_chars") + F.col("doc_id") % 3 - 1).alias("updated")))]
+
+
+STORES = "x as (select case when doc_id % 10 <> 7 then doc_id end as doc_id, n_chars as updated, 0 as source_no from documents union all select case when doc_id % 10 <> 7 then doc_id end, n_chars + doc_id % 3 - 1, 1 from documents where doc_id % 2 = 0), r as (select *, row_number() over (partition by doc_id order by updated desc, source_no) as n from x)"
+
+
+@query(f"with {STORES} select doc_id, updated, source_no, false as given from r where doc_id is not null and n = 1 union all select null, updated, source_no, true from r where doc_id is null")
+def s6_merge_sources(spark, d):
+    """Rows of two stores; those that came without an id show a null one here, as ``given`` says that the merge gave them one."""
+    stores = two_stores(spark, d)
+    known = stores[0].select("doc_id").where("doc_id is not null").withColumn("mine", F.lit(True))
+    merged = S.merge_sources(stores, "doc_id", "updated").join(known, "doc_id", "left")
+    given = F.col("mine").isNull()
+    return merged.select(F.when(~given, F.col("doc_id")).alias("doc_id"), "updated", "source_no", given.alias("given"))
+
+
+@query(f"with {STORES} select source_no, count(*) as total, count(*) filter (where doc_id is null or n = 1) as added, count(*) filter (where doc_id is not null and n > 1) as duplicates, count(*) filter (where doc_id is null) as without_id from r group by 1")
+def s6_merge_report(spark, d):
+    return S.merge_report(two_stores(spark, d), "doc_id", "updated")
+
+
+@query("select count(*) filter (where event_id % 9 = 4) as skipped, count(*) filter (where event_id % 9 <> 4) as read from events")
+def s1_parse_log(spark, d):
+    line = F.when(F.col("event_id") % 9 != 4, F.to_json(F.struct("user_id", F.col("event_id").alias("seq")))).otherwise(F.concat(F.lit('{"user_id": '), F.col("event_type")))
+    rows, skipped = S.parse_log(table(spark, d, "events").select(line.alias("line")), "line", "user_id long, seq long")
+    return skipped.join(F.broadcast(rows.where("seq is not null").agg(F.count("*").alias("read"))))
 
 
 @query("select event_id, cast(user_id as varchar) as ts, event_type as operation, 'a | b' as details from events where event_id % 3 = 0 order by event_id desc limit 50")
@@ -105,21 +131,23 @@ def j2_same_event(spark, d):
     return A.same_event(turns(spark, d))
 
 
-MENTIONS = "m as (select l_orderkey as doc, l_partkey as name, l_orderkey % 200 as grp from lineitem), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(distinct doc) as df from m group by grp, name), h as (select f.grp, name, df, size from f join g on f.grp = g.grp where df >= 2 and df >= 0.05 * size)"
+MENTIONS = "m as (select l_orderkey as doc, l_returnflag as name, l_orderkey % 200 as grp from lineitem), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(distinct doc) as df from m group by grp, name), h as (select f.grp, name, df, size from f join g on f.grp = g.grp where df >= 5 and df >= 0.35 * size)"
 
 
-def mentions(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("name"), (F.col("l_orderkey") % 200).alias("grp"))
+def mentions(spark, d, name="l_partkey", groups=200):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col(name).alias("name"), (F.col("l_orderkey") % groups).alias("grp"))
 
 
 @query(f"with {MENTIONS} select * from h")
 def a6_hubs(spark, d):
-    return A.hubs(mentions(spark, d), "name", "doc", "grp", 2, 0.05)
+    """Return flags are in most orders: hubs by the published bounds."""
+    return A.hubs(mentions(spark, d, "l_returnflag"), "name", "doc", "grp")
 
 
-@query("with m as (select distinct l_orderkey as doc, l_partkey as name, l_orderkey % 200 as grp from lineitem), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(*) as df from m group by grp, name), h as (select f.grp, name from f join g on f.grp = g.grp where df >= 5 and df >= 0.35 * size), u as (select * from m where not exists (select 1 from h where h.grp = m.grp and h.name = m.name)) select x.doc as a, y.doc as b, count(*) as shared from u x join u y on x.grp = y.grp and x.name = y.name and x.doc < y.doc group by 1, 2")
+@query("with m as (select distinct l_orderkey as doc, l_partkey as name, l_orderkey % 1 as grp from lineitem), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(*) as df from m group by grp, name), h as (select f.grp, name from f join g on f.grp = g.grp where df >= 5 and df >= 0.35 * size), u as (select * from m where not exists (select 1 from h where h.grp = m.grp and h.name = m.name)) select x.doc as a, y.doc as b, count(*) as shared from u x join u y on x.grp = y.grp and x.name = y.name and x.doc < y.doc group by 1, 2")
 def j4_shared_entity(spark, d):
-    return A.shared_names(mentions(spark, d), "name", "doc", "grp")
+    """Orders that share a part, in one group: every pair there is."""
+    return A.shared_names(mentions(spark, d, groups=1), "name", "doc", "grp")
 
 
 EMB = "v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as vec, label from embeddings), c as (select q.vec_id as qid, v.id, round(list_dot_product(list_transform(q.embedding, lambda x: x::double), v.vec) / sqrt(list_dot_product(list_transform(q.embedding, lambda x: x::double), list_transform(q.embedding, lambda x: x::double))) / sqrt(list_dot_product(v.vec, v.vec)), 9) as score from embeddings q, v where q.vec_id % 50 = 0 and q.vec_id <> v.id), run as (select * from (select *, row_number() over (partition by qid order by score desc, id) as rank from c) where rank <= 10)"
@@ -176,7 +204,7 @@ def r1_bm25(spark, d):
 
 @query(f"with {BM25}, b as (select qid, id, rank from (select qid, id, row_number() over (partition by qid order by length(text) desc, id) as rank from run join documents on id = doc_id)), e as (select qid, id, 1.0 / (60 + rank) as part from run union all select qid, id, 0.5 / (60 + rank) from b) select qid, id, round(sum(part), 9) as score, count(*) as routes from e group by 1, 2")
 def r5_rrf(spark, d):
-    first = bm25_run(spark, d)
+    first = checkpointed(bm25_run(spark, d))  # both routes start from it
     second = first.select("qid", "id").join(memories(spark, d).select("id", F.length("content").alias("n")), "id")
     return A.rrf([first, A.topk(second, "qid", "n", "id", 5)], [1.0, 0.5]).withColumn("score", F.round("score", 9))
 
@@ -200,7 +228,12 @@ def a4_event_index(spark, d):
 
 @query(f"with t as (select distinct doc_id, unnest({WORDS}) as term from documents) select term, count(*) as df from t group by 1")
 def a5_document_frequency(spark, d):
-    return A.document_frequency(memories(spark, d).select("id", F.explode(X.tokenize(F.col("content"))).alias("term")), "term", "id")
+    return A.document_frequency(memories(spark, d), X.tokenize(F.col("content")))
+
+
+@query(f"with t as (select distinct doc_id, source, unnest({WORDS}) as term from documents) select source as project, term, count(*) as df from t group by 1, 2")
+def a5_document_frequency_by_project(spark, d):
+    return A.document_frequency(memories(spark, d), X.tokenize(F.col("content")), ["project"])
 
 
 @query("with t as (select count(distinct user_id) as queries from events) select event_type, count(distinct user_id) as hits, round(least(count(distinct user_id) / greatest(any_value(queries), 1), 1.0), 6) as rate from events, t group by 1")
@@ -266,11 +299,16 @@ def t2_recent(spark, d):
     return top.select("id", F.row_number().over(W.orderBy(F.desc("age_minutes"), "id")).alias("rank"), "total", "truncated")
 
 
-@query("with e as (select doc_id % 50 as a, doc_id % 37 as b, doc_id / 500.0 - 0.2 as weight, 0 as n from documents union all select doc_id % 37, doc_id % 50, 0.9, 1 from documents), t as (select least(a, b) as a, greatest(a, b) as b, least(greatest(weight, 0.0), 1.0) as weight, n from e where a <> b) select a, b, round(arg_min(weight, {'n': n, 'w': weight}), 6) as weight from t group by 1, 2")
+PAIRS = "e as (select doc_id % 50 as a, doc_id % 37 as b, case when doc_id % 4 = 0 then 'cause' else 'related' end as relation, doc_id / 500.0 - 0.2 as weight, 0 as n from documents union all select doc_id % 37, doc_id % 50, case when doc_id % 4 = 0 then 'cause' else 'related' end, 0.9, 1 from documents)"
+
+
+@query(f"""with {PAIRS}, t as (select case when relation = 'cause' then a else least(a, b) end as a, case when relation = 'cause' then b else greatest(a, b) end as b, relation, least(greatest(weight, 0.0), 1.0) as weight, n from e where a <> b)
+ select a, b, relation, round(arg_min(weight, {{'n': n, 'w': weight}}), 6) as weight from t group by 1, 2, 3""")
 def u2_edge_union(spark, d):
     docs = table(spark, d, "documents")
-    x = docs.select((F.col("doc_id") % 50).alias("a"), (F.col("doc_id") % 37).alias("b"), (F.col("doc_id") / 500.0 - 0.2).alias("weight"))
-    y = docs.select((F.col("doc_id") % 37).alias("a"), (F.col("doc_id") % 50).alias("b"), F.lit(0.9).alias("weight"))
+    relation = F.when(F.col("doc_id") % 4 == 0, "cause").otherwise("related").alias("relation")
+    x = docs.select((F.col("doc_id") % 50).alias("a"), (F.col("doc_id") % 37).alias("b"), relation, (F.col("doc_id") / 500.0 - 0.2).alias("weight"))
+    y = docs.select((F.col("doc_id") % 37).alias("a"), (F.col("doc_id") % 50).alias("b"), relation, F.lit(0.9).alias("weight"))
     return S.edge_union(x, y).withColumn("weight", F.round("weight", 6))
 
 
@@ -281,7 +319,10 @@ def u3_remove_nodes(spark, d):
     return S.remove_nodes(e, ids)
 
 
-@query()
+@query(f"""with recursive {EDGE}, near as (select a as u, b as v from edge union all select b, a from edge),
+ t as (select u, u as label, 0 as round from (select distinct u from near) union all
+   select u, label, round from (select t.u, least(t.label, min(t2.label)) as label, t.round + 1 as round, t.label as before from t join near on near.u = t.u join t t2 on t2.u = near.v group by t.u, t.label, t.round) where round <= 12)
+ select u, min(label) as label from t group by 1""")
 def g2_components(spark, d):
     return A.components(edges(spark, d))
 

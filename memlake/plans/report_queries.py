@@ -19,11 +19,17 @@ def scores(spark, d):
     return table(spark, d, "events").where("value is not null").select((F.col("user_id") % 50).alias("grp"), "event_id", (F.col("value") % 100 / 100.0).alias("x"))
 
 
-@query(f"with {MEM}, c as (select distinct conv_id as caller, case when conv_id % 2 = 0 then 'user' else 'session' end as level, case when conv_id % 3 > 0 then concat('u', conv_id % 3) end as cu, concat('s', conv_id % 8) as cs from conversations) select caller, id from mem join c on (privacy_level = 'user' and level = 'user' and user_id is not distinct from cu) or (privacy_level = 'session' and level = 'session' and user_id is not distinct from cu and session_id is not distinct from cs)")
+@query(f"""with {MEM}, c as (select distinct conv_id as caller, case when conv_id % 10 = 9 then null when conv_id % 2 = 0 then 'user' else 'session' end as level,
+   case when conv_id % 3 > 0 then concat('u', conv_id % 3) end as cu, concat('s', conv_id % 8) as cs from conversations)
+ select caller, id from mem join c on level is not null and privacy_level = level and user_id is not distinct from cu and (level = 'user' or session_id is not distinct from cs)
+ union all select null, id from mem where privacy_level = 'global' union all select caller, null from c where level is null""")
 def f4_visible_join(spark, d):
+    """Who sees what: a null caller stands for everyone, a null id for every row."""
     conv = table(spark, d, "conversations").select("conv_id").distinct()
-    callers = conv.select(F.col("conv_id").alias("caller"), F.when(F.col("conv_id") % 2 == 0, "user").otherwise("session").alias("level"), F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("u"), (F.col("conv_id") % 3).cast("string"))).alias("user_id"), F.concat(F.lit("s"), (F.col("conv_id") % 8).cast("string")).alias("session_id"))
-    return R.visible_join(memories(spark, d), callers)
+    level = F.when(F.col("conv_id") % 10 == 9, F.lit(None)).when(F.col("conv_id") % 2 == 0, "user").otherwise("session")
+    user = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("u"), (F.col("conv_id") % 3).cast("string")))
+    session = F.concat(F.lit("s"), (F.col("conv_id") % 8).cast("string"))
+    return R.visible_join(memories(spark, d), conv.select(F.col("conv_id").alias("caller"), level.alias("level"), user.alias("user_id"), session.alias("session_id")))
 
 
 @query(f"with {MEM} select id from mem where not {GONE} and memory_type not in ('code_context', 'synthesis') and (privacy_level = 'global' or (privacy_level = 'user' and user_id is null))")
@@ -31,10 +37,12 @@ def f7_incidents(spark, d):
     return memories(spark, d).where(~S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW) & ~F.col("memory_type").isin("code_context", "synthesis") & S.visible("user")).select("id")
 
 
-@query("select event_id, event_type from events where ts >= '2024-01-05' and ts < '2024-01-20' and event_type in ('error', 'purchase') and (user_id = 7 or event_id = 7 or user_id % 2 = 0)")
+@query("""select event_id, event_type from events where ts >= '2024-01-05' and ts < '2024-01-20' and event_type in ('error', 'purchase') and (user_id = 7 or event_id = 7 or user_id % 2 = 0)
+ order by ts desc, event_id desc limit 200""")
 def f16_audit_query(spark, d):
-    e = table(spark, d, "events").withColumn("ids", F.when((F.col("user_id") % 2 == 0) | (F.col("event_id") == 7), F.array(F.lit(7))).otherwise(F.array(F.col("user_id").cast("int"))))
-    return R.audit_query(e, "2024-01-05", "2024-01-20", ["error", "purchase"], 7).select("event_id", "event_type")
+    touched = F.when((F.col("user_id") % 2 == 0) | (F.col("event_id") == 7), F.array(F.lit(7))).otherwise(F.array(F.col("user_id").cast("int")))
+    e = table(spark, d, "events").withColumn("ids", touched)
+    return R.audit_query(e, "2024-01-05", "2024-01-20", ["error", "purchase"], 7, limit=200).select("event_id", "event_type")
 
 
 @query(f"with {MEM} select id, {GONE} as expired from mem where memory_type = 'fact' and (privacy_level = 'global' or (privacy_level = 'user' and user_id is not distinct from 'u1'))")
@@ -73,11 +81,24 @@ def u4_taken_out(spark, d):
     return mem.select("id").exceptAll(mem.where(S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW)).select("id"))
 
 
-@query("with m as (select case when event_id % 11 <> 0 then user_id % 3 end as f, event_id % 4 as g from events) select count(*) as executions, round(avg(f + g), 6) as mean_candidates, count(*) filter (where f > 0 and g = 0) as fast_only, count(*) filter (where f = 0 and g > 0) as deep_only, count(*) filter (where f > 0 and g > 0) as both from m where f is not null")
-def a10_association_activity(spark, d):
+META = "m as (select event_id, ts, case when event_id % 11 <> 0 then user_id % 3 end as f, event_id % 4 as g from events)"
+
+
+def association_log(spark, d):
     fast = F.when(F.col("event_id") % 11 != 0, (F.col("user_id") % 3).cast("string")).otherwise("many")
-    log = table(spark, d, "events").select(F.create_map(F.lit("fast_hits"), fast, F.lit("deep_hits"), (F.col("event_id") % 4).cast("string")).alias("metadata"))
-    return R.association_activity(log).withColumn("mean_candidates", F.round("mean_candidates", 6))
+    metadata = F.create_map(F.lit("fast_hits"), fast, F.lit("deep_hits"), (F.col("event_id") % 4).cast("string"))
+    return table(spark, d, "events").select("event_id", "ts", metadata.alias("metadata"))
+
+
+@query(f"""with {META} select count(*) as executions, round(avg(f + g), 6) as mean_candidates, count(*) filter (where f > 0 and g = 0) as fast_only,
+ count(*) filter (where f = 0 and g > 0) as deep_only, count(*) filter (where f > 0 and g > 0) as both, max(ts) as last_at from m where f is not null""")
+def a10_association_activity(spark, d):
+    return R.association_activity(association_log(spark, d)).withColumn("mean_candidates", F.round("mean_candidates", 6))
+
+
+@query(f"with {META} select event_id, ts, f + g as candidates from m where f is not null order by ts desc, event_id desc limit 10")
+def a10_newest_associations(spark, d):
+    return R.newest_associations(association_log(spark, d))
 
 
 @query(f"with {CONV} select event_id, count(*) as size, substr(arg_max(content, {{'n': length(content), 'i': -id}}), 1, 40) as head from conv group by 1 having count(*) >= 2 order by size desc, event_id limit 4")
@@ -127,12 +148,15 @@ def w7_positive_topk_z(spark, d):
     return R.positive_topk_z(counts, "grp", "bucket", "n").select("grp", "bucket", "rank")
 
 
-@query("select user_id, min(event_id) filter (where event_id % 500 = 3) as first_break, count(*) as entries from events group by 1")
+@query("""with e as (select user_id, event_id, lag(event_id) over (partition by user_id order by event_id) as before from events),
+ k as (select *, event_id % 500 = 3 or coalesce(before % 500 = 250, false) as bad from e where event_id % 500 <> 250)
+ select user_id, min(event_id) filter (where bad) as first_break, count(*) as entries from k group by 1""")
 def w9_chain_verify(spark, d):
+    """Sealed logs in which some entries were edited and some taken out afterwards."""
     payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type")
-    sealed = R.link_hashes(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", payload)
-    forged = sealed.withColumn("hash", F.when(F.col("event_id") % 500 == 3, F.lit("x")).otherwise(F.col("hash")))
-    return R.chain_verify(forged, "user_id", "event_id", payload)
+    sealed = R.seal_chain(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", payload)
+    edited = sealed.withColumn("event_type", F.when(F.col("event_id") % 500 == 3, F.lit("forged")).otherwise(F.col("event_type")))
+    return R.chain_verify(edited.where("event_id % 500 != 250"), "user_id", "event_id", payload)
 
 
 @query("with c as (select user_id, event_id, value, row_number() over (partition by user_id order by value desc, event_id) as turn from events) select event_id, turn from c where turn <= 40 order by turn, user_id limit 40")

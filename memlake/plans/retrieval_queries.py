@@ -52,9 +52,19 @@ def r10_search_chunks(spark, d):
     return A.bm25(asked(spark, d), chunks.select(F.struct("page_id", "chunk_no").alias("id"), "content"), 5).select("qid", "id.*", "rank", "score")
 
 
-@query(f"with {MEM}, {bm25_sql(DOCS, 50)}, n as (select qid, id, score, score / max(score) over (partition by qid) as normal from run), z as (select n.*, row_number() over (partition by qid order by normal desc, id) as rank from n join mem using (id) where normal >= 0.35 and {NOW} - age_minutes >= 10080) select * from z where rank <= 3")
+CONTEXTS = "select item_id as qid, split_part(text, '. ', 1) as text from benchmark"
+
+
+@query(f"""with {MEM}, old as (select id from mem where {NOW} - age_minutes >= 10080),
+ one as (with {bm25_sql(DOCS, 10)} select qid, id, row_number() over (partition by qid order by points desc, id) as rank from sc where id in (select id from old)),
+ two as (with {bm25_sql(DOCS, 10, CONTEXTS)} select qid, id, row_number() over (partition by qid order by points desc, id) as rank from sc where id in (select id from old)),
+ f as (select qid, id, sum(round(1e9::double / (60 + rank))::bigint) as points from (select * from one where rank <= 50 union all select * from two where rank <= 50) group by 1, 2),
+ n as (select qid, id, round(points / max(points) over (partition by qid), 9) as normal from f), z as (select *, row_number() over (partition by qid order by normal desc, id) as rank from n where normal >= 0.35)
+ select * from z where rank <= 3""")
 def r15_rediscover(spark, d):
-    return A.rediscover(asked(spark, d), memories(spark, d), NOW)
+    """Old rows for each benchmark text (trigger) and its first sentence (context)."""
+    context = asked(spark, d).withColumn("content", F.element_at(F.split("content", r"\. "), 1))
+    return A.rediscover(asked(spark, d), memories(spark, d), NOW, context)
 
 
 @query(f"with {bm25_sql(DOCS, 5, VIEWS)}, fused as (select qid // 2 as qid, id, sum(round(1e9::double / (60 + rank))::bigint) as points from run group by 1, 2), z as (select *, row_number() over (partition by qid order by points desc, id) as rank from fused) select * from z where rank <= 5")
@@ -68,9 +78,14 @@ def c6_absorb(spark, d):
     return C.absorb(marked_turns(spark, d), "conv_id", "turn")
 
 
-@query("with l as (select conv_id, max(turn) as turn from conversations group by 1) select conv_id, turn, 0 as pos, case when conv_id % 3 = 2 then null else 'decision' end as kind, case conv_id % 3 when 0 then 'a' when 1 then 'use b' else 'c' end as item, case when conv_id % 3 = 2 then 'unknown_kind' else 'ok' end as verdict from l union all select conv_id, turn, 1, 'preference', null, 'empty' from l where conv_id % 3 = 0")
+@query("""with l as (select conv_id, arg_max(coalesce(regexp_extract(text, '[a-zA-Z]+'), ''), turn) as word, max(turn) as turn from conversations group by 1)
+ select conv_id, turn, 0 as pos, case when conv_id % 3 = 2 then null else 'decision' end as kind, word as item, case when conv_id % 3 = 2 then 'unknown_kind' when word = '' then 'empty' else 'ok' end as verdict from l
+ union all select conv_id, turn, 1, 'preference', null, 'empty' from l where conv_id % 3 = 0""")
 def c5_declared_items(spark, d):
-    block = F.when(F.col("conv_id") % 3 == 0, '[{"type":"Decision","content":"a"},{"type":"preference"}]').when(F.col("conv_id") % 3 == 1, "- decision: use b\n# more: x").otherwise("gossip: c\n---\ndecision: d")
+    """Blocks that name the first word of each turn's text."""
+    word = F.coalesce(F.regexp_extract("text", "[a-zA-Z]+", 0), F.lit(""))
+    array = F.concat(F.lit('[{"type":"Decision","content":"'), word, F.lit('"},{"type":"preference"}]'))
+    block = F.when(F.col("conv_id") % 3 == 0, array).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("- decision: "), word, F.lit("\n# more: x"))).otherwise(F.concat(F.lit("gossip: "), word, F.lit("\n---\ndecision: d")))
     said = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("\n@@memory\n"), block).alias("content"))
     return C.declared_items(said, "conv_id", "turn", "@@memory", {"decision": "decision", "preference": "preference"})
 
@@ -84,16 +99,8 @@ def l4_dedupe_within(spark, d):
 @query()
 def l16_synthesise(spark, d):
     """Groups of similar vectors with enough gain, digested from the documents of the same ids."""
-    from memlake.operators.vectors import similar_pairs
-
-    v, mem = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), memories(spark, d)
-    members = L.cluster_vectors(similar_pairs(v, 0.4, 64, bits=4), 3)
-    gain = L.information_gain(members, v).where("gain >= 0.01")
-    scope = mem.join(members.select("id", "cluster"), "id")
-    from memlake.operators.store import inherit_scope
-
-    ok = inherit_scope(scope, "cluster").where("level != 'rejected'")
-    return L.summarise_clusters(members, mem).join(gain.select("cluster", "gain"), "cluster").join(ok, "cluster").select("cluster", "total", "digest", "gain", "level", F.lit(7).alias("importance"), F.lit(0.65).alias("confidence"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return L.synthesise(memories(spark, d), v, 0.4, 64, min_size=3)
 
 
 @query(r"select doc_id as id, length(text) % 97 as a, len(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda w: w <> ''))::int as words from documents")

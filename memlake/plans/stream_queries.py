@@ -76,24 +76,41 @@ def s7_read_transcripts(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", files.turn_texts(line).alias("text")).where("trim(text) != ''")
 
 
-@query("select event_id, case event_id % 5 when 0 then event_type when 1 then '' when 2 then '' when 3 then event_type else concat('{note ', event_type) end as text, case when event_id % 5 in (0, 1, 3) then cast(user_id as varchar) end as session_id, case when event_id % 5 = 3 then '/w' end as cwd from events")
+@query("select event_id, case event_id % 5 when 0 then event_type when 1 then '' when 2 then '' when 3 then event_type else concat('{note ', event_type) end as text, case when event_id % 5 in (0, 1, 3) then cast(user_id as varchar) end as session_id, case when event_id % 5 = 3 then '/w' end as cwd, case when event_id % 5 = 0 then 'ide' end as host, case when event_id % 5 = 0 then event_type end as project from events")
 def s8_parse_hook_payloads(spark, d):
-    head = "case event_id % 5 when 0 then concat('{\"last-assistant-message\":\"', event_type, '\",\"thread-id\":\"', user_id, '\"}') when 1 then concat('{\"text\":\"x\",\"session_id\":\"', user_id, '\",\"stop_hook_active\":true}') when 2 then concat('{last-assistant-message:', event_type) when 3 then concat(' {\"response\":\"', event_type, '\",\"conversation_id\":\"', user_id, '\",\"workspace_roots\":[\"/w\"]}') else concat('{note ', event_type) end"
+    head = "case event_id % 5 when 0 then concat('{\"last-assistant-message\":\"', event_type, '\",\"host\":\"ide\",\"project\":\"', event_type, '\",\"thread-id\":\"', user_id, '\"}') when 1 then concat('{\"text\":\"x\",\"session_id\":\"', user_id, '\",\"stop_hook_active\":true}') when 2 then concat('{last-assistant-message:', event_type) when 3 then concat(' {\"response\":\"', event_type, '\",\"conversation_id\":\"', user_id, '\",\"workspace_roots\":[\"/w\"]}') else concat('{note ', event_type) end"
     parsed = table(spark, d, "events").select("event_id", files.hook_payload(F.expr(head)).alias("p"))
-    return parsed.select("event_id", "p.text", "p.session_id", "p.cwd")
+    return parsed.select("event_id", "p.text", "p.session_id", "p.cwd", "p.host", "p.project")
 
 
-@query("select user_id, event_id, value, 'upsert' as op from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1")
+@query("""with log as (select user_id, event_id, value, case when event_type = 'error' then 'delete' when event_type = 'signup' and event_id % 97 = 0 then 'clear' else 'upsert' end as op from events),
+ c as (select coalesce(max(event_id), -1) as at from log where op = 'clear'), r as (select log.*, row_number() over (partition by user_id order by event_id desc) as n from log, c where event_id > c.at)
+ select user_id, event_id, value, 'upsert' as op from r where n = 1 and op <> 'delete'""")
 def s3_compact_to_snapshot(spark, d):
-    log = table(spark, d, "events").select("user_id", "event_id", "value", F.lit("upsert").alias("op"))
+    """A log with upserts, deletions and clears; its snapshot replays to the same rows."""
+    op = F.when(F.col("event_type") == "error", "delete").when((F.col("event_type") == "signup") & (F.col("event_id") % 97 == 0), "clear").otherwise("upsert")
+    log = table(spark, d, "events").select("user_id", "event_id", "value", op.alias("op"))
     return files.compact_to_snapshot(log, "user_id", "event_id", "op", files.scratch(spark, "snapshot"))
 
 
-@query("select doc_id, text, lang from documents")
+def bundle(spark, d) -> str:
+    path, docs = files.scratch(spark, "bundle"), table(spark, d, "documents").select("doc_id", "text", "lang")
+    files.write_bundle({"memories": docs, "chunks": docs.where("doc_id % 2 = 0"), "archive": docs.where("doc_id % 5 = 0")}, path, 300)
+    return path
+
+
+@query("select 'memories' as kind, doc_id, text, lang from documents union all select 'chunks', doc_id, text, lang from documents where doc_id % 2 = 0 union all select 'archive', doc_id, text, lang from documents where doc_id % 5 = 0")
 def s4_bundle(spark, d):
-    path = files.scratch(spark, "bundle")
-    files.write_bundle({"memories": table(spark, d, "documents").select("doc_id", "text", "lang")}, path, 300)
-    return files.read_bundle(spark, path, "memories", "doc_id long, text string, lang string")
+    path, out = bundle(spark, d), None
+    for kind in ("memories", "chunks", "archive"):
+        part = files.read_bundle(spark, path, kind, "doc_id long, text string, lang string").select(F.lit(kind).alias("kind"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("select 'memories' as kind, count(*) as records from documents union all select 'chunks', count(*) from documents where doc_id % 2 = 0 union all select 'archive', count(*) from documents where doc_id % 5 = 0")
+def s4_bundle_counts(spark, d):
+    return files.bundle_counts(spark, bundle(spark, d))
 
 
 @query("select event_id, event_type, user_id from events order by event_id desc limit 20")

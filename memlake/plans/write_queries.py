@@ -71,7 +71,7 @@ def l7_unarchive(spark, d):
 def l8_purge_archived(spark, d):
     mem = memories(spark, d)
     archive = L.split_by(mem, S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW))[1]
-    return archive.join(mem.where("id % 3 = 0").select("id"), "id", "left_anti").select("id")
+    return L.purge_archived(archive, mem.where("id % 3 = 0")).select("id")
 
 
 @query("select doc_id as id, case when doc_id % 4 = 0 and doc_id % 8 <> 0 then concat(text, '!') else text end as content, case when doc_id % 4 = 0 and doc_id % 8 <> 0 then 8 else 7 end as version, case when doc_id % 4 = 0 and doc_id % 8 <> 0 then '3,4,5,6,7' else '2,3,4,5,6' end as history from documents")
@@ -103,12 +103,15 @@ def l13_information_gain(spark, d):
     return L.information_gain(*clusters(spark, d)).withColumn("gain", F.round("gain", 6))
 
 
-@query()
+@query("""with recursive v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as vec from embeddings), u as (select id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) as u from v),
+ p as (select x.id as a, y.id as b from u x join u y on x.id < y.id and list_dot_product(x.u, y.u) >= 0.3), n as (select a as u, b as v from p union all select b, a from p),
+ r as (select u, u as v from (select distinct u from n) union select r.u, n.v from r join n on r.v = n.u), l as (select u as id, min(v) as cluster from r group by 1), k as (select cluster, count(*) as size from l group by 1)
+ select id, cluster, size from l join k using (cluster) where size >= 3""")
 def l12_cluster_vectors(spark, d):
     from memlake.operators.vectors import similar_pairs
 
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return L.cluster_vectors(similar_pairs(v, 0.3, 64, bits=4), 3)
+    return L.cluster_vectors(similar_pairs(v, 0.3, 64), 3)
 
 
 @query("with m as (select doc_id as id, source as cluster, text from documents), r as (select *, row_number() over (partition by cluster order by id) as r, count(*) over (partition by cluster) as total from m) select cluster, total, string_agg(substr(text, 1, 100), chr(10) order by id) as digest from r where r <= 5 group by 1, 2")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions.text import LANGUAGES, detect_language
+from memlake.functions.text import LANGUAGES, PLAIN, detect_language
 from memlake.operators.store import replay_wal
+from memlake.storage import scratch  # noqa: F401  (part of this module's surface)
 
 BUNDLE_VERSION = "2.0"
 # Names under which hosts send a field.
@@ -23,12 +21,6 @@ ALIASES = {
 HOST_FIELDS = r'(?:last-assistant-message|last_assistant_message|stop_hook_active|hook_event_name)"?:'
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder (``spark.checkpoint.dir``); a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="memlake-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def turn_texts(line: Column) -> Column:
     """A transcript line's text: message.content, its text parts joined, or the line itself where it isn't JSON."""
     content = F.get_json_object(line, "$.message.content")
@@ -60,9 +52,17 @@ def hook_payload(raw: Column) -> Column:
 
 
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Files of known kinds under a folder: path, language, content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}").load(path)
-    return files.select("path", detect_language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("content"))
+    """Files of known kinds under a folder: path, language, content; content is null where a file isn't UTF-8."""
+    kinds = ",".join([*LANGUAGES, *PLAIN])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{kinds}}}").load(path)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return files.select("path", detect_language(F.col("path")).alias("language"), text.alias("content"))
+
+
+def scan_report(files: DataFrame) -> DataFrame:
+    """Per language: files read, and files left out because they aren't UTF-8."""
+    read = F.col("content").isNotNull()
+    return files.groupBy("language").agg(F.count_if(read).alias("files"), F.count_if(~read).alias("unreadable"))
 
 
 def write_bundle(kinds: dict[str, DataFrame], path: str, rows_per_file: int = 10000) -> None:
@@ -82,6 +82,16 @@ def read_bundle(spark: SparkSession, path: str, kind: str, schema: str) -> DataF
     return whole.select(F.explode(f"e.{kind}").alias("r")).select("r.*")
 
 
+def bundle_counts(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("memories", "chunks", "archive")) -> DataFrame:
+    """A dry run: kind and how many records an import would read; nothing is written."""
+    fields = ", ".join(f"{k} array<string>" for k in kinds)
+    e = spark.read.text(path).select(F.from_json("value", f"version string, {fields}").alias("e"))
+    if not e.where(~F.coalesce(F.col("e.version") == BUNDLE_VERSION, F.lit(False))).isEmpty():
+        raise ValueError(f"bundle: only version {BUNDLE_VERSION} can be read")
+    sizes = [F.sum(F.coalesce(F.array_size(f"e.{k}"), F.lit(0))).alias(k) for k in kinds]
+    return e.agg(*sizes).unpivot([], list(kinds), "kind", "records")
+
+
 def compact_to_snapshot(log: DataFrame, key: str, seq: str, op: str, path: str) -> DataFrame:
     """Write the minimal log with the same replay, and read it back."""
     replay_wal(log, key, seq, op).withColumn(op, F.lit("upsert")).write.mode("overwrite").parquet(path)

@@ -1,20 +1,22 @@
 """Streaming forms: intake, deduplication, live states per key, windows and sessions.
 
-Keyed states are small and bounded; a key's rows reach its function as an
-iterator of batches, in the order of ``seq`` within each micro-batch.
+Keyed states are small and bounded.  A key's rows of one micro-batch are
+handled in the order of ``seq``; micro-batches follow each other, and their
+size (the source's trigger options) bounds what one key can bring at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from memlake.sources.files import scratch
+from memlake.storage import scratch
 
 # Activation and prompting.
 DECAY, ACTIVE, TRAIL = 0.85, 32, 16
@@ -74,8 +76,10 @@ def session_events(rows: DataFrame, group: str, at: str, gap: str) -> DataFrame:
 
 
 def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from batch.sort_values("seq", kind="stable").itertuples(index=False)
+    """All of a key's rows of this micro-batch by ``seq``; they come in several Arrow batches, in any order."""
+    parts = [b for b in batches if len(b)]
+    if parts:
+        yield from pd.concat(parts).sort_values("seq", kind="stable").itertuples(index=False)
 
 
 def activation_stream(hits: DataFrame) -> DataFrame:
@@ -103,22 +107,37 @@ def activation_stream(hits: DataFrame) -> DataFrame:
 
 
 def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """State, hits and last hit per id from events (id, seq, op), kept live."""
+    """State, hits and last hit per id from events (id, seq, op), kept live.
+
+    Counts need no order, so a key's rows are reduced batch by batch: the last
+    clear, the last mark, and the places of touches that no clear seen so far
+    undoes (whole numbers, within one micro-batch).
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark, hits, last = state.get if state.exists else ("active", 0, None)
-        known = state.exists and (mark != "active" or hits > 0)
-        for e in _ordered(batches):
-            if e.op == "clear":
-                mark, hits, last, known = "active", 0, None, False
-            elif e.op == "touch":
-                hits, last, known = hits + 1, e.seq, True
-            else:
-                mark, known = e.op, True
-        state.update((mark, hits, last))
+        mark, hits, last, marked_at, cleared = state.get if state.exists else ("active", 0, None, -1, -1)
+        touched = np.zeros(0, np.int64)
+        for b in batches:
+            seq, op = b["seq"].to_numpy(np.int64), b["op"].to_numpy()
+            clear, touch = op == "clear", op == "touch"
+            last_clear = int(seq[clear].max(initial=-1))
+            if last_clear > cleared:
+                cleared, hits, last = last_clear, 0, None
+                mark, marked_at = ("active", -1) if marked_at <= cleared else (mark, marked_at)
+            touched = np.concatenate([touched, seq[touch]])
+            touched = touched[touched > cleared]
+            own = np.flatnonzero(~clear & ~touch & (seq > max(cleared, marked_at)))
+            if len(own):
+                at = own[np.argmax(seq[own])]
+                mark, marked_at = str(op[at]), int(seq[at])
+        if len(touched):
+            hits, last = hits + len(touched), max(int(touched.max()), last or -1)
+        state.update((mark, hits, last, marked_at, cleared))
+        known = mark != "active" or hits > 0
         yield pd.DataFrame({"id": [key[0]], "state": [mark], "hits": [hits], "last_hit": pd.array([last], dtype="Int64"), "known": [known]})
 
-    return events.groupBy("id").applyInPandasWithState(step, "id long, state string, hits long, last_hit long, known boolean", "state string, hits long, last_hit long", "update", GroupStateTimeout.NoTimeout)
+    out, held = "id long, state string, hits long, last_hit long, known boolean", "state string, hits long, last_hit long, marked_at long, cleared long"
+    return events.groupBy("id").applyInPandasWithState(step, out, held, "update", GroupStateTimeout.NoTimeout)
 
 
 def daily_cap_stream(candidates: DataFrame) -> DataFrame:
