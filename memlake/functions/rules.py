@@ -113,6 +113,18 @@ def forget_target(text: Column) -> Column:
     return F.when(fits, target)
 
 
+# Tags that an author puts before a statement, and the kinds they name.
+DECLARED = {"决策": "decision", "决定": "decision", "约束": "constraint", "偏好": "preference", "结论是": "conclusion", "结论": "conclusion"}
+DECLARATION = rf"(?s)^\s*[-*+]*\s*({'|'.join(DECLARED)})\s*[：:]+\s*(.*)$"
+
+
+def explicit_kind(text: Column) -> Column:
+    """The kind that a tag at the start declares, null without one; a conclusion that only narrates is a fact."""
+    kinds = F.create_map(*[F.lit(x) for kv in DECLARED.items() for x in kv])
+    kind = F.try_element_at(kinds, F.regexp_extract(text, DECLARATION, 1))
+    return F.when((kind == "conclusion") & is_process_narration(F.regexp_extract(text, DECLARATION, 2)), "fact").otherwise(kind)
+
+
 def proper_nouns(text: Column) -> Column:
     """One each for a back-tick, a path with a dot and a capitalised word; at most two."""
     path = (text.contains("/") | text.contains("\\")) & text.contains(".")

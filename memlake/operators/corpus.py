@@ -15,12 +15,14 @@ WEIGHTS = {"decision": 2, "convention": 2, "weak": 1, "preference": 2, "negation
 
 
 def sentences(turns: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """One row per sentence with its place in the turn."""
-    return turns.select(*keys, F.posexplode(R.split_sentences(F.col(content))).alias("pos", "sentence"))
+    """One row per sentence with its place in the turn; a turn that declares its kind is one sentence."""
+    whole = F.array(R.bare(F.col(content)))
+    parts = F.when(R.explicit_kind(F.col(content)).isNotNull(), whole).otherwise(R.split_sentences(F.col(content)))
+    return turns.select(*keys, F.posexplode(parts).alias("pos", "sentence"))
 
 
 def score_sentences(rows: DataFrame, col: str = "sentence") -> DataFrame:
-    """Score and kind of each sentence; a question costs one point."""
+    """Score and kind of each sentence; a question costs one point, a declared kind scores 3 whatever the words."""
     s = F.col(col)
     counts = {
         "decision": R.count_hits(s, R.DECISION), "convention": R.count_hits(s, R.CONVENTION), "weak": R.count_hits(s, R.WEAK), "preference": R.preference_hits(s),
@@ -30,7 +32,8 @@ def score_sentences(rows: DataFrame, col: str = "sentence") -> DataFrame:
     score = sum(F.col(f"__n.{n}") * w for n, w in WEIGHTS.items()) - R.is_question(s).cast("int")
     firm = F.col("__n.negation") + F.col("__n.convention") + F.col("__n.weak") > 0
     kind = F.when(F.col("__n.decision") > 0, "decision").when(firm, "constraint").when(F.col("__n.preference") > 0, "preference").when(F.col("__n.conclusion") > 0, "conclusion").otherwise("code_context")
-    return counted.withColumn("score", score).withColumn("kind", kind).drop("__n")
+    told = R.explicit_kind(s)
+    return counted.withColumn("score", F.when(told.isNotNull(), 3).otherwise(score)).withColumn("kind", F.coalesce(told, kind)).drop("__n")
 
 
 def first_per_key(rows: DataFrame, by: list[str], text: str, order: list) -> DataFrame:
@@ -40,13 +43,26 @@ def first_per_key(rows: DataFrame, by: list[str], text: str, order: list) -> Dat
 
 
 def distill(turns: DataFrame, conv: str, turn: str, content: str = "content", threshold: float = 2.0, cap: int = 40) -> DataFrame:
-    """What is worth keeping of each conversation, in its order: sentences over the threshold that are no noise and no numbered step."""
+    """What is worth keeping of each conversation, in its order: conv, turn, pos, sentence, score, kind.
+
+    Sentences over the threshold that are no noise and no numbered step, and
+    error blocks (score 4, kind error, pos is their line); each text once, the
+    ``cap`` best.
+    """
     scored = score_sentences(sentences(turns, [conv, turn], content))
     numbered = F.col("sentence").rlike(r"^\s*[0-9]+[.)、](\s|$)") & ~R.has_any(F.col("sentence"), ["禁止", "严禁", "不得", "不要", "不能", "切勿", "杜绝", "不允许"])
     kept = scored.where((F.col("score") >= threshold) & ~R.is_markdown_noise(F.col("sentence")) & ~numbered)
-    once = first_per_key(kept, [conv], "sentence", [turn, "pos"])
-    rank = F.row_number().over(W.partitionBy(conv).orderBy(F.desc("score"), turn, "pos"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
+    blocks = error_blocks(turns, [conv, turn], content, per=conv, order=[turn])
+    failed = blocks.select(conv, turn, F.col("line").alias("pos"), F.col("block").alias("sentence"), F.lit(4).alias("score"), F.lit("error").alias("kind"))
+    every = kept.select(conv, turn, "pos", "sentence", "score", "kind").unionByName(failed)
+    once = first_per_key(every, [conv], "sentence", [turn, "pos", "kind"])
+    return cap_then_restore_order(once, conv, "score", [turn, "pos", "kind"], cap)
+
+
+def cap_then_restore_order(rows: DataFrame, by: str, score: str, order: list[str], k: int) -> DataFrame:
+    """The k best rows of each group, back in their own order."""
+    rank = F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), *order))
+    return rows.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank").sortWithinPartitions(by, *order)
 
 
 def distill_digest(items: DataFrame, conv: str) -> DataFrame:
@@ -59,11 +75,12 @@ def guarded(turns: DataFrame, conv: str, content: str = "content", markers: list
     return turns.join(turns.where(R.has_any(F.col(content), markers)).select(conv).distinct(), conv, "left_anti")
 
 
-def error_blocks(turns: DataFrame, keys: list[str], content: str = "content", most: int = 12, chars: int = 300) -> DataFrame:
+def error_blocks(turns: DataFrame, keys: list[str], content: str = "content", most: int = 12, chars: int = 300, per: str | None = None, order: list[str] | None = None, blocks: int = 10) -> DataFrame:
     """Blocks of a text from a line with an error marker to the next blank line, at most ``most`` lines.
 
     A marker within a running block starts none.  Each text's lines are folded
-    in order inside its row, so nothing is shuffled.
+    in order inside its row.  With ``per``, the first ``blocks`` of each group
+    in ``order`` stay.  ``importance`` is 8.
     """
     lines = F.split(F.col(content), "\n")
     start = F.struct(F.array().cast("array<struct<line:int,block:string,n:int>>").alias("blocks"), F.lit(False).alias("open"), F.lit(0).alias("i"))
@@ -78,8 +95,12 @@ def error_blocks(turns: DataFrame, keys: list[str], content: str = "content", mo
         return F.struct(more.alias("blocks"), (runs | opens).alias("open"), (s["i"] + 1).alias("i"))
 
     hit = turns.where(R.has_any(F.col(content), R.ERROR))
-    blocks = hit.select(*keys, F.explode(F.aggregate(lines, start, step, lambda s: s["blocks"])).alias("b"))
-    return blocks.select(*keys, "b.line", F.substring(R.bare(F.col("b.block")), 1, chars).alias("block"))
+    found = hit.select(*keys, F.explode(F.aggregate(lines, start, step, lambda s: s["blocks"])).alias("b"))
+    out = found.select(*keys, "b.line", F.substring(R.bare(F.col("b.block")), 1, chars).alias("block"), F.lit(8).alias("importance"))
+    if per is None:
+        return out
+    place = F.row_number().over(W.partitionBy(per).orderBy(*(order or []), "line"))
+    return out.withColumn("__place", place).where(F.col("__place") <= blocks).drop("__place")
 
 
 def chunk_paragraphs(files: DataFrame, key: str, content: str = "content") -> DataFrame:
@@ -159,10 +180,41 @@ def dedupe_within(items: DataFrame, by: str, order: list[str], text: str, import
     return sets.select(by, "i", "o", text).join(best, [by, "i"]).select(by, "o.*", text, "importance", "n")
 
 
-def absorb(turns: DataFrame, conv: str, turn: str, content: str = "content", cap: int = 4, most: int = 10) -> DataFrame:
-    """What a run would store of each conversation: distilled items past the guards, importance at most ``cap``, ``most`` a conversation."""
-    safe = guarded(turns, conv, content)
-    kept = distill(safe, conv, turn, content).where(~R.is_process_narration(F.col("sentence")))
-    ranked = kept.withColumn("r", F.row_number().over(W.partitionBy(conv).orderBy(F.desc("score"), turn, "pos"))).where(F.col("r") <= most)
+def absorb(turns: DataFrame, conv: str, turn: str, content: str = "content", cap: int = 4, most: int = 10, marker: str | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
+    """Every item that a run considers, and what becomes of it: conv, turn, pos, kind, sentence, importance, event_id, reason.
+
+    A conversation with a declared block (``marker``) gives the items of that
+    block and nothing else, even if none is good; any other is distilled.
+    Reasons, the first that holds: ``unknown_kind`` or ``empty`` (declared
+    items), ``deletion`` (the conversation speaks of deleting a record),
+    ``narration``, ``duplicate`` (folded into an earlier item), ``over_limit``
+    (more than ``most``, lowest scores first), else ``kept``.  Importance is
+    at most ``cap`` (1 to 6).  Nothing is written: ``write.remember`` takes the
+    kept items, and leaving it out is the dry run.
+    """
+    cap, source = min(max(cap, 1), 6), turns
+    every = None
+    if marker is not None:
+        found = declared_items(turns, conv, turn, marker, kinds or {}, content)
+        every = found.select(conv, turn, "pos", "kind", F.coalesce("item", F.lit("")).alias("sentence"), F.lit(3).alias("score"), "verdict")
+        source = turns.join(turns.where(F.contains(content, F.lit(marker))).select(conv).distinct(), conv, "left_anti")
+    distilled = distill(source, conv, turn, content).select(conv, turn, "pos", "kind", "sentence", "score", F.lit("ok").alias("verdict"))
+    every = distilled if every is None else every.unionByName(distilled)
+    told = turns.where(R.has_any(F.col(content), R.DELETION)).select(conv).distinct().withColumn("__told", F.lit(True))
+    early = F.when(F.col("verdict") != "ok", F.col("verdict")).when(F.col("__told"), "deletion").when(R.is_process_narration(F.col("sentence")), "narration")
+    judged = checkpointed(every.join(told, conv, "left").withColumn("early", early).drop("__told", "verdict"))
+    order = [turn, "pos", "kind"]
+    open_ = judged.where("early is null")
+    first = dedupe_within(open_.withColumn("__score", F.col("score")), conv, order, "sentence", "__score").select(conv, *order, "sentence", F.lit(True).alias("__first"))
+    placed = open_.join(first, [conv, *order, "sentence"], "left")
+    rank = F.row_number().over(W.partitionBy(conv, F.col("__first").isNotNull()).orderBy(F.desc("score"), *order))
+    late = F.when(F.col("__first").isNull(), "duplicate").when(rank > most, "over_limit").otherwise("kept")
+    out = placed.select(*judged.columns, late.alias("reason")).unionByName(judged.where("early is not null").withColumn("reason", F.col("early"))).drop("early")
     importance = F.least(X.importance_from_score(F.col("score").cast("double")), F.lit(cap))
-    return ranked.select(conv, turn, "pos", "kind", "sentence", importance.alias("importance"), F.concat(F.lit("session:"), F.col(conv).cast("string")).alias("event_id"))
+    return out.select(conv, turn, "pos", "kind", "sentence", importance.alias("importance"), F.concat(F.lit("session:"), F.col(conv).cast("string")).alias("event_id"), "reason")
+
+
+def absorb_counts(items: DataFrame, conv: str) -> DataFrame:
+    """Per conversation: items considered, and how many fell to each reason."""
+    reasons = ("kept", "duplicate", "over_limit", "narration", "deletion", "unknown_kind", "empty")
+    return items.groupBy(conv).agg(F.count("*").alias("considered"), *[F.count_if(F.col("reason") == r).alias(r) for r in reasons])

@@ -11,18 +11,36 @@ from memlake.operators.analyse import class_sizes, components, near_dup_pairs
 from memlake.storage import checkpointed
 
 
-def merge_into(existing: DataFrame, matched: DataFrame) -> DataFrame:
-    """Existing rows after taking in matched ones (target, and the same columns).
-
-    Newest content wins, tags are united, importance is the highest, privacy
-    the strictest, creation the earliest, a missing owner is filled; ``merged``
-    counts what came in.  One shuffle on the target.
+def merge_into(existing: DataFrame, matched: DataFrame, keep: int = 5) -> DataFrame:
+    """Existing rows after taking in matched ones (target, and the same columns); ``merged`` counts what came in.
+
+    The newest content wins and the contents before it, newest first, are the
+    ``history`` (``keep`` at most, equal neighbours once); ``version`` counts
+    the changes of content.  Tags, entities and source_ids are united (in
+    order), the event is the newest known one, importance the highest, privacy
+    the strictest, creation the earliest; a missing owner or session is
+    filled, none is changed.  Columns that the tables lack are left out.  One
+    shuffle on the target; a target keeps distinct lists and ``keep`` + 1 rows.
     """
     strict = F.when(F.col("privacy_level") == "session", 0).when(F.col("privacy_level") == "user", 1).otherwise(2)
     every = existing.withColumn("target", F.col("id")).withColumn("__new", F.lit(0)).unionByName(matched.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    return every.groupBy(F.col("target").alias("id")).agg(
-        F.max_by("content", F.struct("updated", "__new", "content")).alias("content"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), F.max("importance").alias("importance"),
-        F.min_by("privacy_level", strict).alias("privacy_level"), F.min("created").alias("created"), F.coalesce(F.max(F.when(F.col("__new") == 0, F.col("user_id"))), F.max("user_id")).alias("user_id"), F.sum("__new").alias("merged"),
+    age = F.struct("updated", "__new", "content")
+    order = W.partitionBy("target").orderBy("updated", "__new", "content")
+    told = every.withColumn("__changed", F.coalesce(F.lag("content").over(order) != F.col("content"), F.lit(False)))
+    told = told.withColumn("__later", F.sum(F.col("__changed").cast("int")).over(order.rowsBetween(1, W.unboundedFollowing)))
+    last = F.coalesce(F.lead("__changed").over(order), F.lit(False))
+    entry = F.when(last & (F.col("__later") <= keep), F.struct((-F.col("__later")).alias("back"), "content"))
+    told = told.withColumn("__entry", entry)
+    unite = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    fill = lambda c: F.coalesce(F.max(F.when(F.col("__new") == 0, F.col(c))), F.max(c)).alias(c)
+    has = set(existing.columns)
+    picked = [unite(c) for c in ("tags", "entities", "source_ids") if c in has] + [fill(c) for c in ("user_id", "session_id") if c in has]
+    if "event_id" in has:
+        picked.append(F.max_by("event_id", F.when(F.col("event_id").isNotNull(), age)).alias("event_id"))
+    history = F.transform(F.reverse(F.array_sort(F.collect_list("__entry"))), lambda x: x["content"])
+    return told.groupBy(F.col("target").alias("id")).agg(
+        F.max_by("content", age).alias("content"), *picked, F.max("importance").alias("importance"), F.min_by("privacy_level", strict).alias("privacy_level"), F.min("created").alias("created"),
+        F.max("updated").alias("updated"), F.sum("__new").alias("merged"), (F.count_if("__changed") + 1).alias("version"), history.alias("history"),
     )
 
 
@@ -56,6 +74,25 @@ def remember_batch(incoming: DataFrame, existing: DataFrame, t: float, scope: li
     return joined.select("id", "target", outcome.alias("outcome"))
 
 
+def remember(incoming: DataFrame, existing: DataFrame, t: float, scope: list[str], path: str) -> tuple[DataFrame, DataFrame]:
+    """Write a batch into the store at ``path`` and read it back: the store's rows, and one row of counts.
+
+    New rows are stored as they are, matched ones go through ``merge_into``;
+    unchanged content is a no-op and makes no version.  Rows without an id or
+    without content are ``failed`` and stay out.  Running the same batch again
+    on the result changes nothing but the counts.
+    """
+    good = F.col("id").isNotNull() & (F.coalesce(F.trim("content"), F.lit("")) != "")
+    sound = incoming.where(good)
+    outcome = checkpointed(remember_batch(sound, existing, t, scope))
+    merged = sound.join(outcome.where("outcome = 'merge'").select("id", "target"), "id")
+    fresh = sound.join(outcome.where("outcome = 'new'").select("id"), "id", "left_semi").unionByName(existing)
+    merge_into(fresh, merged).write.mode("overwrite").parquet(path)
+    counts = outcome.agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("new", "written"), ("merge", "merged"), ("no_op", "unchanged"))])
+    failed = incoming.agg(F.count_if(~good).alias("failed"))
+    return existing.sparkSession.read.parquet(path), counts.join(F.broadcast(failed))
+
+
 def duplicate_groups(mem: DataFrame, t: float, limit: int = 50) -> DataFrame:
     """The largest groups of near duplicates: label (smallest id), members, best similarity.
 

@@ -48,18 +48,30 @@ def clauses(col: str) -> str:
     return f"regexp_split_to_array(lower({col}), '[，。；,;但]')"
 
 
+def declared(col: str) -> str:
+    kinds = " ".join(f"when '{k}' then '{v}'" for k, v in R.DECLARED.items())
+    tag, body = (f"regexp_extract({col}, {lit(R.DECLARATION)}, {i})" for i in (1, 2))
+    return f"(case when {tag} in ('结论是', '结论') and {narration(body)} then 'fact' else case {tag} {kinds} end end)"
+
+
 PROPER = r"least(contains(sentence, '`')::int + ((contains(sentence, '/') or contains(sentence, '\')) and contains(sentence, '.'))::int + regexp_matches(sentence, '(?:^|[^\p{L}\p{N}])[A-Z]')::int, 2)"
-SENT = f"""{MARKED}, seg as (select id, conv_id, turn, generate_subscripts(regexp_split_to_array(content, '[。！!；;\n]'), 1) as sn, unnest(regexp_split_to_array(content, '[。！!；;\n]')) as seg from marked),
- part as (select id, conv_id, turn, sn, list_append(regexp_extract_all(regexp_extract(seg, {lit(R.QUESTION_CHAIN)}, 1), '[^?？]*[?？]'), regexp_extract(seg, {lit(R.QUESTION_CHAIN)}, 2)) as ps from seg),
+SENT = f"""{MARKED}, cut as (select id, conv_id, turn, {declared("content")} is not null as whole, case when {declared("content")} is not null then [content] else regexp_split_to_array(content, '[。！!；;\n]') end as segs from marked),
+ seg as (select id, conv_id, turn, whole, generate_subscripts(segs, 1) as sn, unnest(segs) as seg from cut),
+ part as (select id, conv_id, turn, sn, case when whole then [seg] else list_append(regexp_extract_all(regexp_extract(seg, {lit(R.QUESTION_CHAIN)}, 1), '[^?？]*[?？]'), regexp_extract(seg, {lit(R.QUESTION_CHAIN)}, 2)) end as ps from seg),
  flat as (select id, conv_id, turn, sn, generate_subscripts(ps, 1) as pn, {bare("unnest(ps)")} as sentence from part),
  sent as (select id, conv_id, turn, row_number() over (partition by id order by sn, pn) - 1 as pos, sentence from flat where sentence <> '')"""
 SCORED = f"""{SENT}, n as (select *, {hits("sentence", R.DECISION)} as d, {hits("sentence", R.CONVENTION)} as c, {hits("sentence", R.WEAK)} as w, {hits("sentence", R.NEGATION)} as ng, {hits("sentence", R.CONCLUSION)} as cn,
  coalesce(list_sum(list_transform(list_filter({clauses("sentence")}, lambda x: not regexp_matches(x, {lit(R.any_of(R.ONE_OFF))})), lambda x: {hits("x", R.PREFERENCE)})), 0)::int as pf, {PROPER} as pn from sent),
- scored as (select id, conv_id, turn, pos, sentence, 2 * d + 2 * c + w + 2 * pf + 2 * ng + cn + pn - {question("sentence")}::int as score,
- case when d > 0 then 'decision' when ng + c + w > 0 then 'constraint' when pf > 0 then 'preference' when cn > 0 then 'conclusion' else 'code_context' end as kind from n)"""
+ scored as (select id, conv_id, turn, pos, sentence, case when {declared("sentence")} is not null then 3 else 2 * d + 2 * c + w + 2 * pf + 2 * ng + cn + pn - {question("sentence")}::int end as score,
+ case when {declared("sentence")} is not null then {declared("sentence")} when d > 0 then 'decision' when ng + c + w > 0 then 'constraint' when pf > 0 then 'preference' when cn > 0 then 'conclusion' else 'code_context' end as kind from n)"""
 NUMBERED = rf"(regexp_matches(sentence, '^\s*[0-9]+[.)、](\s|$)') and not {has('sentence', ['禁止', '严禁', '不得', '不要', '不能', '切勿', '杜绝', '不允许'])})"
-DISTILLED = rf"""{SCORED}, k as (select *, row_number() over (partition by conv_id, lower(regexp_replace(sentence, '\s+', '', 'g')) order by turn, pos) as first from scored where score >= 2 and not {noise("sentence")} and not {NUMBERED}),
- r as (select *, row_number() over (partition by conv_id order by score desc, turn, pos) as rank from k where first = 1), distilled as (select conv_id, turn, pos, sentence, score, kind from r where rank <= 40)"""
+BLOCKS = rf"""el as (select id, conv_id, turn, generate_subscripts(regexp_split_to_array(content, '\n'), 1) - 1 as i, unnest(regexp_split_to_array(content, '\n')) as line from marked),
+ ef as (select id, conv_id, turn, min(i) as line from el where {has('line', R.ERROR)} group by 1, 2, 3), ee as (select ef.*, (select min(i) from el where el.id = ef.id and i > ef.line and regexp_matches(el.line, '^\s*$')) as stop from ef),
+ blk as (select ee.id, ee.conv_id, ee.turn, ee.line::int as line, substr({bare("string_agg(el.line, chr(10) order by i)")}, 1, 300) as block from ee join el on el.id = ee.id and i >= ee.line and i < coalesce(stop, 1000000) and i < ee.line + 12 group by 1, 2, 3, 4),
+ blk10 as (select * from (select *, row_number() over (partition by conv_id order by turn, line) as nth from blk) where nth <= 10)"""
+DISTILLED = rf"""{SCORED}, {BLOCKS}, cand as (select conv_id, turn, pos::int as pos, sentence, score::int as score, kind from scored where score >= 2 and not {noise("sentence")} and not {NUMBERED} union all select conv_id, turn, line, block, 4, 'error' from blk10),
+ k as (select *, row_number() over (partition by conv_id, lower(regexp_replace(sentence, '\s+', '', 'g')) order by turn, pos, kind) as first from cand),
+ r as (select *, row_number() over (partition by conv_id order by score desc, turn, pos, kind) as rank from k where first = 1), distilled as (select conv_id, turn, pos, sentence, score, kind from r where rank <= 40)"""
 
 
 @query(f"with {MARKED}, l as (select id, unnest(regexp_split_to_array(content, '\n')) as line from marked) select id, line from l where not {noise('line')}")
@@ -101,7 +113,7 @@ def c2_score_sentences(spark, d):
     return C.score_sentences(C.sentences(marked_turns(spark, d), ["id"])).select("id", "pos", "score", "kind")
 
 
-@query(rf"with {MARKED}, l as (select id, generate_subscripts(regexp_split_to_array(content, '\n'), 1) - 1 as i, unnest(regexp_split_to_array(content, '\n')) as line from marked), f as (select id, min(i) as line from l where {has('line', R.ERROR)} group by 1), e as (select f.id, f.line, min(i) filter (where i > f.line and regexp_matches(l.line, '^\s*$')) as stop from f join l on f.id = l.id group by 1, 2) select e.id, e.line::int as line, substr({bare("string_agg(l.line, chr(10) order by i)")}, 1, 300) as block from e join l on l.id = e.id and i >= e.line and i < coalesce(stop, 1000000) and i < e.line + 12 group by 1, 2")
+@query(f"with {MARKED}, {BLOCKS} select id, line, block, 8 as importance from blk")
 def c3_error_blocks(spark, d):
     return C.error_blocks(marked_turns(spark, d), ["id"])
 

@@ -73,7 +73,15 @@ def r16_multi_view_recall(spark, d):
     return A.multi_view_recall(whole.unionByName(whole.withColumn("view", F.lit(1)).withColumn("content", F.element_at(F.split("content", r"\. "), 1))), memories(spark, d), 5)
 
 
-@query(f"with {DISTILLED}, ok as (select * from distilled where conv_id not in (select conv_id from marked where {has('content', rules.DELETION)}) and not {narration('sentence')}), z as (select *, row_number() over (partition by conv_id order by score desc, turn, pos) as z from ok) select conv_id, turn, pos::int as pos, kind, sentence, least(round(least(greatest(4 + score, 3.0), 9.0))::int, 4) as importance, concat('session:', conv_id) as event_id from z where z <= 10")
+@query(rf"""with {DISTILLED}, j as (select d.*, case when conv_id in (select conv_id from marked where {has('content', rules.DELETION)}) then 'deletion' when {narration('sentence')} then 'narration' end as early from distilled d),
+ o as (select *, regexp_replace(sentence, '[\s!-/:-@\[-`{{-~]', '', 'g') as b from j where early is null),
+ g as (select *, case when length(b) < 2 then [] else list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) end as g from o),
+ near as (select x.conv_id, x.turn, x.pos, x.kind from g x join g y on x.conv_id = y.conv_id and (y.turn, y.pos, y.kind) < (x.turn, x.pos, x.kind)
+   where x.sentence = y.sentence or (len(x.g) > 0 and len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) >= 0.85) group by 1, 2, 3, 4),
+ f as (select o.*, near.conv_id is not null as dup from o left join near on near.conv_id = o.conv_id and near.turn = o.turn and near.pos = o.pos and near.kind = o.kind),
+ z as (select *, row_number() over (partition by conv_id, dup order by score desc, turn, pos, kind) as z from f),
+ every as (select conv_id, turn, pos, kind, sentence, score, case when dup then 'duplicate' when z > 10 then 'over_limit' else 'kept' end as reason from z union all select conv_id, turn, pos, kind, sentence, score, early from j where early is not null)
+ select conv_id, turn, pos, kind, sentence, least(round(least(greatest(4 + score, 3.0), 9.0))::int, 4) as importance, concat('session:', conv_id) as event_id, reason from every""")
 def c6_absorb(spark, d):
     return C.absorb(marked_turns(spark, d), "conv_id", "turn")
 

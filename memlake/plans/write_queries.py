@@ -31,16 +31,46 @@ def l2_remember_batch(spark, d):
     return L.remember_batch(*halves(spark, d), 0.5, ["tag"])
 
 
-@query(f"with {MATCH} select count(*) filter (where m.target is null) as written, count(*) filter (where m.target is not null) as merged from documents d left join m on m.id = d.doc_id where d.doc_id % 2 = 1")
+TAKEN = f"""{MATCH}, w as (select d.doc_id as id, d.text, m.target, case when d.doc_id % 14 = 7 then 'failed' when m.target is null then 'new' when t.text = d.text then 'no_op' else 'merge' end as outcome
+ from documents d left join m on m.id = d.doc_id left join documents t on t.doc_id = m.target where d.doc_id % 2 = 1)"""
+
+
+def remembered(spark, d):
+    """Odd documents (some without content) into a store of the even ones."""
+    from memlake.storage import scratch
+
+    rows = memories(spark, d).select("id", "content", F.array("tag").alias("tags"), "tag", "importance", "privacy_level", F.col("age_minutes").alias("created"), F.col("age_minutes").alias("updated"), "user_id")
+    new = rows.where("id % 2 = 1").withColumn("content", F.when(F.col("id") % 14 != 7, F.col("content")))
+    return L.remember(new, rows.where("id % 2 = 0"), 0.5, ["tag"], scratch(spark, "store"))
+
+
+@query(f"with {TAKEN} select count(*) filter (where outcome = 'new') as written, count(*) filter (where outcome = 'merge') as merged, count(*) filter (where outcome = 'no_op') as unchanged, count(*) filter (where outcome = 'failed') as failed from w")
 def l20_migrate_items(spark, d):
-    done = L.remember_batch(*halves(spark, d), 0.5, ["tag"])
-    return done.agg(F.count_if(F.col("outcome") == "new").alias("written"), F.count_if(F.col("outcome") != "new").alias("merged"))
+    return remembered(spark, d)[1]
+
+
+@query(f"""with {TAKEN}, x as (select doc_id as target, doc_id as updated, text, 0 as new from documents where doc_id % 2 = 0 union all select id, id, text, 0 from w where outcome = 'new' union all select target, id, text, 1 from w where outcome = 'merge'),
+ g as (select *, coalesce(lag(text) over o <> text, false) as changed from x window o as (partition by target order by updated, new, text))
+ select target as id, md5(arg_max(text, {{'u': updated, 'n': new, 't': text}})) as content, sum(new)::bigint as merged, count(*) filter (where changed) + 1 as version, least(count(*) filter (where changed), 5)::int as kept from g group by 1""")
+def l2_remember_written(spark, d):
+    """What the store holds after the batch was written."""
+    return remembered(spark, d)[0].select("id", F.md5("content").alias("content"), "merged", "version", F.size("history").alias("kept"))
 
 
-@query(f"with {MEM}, x as (select id, case when id % 3 = 0 then id else id - id % 3 end as target, content, importance, privacy_level, user_id, age_minutes, tag, (id % 3 <> 0)::int as new from mem), k as (select target, max(importance) as importance, min(age_minutes) as created, arg_max(content, {{'u': age_minutes, 'n': new}}) as content, min(case privacy_level when 'session' then 0 when 'user' then 1 else 2 end) as p, coalesce(max(user_id) filter (where new = 0), max(user_id)) as user_id, sum(new)::bigint as merged, array_to_string(list_sort(list_distinct(list(tag))), ',') as tags from x group by 1) select target as id, content, tags, importance, case p when 0 then 'session' when 1 then 'user' else 'global' end as privacy_level, created, user_id, merged from k")
+@query(f"""with {MEM}, x as (select id, case when id % 3 = 0 then id else id - id % 3 end as target, content, importance, privacy_level, user_id, age_minutes, tag, (id % 3 <> 0)::int as new,
+   case when id % 4 <> 0 then concat('e', id % 10) end as event_id, [concat('n', id % 6)] as entities from mem),
+ g as (select *, coalesce(lag(content) over o <> content, false) as changed, row_number() over (partition by target order by age_minutes desc, new desc, content desc) as back from x window o as (partition by target order by age_minutes, new, content)),
+ k as (select target, max(importance) as importance, min(age_minutes) as created, arg_max(content, {{'u': age_minutes, 'n': new}}) as content, min(case privacy_level when 'session' then 0 when 'user' then 1 else 2 end) as p,
+   coalesce(max(user_id) filter (where new = 0), max(user_id)) as user_id, sum(new)::bigint as merged, array_to_string(list_sort(list_distinct(list(tag))), ',') as tags,
+   array_to_string(list_sort(list_distinct(flatten(list(entities)))), ',') as entities, arg_max(event_id, age_minutes) filter (where event_id is not null) as event_id, count(*) filter (where changed) + 1 as version from g group by 1)
+ select target as id, content, tags, entities, event_id, importance, case p when 0 then 'session' when 1 then 'user' else 'global' end as privacy_level, created, user_id, merged, version, (version - 1)::int as kept from k""")
 def l1_merge_into(spark, d):
-    rows = memories(spark, d).select("id", "content", F.array("tag").alias("tags"), "importance", "privacy_level", F.col("age_minutes").alias("created"), F.col("age_minutes").alias("updated"), "user_id")
-    return L.merge_into(rows.where("id % 3 = 0"), rows.where("id % 3 != 0").withColumn("target", F.col("id") - F.col("id") % 3)).withColumn("tags", F.array_join("tags", ","))
+    rows = memories(spark, d).select(
+        "id", "content", F.array("tag").alias("tags"), F.array(F.concat(F.lit("n"), (F.col("id") % 6).cast("string"))).alias("entities"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("e"), (F.col("id") % 10).cast("string"))).alias("event_id"),
+        "importance", "privacy_level", F.col("age_minutes").alias("created"), F.col("age_minutes").alias("updated"), "user_id",
+    )
+    out = L.merge_into(rows.where("id % 3 = 0"), rows.where("id % 3 != 0").withColumn("target", F.col("id") - F.col("id") % 3))
+    return out.withColumn("tags", F.array_join("tags", ",")).withColumn("entities", F.array_join("entities", ",")).withColumn("kept", F.size("history")).drop("history", "updated")
 
 
 @query(r"with recursive s as (select list_sort(list_filter(" + WORDS + r", lambda w: true)) as s, min(doc_id) as id from documents group by 1), w as (select id, unnest(s) as w from s), c as (select x.id as a, y.id as b, count(*) as common from w x join w y on x.w = y.w and x.id < y.id group by 1, 2), j as (select a, b, common / (len(x.s) + len(y.s) - common) as similarity from c join s x on x.id = a join s y on y.id = b where common / (len(x.s) + len(y.s) - common) >= 0.85), n as (select a as u, b as v from j union select b, a from j), r as (select distinct u, u as v from n union select r.u, n.v from r join n on r.v = n.u), l as (select u, min(v) as label from r group by 1) select l.label, count(distinct l.u) as members, round(max(j.similarity), 6) as best from l join j on j.a = l.u or j.b = l.u group by 1 order by members desc, label limit 50")

@@ -21,7 +21,7 @@ MEM_SQL = f"""select doc_id as id, text as content, source as project, {_pick(ME
  {_pick(PRIVACY_LEVELS, "doc_id")} as privacy_level, lang as tag from documents"""
 CONV_SQL = "select conv_id * 1000 + turn as id, conv_id as event_id, turn, role, text as content from conversations"
 #: Turns with a phrase in front, so that the distilling rules have something to find.
-MARKED_SQL = """select conv_id * 1000 + turn as id, conv_id, turn, concat(case (conv_id + turn) % 8 when 0 then 'We decided to use ' when 1 then 'You must never ' when 2 then 'I prefer ' when 3 then 'Therefore '
+MARKED_SQL = """select conv_id * 1000 + turn as id, conv_id, turn, concat(case (conv_id + turn) % 8 when 0 then 'We decided to use ' when 1 then 'You must never ' when 2 then 'I prefer ' when 3 then case when conv_id % 2 = 0 then 'Therefore ' else '- 约束： ' end
  when 4 then 'trace follows\nerror: at `src/main.rs` ' when 5 then '我平时用 Vim，这次改用 ' when 6 then 'why? how? no! please forget ' else '| a | b |\n' end, text, case when conv_id % 9 = 0 and turn = 1 then '\n\n已忘记' else '' end) as content from conversations"""
 EDGE_SQL = "select distinct l_orderkey as a, 10000000 + l_partkey as b from lineitem"
 
