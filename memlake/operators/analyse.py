@@ -121,6 +121,17 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float
     return topk(bm25_points(queries, docs, k1, b), "qid", "points", "id", k).select("qid", "id", "rank", (F.col("points") / 1e6).alias("score"))
 
 
+def search_chunks(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each query (qid, content) by BM25; a query without words has none (see ``newest_chunks``)."""
+    return bm25(queries, chunks, k)
+
+
+def newest_chunks(chunks: DataFrame, at: str, k: int) -> DataFrame:
+    """What a search without keywords shows: the k newest chunks, with their rank."""
+    top = chunks.orderBy(F.desc(at), F.desc("id")).limit(k)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc(at), F.desc("id"))))
+
+
 def topk(df: DataFrame, by: str, score: str, name: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), name))).where(F.col("rank") <= k)
 

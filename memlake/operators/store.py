@@ -86,6 +86,35 @@ def page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total)).withColumn("truncated", F.col("total") > offset + limit)
 
 
+def recent(mem: DataFrame, n: int, chars: int = 100) -> DataFrame:
+    """The newest rows (1 to 20): id, rank, preview, total, truncated."""
+    from memlake.functions.text import preview
+
+    top = page(mem.select("id", "age_minutes", preview(F.col("content"), chars).alias("preview")), [F.desc("age_minutes"), "id"], min(max(n, 1), 20), 0)
+    return top.select("id", F.row_number().over(W.orderBy(F.desc("age_minutes"), "id")).alias("rank"), "preview", "total", "truncated")
+
+
+def lookup(mem: DataFrame, wanted: DataFrame, seen: Column | None = None) -> DataFrame:
+    """Rows by id in the order of a request (id, pos); ids that aren't there, or that ``seen`` hides, are left out."""
+    return (mem if seen is None else mem.where(seen)).join(wanted.select("id", "pos"), "id").orderBy("pos")
+
+
+def merge_tags(a: Column, b: Column) -> Column:
+    """Both lists in order, each tag once; nulls are no tags."""
+    return F.array_compact(F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))))
+
+
+def taken_out(mem: DataFrame, archive: DataFrame) -> DataFrame:
+    """The rows that aren't archived; what comes out and the archive have no id in common."""
+    return mem.join(archive.select("id").distinct(), "id", "left_anti")
+
+
+def sessionise(turns: DataFrame, conv: str, order: list[str]) -> DataFrame:
+    """Adds event_id (``session:`` and the conversation) and each turn's place in it."""
+    place = F.row_number().over(W.partitionBy(conv).orderBy(*order))
+    return turns.withColumn("event_id", F.concat(F.lit("session:"), F.col(conv).cast("string"))).withColumn("place", place)
+
+
 def visible(level: str | None, session: str | None = None, user: str | None = None) -> Column:
     """What a caller may see; no scope sees all, global rows are seen by all."""
     if level is None:
@@ -109,11 +138,13 @@ def lifecycle_apply(events: DataFrame) -> DataFrame:
     return live.groupBy("id").agg(F.coalesce(mark, F.lit("active")).alias("state"), F.count_if(touch).alias("hits"), F.max(F.when(touch, F.col("seq"))).alias("last_hit"))
 
 
-def version_history(edits: DataFrame, key: str, order: str, content: str, keep: int = 5) -> DataFrame:
-    """Version number (from 1) and the newest ``keep`` previous contents."""
+def version_history(edits: DataFrame, key: str, order: str, content: str, reason: str, keep: int = 5) -> DataFrame:
+    """Version number (from 1), current content and the newest ``keep`` previous ones with their reasons, newest first."""
     up, down = W.partitionBy(key).orderBy(order), W.partitionBy(key).orderBy(F.desc(order))
-    numbered = edits.withColumn("version", F.row_number().over(up)).withColumn("back", F.row_number().over(down))
-    return numbered.where(F.col("back") <= keep + 1).groupBy(key).agg(F.max("version").alias("version"), F.max_by(content, "version").alias("content"), F.count_if(F.col("back") > 1).alias("kept"))
+    numbered = edits.withColumn("version", F.row_number().over(up)).withColumn("back", F.row_number().over(down)).where(F.col("back") <= keep + 1)
+    entry = F.when(F.col("back") > 1, F.struct("back", "version", F.col(content).alias("content"), F.col(reason).alias("reason")))
+    plain = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(x["version"].alias("version"), x["content"].alias("content"), x["reason"].alias("reason")))
+    return numbered.groupBy(key).agg(F.max("version").alias("version"), F.max_by(content, "version").alias("content"), plain.alias("history"))
 
 
 def inherit_scope(sources: DataFrame, group: str) -> DataFrame:
@@ -149,6 +180,11 @@ def remove_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(gone, edges["a"] == gone["id"], "left_anti").join(gone, edges["b"] == gone["id"], "left_anti")
 
 
+def forget(mem: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and edges without these ids."""
+    return mem.join(ids.select("id").distinct(), "id", "left_anti"), remove_nodes(edges, ids)
+
+
 def stored_edge_guard(edges: DataFrame, alive: DataFrame) -> DataFrame:
     ids = alive.select("id")
     return edges.where("a != b").join(ids, edges["a"] == ids["id"], "left_semi").join(ids, edges["b"] == ids["id"], "left_semi")

@@ -113,10 +113,16 @@ def split_by(mem: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
     return mem.where(~moves), mem.where(moves)
 
 
-def archive_by_tag(mem: DataFrame, tag: str, older_than: int, limit: int) -> DataFrame:
-    """The oldest rows with the tag and at least that age, at most ``limit``, as id and total matched."""
-    matched = mem.where((F.col("tag") == tag) & (F.col("age_minutes") >= older_than)).withColumn("matched", F.count("*").over(W.partitionBy("tag")))
-    return matched.orderBy(F.desc("age_minutes"), "id").limit(limit).select("id", "matched")
+def archive_by_tag(mem: DataFrame, tag: str, older_than: int, limit: int, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Active rows, archived rows, and a report (matched, archived) for the oldest rows with the tag and at least that age.
+
+    At most ``limit`` rows move; a dry run reports the same and moves none.
+    """
+    matched = mem.where((F.col("tag") == tag) & (F.col("age_minutes") >= older_than))
+    moved = checkpointed(matched.orderBy(F.desc("age_minutes"), "id").limit(limit).select("id"))
+    counts = matched.agg(F.count("*").alias("matched")).join(F.broadcast(moved.agg(F.count("*").alias("archived"))))
+    gone = moved.where("false") if dry_run else moved
+    return mem.join(gone, "id", "left_anti"), mem.join(gone, "id", "left_semi"), counts
 
 
 def unarchive(mem: DataFrame, archive: DataFrame, ids: DataFrame, ttl_days: int) -> tuple[DataFrame, DataFrame]:

@@ -157,10 +157,11 @@ def x_sentence_functions(spark, d):
     return C.sentences(marked_turns(spark, d), ["id"]).select("id", "pos", R.count_hits(s, R.NEGATION).alias("negation"), R.proper_nouns(s).alias("proper"), R.head_text(s).alias("head"), F.size(ascii_).alias("ascii_words"))
 
 
-@query(r"with t as (select doc_id as id, text, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda w: w <> '') as ws from documents) select count(*) as docs, sum(len(ws))::bigint as words, max(len(ws))::int as longest from t")
+@query(r"select doc_id as id, len(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda w: w <> ''))::int as length, md5(lower(text)) as lowered from documents")
 def x20_text_stats(spark, d):
-    n = F.size(F.filter(F.split(F.lower("text"), r"[ \t\n\r\f]+"), lambda w: w != ""))
-    return table(spark, d, "documents").select(n.alias("n")).agg(F.count("*").alias("docs"), F.sum("n").alias("words"), F.max("n").alias("longest"))
+    from memlake.operators.stats import text_stats
+
+    return text_stats(memories(spark, d)).withColumn("lowered", F.md5("lowered"))
 
 
 @query(r"""with d as (select doc_id as id, translate(text, '{}', '  ') as text, len(regexp_split_to_array(text, '\r?\n'))::int as n from documents)

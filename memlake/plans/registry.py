@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as X
 from memlake.operators import analyse as A
+from memlake.operators import stats as T
 from memlake.operators import store as S
 from memlake.plans import corpus_queries, graph_queries, recall_queries, report_queries, retrieval_queries, stream_queries, write_queries  # noqa: F401  (registers its queries)
 from memlake.operators.vectors import vector_topk
@@ -209,21 +210,29 @@ def r5_rrf(spark, d):
     return A.rrf([first, A.topk(second, "qid", "n", "id", 5)], [1.0, 0.5]).withColumn("score", F.round("score", 9))
 
 
-@query(f"with {MEM} select count(*) as total, count(*) filter (where memory_type = 'synthesis') as synthesis, count(*) filter (where memory_type = 'code_context') as code_context, count(*) filter (where memory_type = 'experience') as experience, count(*) filter (where coalesce(ttl_days > 0 and {NOW} > age_minutes + ttl_days * 1440, false)) as expired, count(distinct lower(project)) as projects, greatest(count(*) - count(*) filter (where memory_type in ('synthesis', 'code_context')), 0) as incident_candidates from mem")
+@query(f"""with {MEM} select count(*) as total, count(*) filter (where memory_type = 'synthesis') as synthesis, count(*) filter (where memory_type = 'code_context') as code_context, count(*) filter (where memory_type = 'experience') as experience,
+ count(*) filter (where coalesce(ttl_days > 0 and {NOW} > age_minutes + ttl_days * 1440, false)) as expired, count(*) filter (where {NOW} - age_minutes * 40 <= 10080) as added_7_days, count(*) filter (where id % 3 = 0) as with_event, count(*) filter (where id % 4 = 0) as with_entity,
+ count(distinct case when id % 3 = 0 then id % 40 end) as events, count(distinct lower(project)) as projects, greatest(count(*) - count(*) filter (where memory_type in ('synthesis', 'code_context')), 0) as incident_candidates from mem""".replace("> age_minutes + ttl_days * 1440", "> age_minutes * 40 + ttl_days * 1440"))
 def a1_a3_stats(spark, d):
-    of = lambda *t: F.count_if(F.col("memory_type").isin(*t))
-    stats = memories(spark, d).agg(F.count("*").alias("total"), of("synthesis").alias("synthesis"), of("code_context").alias("code_context"), of("experience").alias("experience"), F.count_if(S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW)).alias("expired"), F.count_distinct(F.lower("project")).alias("projects"))
-    return stats.withColumn("incident_candidates", F.greatest(F.expr("total - synthesis - code_context"), F.lit(0)))
+    """Records 40 minutes apart, so that some are of the last week."""
+    event, entities = F.when(F.col("id") % 3 == 0, F.col("id") % 40), F.when(F.col("id") % 4 == 0, F.array("tag")).otherwise(F.array().cast("array<string>"))
+    return T.stats(memories(spark, d).withColumn("age_minutes", F.col("age_minutes") * 40).withColumn("event_id", event).withColumn("entities", entities), NOW)
 
 
 @query(f"with {MEM} select memory_type, lower(project) as project, count(*) as n from mem group by rollup (memory_type, lower(project))")
 def a2_stats_rollup(spark, d):
-    return memories(spark, d).select("memory_type", F.lower("project").alias("project")).rollup("memory_type", "project").agg(F.count("*").alias("n"))
+    return T.stats_rollup(memories(spark, d))
 
 
 @query(f"with {CONV} select event_id, count(*) as size from conv group by 1")
 def a4_event_index(spark, d):
-    return turns(spark, d).groupBy("event_id").agg(F.count("*").alias("size"))
+    return T.event_index(turns(spark, d))
+
+
+@query(f"with {CONV}, a as (select event_id, min(id) as exclude from conv group by 1) select a.event_id, exclude, id from a join conv on conv.event_id = a.event_id where id <> exclude")
+def a4_event_members(spark, d):
+    rows = turns(spark, d)
+    return T.event_members(rows, rows.groupBy("event_id").agg(F.min("id").alias("exclude")))
 
 
 @query(f"with t as (select distinct doc_id, unnest({WORDS}) as term from documents) select term, count(*) as df from t group by 1")
@@ -238,9 +247,7 @@ def a5_document_frequency_by_project(spark, d):
 
 @query("with t as (select count(distinct user_id) as queries from events) select event_type, count(distinct user_id) as hits, round(least(count(distinct user_id) / greatest(any_value(queries), 1), 1.0), 6) as rate from events, t group by 1")
 def a7_query_frequency(spark, d):
-    pool = table(spark, d, "events").select("user_id", "event_type").distinct()
-    total = pool.agg(F.count_distinct("user_id").alias("queries"))
-    return pool.groupBy("event_type").agg(F.count("*").alias("hits")).join(F.broadcast(total)).select("event_type", "hits", F.round(F.least(F.col("hits") / F.greatest("queries", F.lit(1)), F.lit(1.0)), 6).alias("rate"))
+    return T.query_frequency(table(spark, d, "events"), "user_id", "event_type").withColumn("rate", F.round("rate", 6))
 
 
 @query("with c as (select count(*) as n, sum(count(*)) over () as t from embeddings group by label % 8), e as (select round(-sum(n / t * log2(n / t)), 6) as entropy from c) select entropy, round(entropy / 3, 6) as balance from e")
@@ -248,30 +255,38 @@ def a8_bucket_entropy(spark, d):
     return A.entropy(table(spark, d, "embeddings").select((F.col("label") % 8).alias("bucket")), "bucket", 8)
 
 
-@query(f"with {MEM} select project, round(count(*) filter (where memory_type = 'synthesis') / count(*), 6) as ratio from mem group by 1")
+@query(f"with {MEM} select project, round(count(*) filter (where memory_type = 'synthesis') / count(*), 6) as ratio, count(*) filter (where id % 5 <> 0) as active, count(*) filter (where id % 5 = 0) as archived from mem group by 1")
 def a9_synthesis_ratio(spark, d):
-    return memories(spark, d).groupBy("project").agg(F.round(F.count_if(F.col("memory_type") == "synthesis") / F.count("*"), 6).alias("ratio"))
+    mem = memories(spark, d)
+    return T.synthesis_ratio(mem.where("id % 5 != 0"), mem.where("id % 5 = 0")).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("select event_type, count(*) as n from events group by 1")
 def a11_audit_type_stats(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return T.type_counts(table(spark, d, "events"))
 
 
-@query(f"with {EDGE} select node, count(*) as degree from (select a as node from edge union all select b from edge) group by 1")
+@query(f"with {EDGE} select node, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree, count(*) as degree from (select a as node, 1 as o, 0 as i from edge union all select b, 0, 1 from edge) group by 1")
 def a14_edge_stats(spark, d):
-    e = edges(spark, d)
-    return e.select(F.col("a").alias("node")).union(e.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+    return T.edge_stats(edges(spark, d))
+
+
+@query(f"with {EDGE} select case when a % 3 = 0 then 'cause' else 'related' end as relation, count(*) as n from edge group by 1")
+def a14_relation_counts(spark, d):
+    return T.relation_counts(edges(spark, d).withColumn("relation", F.when(F.col("a") % 3 == 0, "cause").otherwise("related")))
 
 
-@query("select event_type, quantile_disc(value, 0.5) as p50 from events where value is not null group by 1")
+@query("select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.5) < 500 and quantile_disc(value, 0.95) < 1000 as passes from events where value is not null group by 1")
 def a17_latency_percentiles(spark, d):
-    return table(spark, d, "events").where("value is not null").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"))
+    return T.latency_percentiles(table(spark, d, "events"), "event_type", "value")
 
 
-@query(f"with {CONV}, r as (select *, row_number() over (partition by event_id order by turn, id) as version, row_number() over (partition by event_id order by turn desc, id desc) as back from conv) select event_id, max(version) as version, arg_max(content, version) as content, count(*) filter (where back > 1) as kept from r where back <= 6 group by 1")
+@query(f"""with {CONV}, r as (select *, row_number() over (partition by event_id order by turn, id) as version, row_number() over (partition by event_id order by turn desc, id desc) as back from conv)
+ select event_id, max(version) as version, arg_max(content, version) as content, array_to_string(list_sort(list(concat(version, ':', role, ':', md5(content))) filter (where back > 1)), ' ') as history from r where back <= 6 group by 1""")
 def w1_version_history(spark, d):
-    return S.version_history(turns(spark, d), "event_id", "id", "content")
+    out = S.version_history(turns(spark, d), "event_id", "id", "content", "role")
+    told = F.transform("history", lambda h: F.concat_ws(":", h["version"].cast("string"), h["reason"], F.md5(h["content"])))
+    return out.select("event_id", "version", "content", F.array_join(F.array_sort(told), " ").alias("history"))
 
 
 @query(f"with {MEM} select * from (select project, id, importance, row_number() over (partition by project order by importance desc, id) as rank from mem) where rank <= 3")
@@ -288,15 +303,12 @@ def w4_first_occurrence(spark, d):
 @query("select user_id, event_id, case when gap < 120 then concat(cast(gap as varchar), 's') when gap is not null then concat(cast(gap // 60 as varchar), 'min') end as gap from (select user_id, event_id, cast(epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts, event_id) as bigint) as gap from (select user_id, event_id, date_trunc('second', ts) as ts from events))")
 def w8_event_gaps(spark, d):
     at = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))
-    gap = at - F.lag(at).over(W.partitionBy("user_id").orderBy(at, "event_id"))
-    word = F.when(gap < 120, F.concat(gap.cast("string"), F.lit("s"))).when(gap.isNotNull(), F.concat(F.floor(gap / 60).cast("string"), F.lit("min")))
-    return table(spark, d, "events").select("user_id", "event_id", word.alias("gap"))
+    return T.event_gaps(table(spark, d, "events"), "user_id", at, "event_id")
 
 
-@query(f"with {MEM} select id, rank, total, truncated from (select id, row_number() over (order by age_minutes desc, id) as rank, count(*) over () as total, count(*) over () > 20 as truncated from mem) where rank <= 20")
+@query(f"with {MEM} select id, rank, preview, total, truncated from (select id, case when length(content) > 100 then concat(substr(content, 1, 100), '…') else content end as preview, row_number() over (order by age_minutes desc, id) as rank, count(*) over () as total, count(*) over () > 20 as truncated from mem) where rank <= 20")
 def t2_recent(spark, d):
-    top = S.page(memories(spark, d).select("id", "age_minutes"), [F.desc("age_minutes"), "id"], 20, 0)
-    return top.select("id", F.row_number().over(W.orderBy(F.desc("age_minutes"), "id")).alias("rank"), "total", "truncated")
+    return S.recent(memories(spark, d), 500)
 
 
 PAIRS = "e as (select doc_id % 50 as a, doc_id % 37 as b, case when doc_id % 4 = 0 then 'cause' else 'related' end as relation, doc_id / 500.0 - 0.2 as weight, 0 as n from documents union all select doc_id % 37, doc_id % 50, case when doc_id % 4 = 0 then 'cause' else 'related' end, 0.9, 1 from documents)"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.operators import analyse as A
 from memlake.operators import report as R
+from memlake.operators import stats as T
 from memlake.operators import store as S
 from memlake.operators import vectors as V
 from memlake.plans.common import CONV, MEM, NOW, query, table
@@ -34,7 +35,7 @@ def f4_visible_join(spark, d):
 
 @query(f"with {MEM} select id from mem where not {GONE} and memory_type not in ('code_context', 'synthesis') and (privacy_level = 'global' or (privacy_level = 'user' and user_id is null))")
 def f7_incidents(spark, d):
-    return memories(spark, d).where(~S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW) & ~F.col("memory_type").isin("code_context", "synthesis") & S.visible("user")).select("id")
+    return T.incidents(memories(spark, d), NOW, "user").select("id")
 
 
 @query("""select event_id, event_type from events where ts >= '2024-01-05' and ts < '2024-01-20' and event_type in ('error', 'purchase') and (user_id = 7 or event_id = 7 or user_id % 2 = 0)
@@ -47,8 +48,7 @@ def f16_audit_query(spark, d):
 
 @query(f"with {MEM} select id, {GONE} as expired from mem where memory_type = 'fact' and (privacy_level = 'global' or (privacy_level = 'user' and user_id is not distinct from 'u1'))")
 def f18_archive_list(spark, d):
-    archive = memories(spark, d).where("memory_type = 'fact'")
-    return archive.where(S.visible("user", user="u1")).select("id", S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW).alias("expired"))
+    return T.archive_list(memories(spark, d).where("memory_type = 'fact'"), NOW, "user", user="u1").select("id", "expired")
 
 
 @query("select user_id, count(*) filter (where event_type in ('purchase', 'click')) as positive, count(*) filter (where event_type = 'error') as negative, count(*) as n, round((count(*) filter (where event_type in ('purchase', 'click')) - count(*) filter (where event_type = 'error')) / count(*), 6) as score from events group by 1")
@@ -58,10 +58,8 @@ def f20_a12_feedback(spark, d):
 
 @query("with w as (select row_number() over (order by item_id desc) as pos, item_id as id from benchmark) select pos, id, text from w join documents on doc_id = id")
 def j1_lookup(spark, d):
-    from pyspark.sql import Window as W
-
-    wanted = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.row_number().over(W.orderBy(F.desc("item_id"))).alias("pos"))
-    return wanted.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").orderBy("pos").select("pos", "id", "text")
+    wanted = table(spark, d, "benchmark").agg(F.sort_array(F.collect_list("item_id"), False).alias("ids")).select(F.posexplode("ids").alias("p", "id"))  # one request: a list of ids
+    return S.lookup(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), wanted.select("id", (F.col("p") + 1).alias("pos"))).select("pos", "id", "text")
 
 
 @query()
@@ -70,15 +68,16 @@ def j9_vector_topk_lsh(spark, d):
     return V.vector_topk_lsh(v.where("id % 50 = 0"), v, 10, 64, 48, 5)
 
 
-@query("select doc_id as id, array_to_string(list_sort(list_distinct([lang, source, 'kept'])), ',') as tags from documents")
+@query("select doc_id as id, array_to_string(list_distinct_in_order, ',') as tags from (select doc_id, list_filter([lang, source, 'kept'], lambda x, i: x is not null and list_position([lang, source, 'kept'], x) = i) as list_distinct_in_order from documents)")
 def u1_merge_tags(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.array_sort(F.array_union(F.array("lang", "source"), F.array(F.lit("kept"), "lang"))), ",").alias("tags"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("a"), F.array(F.lit("kept"), "lang").alias("b"))
+    return docs.select("id", F.array_join(S.merge_tags(F.col("a"), F.col("b")), ",").alias("tags"))
 
 
 @query(f"with {MEM} select id from mem where not {GONE}")
 def u4_taken_out(spark, d):
     mem = memories(spark, d)
-    return mem.select("id").exceptAll(mem.where(S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW)).select("id"))
+    return S.taken_out(mem, mem.where(S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW))).select("id")
 
 
 META = "m as (select event_id, ts, case when event_id % 11 <> 0 then user_id % 3 end as f, event_id % 4 as g from events)"
@@ -101,16 +100,21 @@ def a10_newest_associations(spark, d):
     return R.newest_associations(association_log(spark, d))
 
 
-@query(f"with {CONV} select event_id, count(*) as size, substr(arg_max(content, {{'n': length(content), 'i': -id}}), 1, 40) as head from conv group by 1 having count(*) >= 2 order by size desc, event_id limit 4")
+@query(f"""with {CONV}, g as (select event_id, count(*) as support, substr(arg_max(content, {{'n': length(content), 'i': -id}}), 1, 40) as text from conv group by 1 having count(*) >= 2),
+ e as (select 'event' as kind, cast(event_id as varchar) as key, support, text from g order by support desc, event_id limit 4), m as (select turn as name, count(distinct conv_id * 1000 + turn) as support from conversations group by 1),
+ h as (select turn as name from conversations group by 1 having count(*) >= 5 and count(*) >= 0.35 * (select count(*) from conversations)),
+ n as (select 'name' as kind, cast(name as varchar) as key, support, cast(name as varchar) as text from m where support >= 2 and name not in (select name from h) order by support desc, key limit 4)
+ select row_number() over (order by kind, support desc, length(key), key) as place, * from (select * from e union all select * from n) qualify place <= 4""")
 def a15_suggestions(spark, d):
-    best = F.max_by("content", F.struct(F.length("content"), -F.col("id")))
-    groups = turns(spark, d).groupBy("event_id").agg(F.count("*").alias("size"), F.substring(best, 1, 40).alias("head"))
-    return groups.where("size >= 2").orderBy(F.desc("size"), "event_id").limit(4)
+    rows = turns(spark, d)
+    return T.suggestions(rows, rows.select(F.col("turn").alias("name"), F.col("id").alias("doc"), F.lit(0).alias("grp")))
 
 
-@query(f"with {MEM} select id, age_minutes, count(*) over () as total from mem where memory_type = 'synthesis' order by age_minutes desc, id limit 50")
+@query(f"with {MEM} select id, age_minutes, cast(id % 4 as int) as source_count, count(*) over () as total from mem where memory_type = 'synthesis' order by age_minutes desc, id limit 50")
 def a16_synthesis_timeline(spark, d):
-    return S.page(memories(spark, d).where("memory_type = 'synthesis'").select("id", "age_minutes"), [F.desc("age_minutes"), "id"], 50, 0).drop("truncated")
+    made = memories(spark, d).where("memory_type = 'synthesis'")
+    sourced = made.withColumn("source_ids", F.slice(F.array(F.col("id"), F.col("id") + 1, F.col("id") + 2), F.lit(1), (F.col("id") % 4).cast("int")))
+    return S.page(sourced.select("id", "age_minutes", F.size("source_ids").alias("source_count")), [F.desc("age_minutes"), "id"], 50, 0).drop("truncated")
 
 
 @query("with u as (select generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as x from embeddings) select i::int as i, round(avg(x), 6) as mean from u group by 1")
@@ -124,12 +128,16 @@ def a19_approx_distinct(spark, d):
     return memories(spark, d).agg(F.approx_count_distinct("content").alias("contents"), F.approx_count_distinct("user_id").alias("users"))
 
 
-@query(f"with {MEM} select 'memory_type' as section, memory_type as key, count(*) as value from mem group by 2 union all select 'project', lower(project), count(*) from mem group by 2 union all select 'events', event_type, count(*) from events group by 2 union all select 'total', 'expired', count(*) filter (where {GONE}) from mem")
+@query(f"""with {MEM}, c as (select count(*) as n, sum(count(*)) over () as t from embeddings group by label % 8), en as (select round(-sum(n / t * log2(n / t)), 6) as entropy from c)
+ select 'memory_type' as section, memory_type as key, count(*)::double as value from mem group by 2 union all select 'project', lower(project), count(*)::double from mem group by 2 union all select 'events', event_type, count(*)::double from events group by 2
+ union all select 'total', 'expired', count(*) filter (where {GONE})::double from mem where id % 7 <> 3 union all select 'classes', 'entropy', entropy from en
+ union all select 'synthesis', 'ratio', round(count(*) filter (where memory_type = 'synthesis') / count(*), 6) from mem
+ union all select 'health', case when round(entropy / 3, 6) * 100 < 30 then 'poor' when round(entropy / 3, 6) * 100 < 50 then 'fair' else 'good' end, round(entropy / 3, 6) * 100 from en""".replace("count(*)::double as value from mem group by 2", "count(*)::double as value from mem where id % 7 <> 3 group by 2").replace("count(*)::double from mem group by 2", "count(*)::double from mem where id % 7 <> 3 group by 2"))
 def a20_corpus_report(spark, d):
-    mem, log = memories(spark, d), table(spark, d, "events")
-    part = lambda f, name, key: f.groupBy(key.alias("key")).agg(F.count("*").alias("value")).select(F.lit(name).alias("section"), "key", "value")
-    gone = mem.agg(F.count_if(S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW)).alias("value")).select(F.lit("total").alias("section"), F.lit("expired").alias("key"), "value")
-    return part(mem, "memory_type", F.col("memory_type")).unionByName(part(mem, "project", F.lower("project"))).unionByName(part(log, "events", F.col("event_type"))).unionByName(gone)
+    """The report of a store of which every row with id % 7 = 3 lies in the archive."""
+    mem = memories(spark, d)
+    classes = table(spark, d, "embeddings").select((F.col("label") % 8).alias("bucket"))
+    return T.corpus_report(mem.where("id % 7 != 3"), table(spark, d, "events"), classes, mem.where("id % 7 = 3"), NOW)
 
 
 @query(f"with {SCORES}, t as (select grp, count(x) as n, avg(x) as m, stddev_pop(x) as s from s group by 1) select event_id from s join t on s.grp = t.grp where case when n >= 4 and t.s > 1e-6 then (x - m) / t.s >= 0.35 else x >= 0.62 end")
@@ -176,9 +184,7 @@ def w11_slot_inject(spark, d):
 
 @query("select conv_id, turn, concat('session:', conv_id) as event_id, row_number() over (partition by conv_id order by turn, text) as place from conversations")
 def w12_sessionise(spark, d):
-    from pyspark.sql import Window as W
-
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("session:"), F.col("conv_id").cast("string")).alias("event_id"), F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text")).alias("place"))
+    return S.sessionise(table(spark, d, "conversations"), "conv_id", ["turn", "text"]).select("conv_id", "turn", "event_id", "place")
 
 
 JUDGED = "r1 as (select user_id as qid, event_id as id, row_number() over (partition by user_id order by value desc, event_id) as rank from events), r2 as (select user_id as qid, event_id as id, row_number() over (partition by user_id order by event_id) as rank from events), rel as (select user_id as qid, event_id as id from events where event_type = 'purchase')"
@@ -203,7 +209,8 @@ def e1_e2_e4_compare_runs(spark, d):
 @query(f"with {JUDGED}, {metric('e_r1')} select qid % 10 as shard, count(*) as queries, round(avg(rr), 6) as mrr, round(avg(recall), 6) as recall from e_r1 group by rollup (qid % 10)")
 def e5_metrics_by(spark, d):
     first, _, rel = runs(spark, d)
-    return A.evaluate(first, rel, 10).withColumn("shard", F.col("qid") % 10).rollup("shard").agg(F.count("*").alias("queries"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("recall"))
+    dims = rel.select("qid", (F.col("qid") % 10).alias("shard")).distinct()
+    return T.metrics_by(first, rel, dims, "shard", 10).select("shard", "queries", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"))
 
 
 @query(f"with {JUDGED} select q.qid, count(r2.id) as common, count(r2.id) >= 3 as robust from (select * from r1 where rank <= 5) q left join (select * from r2 where rank <= 5) r2 on r2.qid = q.qid and r2.id = q.id group by 1")
@@ -212,35 +219,63 @@ def e6_noise_robustness(spark, d):
     return R.noise_robustness(first, second)
 
 
-@query(f"with {MEM} select id, privacy_level from mem where privacy_level = 'user' and user_id is distinct from 'u1' and importance >= 5")
-def e8_isolation_check(spark, d):
-    run = memories(spark, d).where("privacy_level = 'user' and importance >= 5")
-    return run.where(~S.visible("user", user="u1")).select("id", "privacy_level")
+@query(f"with {JUDGED} select qid, id, rank from r1 where rank <= 5 and id in (select event_id from events where event_type = 'error')")
+def e6_noise_check(spark, d):
+    """Error events are the noise here."""
+    return T.noise_check(runs(spark, d)[0], table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id")))
 
 
-@query("with recursive l as (select doc_id, generate_subscripts(regexp_split_to_array(text, '\\n'), 1) as i from documents), p as (select doc_id, lang, max(i) as lines from l join documents using (doc_id) group by 1, 2) select lang, count(*) as files, round(avg(lines), 6) as mean_lines from p group by 1")
+@query(f"""with {MEM}, w as (select distinct conv_id as qid, case when conv_id % 2 = 0 then 'user' else 'session' end as level, case when conv_id % 3 > 0 then concat('u', conv_id % 3) end as cu, concat('s', conv_id % 8) as cs from conversations),
+ r as (select qid, (qid * 13 + n) % (select count(*) from documents) as id from w, range(20) t(n)) select r.qid, mem.id, privacy_level from r join w on w.qid = r.qid join mem on mem.id = r.id
+ where not (privacy_level = 'global' or (privacy_level = level and user_id is not distinct from cu and (level = 'user' or session_id is not distinct from cs)))""")
+def e8_isolation_check(spark, d):
+    """A run made without regard to its callers: what they should not have seen."""
+    mem, n = memories(spark, d), table(spark, d, "documents").count()
+    conv = table(spark, d, "conversations").select(F.col("conv_id").alias("qid")).distinct()
+    user = F.when(F.col("qid") % 3 > 0, F.concat(F.lit("u"), (F.col("qid") % 3).cast("string")))
+    callers = conv.select("qid", F.when(F.col("qid") % 2 == 0, "user").otherwise("session").alias("level"), user.alias("user_id"), F.concat(F.lit("s"), (F.col("qid") % 8).cast("string")).alias("session_id"))
+    run = conv.select("qid", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k")).select("qid", ((F.col("qid") * 13 + F.col("k")) % n).alias("id"))
+    return T.isolation_check(run, mem, callers)
+
+
+@query(r"""with t as (select doc_id, lang, list_filter(regexp_split_to_array(text, '\n[ \t]*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g') <> '') as ps from documents),
+ c as (select lang, doc_id, unnest(ps) as p, generate_subscripts(ps, 1) % 2 as odd from t) select lang as language, count(distinct doc_id) as files, count(*) as chunks, 1.0::double as mean_lines,
+ array_to_string(list_filter([case when count(*) filter (where odd = 0) > 0 then concat('even:', count(*) filter (where odd = 0)) end, case when count(*) filter (where odd = 1) > 0 then concat('odd:', count(*) filter (where odd = 1)) end], lambda x: x is not null), ' ') as types from c group by 1""")
 def a13_codebase_stats(spark, d):
-    lines = F.size(F.split("text", "\n"))
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.round(F.avg(lines), 6).alias("mean_lines"))
+    """Paragraphs of documents as chunks, in two types."""
+    from memlake.operators.corpus import chunk_paragraphs
 
+    docs = table(spark, d, "documents").select(F.struct("doc_id", "lang").alias("k"), F.col("text").alias("content"))
+    chunks = chunk_paragraphs(docs, "k").select(F.col("k.doc_id").alias("file"), F.col("k.lang").alias("language"), F.col("chunk_no").alias("start_line"), F.col("chunk_no").alias("end_line"), F.when(F.col("chunk_no") % 2 == 0, "odd").otherwise("even").alias("chunk_type"))
+    return T.codebase_stats(chunks)
 
-@query(f"with {MEM} select id, case when length(content) > 100 then concat(substr(content, 1, 100), '…') else content end as preview, count(*) over () as total from mem where tag = 'en' and project is not null order by age_minutes desc, id limit 50")
-def f19_distilled_index(spark, d):
-    from memlake.functions.text import preview
 
-    kept = memories(spark, d).where("tag = 'en' and project is not null")
-    return S.page(kept, [F.desc("age_minutes"), "id"], 50, 0).select("id", preview(F.col("content"), 100).alias("preview"), "total")
+@query(f"with {MEM} select id, case when length(content) > 100 then concat(substr(content, 1, 100), '…') else content end as preview, count(*) over () as total from mem where id % 3 = 1 and project = (select min(project) from mem) order by age_minutes desc, id limit 50")
+def f19_distilled_index(spark, d):
+    mem = memories(spark, d)
+    tagged = mem.withColumn("tags", F.when(F.col("id") % 3 == 1, F.array("tag", F.lit("distilled"))).otherwise(F.array("tag")))
+    return T.distilled_index(tagged, 80, project=mem.agg(F.min("project")).first()[0])
 
 
-@query(f"with {MEM}, e as (select doc_id as a, doc_id * 7 % 500 as b from documents), gone as (select id from mem where memory_type = 'fact') select a, b from e where a not in (select id from gone) and b not in (select id from gone)")
-def l9_forget_edges(spark, d):
-    links = table(spark, d, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") * 7 % 500).alias("b"))
-    return S.remove_nodes(links, memories(spark, d).where("memory_type = 'fact'"))
+@query(f"with {MEM}, e as (select doc_id as a, doc_id * 7 % 500 as b from documents), gone as (select id from mem where memory_type = 'fact') select 'edge' as what, a as id, b as other from e where a not in (select id from gone) and b not in (select id from gone) union all select 'row', id, null from mem where id not in (select id from gone)")
+def l9_forget(spark, d):
+    """Rows and edges that are left after forgetting all facts."""
+    links, mem = table(spark, d, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") * 7 % 500).alias("b")), memories(spark, d)
+    rows, edges_ = S.forget(mem, links, mem.where("memory_type = 'fact'"))
+    kept = edges_.select(F.lit("edge").alias("what"), F.col("a").alias("id"), F.col("b").alias("other"))
+    return kept.unionByName(rows.select(F.lit("row").alias("what"), "id", F.lit(None).cast("long").alias("other")))
 
 
-@query("with e as (select user_id, event_id, unnest([event_id % 40, event_id % 40 + 1]) as id from events where event_type <> 'error'), ok as (select distinct e.event_id, e.user_id, e.id from e join documents d on d.doc_id = e.id where d.doc_id % 3 = 0) select event_id, user_id, array_to_string(list_sort(list(id)), ',') as ids, count(*) as n from ok group by 1, 2")
+@query("""with e as (select event_id, ts, [event_id % 40, event_id % 40 + 1] as ids, [event_id % 40, event_id % 7, event_id % 40 + 1] as trail, case when event_type = 'purchase' then 'seen' end as evidence from events where event_type <> 'error'),
+ s as (select doc_id as id from documents where doc_id % 3 = 0), g as (select doc_id as id from documents where doc_id % 5 = 0),
+ r as (select event_id, ts, evidence, list_filter(ids, lambda x: x in (select id from s)) as ids, list_filter(trail, lambda x: x in (select id from s)) as trail from e),
+ k as (select event_id, evidence, array_to_string(ids, ',') as ids, array_to_string(trail, ',') as trail, len(list_filter(ids, lambda x: x in (select id from g))) > 0 as expired, len(trail) > 1 as multi_hop, ts from r where len(ids) > 0 and len(trail) > 1 and evidence is not null)
+ select event_id, evidence, ids, trail, expired, multi_hop, count(*) over () as total, count(*) over () > 110 as truncated from k order by ts desc, event_id desc limit 100 offset 10""")
 def f17_association_records(spark, d):
-    """Retrieval events with the ids the caller may see; those without any drop out."""
-    log = table(spark, d, "events").where("event_type != 'error'").select("event_id", "user_id", F.explode(F.array(F.col("event_id") % 40, F.col("event_id") % 40 + 1)).alias("id"))
-    seen = memories(spark, d).where("privacy_level = 'session'").select("id")
-    return log.join(seen, "id", "left_semi").groupBy("event_id", "user_id").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count_distinct("id").alias("n"))
+    """Retrieval events with the ids and steps the caller may see; those without any id drop out."""
+    ids, trail = F.array(F.col("event_id") % 40, F.col("event_id") % 40 + 1), F.array(F.col("event_id") % 40, F.col("event_id") % 7, F.col("event_id") % 40 + 1)
+    evidence = F.when(F.col("event_type") == "purchase", "seen")
+    log = table(spark, d, "events").where("event_type != 'error'").select("event_id", "ts", ids.alias("ids"), trail.alias("trail"), evidence.alias("evidence"))
+    mem = memories(spark, d)
+    out = T.association_records(log, mem.where("privacy_level = 'session'"), mem.where("ttl_days = 0"), 100, 10, multi_hop=True, evidence_only=True)
+    return out.select("event_id", "evidence", F.array_join("ids", ",").alias("ids"), F.array_join("trail", ",").alias("trail"), "expired", "multi_hop", "total", "truncated")
\ No newline at end of file

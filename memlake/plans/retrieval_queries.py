@@ -47,9 +47,14 @@ def r3_recall_semantic(spark, d):
 
 @query()
 def r10_search_chunks(spark, d):
-    text = F.regexp_replace("html", "<[^>]*>", "\n\n")
-    chunks = C.chunk_paragraphs(table(spark, d, "pages").select("page_id", text.alias("content")), "page_id")
-    return A.bm25(asked(spark, d), chunks.select(F.struct("page_id", "chunk_no").alias("id"), "content"), 5).select("qid", "id.*", "rank", "score")
+    chunks = C.chunk_paragraphs(table(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "\n\n").alias("content")), "page_id")
+    return A.search_chunks(asked(spark, d), chunks.select(F.struct("page_id", "chunk_no").alias("id"), "content"), 5).select("qid", "id.*", "rank", "score")
+
+
+@query("select doc_id as id, row_number() over (order by doc_id desc) as rank from documents order by doc_id desc limit 20")
+def r10_newest_chunks(spark, d):
+    """Without keywords the newest chunks come first."""
+    return A.newest_chunks(memories(spark, d).withColumn("at", F.col("age_minutes")), "at", 20).select("id", "rank")
 
 
 CONTEXTS = "select item_id as qid, split_part(text, '. ', 1) as text from benchmark"

@@ -84,9 +84,14 @@ def l5_archive_expired(spark, d):
     return stays.select("id", F.lit("active").alias("place")).unionByName(moves.select("id", F.lit("archive").alias("place")))
 
 
-@query(f"with {MEM} select id, count(*) over () as matched from mem where tag = 'en' and age_minutes >= 100 order by age_minutes desc, id limit 30")
+@query(f"""with {MEM}, t as (select id from mem where tag = 'en' and age_minutes >= 100), g as (select id from t join mem using (id) order by age_minutes desc, id limit 30)
+ select case when id in (select id from g) then 'archive' else 'active' end as place, count(*) as rows, min(id) as first, (select count(*) from t) as matched, (select count(*) from g) as archived, 0 as dry from mem group by 1""")
 def l6_archive_by_tag(spark, d):
-    return L.archive_by_tag(memories(spark, d), "en", 100, 30)
+    """Both sides after the move; ``dry`` counts what a dry run moved."""
+    active, archive, report = L.archive_by_tag(memories(spark, d), "en", 100, 30)
+    dry = L.archive_by_tag(memories(spark, d), "en", 100, 30, dry_run=True)[1].agg(F.count("*").cast("int").alias("dry"))
+    sides = active.select("id", F.lit("active").alias("place")).unionByName(archive.select("id", F.lit("archive").alias("place")))
+    return sides.groupBy("place").agg(F.count("*").alias("rows"), F.min("id").alias("first")).join(F.broadcast(report)).join(F.broadcast(dry))
 
 
 @query(f"with {MEM}, a as (select * from mem where {GONE}) select id, ttl_days, age_minutes, 'active' as place from mem where not {GONE} union all select id, 30, 0, 'active' from a where id % 5 = 1 union all select id, ttl_days, age_minutes, 'archive' from a where id % 5 <> 1")
