@@ -42,6 +42,8 @@ EXPLICIT = ["请", "麻烦", "帮我", "记忆", "记录", "信息", "关于", "
 NOISE = r"(?s)^$|^[#>]|^```|^\|.*\||\|.*\|$|^[-*_ ]{3,}$"
 LINK, EDGE_MARKS = r"\[[^\]]*\]\([^)]*\)", r" \t：:，,、\"'“”‘’「」《》（(【\[。．.！!？?；;）)】\]"
 QUESTION_CHAIN, HARD_STOP = None, "[。！!；;\n]"
+#: CJK characters that carry grammar, not content (our choice).
+FUNCTION_CHARACTERS = "的了是在和与也就都而及着过吗呢吧啊这那我你他她它们"
 MENTION = r"[a-z0-9_.-]*[a-z0-9_-]"
 
 
@@ -115,14 +117,18 @@ def forget_target(text: Column) -> Column:
 
 # Tags that an author puts before a statement, and the kinds they name.
 DECLARED = {"决策": "decision", "决定": "decision", "约束": "constraint", "偏好": "preference", "结论是": "conclusion", "结论": "conclusion"}
+# Words of plans, and words of what is done; a conclusion with the first and none of the second is no conclusion.
+PLANNED = ["接下来", "下一步", "我要", "待确认", "待验证", "还需要", "准备", "打算", "将要"]
+DONE = ["已完成", "已确认", "已验证", "已修复", "结论是", "因此", "所以", "说明", "表明"]
 DECLARATION = rf"(?s)^\s*[-*+]*\s*({'|'.join(DECLARED)})\s*[：:]+\s*(.*)$"
 
 
 def explicit_kind(text: Column) -> Column:
-    """The kind that a tag at the start declares, null without one; a conclusion that only narrates is a fact."""
+    """The kind that a tag at the start declares, null without one; a conclusion that only plans is a fact."""
     kinds = F.create_map(*[F.lit(x) for kv in DECLARED.items() for x in kv])
     kind = F.try_element_at(kinds, F.regexp_extract(text, DECLARATION, 1))
-    return F.when((kind == "conclusion") & is_process_narration(F.regexp_extract(text, DECLARATION, 2)), "fact").otherwise(kind)
+    body = F.regexp_extract(text, DECLARATION, 2)
+    return F.when((kind == "conclusion") & has_any(body, PLANNED) & ~has_any(body, DONE), "fact").otherwise(kind)
 
 
 def proper_nouns(text: Column) -> Column:
@@ -150,12 +156,12 @@ def split_sentences(text: Column) -> Column:
 
 
 def content_words(text: Column) -> Column:
-    """Distinct ASCII words of two characters or more, and pairs of neighbouring CJK characters."""
+    """Distinct ASCII words of two characters or more, and pairs of neighbouring CJK characters without function characters."""
     low = F.lower(text)
     words = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), 0), lambda w: F.length(w) >= 2)
     runs = F.filter(F.regexp_extract_all(low, F.lit("[一-鿿]+"), 0), lambda r: F.length(r) >= 2)
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.array_distinct(F.concat(words, pairs))
+    return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: ~p.rlike(f"[{FUNCTION_CHARACTERS}]"))))
 
 
 def head_text(text: Column, n: int = 40) -> Column:

@@ -53,6 +53,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1))
 
 
+def text_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the character pairs of two texts; where neither has any, 1 for equal trimmed texts, else 0."""
+    x, y = char_bigrams(a), char_bigrams(b)
+    none = (F.size(x) == 0) & (F.size(y) == 0)
+    return F.when(none, (F.trim(a) == F.trim(b)).cast("double")).otherwise(jaccard(x, y))
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets of content words; 0 where either is empty or null."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), jaccard(a, b)).otherwise(0.0)
@@ -110,6 +117,11 @@ def scope_of(user: Column, session: Column) -> Column:
     return F.when(session.isNotNull(), "session").when(user.isNotNull(), "user").otherwise("none")
 
 
+def scope_at_ingest(user: Column, session: Column) -> Column:
+    """As ``scope_of``, but what comes in without an owner is for everyone."""
+    return F.when(session.isNotNull(), "session").when(user.isNotNull(), "user").otherwise("global")
+
+
 def importance_from_score(score: Column) -> Column:
     return F.round(F.least(F.greatest(4 + score, F.lit(3.0)), F.lit(9.0))).cast("int")
 
@@ -122,3 +134,15 @@ def cosine(a: Column, b: Column) -> Column:
     """Null where the dimensions differ or a norm is zero."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norm > 0), F.least(F.greatest(dot(a, b) / norm, F.lit(-1.0)), F.lit(1.0)))
+
+
+def l2_normalise(v: Column) -> Column:
+    """The vector at length 1; null for a zero one."""
+    norm = F.sqrt(dot(v, v))
+    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+
+
+def cosine_decentred(a: Column, b: Column, mean: Column) -> Column:
+    """The cosine after the common mean was taken off both; null where the dimensions differ or nothing is left."""
+    off = lambda v: F.zip_with(v, mean, lambda x, m: x.cast("double") - m)
+    return F.when((F.size(a) == F.size(mean)) & (F.size(b) == F.size(mean)), cosine(off(a), off(b)))

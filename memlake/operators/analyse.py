@@ -96,6 +96,16 @@ def postings(docs: DataFrame) -> DataFrame:
     return tokens.select("id", "length", F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
+def term_stats(index: DataFrame) -> DataFrame:
+    """term, df of an index of postings."""
+    return index.groupBy("term").agg(F.count_distinct("id").alias("df"))
+
+
+def append_postings(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """The index with the documents that it lacks; those it has stay as they are."""
+    return index.unionByName(postings(docs.join(index.select("id").distinct(), "id", "left_anti")))
+
+
 def bm25_points(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """qid, id, points for every query(qid, content) and document that share a term.
 

@@ -41,6 +41,15 @@ def classify_feedback(kind: Column) -> Column:
     return F.when(k.isin("positive", "purchase", "click"), "positive").when(k.isin("negative", "error"), "negative").otherwise("neutral")
 
 
+#: What feedback may be about, by the name that callers send; anything else is about a result.
+TARGETS = {"synthesis": "synthesis_quality", "quarantine_override": "quarantine_override", "isolate": "isolate_memory", "confirm_action": "confirm_action", "cancel_action": "cancel_action", "association": "association_relevance"}
+
+
+def feedback_target(name: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in TARGETS.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, name), F.lit("retrieval_result"))
+
+
 def association_feedback(log: DataFrame, by: str, kind: str) -> DataFrame:
     """Counts per edge or record, and (positive - negative) / n."""
     k = classify_feedback(F.col(kind))

@@ -93,18 +93,26 @@ def remember(incoming: DataFrame, existing: DataFrame, t: float, scope: list[str
     return existing.sparkSession.read.parquet(path), counts.join(F.broadcast(failed))
 
 
-def duplicate_groups(mem: DataFrame, t: float, limit: int = 50) -> DataFrame:
-    """The largest groups of near duplicates: label (smallest id), members, best similarity.
+def duplicate_groups(mem: DataFrame, t: float, limit: int = 50, max_scan: int = 0) -> DataFrame:
+    """The largest groups of near duplicates: label (smallest id), members, best similarity, preview; scanned, total, truncated.
 
     Every row counts, exact copies of a word set too (similarity 1), and a
     group may consist of those alone.  Rows without words are in no group.
+    The preview is the head of the label's row.  ``max_scan`` above 0 looks at
+    so many rows (the smallest ids) only; ``total`` counts the groups found.
     """
-    pairs = checkpointed(near_dup_pairs(mem, t))
+    rows = mem.orderBy("id").limit(max_scan) if max_scan > 0 else mem
+    pairs = checkpointed(near_dup_pairs(rows, t))
     label = components(pairs.select("a", "b"))
     near = pairs.join(label, pairs["a"] == label["u"]).groupBy("label").agg(F.max("similarity").alias("near"))
-    held = class_sizes(mem).join(label, F.col("id") == F.col("u"), "left").withColumn("label", F.coalesce("label", "id"))
+    held = class_sizes(rows).join(label, F.col("id") == F.col("u"), "left").withColumn("label", F.coalesce("label", "id"))
     groups = held.groupBy("label").agg(F.sum("copies").alias("members"), F.max(F.when(F.col("copies") > 1, 1.0)).alias("same")).where("members > 1")
-    return groups.join(near, "label", "left").select("label", "members", F.greatest("near", "same").alias("best")).orderBy(F.desc("members"), "label").limit(limit)
+    found = checkpointed(groups.join(near, "label", "left").select("label", "members", F.greatest("near", "same").alias("best")))
+    counts = rows.agg(F.count("*").alias("scanned")).join(F.broadcast(found.agg(F.count("*").alias("total"))))
+    top = found.orderBy(F.desc("members"), "label").limit(limit)
+    heads = rows.select(F.col("id").alias("label"), X.preview(F.col("content"), 200).alias("preview"))
+    shown = top.join(heads, "label").join(F.broadcast(counts)).withColumn("truncated", F.col("total") > limit)
+    return shown.orderBy(F.desc("members"), "label")
 
 
 def split_by(mem: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:

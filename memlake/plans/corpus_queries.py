@@ -51,7 +51,7 @@ def clauses(col: str) -> str:
 def declared(col: str) -> str:
     kinds = " ".join(f"when '{k}' then '{v}'" for k, v in R.DECLARED.items())
     tag, body = (f"regexp_extract({col}, {lit(R.DECLARATION)}, {i})" for i in (1, 2))
-    return f"(case when {tag} in ('结论是', '结论') and {narration(body)} then 'fact' else case {tag} {kinds} end end)"
+    return f"(case when {tag} in ('结论是', '结论') and {has(body, R.PLANNED)} and not {has(body, R.DONE)} then 'fact' else case {tag} {kinds} end end)"
 
 
 PROPER = r"least(contains(sentence, '`')::int + ((contains(sentence, '/') or contains(sentence, '\')) and contains(sentence, '.'))::int + regexp_matches(sentence, '(?:^|[^\p{L}\p{N}])[A-Z]')::int, 2)"

@@ -84,6 +84,18 @@ def g9_ingest_edges(spark, d):
     return G.ingest_edges(incoming, memories(spark, d).where("memory_type != 'synthesis'"))
 
 
+@query(f"""with {MEM}, e as (select doc_id as a, doc_id * 7 % 500 as b, case doc_id % 4 when 0 then '{G.LOGICAL[0]}' when 1 then '{G.LOGICAL[2]}' when 2 then 'likes' else '{G.LOGICAL[4]}' end as relation from documents), alive as (select id from mem where memory_type <> 'synthesis'),
+ ok as (select a, b, relation, 1.0::double as weight, 1 as n from e where a <> b and relation <> 'likes' and a in (select id from alive) and b in (select id from alive) union all select doc_id, doc_id * 7 % 500, '{G.LOGICAL[2]}', 0.5, 0 from documents where doc_id % 8 = 1),
+ t as (select case when relation = 'coordinate' then least(a, b) else a end as a, case when relation = 'coordinate' then greatest(a, b) else b end as b, relation, weight, n from ok where a <> b) select a, b, relation, arg_min(weight, n) as weight from t group by 1, 2, 3""")
+def g9_accept_edges(spark, d):
+    """External edges that are good, with those that were stored before."""
+    kind = F.when(F.col("doc_id") % 4 == 0, G.LOGICAL[0]).when(F.col("doc_id") % 4 == 1, G.LOGICAL[2]).when(F.col("doc_id") % 4 == 2, "likes").otherwise(G.LOGICAL[4])
+    docs, b = table(spark, d, "documents"), (F.col("doc_id") * 7 % 500).alias("b")
+    verdicts = G.ingest_edges(docs.select(F.col("doc_id").alias("a"), b, kind.alias("relation")), memories(spark, d).where("memory_type != 'synthesis'"))
+    stored = docs.where("doc_id % 8 = 1").select(F.col("doc_id").alias("a"), b, F.lit(G.LOGICAL[2]).alias("relation"), F.lit(0.5).alias("weight"))
+    return G.accept_edges(verdicts, stored)
+
+
 @query("with s as (select user_id, (value % 100) / 100.0 as score from events), r as (select *, row_number() over (partition by user_id order by score desc) as r from s), t as (select user_id, max(score) as top, coalesce(max(score) filter (where r = 2), 0) as nxt, list(score) as s from r where r <= 3 group by 1), c as (select *, case when top >= 0.85 and round(top - nxt, 9) >= 0.2 then 'contract' when round(top - nxt, 9) >= 0.15 then 'single' else 'branch' end as decision from t) select user_id, decision, case when decision = 'branch' then greatest(len(list_filter(s, lambda x: x >= 0.8 * top)), 2) else 1 end::int as width from c")
 def g10_decide_branch(spark, d):
     return G.decide_branch(table(spark, d, "events").select("user_id", (F.col("value") % 100 / 100.0).alias("score")), "user_id", "score")

@@ -68,7 +68,7 @@ def windowed(spark, d):
 
 @query()
 def r4_recall_deep(spark, d):
-    q = M.embed(asked(spark, d).select((-1 - F.col("qid")).alias("id"), F.substring("content", 1, 160).alias("content")), letters)
+    q = M.embed(asked(spark, d).select((-1 - F.col("qid")).alias("id"), F.explode(X.windows(F.col("content"))).alias("content")), letters)
     return Q.recall_deep(q, windowed(spark, d), live(spark, d), 10, 64).select((-1 - F.col("qid")).alias("qid"), "id", "rank", "score")
 
 

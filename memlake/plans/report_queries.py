@@ -56,6 +56,13 @@ def f20_a12_feedback(spark, d):
     return R.association_feedback(table(spark, d, "events"), "user_id", "event_type").withColumn("score", F.round("score", 6))
 
 
+@query("""select event_type, case event_id % 5 when 0 then 'association_relevance' when 1 then 'isolate_memory' else 'retrieval_result' end as target, case when event_type in ('purchase', 'click') then 'positive' when event_type = 'error' then 'negative' else 'neutral' end as kind, count(*) as n from events group by all""")
+def f20_classify_feedback(spark, d):
+    sent = F.when(F.col("event_id") % 5 == 0, "association").when(F.col("event_id") % 5 == 1, "isolate").when(F.col("event_id") % 5 == 2, "what")
+    told = table(spark, d, "events").select("event_type", R.feedback_target(sent).alias("target"), R.classify_feedback(F.col("event_type")).alias("kind"))
+    return told.groupBy("event_type", "target", "kind").agg(F.count("*").alias("n"))
+
+
 @query("with w as (select row_number() over (order by item_id desc) as pos, item_id as id from benchmark) select pos, id, text from w join documents on doc_id = id")
 def j1_lookup(spark, d):
     wanted = table(spark, d, "benchmark").agg(F.sort_array(F.collect_list("item_id"), False).alias("ids")).select(F.posexplode("ids").alias("p", "id"))  # one request: a list of ids
@@ -267,9 +274,8 @@ def l9_forget(spark, d):
 
 
 @query("""with e as (select event_id, ts, [event_id % 40, event_id % 40 + 1] as ids, [event_id % 40, event_id % 7, event_id % 40 + 1] as trail, case when event_type = 'purchase' then 'seen' end as evidence from events where event_type <> 'error'),
- s as (select doc_id as id from documents where doc_id % 3 = 0), g as (select doc_id as id from documents where doc_id % 5 = 0),
- r as (select event_id, ts, evidence, list_filter(ids, lambda x: x in (select id from s)) as ids, list_filter(trail, lambda x: x in (select id from s)) as trail from e),
- k as (select event_id, evidence, array_to_string(ids, ',') as ids, array_to_string(trail, ',') as trail, len(list_filter(ids, lambda x: x in (select id from g))) > 0 as expired, len(trail) > 1 as multi_hop, ts from r where len(ids) > 0 and len(trail) > 1 and evidence is not null)
+ r as (select event_id, ts, evidence, list_filter(ids, lambda x: x % 3 = 0) as ids, list_filter(trail, lambda x: x % 3 = 0) as trail from e),
+ k as (select event_id, evidence, array_to_string(ids, ',') as ids, array_to_string(trail, ',') as trail, len(list_filter(ids, lambda x: x % 5 = 0)) > 0 as expired, len(trail) > 1 as multi_hop, ts from r where len(ids) > 0 and len(trail) > 1 and evidence is not null)
  select event_id, evidence, ids, trail, expired, multi_hop, count(*) over () as total, count(*) over () > 110 as truncated from k order by ts desc, event_id desc limit 100 offset 10""")
 def f17_association_records(spark, d):
     """Retrieval events with the ids and steps the caller may see; those without any id drop out."""

@@ -34,6 +34,13 @@ def c10_postings(spark, d):
     return A.postings(memories(spark, d))
 
 
+@query(f"with t as (select distinct doc_id as id, unnest({WORDS_SQL}) as term from documents) select term, count(*) as df from t group by 1")
+def c10_term_stats(spark, d):
+    """Of an index to which a third of the documents were appended, some of them for the second time."""
+    mem = memories(spark, d)
+    return A.term_stats(A.append_postings(A.postings(mem.where("id % 3 != 0")), mem.where("id % 3 != 1")))
+
+
 @query()
 def j11_near_dup_pairs_lsh(spark, d):
     return A.near_dup_pairs_lsh(memories(spark, d))

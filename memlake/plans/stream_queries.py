@@ -61,6 +61,14 @@ def k7_daily_cap(spark, d):
     return table(spark, d, "events").withColumn("n", rank).where("n <= 3").select("user_id", "event_id")
 
 
+@query(f"with r as (select user_id, epoch_us(ts) as seq, row_number() over (partition by user_id, {DAY} order by ts, event_id) as n from events) select user_id, seq from r where n <= 3")
+def k7_daily_cap_stream(spark, d):
+    """The stream's own form, over all events as candidates."""
+    ts = F.col("ts")
+    rows = events_stream(spark, d).select("user_id", F.unix_micros(ts).alias("seq"), F.date_format(ts, "yyyy-MM-dd").alias("day"), F.col("event_type").alias("category"), F.lit("candidate").alias("kind"))
+    return K.run_available(K.daily_cap_stream(rows), "daily-cap", "append").select("user_id", "seq")
+
+
 @query("with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 2 hours then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id, min(ts) as start, count(*) as size from s group by user_id, s")
 def k9_session_events(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

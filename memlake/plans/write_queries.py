@@ -73,7 +73,14 @@ def l1_merge_into(spark, d):
     return out.withColumn("tags", F.array_join("tags", ",")).withColumn("entities", F.array_join("entities", ",")).withColumn("kept", F.size("history")).drop("history", "updated")
 
 
-@query(r"with recursive s as (select list_sort(list_filter(" + WORDS + r", lambda w: true)) as s, min(doc_id) as id from documents group by 1), w as (select id, unnest(s) as w from s), c as (select x.id as a, y.id as b, count(*) as common from w x join w y on x.w = y.w and x.id < y.id group by 1, 2), j as (select a, b, common / (len(x.s) + len(y.s) - common) as similarity from c join s x on x.id = a join s y on y.id = b where common / (len(x.s) + len(y.s) - common) >= 0.85), n as (select a as u, b as v from j union select b, a from j), r as (select distinct u, u as v from n union select r.u, n.v from r join n on r.v = n.u), l as (select u, min(v) as label from r group by 1) select l.label, count(distinct l.u) as members, round(max(j.similarity), 6) as best from l join j on j.a = l.u or j.b = l.u group by 1 order by members desc, label limit 50")
+@query(f"""with recursive s as (select list_sort(list_distinct({WORDS})) as s, min(doc_id) as id, count(*) as copies from documents group by 1), w as (select id, unnest(s) as w from s),
+ c as (select x.id as a, y.id as b, count(*) as common from w x join w y on x.w = y.w and x.id < y.id group by 1, 2),
+ j as (select a, b, common / (len(x.s) + len(y.s) - common) as similarity from c join s x on x.id = a join s y on y.id = b where common / (len(x.s) + len(y.s) - common) >= 0.85),
+ n as (select a as u, b as v from j union select b, a from j), r as (select distinct u, u as v from n union select r.u, n.v from r join n on r.v = n.u), l as (select u, min(v) as label from r group by 1),
+ g as (select coalesce(label, id) as label, sum(copies)::bigint as members, max(case when copies > 1 then 1.0 end) as same from s left join l on u = id where len(s) > 0 group by 1), b as (select label, max(similarity) as near from j join l on u = a group by 1),
+ k as (select label, members, round(greatest(same, near), 6)::double as best from g left join b using (label) where members > 1)
+ select label, members, best, case when length(text) > 200 then concat(substr(text, 1, 200), '…') else text end as preview, (select count(*) from documents) as scanned, (select count(*) from k) as total, (select count(*) from k) > 50 as truncated
+ from k join documents on doc_id = label order by members desc, label limit 50""")
 def l3_duplicate_groups(spark, d):
     return L.duplicate_groups(memories(spark, d), 0.85).withColumn("best", F.round("best", 6))
 
