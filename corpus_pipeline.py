@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their ids, sequence and offset; a null text is empty and holds the end id alone."""
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END, SEQUENCE, drops_space=True)
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END, SEQUENCE, drops_space=True, numbered=True)
     return packing.pack(pieces, SEQUENCE).withColumn("ids_crc32", F.crc32("ids"))
 
 

@@ -51,12 +51,28 @@ def plan_packs(histogram: dict[int, int], size: int) -> pd.DataFrame:
     return pd.DataFrame(rules, columns=["length", "lo", "count", "base", "offset"]).astype("int64")
 
 
-def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, drops_space: bool) -> DataFrame:
+def _number(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Adds each piece's task and its rank among the task's pieces of that length."""
+    part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+    for batch in batches:
+        length = batch.column("length").to_numpy(zero_copy_only=False)
+        order = np.argsort(length, kind="stable")
+        ordered, rank = length[order], np.empty(len(length), np.int64)
+        rank[order] = np.arange(len(length)) - np.searchsorted(ordered, ordered) + seen[ordered]
+        seen += np.bincount(length, minlength=size + 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], [*batch.schema.names, *_NUMBERED])
+
+
+_NUMBERED = ("__part", "__rank")
+
+
+def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, drops_space: bool, numbered: bool = False) -> DataFrame:
     """Every whole text's ids, then the end id, cut into pieces of at most ``size``.
 
     Returns doc_id, start, length, doc_tokens and ids (uint32, little-endian).
     A null text is empty and makes one piece that holds the end id.  Rows that
-    repeat a doc_id make their own pieces each.
+    repeat a doc_id make their own pieces each.  ``numbered`` also counts them
+    in the same pass, for ``pack``, which then must get all of them.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +91,9 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, d
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row + which)), pa.array(start), pa.array(length), pa.array(n[which]), pa.Array.from_buffers(pa.binary(), len(which), [None, bounds, values])], ["doc_id", "start", "length", "doc_tokens", "ids"])
                 row += len(n)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    schema = "doc_id long, start long, length long, doc_tokens long, ids binary" + (", __part int, __rank long" if numbered else "")
+    run = (lambda batches: _number(cut(batches), size)) if numbered else cut
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 #: Parts into which the pieces of one length and written partition are dealt when they meet their first rank.
@@ -92,20 +110,12 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     share is spread over all partitions, and no partition is sorted.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    schema = pieces.schema
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            order = np.argsort(length, kind="stable")
-            ordered, rank = length[order], np.empty(len(length), np.int64)
-            rank[order] = np.arange(len(length)) - np.searchsorted(ordered, ordered) + seen[ordered]
-            seen += np.bincount(length, minlength=size + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], [*schema.names, "__part", "__rank"])
-
-    numbered = StructType([*schema.fields, StructField("__part", IntegerType()), StructField("__rank", LongType())])
-    held = materialise(pieces.mapInArrow(number, numbered), "pieces")
+    if set(_NUMBERED) <= set(pieces.columns):
+        held = materialise(pieces, "pieces")
+    else:
+        fields = [*pieces.schema.fields, StructField("__part", IntegerType()), StructField("__rank", LongType())]
+        held = materialise(pieces.mapInArrow(lambda batches: _number(batches, size), StructType(fields)), "pieces")
+    schema = pieces.drop(*_NUMBERED).schema
     counts = held.groupBy("length", "__part").agg(F.count("*").alias("__n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most `size` rows
     rules = plan_packs(histogram, size).sort_values(["length", "lo"])

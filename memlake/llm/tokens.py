@@ -23,8 +23,8 @@ import pyarrow as pa
 
 from . import wordbatch as wb
 
-#: Distinct chunks that a worker remembers; beyond it starts anew (about 100 MB).
-MEMO = 2_000_000
+#: Distinct chunks that a worker remembers; beyond it starts anew (about 50 MB).
+MEMO = 1_000_000
 #: Bytes of text encoded together.
 WINDOW = 2 << 20
 
