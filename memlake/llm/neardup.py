@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbatch as wb
-from .tables import materialise, release
+from .tables import materialise, release, tidy
 
 #: A pair of similarity 0.8 shares no key with probability (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
@@ -136,7 +136,7 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array(counts.astype(np.int64)), *columns], ["doc_id", "n_shingles", "set_key", "keys", "sketch"])
                 row += n
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary")
+    return documents.mapInArrow(tidy(run), "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary")
 
 
 #: Bits of the filter that spares documents outside all pairs; its megabyte is all that is broadcast.
@@ -167,7 +167,7 @@ def shingle_sets(documents: DataFrame, width: int, wanted: DataFrame) -> DataFra
                 row += len(counts)
 
     some = documents.where("doc_id is not null").select("doc_id", "text", spot.alias("spot"))
-    return some.mapInArrow(run, "doc_id long, n_shingles long, shingles binary").where("n_shingles > 0")
+    return some.mapInArrow(tidy(run), "doc_id long, n_shingles long, shingles binary").where("n_shingles > 0")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,7 +186,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = slim.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"), F.col("n_shingles").alias("nx"))
     y = slim.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"), F.col("n_shingles").alias("ny"))
     both = pairs.join(x, "a").join(y, "b").where((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _linked(near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _near(pairs: DataFrame, marks: DataFrame, most: int) -> DataFrame:
             keep = np.bitwise_count(x ^ y).sum(axis=1) <= most
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _apart(buckets: DataFrame, marks: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -265,7 +265,7 @@ def _apart(buckets: DataFrame, marks: DataFrame, labels: DataFrame, most: int) -
             if near.any():
                 yield from cell.select(["key", "p", "q", "doc_id", "label", "side"]).filter(pa.array(near)).combine_chunks().to_batches()
 
-    return _by_cell(members).mapInArrow(run, _MEMBER)
+    return _by_cell(members).mapInArrow(tidy(run), _MEMBER)
 
 
 _MEMBER = "key long, p int, q int, doc_id long, label long, side int"
@@ -373,7 +373,7 @@ def _bridges(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     met = _by_cell(near.join(sets.select("doc_id", "shingles"), "doc_id").select("key", "p", "q", "doc_id", "label", "side", "shingles"))
-    links = materialise(met.mapInArrow(run, "a long, b long"), "bridges")
+    links = materialise(met.mapInArrow(tidy(run), "a long, b long"), "bridges")
     release(near, sets)
     return links
 

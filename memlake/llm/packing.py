@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .tables import materialise
+from .tables import materialise, tidy
 from .tokens import encoder
 
 
@@ -93,7 +93,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, d
 
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary" + (", __part int, __rank long" if numbered else "")
     run = (lambda batches: _number(cut(batches), size)) if numbered else cut
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)
 
 
 #: Parts into which the pieces of one length and written partition are dealt when they meet their first rank.
@@ -135,4 +135,4 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*schema.names, "sequence_id", "offset"])
 
     placed = StructType([*schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.select(*schema.names, "__rank").mapInArrow(place, placed)
+    return ranked.select(*schema.names, "__rank").mapInArrow(tidy(place), placed)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import wordbatch as wb
-from .tables import materialise
+from .tables import materialise, tidy
 
 DIM = 64
 #: Units with a vector: the most frequent of the fitting sample.
@@ -243,7 +243,7 @@ def with_score(documents: DataFrame, model: Model | None, text_col: str = "text"
                 scores = np.concatenate([np.zeros(0), *(m.score(x.astype(np.float64)) for x in pool(batch.column(text_col), m.table, m.vectors))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*names, name])
 
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(name, DoubleType())]))
+    return rest.mapInArrow(tidy(run), StructType([*rest.schema.fields, StructField(name, DoubleType())]))
 
 
 def score(documents: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

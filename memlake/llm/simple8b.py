@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import shuffle_width
+from .tables import shuffle_width, tidy
 from .tokens import encoder
 
 #: Fixed values of the code: how many ids of how many bits each selector packs.
@@ -213,7 +213,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("spot"))
         .repartitionByRange(shuffle_width(documents.sparkSession), "doc_id", "spot")  # rows of one id may fill several ranges
         .sortWithinPartitions("doc_id", "spot", "text")
-        .mapInArrow(encode, SEGMENTS)
+        .mapInArrow(tidy(encode), SEGMENTS)
         .write.option("compression", "zstd")
         .parquet(path)
     )

@@ -26,7 +26,9 @@ from . import wordbatch as wb
 #: Distinct chunks that a worker remembers; beyond it starts anew (about 50 MB).
 MEMO = 1_000_000
 #: Bytes of text encoded together.
-WINDOW = 2 << 20
+WINDOW = 1 << 20
+#: Chunks handed to the library at once; its objects are about a hundred times as large as a chunk.
+TOGETHER = 4096
 
 # Classes of bytes: a cut within a word needs two different ones of the first three.
 _OTHER, _LETTER, _DIGIT, _MARK, _APOSTROPHE = range(5)
@@ -123,8 +125,10 @@ class ChunkEncoder:
     def _learn(self, data, keys, starts, ends) -> None:
         """Encode chunks that the memo lacks; ``keys`` ascend."""
         raw = data.tobytes()
-        texts = [raw[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = []
+        for i in range(0, len(starts), TOGETHER):
+            texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[i : i + TOGETHER].tolist(), ends[i : i + TOGETHER].tolist(), strict=True)]
+            got += [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         n = int(lengths.sum())
         while self.filled + n > len(self.ids):
