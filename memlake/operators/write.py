@@ -216,16 +216,44 @@ def quarantine(synthesis: DataFrame, hits: DataFrame, least: int = 3, below: flo
     return synthesis.select("id").join(poor, "id")
 
 
+def quarantine_move(mem: DataFrame, poor: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that stay, and the quarantined ones with hits, mean and quarantined_at = ``now``.
+
+    ``poor`` is what ``quarantine`` found; ids it doesn't name, null ones too, stay.
+    """
+    named = poor.select("id", "hits", "mean").dropDuplicates(["id"])
+    return mem.join(named.select("id"), "id", "left_anti"), mem.drop("hits", "mean").join(named, "id").withColumn("quarantined_at", now)
+
+
+def purge_observed(archive: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """The archive without rows whose observation of ``days`` is over; rows that aren't in quarantine stay."""
+    return archive.where(F.col("quarantined_at").isNull() | (F.col("quarantined_at") + F.expr(f"interval {int(days)} days") > now))
+
+
 def unfold(links: DataFrame) -> DataFrame:
     """Sources of each derived row (a, b) with equal weights."""
     n = F.count("*").over(W.partitionBy("a"))
     return links.select("a", "b", (1 / n).alias("weight"))
 
 
-def backfill_derived(rows: DataFrame, version: int, derive: dict[str, Column]) -> DataFrame:
-    """Derived columns renewed where the row's version is older; other rows pass unchanged."""
+def backfill_derived(rows: DataFrame, version: int, derive: dict[str, Column], offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Derived columns renewed where the row's version is older; other rows pass unchanged.
+
+    With a ``limit`` only the ids at ``offset``.. in ascending order are
+    renewed: batches that cover all ids add up to the full run, which alone
+    renews rows without an id.  Asking again changes nothing.
+    """
     stale = F.coalesce(F.col("derived_version") < version, F.lit(True))
+    if limit is not None:
+        batch = rows.select("id").where("id is not null").distinct().orderBy("id").offset(offset).limit(limit)
+        rows = rows.join(batch.withColumn("__asked", F.lit(True)), "id", "left")
+        stale = stale & F.coalesce(F.col("__asked"), F.lit(False))
     out = rows.withColumn("__stale", stale)
     for name, value in derive.items():
         out = out.withColumn(name, F.when(F.col("__stale"), value).otherwise(F.col(name)))
-    return out.withColumn("derived_version", F.when(F.col("__stale"), version).otherwise(F.col("derived_version"))).drop("__stale")
+    return out.withColumn("derived_version", F.when(F.col("__stale"), version).otherwise(F.col("derived_version"))).drop("__stale", "__asked")
+
+
+def backfill_progress(rows: DataFrame, version: int) -> DataFrame:
+    """One row: total, and done, the rows whose derived columns are of that version or a newer one."""
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("derived_version") >= version).alias("done"))
