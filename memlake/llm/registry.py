@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality, simple8b, tokencount, urlrules, vectors, warc
+from . import centroids, grouping, mixing, neardup, packing, quality, simple8b, spelling, tokencount, urlrules, vectors, warc
+from .oracles import SPELLING, centroid_sql
 from .tables import materialise, read_table, scratch_path
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -79,6 +80,20 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derived_rows(warc.read_warc(spark, path))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = grouping.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.centroid_clusters(read_table(spark, sf_dir, "embeddings"), dim=DIM)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_url_filters, op2_token_counts, op3_quality, op4_token_files, op5_exact_topk, op6_mixing, op7_packing, op8_inverted_multi_index, op9_near_dedup, op10_warc_derivatives, pipeline]
+    found = [op1_url_filters, op2_token_counts, op3_quality, op4_token_files, op5_exact_topk, op6_mixing, op7_packing, op8_inverted_multi_index, op9_near_dedup, op10_warc_derivatives, op11_best_fit_packing, op12_spelling_variants, op13_centroid_clusters, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -129,4 +144,4 @@ from n left join h on n.k = h.k and n.n_shingles > 0 left join m on m.doc_id = h
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op12_spelling_variants": SPELLING, "op13_centroid_clusters": centroid_sql()}
