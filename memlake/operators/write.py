@@ -12,18 +12,33 @@ from memlake.storage import checkpointed
 
 
 def merge_into(existing: DataFrame, matched: DataFrame, keep: int = 5) -> DataFrame:
-    """Existing rows after taking in matched ones (target, and the same columns); ``merged`` counts what came in.
-
-    The newest content wins and the contents before it, newest first, are the
-    ``history`` (``keep`` at most, equal neighbours once); ``version`` counts
-    the changes of content.  Tags, entities and source_ids are united (in
-    order), the event is the newest known one, importance the highest, privacy
-    the strictest, creation the earliest; a missing owner or session is
-    filled, none is changed.  Columns that the tables lack are left out.  One
-    shuffle on the target; a target keeps distinct lists and ``keep`` + 1 rows.
+    """Existing rows after taking in matched ones (target, and the same columns), with version, history and merged.
+
+    The newest content wins.  ``history`` holds the contents before it, newest
+    first, those that the row had already included (``keep`` at most, equal
+    neighbours once); ``version`` goes up from the stored one (1 where there
+    is none) by each change of content, ``merged`` by each row taken in.
+    Tags, entities and source_ids are united (in order), the event is the
+    newest known one, importance the highest, privacy the strictest, creation
+    the earliest; a missing owner or session is filled, none is changed.  All
+    other columns of ``existing`` keep its values, and columns that it lacks
+    are left out.  Ids of ``existing`` are unique and not null; a matched row
+    without a target there changes nothing.
+
+    Rows that nothing meets pass by; the others take one shuffle on the
+    target, which keeps distinct lists and ``keep`` + 1 contents.
     """
+    start = {"version": F.lit(1), "history": F.array().cast("array<string>"), "merged": F.lit(0).cast("long")}
+    for name, value in start.items():
+        existing = existing.withColumn(name, F.coalesce(F.col(name), value) if name in existing.columns else value)
+    columns = existing.columns
+    met = existing.select("id").join(matched.select(F.col("target").alias("id")), "id", "left_semi")
+    incoming = matched.drop(*start, *(set(matched.columns) - set(columns) - {"target"}))
+    incoming = incoming.join(met.select(F.col("id").alias("target")), "target", "left_semi")
+    old = existing.join(met, "id", "left_semi").withColumn("target", F.col("id")).withColumn("__new", F.lit(0))
+    every = old.unionByName(incoming.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+
     strict = F.when(F.col("privacy_level") == "session", 0).when(F.col("privacy_level") == "user", 1).otherwise(2)
-    every = existing.withColumn("target", F.col("id")).withColumn("__new", F.lit(0)).unionByName(matched.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     age = F.struct("updated", "__new", "content")
     order = W.partitionBy("target").orderBy("updated", "__new", "content")
     told = every.withColumn("__changed", F.coalesce(F.lag("content").over(order) != F.col("content"), F.lit(False)))
@@ -31,66 +46,125 @@ def merge_into(existing: DataFrame, matched: DataFrame, keep: int = 5) -> DataFr
     last = F.coalesce(F.lead("__changed").over(order), F.lit(False))
     entry = F.when(last & (F.col("__later") <= keep), F.struct((-F.col("__later")).alias("back"), "content"))
     told = told.withColumn("__entry", entry)
-    unite = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-    fill = lambda c: F.coalesce(F.max(F.when(F.col("__new") == 0, F.col(c))), F.max(c)).alias(c)
-    has = set(existing.columns)
-    picked = [unite(c) for c in ("tags", "entities", "source_ids") if c in has] + [fill(c) for c in ("user_id", "session_id") if c in has]
-    if "event_id" in has:
-        picked.append(F.max_by("event_id", F.when(F.col("event_id").isNotNull(), age)).alias("event_id"))
-    history = F.transform(F.reverse(F.array_sort(F.collect_list("__entry"))), lambda x: x["content"])
-    return told.groupBy(F.col("target").alias("id")).agg(
-        F.max_by("content", age).alias("content"), *picked, F.max("importance").alias("importance"), F.min_by("privacy_level", strict).alias("privacy_level"), F.min("created").alias("created"),
-        F.max("updated").alias("updated"), F.sum("__new").alias("merged"), (F.count_if("__changed") + 1).alias("version"), history.alias("history"),
-    )
+
+    stored = F.col("__new") == 0
+    unite = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    fill = lambda c: F.coalesce(F.max(F.when(stored, F.col(c))), F.max(c))
+    fresh = F.transform(F.reverse(F.array_sort(F.collect_list("__entry"))), lambda x: x["content"])
+    rules = {
+        **{c: unite(c) for c in ("tags", "entities", "source_ids")},
+        **{c: fill(c) for c in ("user_id", "session_id")},
+        "event_id": F.max_by("event_id", F.when(F.col("event_id").isNotNull(), age)) if "event_id" in columns else None,
+        "content": F.max_by("content", age),
+        "importance": F.max("importance"),
+        "privacy_level": F.min_by("privacy_level", strict),
+        "created": F.min("created"),
+        "updated": F.max("updated"),
+        "merged": F.max(F.when(stored, F.col("merged"))) + F.sum("__new"),
+        "version": F.max(F.when(stored, F.col("version"))) + F.count_if("__changed").cast("int"),
+        "history": F.slice(F.concat(fresh, F.max(F.when(stored, F.col("history")))), 1, keep),
+    }
+    own = [c for c in columns if c not in rules and c != "id"]
+    picked = [rules[c].alias(c) for c in columns if c in rules]
+    if own:
+        picked.append(F.max_by(F.struct(*own), F.when(stored, 1)).alias("__own"))
+    merged = told.groupBy(F.col("target").alias("id")).agg(*picked)
+    merged = merged.select(*[F.col(f"__own.`{c}`") if c in own else F.col(c) for c in columns])
+    return existing.join(met, "id", "left_anti").select(*columns).unionByName(merged)
 
 
 def best_match(incoming: DataFrame, existing: DataFrame, t: float, scope: list[str]) -> DataFrame:
     """For each new row the most similar existing one of its scope (word Jaccard of t or more): id, target, similarity.
 
     Candidates share one of the rare words that any partner at t must share
-    (prefix filter within the scope); nothing is compared across scopes.
+    (prefix filter within the scope); nothing is compared across scopes.  A
+    null in a scope column is a scope value of its own.
     """
-    words = lambda f: f.select("id", *scope, F.array_distinct(X.tokenize(F.col("content"))).alias("s"))
+    keys = [f"__{i}" for i in range(len(scope))]
+    words = lambda f: f.select("id", *[F.col(c).alias(k) for c, k in zip(scope, keys, strict=True)], F.array_distinct(X.tokenize(F.col("content"))).alias("s"))
     new, old = words(incoming), words(existing)
     df = new.unionByName(old).select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
 
     def prefix(sets: DataFrame, name: str) -> DataFrame:
         mine = W.partitionBy("id")
-        w = sets.select("id", *scope, F.explode("s").alias("w")).join(df, "w").withColumn("place", F.row_number().over(mine.orderBy("df", "w"))).withColumn("n", F.count("*").over(mine))
-        return w.where(F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).select(*scope, "w", F.col("id").alias(name), F.col("n").alias("n_" + name))
-
-    pairs = prefix(new, "new").join(prefix(old, "old"), [*scope, "w"]).where(F.least("n_new", "n_old") >= t * F.greatest("n_new", "n_old") - 1e-9).select("new", "old").distinct()
+        w = sets.select("id", *keys, F.explode("s").alias("w")).join(df, "w").withColumn("place", F.row_number().over(mine.orderBy("df", "w"))).withColumn("n", F.count("*").over(mine))
+        rare = w.where(F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
+        return rare.select(*[F.col(k).alias(k + name) for k in keys], F.col("w").alias("w" + name), F.col("id").alias(name), F.col("n").alias("n_" + name))
+
+    same = F.col("wnew") == F.col("wold")
+    for k in keys:
+        same = same & F.col(k + "new").eqNullSafe(F.col(k + "old"))
+    pairs = prefix(new, "new").join(prefix(old, "old"), same).where(F.least("n_new", "n_old") >= t * F.greatest("n_new", "n_old") - 1e-9).select("new", "old").distinct()
     full = pairs.join(new.select(F.col("id").alias("new"), F.col("s").alias("a")), "new").join(old.select(F.col("id").alias("old"), F.col("s").alias("b")), "old")
     scored = full.withColumn("similarity", X.jaccard(F.col("a"), F.col("b"))).where(F.col("similarity") >= t)
     return scored.groupBy(F.col("new").alias("id")).agg(F.min_by("old", F.struct(-F.col("similarity"), "old")).alias("target"), F.max("similarity").alias("similarity"))
 
 
 def remember_batch(incoming: DataFrame, existing: DataFrame, t: float, scope: list[str]) -> DataFrame:
-    """What becomes of each new row: new, merge into target, or no-op (its content is there already)."""
+    """What becomes of each new row: id, target, outcome.
+
+    ``no_op``: the content stands in the matched row, or in an earlier row of
+    this batch and scope (the first by ``updated``, if there, and id);
+    ``merge`` into the target; ``clash``: it matches nothing, but its id is
+    taken by a stored row; else ``new``.  Ids of ``incoming`` are unique.
+    """
     match = best_match(incoming, existing, t, scope)
     old = existing.select(F.col("id").alias("target"), F.col("content").alias("__old"))
     joined = incoming.join(match, "id", "left").join(old, "target", "left")
-    outcome = F.when(F.col("target").isNull(), "new").when(F.col("__old") == F.col("content"), "no_op").otherwise("merge")
-    return joined.select("id", "target", outcome.alias("outcome"))
+    taken = existing.select("id", F.lit(True).alias("__taken"))
+    order = [*(["updated"] if "updated" in incoming.columns else []), "id"]
+    free = F.col("target").isNull() & F.col("__taken").isNull()
+    alike = W.partitionBy(*scope, "content", free).orderBy(*order)
+    judged = joined.join(taken, "id", "left").withColumn("__first", F.first("id").over(alike))
+    repeated = free & (F.col("__first") != F.col("id"))
+    outcome = F.when(F.col("target").isNotNull() & (F.col("__old") == F.col("content")), "no_op").when(F.col("target").isNotNull(), "merge")
+    outcome = outcome.when(F.col("__taken"), "clash").when(repeated, "no_op").otherwise("new")
+    return judged.select("id", F.when(repeated, F.col("__first")).otherwise(F.col("target")).alias("target"), outcome.alias("outcome"))
+
+
+def sound_rows(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that can be written, and one row with the number of the others.
+
+    Those have no id, no content, or the id of an earlier row of the batch
+    (the first by ``updated``, if there, and content stays).
+    """
+    order = [*(["updated"] if "updated" in incoming.columns else []), "content"]
+    good = F.col("id").isNotNull() & (F.coalesce(F.trim("content"), F.lit("")) != "")
+    place = F.row_number().over(W.partitionBy("id", good).orderBy(*order))
+    marked = incoming.withColumn("__good", good & (place == 1))
+    return marked.where("__good").drop("__good"), marked.agg(F.count_if(~F.col("__good")).alias("failed"))
 
 
-def remember(incoming: DataFrame, existing: DataFrame, t: float, scope: list[str], path: str) -> tuple[DataFrame, DataFrame]:
-    """Write a batch into the store at ``path`` and read it back: the store's rows, and one row of counts.
+def after_batch(sound: DataFrame, existing: DataFrame, outcome: DataFrame) -> DataFrame:
+    """The rows that a store holds after a batch with this outcome."""
+    merged = sound.join(outcome.where("outcome = 'merge'").select("id", "target"), "id")
+    fresh = sound.join(outcome.where("outcome = 'new'").select("id"), "id", "left_semi")
+    return merge_into(existing.unionByName(fresh, allowMissingColumns=True), merged)
+
+
+def batch_counts(outcome: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row: written, merged, unchanged, and failed (clashing ids too)."""
+    counts = outcome.agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("new", "written"), ("merge", "merged"), ("no_op", "unchanged"), ("clash", "__clash"))])
+    return counts.join(F.broadcast(failed)).select("written", "merged", "unchanged", (F.col("failed") + F.col("__clash")).alias("failed"))
+
 
-    New rows are stored as they are, matched ones go through ``merge_into``;
-    unchanged content is a no-op and makes no version.  Rows without an id or
-    without content are ``failed`` and stay out.  Running the same batch again
-    on the result changes nothing but the counts.
+def remember(incoming: DataFrame, existing: DataFrame, t: float, scope: list[str], path: str) -> tuple[DataFrame, DataFrame]:
+    """Write the store's rows after a batch to ``path``, which must hold nothing yet: the rows read back, and one row of counts.
+
+    New rows are stored with all their columns, matched ones go through
+    ``merge_into``; unchanged content is a no-op and makes no version.  A row
+    that cannot be written (``sound_rows``), or whose id a stored row has
+    though it matches none, is ``failed`` and stays out: no stored row is ever
+    overwritten.  Similar, but not equal rows of one batch are both stored.
+    Running the same batch again on the result changes nothing but the
+    counts.  ``scoped_store`` keeps a store that rewrites only what a batch
+    meets.
     """
-    good = F.col("id").isNotNull() & (F.coalesce(F.trim("content"), F.lit("")) != "")
-    sound = incoming.where(good)
+    sound, failed = sound_rows(incoming)
+    sound = checkpointed(sound)
     outcome = checkpointed(remember_batch(sound, existing, t, scope))
-    merged = sound.join(outcome.where("outcome = 'merge'").select("id", "target"), "id")
-    fresh = sound.join(outcome.where("outcome = 'new'").select("id"), "id", "left_semi").unionByName(existing)
-    merge_into(fresh, merged).write.mode("overwrite").parquet(path)
-    counts = outcome.agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("new", "written"), ("merge", "merged"), ("no_op", "unchanged"))])
-    failed = incoming.agg(F.count_if(~good).alias("failed"))
-    return existing.sparkSession.read.parquet(path), counts.join(F.broadcast(failed))
+    after_batch(sound, existing, outcome).write.parquet(path)
+    return existing.sparkSession.read.parquet(path), batch_counts(outcome, failed)
 
 
 def duplicate_groups(mem: DataFrame, t: float, limit: int = 50, max_scan: int = 0) -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memlake.operators import scoped_store
 from memlake.operators import store as S
 from memlake.operators import write as L
 from memlake.plans.common import MEM, NOW, query, table
 from memlake.schema import memories
+from memlake.storage import scratch
 
 GONE = f"coalesce(ttl_days > 0 and {NOW} > age_minutes + ttl_days * 1440, false)"
 WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda w: w <> ''))"
-MATCH = f"""n as (select doc_id as id, lang, {WORDS} as s from documents where doc_id % 2 = 1), o as (select doc_id as id, lang, {WORDS} as s from documents where doc_id % 2 = 0),
- nw as (select id, lang, unnest(s) as w from n), ow as (select id, lang, unnest(s) as w from o), c as (select nw.id, ow.id as target, count(*) as common from nw join ow on nw.w = ow.w and nw.lang is not distinct from ow.lang group by 1, 2),
+OWNER = "case floor(doc_id / 3) % 3 when 1 then 'u1' when 2 then 'u2' end"
+MATCH = f"""b as (select doc_id as id, lang, {OWNER} as owner, {WORDS} as s from documents), n as (select * from b where id % 2 = 1), o as (select * from b where id % 2 = 0),
+ nw as (select id, lang, owner, unnest(s) as w from n), ow as (select id, lang, owner, unnest(s) as w from o),
+ c as (select nw.id, ow.id as target, count(*) as common from nw join ow on nw.w = ow.w and nw.lang is not distinct from ow.lang and nw.owner is not distinct from ow.owner group by 1, 2),
  j as (select c.id, target, common / (len(n.s) + len(o.s) - common) as similarity from c join n on n.id = c.id join o on o.id = c.target), m as (select id, arg_min(target, {{'s': -similarity, 't': target}}) as target, max(similarity) as similarity from j where similarity >= 0.5 group by 1)"""
 
 
@@ -23,25 +27,33 @@ def halves(spark, d):
 
 @query(f"with {MATCH} select id, target, round(similarity, 6) as similarity from m")
 def j12_write_merge_match(spark, d):
-    return L.best_match(*halves(spark, d), 0.5, ["tag"]).withColumn("similarity", F.round("similarity", 6))
+    return L.best_match(*halves(spark, d), 0.5, ["tag", "user_id"]).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"with {MATCH} select d.doc_id as id, m.target, case when m.target is null then 'new' when t.text = d.text then 'no_op' else 'merge' end as outcome from documents d left join m on m.id = d.doc_id left join documents t on t.doc_id = m.target where d.doc_id % 2 = 1")
+def judged_sql(failed: str = "false") -> str:
+    """What becomes of odd documents: equal new ones of a scope after the first are no-ops."""
+    return f"""{MATCH}, j0 as (select d.doc_id as id, d.text, d.lang, {OWNER.replace("doc_id", "d.doc_id")} as owner, m.target, {failed} as failed, t.text as old from documents d left join m on m.id = d.doc_id left join documents t on t.doc_id = m.target where d.doc_id % 2 = 1),
+ j1 as (select *, min(id) over (partition by lang, owner, text, target is null, failed) as first from j0),
+ w as (select id, text, case when target is null and not failed and first <> id then first else target end as target,
+  case when failed then 'failed' when target is not null and old = text then 'no_op' when target is not null then 'merge' when first <> id then 'no_op' else 'new' end as outcome from j1)"""
+
+
+@query(f"with {judged_sql()} select id, target, outcome from w")
 def l2_remember_batch(spark, d):
-    return L.remember_batch(*halves(spark, d), 0.5, ["tag"])
+    return L.remember_batch(*halves(spark, d), 0.5, ["tag", "user_id"])
 
 
-TAKEN = f"""{MATCH}, w as (select d.doc_id as id, d.text, m.target, case when d.doc_id % 14 = 7 then 'failed' when m.target is null then 'new' when t.text = d.text then 'no_op' else 'merge' end as outcome
- from documents d left join m on m.id = d.doc_id left join documents t on t.doc_id = m.target where d.doc_id % 2 = 1)"""
+TAKEN = judged_sql("d.doc_id % 14 = 7")
 
 
 def remembered(spark, d):
     """Odd documents (some without content) into a store of the even ones."""
-    from memlake.storage import scratch
-
     rows = memories(spark, d).select("id", "content", F.array("tag").alias("tags"), "tag", "importance", "privacy_level", F.col("age_minutes").alias("created"), F.col("age_minutes").alias("updated"), "user_id")
     new = rows.where("id % 2 = 1").withColumn("content", F.when(F.col("id") % 14 != 7, F.col("content")))
-    return L.remember(new, rows.where("id % 2 = 0"), 0.5, ["tag"], scratch(spark, "store"))
+    root = scratch(spark, "store")
+    scoped_store.create(rows.where("id % 2 = 0"), root, ["tag", "user_id"])
+    counts = scoped_store.remember(new, root, 0.5)
+    return scoped_store.read(spark, root), counts
 
 
 @query(f"with {TAKEN} select count(*) filter (where outcome = 'new') as written, count(*) filter (where outcome = 'merge') as merged, count(*) filter (where outcome = 'no_op') as unchanged, count(*) filter (where outcome = 'failed') as failed from w")

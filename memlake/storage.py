@@ -39,3 +39,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark can open; none if it is not there."""
+    place, fs = _place(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole: written beside its place and renamed."""
+    place, fs = _place(spark, path)
+    beside, _ = _place(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(place, False)
+    if not fs.rename(beside, place):
+        raise OSError(f"could not write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    place, fs = _place(spark, path)
+    stream = fs.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

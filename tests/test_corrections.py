@@ -121,8 +121,7 @@ def test_remembering_twice_changes_nothing(spark, tmp_path):
     got = {r.id: (r.content, r.tags, r.importance, r.privacy_level, r.user_id, r.created, r.version, r.history) for r in store.collect()}
     assert got[1] == ("alpha beta gamma delta x", ["a", "b"], 7, "user", "u", 5, 2, ["alpha beta gamma delta"])
     assert got[3][6:] == (1, []) and set(got) == {1, 3}
-    again = store.select("id", "content", "tags", F.lit("s").alias("scope"), "importance", "privacy_level", "created", "updated", "user_id")
-    assert L.remember(new, again, 0.5, ["scope"], f"file://{tmp_path}/two")[1].first().asDict() == {"written": 0, "merged": 0, "unchanged": 2, "failed": 1}
+    assert L.remember(new, store, 0.5, ["scope"], f"file://{tmp_path}/two")[1].first().asDict() == {"written": 0, "merged": 0, "unchanged": 2, "failed": 1}
 
 
 def test_pinned_sentences(spark):
