@@ -71,3 +71,12 @@ def read_text(spark: SparkSession, path: str) -> str:
         return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a file; False if it is not there (any more)."""
+    (place, fs), (target, _) = _place(spark, path), _place(spark, to)
+    if not fs.exists(place):
+        return False
+    fs.mkdirs(target.getParent())
+    return bool(fs.rename(place, target))

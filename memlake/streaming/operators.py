@@ -1,9 +1,4 @@
-"""Streaming forms: intake, deduplication, live states per key, windows and sessions.
-
-Keyed states are small and bounded.  A key's rows of one micro-batch are
-handled in the order of ``seq``; micro-batches follow each other, and their
-size (the source's trigger options) bounds what one key can bring at once.
-"""
+"""Streaming forms: intake, deduplication, live lifecycle, windows and sessions (``stateful`` has processors with timers)."""
 
 from __future__ import annotations
 
@@ -18,10 +13,6 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from memlake.storage import scratch
 
-# Activation and prompting.
-DECAY, ACTIVE, TRAIL = 0.85, 32, 16
-DAILY_CAP, MUTE_AFTER = 3, 3
-
 
 def run_available(stream: DataFrame, name: str, mode: str = "update", path: str | None = None) -> DataFrame:
     """Process what is there, write each micro-batch under its number, and read all of them.
@@ -75,37 +66,6 @@ def session_events(rows: DataFrame, group: str, at: str, gap: str) -> DataFrame:
     return per.select(group, F.col("w.start").alias("start"), "size")
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """All of a key's rows of this micro-batch by ``seq``; they come in several Arrow batches, in any order."""
-    parts = [b for b in batches if len(b)]
-    if parts:
-        yield from pd.concat(parts).sort_values("seq", kind="stable").itertuples(index=False)
-
-
-def activation_stream(hits: DataFrame) -> DataFrame:
-    """The working set of each user from hits (user_id, seq, item, relevance).
-
-    Each hit fades all entries by 0.85 and adds its relevance (0 to 1) to its
-    own, capped at 1; the 32 strongest stay.  ``stable`` counts hits that
-    repeat the last item, the trail keeps 16 steps.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, strength, trail, stable = state.get if state.exists else ([], [], [], 0)
-        active, trail = dict(zip(items, strength, strict=True)), list(trail)
-        for hit in _ordered(batches):
-            active = {k: v * DECAY for k, v in active.items()}
-            active[hit.item] = min(active.get(hit.item, 0.0) + min(max(hit.relevance, 0.0), 1.0), 1.0)
-            active = dict(sorted(active.items(), key=lambda kv: -kv[1])[:ACTIVE])
-            stable = stable + 1 if trail and trail[-1] == hit.item else 0
-            trail = [*trail, hit.item][-TRAIL:]
-        state.update((list(active), list(active.values()), trail, stable))
-        yield pd.DataFrame({"user_id": key[0], "item": list(active), "activation": list(active.values()), "stable": stable})
-
-    state = "items array<string>, strength array<double>, trail array<string>, stable int"
-    return hits.groupBy("user_id").applyInPandasWithState(step, "user_id long, item string, activation double, stable int", state, "update", GroupStateTimeout.NoTimeout)
-
-
 def lifecycle_stream(events: DataFrame) -> DataFrame:
     """State, hits and last hit per id from events (id, seq, op), kept live.
 
@@ -138,50 +98,3 @@ def lifecycle_stream(events: DataFrame) -> DataFrame:
 
     out, held = "id long, state string, hits long, last_hit long, known boolean", "state string, hits long, last_hit long, marked_at long, cleared long"
     return events.groupBy("id").applyInPandasWithState(step, out, held, "update", GroupStateTimeout.NoTimeout)
-
-
-def daily_cap_stream(candidates: DataFrame) -> DataFrame:
-    """Which candidates to show: rows (user_id, seq, day, category, kind) of kind candidate, ignored or clicked.
-
-    At most three a day and user; a category is muted after three ignored
-    prompts in a row, a click lifts that.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, shown, names, streaks = state.get if state.exists else ("", 0, [], [])
-        ignored, out = dict(zip(names, streaks, strict=True)), []
-        for c in _ordered(batches):
-            if c.day != day:
-                day, shown = c.day, 0
-            if c.kind == "clicked":
-                ignored[c.category] = 0
-            elif c.kind == "ignored":
-                ignored[c.category] = ignored.get(c.category, 0) + 1
-            elif shown < DAILY_CAP and ignored.get(c.category, 0) < MUTE_AFTER:
-                shown += 1
-                out.append(c.seq)
-        state.update((day, shown, list(ignored), list(ignored.values())))
-        yield pd.DataFrame({"user_id": key[0], "seq": out}, columns=["user_id", "seq"]).astype("int64")
-
-    return candidates.groupBy("user_id").applyInPandasWithState(step, "user_id long, seq long", "day string, shown int, names array<string>, streaks array<int>", "append", GroupStateTimeout.NoTimeout)
-
-
-def ttl_sweep_stream(records: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Ids whose time is over, from records (id, at, expires_ms): a timer for each, no sweep."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            at = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "expires_ms": [at]})
-            return
-        due = max((int(b["expires_ms"].max()) for b in batches if len(b)), default=0)
-        due = max(due, state.get[0] if state.exists else 0)
-        if due <= state.getCurrentWatermarkMs():
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "expires_ms": [due]})
-            return
-        state.update((due,))
-        state.setTimeoutTimestamp(due)
-
-    return records.withWatermark("at", delay).groupBy("id").applyInPandasWithState(step, "id long, expires_ms long", "due long", "append", GroupStateTimeout.EventTimeTimeout)
