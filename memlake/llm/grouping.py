@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise, release, tidy
+from .tables import materialise, release, shuffle_width, tidy
 from .tokens import encoder
 
 #: Pieces in a district; sequences of a district that go to the next level.
@@ -158,7 +158,9 @@ def _solve(pool: DataFrame, districts: int, size: int) -> DataFrame:
                     out.append((r.district, r.lengths, r.bound, r.island, _assigned(best, len(lengths)), n, waste))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in _ELITE.split(", ")])
 
-        evolved = materialise(elite.repartition("district", "island").mapInPandas(work, _ELITE), "islands")
+        # A number of its own: by their bytes, hours of work would be one task's.
+        spread = elite.repartition(min(districts * ISLANDS, max(shuffle_width(pool.sparkSession), districts * ISLANDS // 32)), "district", "island")
+        evolved = materialise(spread.mapInPandas(work, _ELITE), "islands")
         done = evolved.where("n_bins <= bound").select("district").distinct()
         guests = evolved.select("district", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("bins").alias("guest"))
         elite = evolved.join(done, "district", "left_anti").join(guests, ["district", "island"]).select("district", "lengths", "bound", "bins", "guest", "island")
@@ -226,7 +228,8 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
         spot = F.xxhash64("part", "row", F.lit(before))
     full = pieces.where(F.col("length") == size).withColumn("sequence_id", (F.col("part").cast("long") * (1 << 36) + F.col("row")) * 2).withColumn("offset", F.lit(0).cast("long"))
     if placed is not None:
-        full = full.unionByName(pieces.where(F.col("length") < size).join(placed, ["part", "row"]))
+        # Joined alike at every size: a broadcast would do for small tables only.
+        full = full.unionByName(pieces.where(F.col("length") < size).join(placed.hint("shuffle_merge"), ["part", "row"]))
     return full.drop("part", "row")
 
 
