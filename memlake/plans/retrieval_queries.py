@@ -8,11 +8,13 @@ from memlake.functions import embed as M
 from memlake.functions import rules
 from memlake.operators import analyse as A
 from memlake.operators import corpus as C
+from memlake.operators import kmeans, stored_index, vector_index
 from memlake.operators import report as R
 from memlake.operators import write as L
 from memlake.plans.common import MEM, NOW, bm25_sql, query, table
 from memlake.plans.corpus_queries import DISTILLED, WORDS_SQL, has, narration
 from memlake.schema import marked_turns, memories
+from memlake.storage import scratch
 
 IDX = f"t as (select doc_id as id, {WORDS_SQL} as t from documents), ix as (select id, unnest(list_distinct(t)) as w from t), q as (select item_id as qid, unnest(list_distinct({WORDS_SQL})) as w from benchmark)"
 
@@ -41,6 +43,34 @@ def c10_term_stats(spark, d):
     return A.term_stats(A.append_postings(A.postings(mem.where("id % 3 != 0")), mem.where("id % 3 != 1")))
 
 
+@query(f"with {bm25_sql(DOCS, 5)} select qid, id, rank, score from run")
+def r1_bm25_stored(spark, d):
+    """BM25 over a stored index of three segments, the last of which brings some documents for the second time."""
+    mem, root = memories(spark, d), scratch(spark, "index")
+    stored_index.create(mem.where("id % 3 = 0"), root)
+    stored_index.append(mem.where("id % 3 = 1"), root)
+    stored_index.append(mem.where("id % 3 != 1"), root)
+    return stored_index.search(asked(spark, d), root, 5)
+
+
+def vectors_of(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+@query()
+def j9_vector_index(spark, d):
+    """Ids divisible by 50 against all rows, through a stored index."""
+    root, v = scratch(spark, "vectors"), vectors_of(spark, d)
+    vector_index.build(v, root, 64)
+    return vector_index.search(v.where("id % 50 = 0"), root, 10)
+
+
+@query()
+def l12_kmeans(spark, d):
+    """Every vector in one of 20 spherical clusters."""
+    return kmeans.kmeans(vectors_of(spark, d), 20, 64)
+
+
 @query()
 def j11_near_dup_pairs_lsh(spark, d):
     return A.near_dup_pairs_lsh(memories(spark, d))
@@ -52,10 +82,18 @@ def r3_recall_semantic(spark, d):
     return A.recall_semantic(v.where("id % 50 = 0"), v, memories(spark, d).where("privacy_level = 'global'"), 10).select("qid", "id", "rank")
 
 
-@query()
+CHUNKS = r"""select page_id * 100000 + unnest(range(len(c))) as id, unnest(c) as content from
+ (select page_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(html, '<[^>]*>', chr(10) || chr(10), 'g'), '\n[ \t]*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as c from pages)"""
+
+
+@query(f"with {bm25_sql(CHUNKS, 5)} select qid, id // 100000 as page_id, (id % 100000)::int as chunk_no, rank, score from run")
 def r10_search_chunks(spark, d):
+    """Chunks of all pages behind a stored index."""
     chunks = C.chunk_paragraphs(table(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "\n\n").alias("content")), "page_id")
-    return A.search_chunks(asked(spark, d), chunks.select(F.struct("page_id", "chunk_no").alias("id"), "content"), 5).select("qid", "id.*", "rank", "score")
+    root = scratch(spark, "chunk-index")
+    stored_index.create(chunks.select((F.col("page_id") * 100_000 + F.col("chunk_no")).alias("id"), "content"), root)
+    found = stored_index.search(asked(spark, d), root, 5)
+    return found.select("qid", F.expr("id div 100000").alias("page_id"), (F.col("id") % 100_000).cast("int").alias("chunk_no"), "rank", "score")
 
 
 @query("select doc_id as id, row_number() over (order by doc_id desc) as rank from documents order by doc_id desc limit 20")
