@@ -13,19 +13,24 @@ from memlake.storage import checkpointed
 
 
 def same_event(mem: DataFrame, event: str = "event_id", most: int = 1000) -> DataFrame:
-    """Pairs that share an event, smaller id first: a, b, event.
+    """Pairs that share an event, smaller id first: a, b, event, linked_by.
 
-    An event of more than ``most`` rows would give pairs by the square of its
-    size; its rows are linked with its smallest id instead, and belong
-    together by the event that the link names.
+    Two rows of an event of at most ``most`` rows are a ``pair``.  A larger
+    event would give pairs by the square of its size; each of its rows is
+    linked ``by its first`` one, the smallest id, and all rows with links of
+    that kind and event are each other's (``event_members`` lists them).
     """
-    rows = mem.where(F.col(event).isNotNull()).select(event, "id").distinct()
-    sizes = rows.groupBy(event).agg(F.count("*").alias("__n"), F.min("id").alias("__centre"))
-    sized = rows.join(sizes, event)
-    small = sized.where(F.col("__n") <= most)
+    sized = event_members(mem, event).withColumnRenamed("first", "__first")
+    small = sized.where(F.col("size") <= most)
     a, b = small.select(event, F.col("id").alias("a")), small.select(event, F.col("id").alias("b"))
-    stars = sized.where((F.col("__n") > most) & (F.col("id") != F.col("__centre"))).select(F.col("__centre").alias("a"), F.col("id").alias("b"), event)
-    return a.join(b, event).where("a < b").select("a", "b", event).unionByName(stars)
+    stars = sized.where((F.col("size") > most) & (F.col("id") != F.col("__first"))).select(F.col("__first").alias("a"), F.col("id").alias("b"), event, F.lit("first").alias("linked_by"))
+    return a.join(b, event).where("a < b").select("a", "b", event, F.lit("pair").alias("linked_by")).unionByName(stars)
+
+
+def event_members(mem: DataFrame, event: str = "event_id") -> DataFrame:
+    """event, id, first (the event's smallest id) and size of every row with an event: its relation in full, without pairs."""
+    rows = mem.where(F.col(event).isNotNull()).select(event, "id").distinct()
+    return rows.join(rows.groupBy(event).agg(F.count("*").alias("size"), F.min("id").alias("first")), event)
 
 
 def document_frequency(docs: DataFrame, terms: Column, by: list[str] | None = None) -> DataFrame:

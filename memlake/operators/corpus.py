@@ -148,11 +148,14 @@ def dedupe_within(items: DataFrame, by: str, order: list[str], text: str, import
     over the rare character pairs that any partner at t must share (prefix
     filter), so none is missed; each then folds into the first kept item that
     it resembles.  Only the places of similar pairs are walked in order.
-    Texts without character pairs resemble nothing.
+    Texts without character pairs resemble nothing.  Rows with a null ``by``
+    are a group of their own.
     """
-    same = items.groupBy(by, text).agg(F.min(F.struct(*order)).alias("o"), F.max(importance).alias("importance"), F.count("*").alias("n"))
+    name, kind, by = by, items.schema[by].dataType.simpleString(), "__by"
+    items = items.withColumn(by, F.to_json(F.struct(F.col(name).alias("by"))))  # a null gives {}
+    same = items.groupBy(by, text).agg(F.min(name).alias("__name"), F.min(F.struct(*order)).alias("o"), F.max(importance).alias("importance"), F.count("*").alias("n"))
     sets = same.withColumn("i", F.row_number().over(W.partitionBy(by).orderBy("o", text))).withColumn("g", X.char_bigrams(F.col(text)))
-    sets = checkpointed(sets.where(F.col(by).isNotNull()))
+    sets = checkpointed(sets)
     each = sets.select(by, "i", F.size("g").alias("size"), F.explode("g").alias("w"))
     rarity = each.groupBy(by, "w").agg(F.count("*").alias("df")).where("df > 1")
     place = F.row_number().over(W.partitionBy(by, "i").orderBy("df", "w"))
@@ -173,11 +176,19 @@ def dedupe_within(items: DataFrame, by: str, order: list[str], text: str, import
                 into[later] = first
         return pd.DataFrame({by: [group[by].iloc[0]] * len(into), "i": list(into), "head": list(into.values())})
 
-    kind = sets.schema[by].dataType.simpleString()
-    folded = near.groupBy(by).applyInPandas(walk, f"`{by}` {kind}, i int, head int")
+    folded = near.groupBy(by).applyInPandas(walk, f"{by} string, i int, head int")
     headed = sets.join(folded, [by, "i"], "left").withColumn("head", F.coalesce("head", "i"))
     best = headed.groupBy(by, "head").agg(F.max("importance").cast("int").alias("importance"), F.sum("n").alias("n")).withColumnRenamed("head", "i")
-    return sets.select(by, "i", "o", text).join(best, [by, "i"]).select(by, "o.*", text, "importance", "n")
+    return sets.select(by, "__name", "i", "o", text).join(best, [by, "i"]).select(F.col("__name").cast(kind).alias(name), "o.*", text, "importance", "n")
+
+
+def _join_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join in which a null key meets a null key."""
+    renamed, same = right, F.lit(True)
+    for k in keys:
+        renamed = renamed.withColumnRenamed(k, f"__{k}")
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(renamed, same, how).drop(*[f"__{k}" for k in keys])
 
 
 def absorb(turns: DataFrame, conv: str, turn: str, content: str = "content", cap: int = 4, most: int = 10, marker: str | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
@@ -190,23 +201,24 @@ def absorb(turns: DataFrame, conv: str, turn: str, content: str = "content", cap
     ``narration``, ``duplicate`` (folded into an earlier item), ``over_limit``
     (more than ``most``, lowest scores first), else ``kept``.  Importance is
     at most ``cap`` (1 to 6).  Nothing is written: ``write.remember`` takes the
-    kept items, and leaving it out is the dry run.
+    kept items, and leaving it out is the dry run.  Turns without a
+    conversation belong together.
     """
     cap, source = min(max(cap, 1), 6), turns
     every = None
     if marker is not None:
         found = declared_items(turns, conv, turn, marker, kinds or {}, content)
         every = found.select(conv, turn, "pos", "kind", F.coalesce("item", F.lit("")).alias("sentence"), F.lit(3).alias("score"), "verdict")
-        source = turns.join(turns.where(F.contains(content, F.lit(marker))).select(conv).distinct(), conv, "left_anti")
+        source = _join_safe(turns, turns.where(F.contains(content, F.lit(marker))).select(conv).distinct(), [conv], "left_anti")
     distilled = distill(source, conv, turn, content).select(conv, turn, "pos", "kind", "sentence", "score", F.lit("ok").alias("verdict"))
     every = distilled if every is None else every.unionByName(distilled)
     told = turns.where(R.has_any(F.col(content), R.DELETION)).select(conv).distinct().withColumn("__told", F.lit(True))
     early = F.when(F.col("verdict") != "ok", F.col("verdict")).when(F.col("__told"), "deletion").when(R.is_process_narration(F.col("sentence")), "narration")
-    judged = checkpointed(every.join(told, conv, "left").withColumn("early", early).drop("__told", "verdict"))
+    judged = checkpointed(_join_safe(every, told, [conv], "left").withColumn("early", early).drop("__told", "verdict"))
     order = [turn, "pos", "kind"]
     open_ = judged.where("early is null")
     first = dedupe_within(open_.withColumn("__score", F.col("score")), conv, order, "sentence", "__score").select(conv, *order, "sentence", F.lit(True).alias("__first"))
-    placed = open_.join(first, [conv, *order, "sentence"], "left")
+    placed = _join_safe(open_, first, [conv, *order, "sentence"], "left")
     rank = F.row_number().over(W.partitionBy(conv, F.col("__first").isNotNull()).orderBy(F.desc("score"), *order))
     late = F.when(F.col("__first").isNull(), "duplicate").when(rank > most, "over_limit").otherwise("kept")
     out = placed.select(*judged.columns, late.alias("reason")).unionByName(judged.where("early is not null").withColumn("reason", F.col("early"))).drop("early")

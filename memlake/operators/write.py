@@ -226,12 +226,19 @@ def correct(mem: DataFrame, edits: DataFrame, keep: int = 5) -> DataFrame:
 
 
 def suppress_matching(mem: DataFrame, requests: DataFrame) -> DataFrame:
-    """Ids of rows of the requester that contain a forget target (user_id, target).
+    """Ids of rows of the requester that contain a forget target (user_id, target), whatever the case.
 
-    Rows meet requests by owner, null meeting null; only then is the text searched.
+    Rows meet only targets that they contain (``substring.containing``), then
+    their owners are compared, null equal to null: rows without an owner and
+    requests without one are no product.  Targets without a visible character
+    match nothing.
     """
-    asked = requests.select(F.col("user_id").alias("owner"), "target").distinct()
-    return mem.join(asked, mem["user_id"].eqNullSafe(asked["owner"]) & F.contains(F.lower("content"), F.lower("target"))).select("id").distinct()
+    from memlake.operators.substring import containing
+
+    asked = requests.select(F.col("user_id").alias("owner"), F.lower("target").alias("needle")).distinct()
+    found = containing(mem.select("id", F.lower("content").alias("text")), asked)
+    met = found.join(mem.select("id", "user_id"), "id").join(asked, "needle")
+    return met.where(F.col("user_id").eqNullSafe(F.col("owner"))).select("id").distinct()
 
 
 def cluster_vectors(pairs: DataFrame, min_size: int) -> DataFrame:

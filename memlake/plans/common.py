@@ -21,6 +21,16 @@ def bm25_sql(rows: str, k: int, asked: str = "select item_id as qid, text from b
  run as (select * from (select qid, id, row_number() over (partition by qid order by points desc, id) as rank, points / 1e6 as score from sc) where rank <= {k})"""
 
 
+def keyword_sql(rows: str, k: int) -> str:
+    """Tables of the keyword baseline over ``rows`` (id, content, importance, tag, which may be null): every word against every row, kr the k best."""
+    return rf"""kd as (select id, lower(content) as text, importance, lower(tag) as tag from ({rows})), ka as (select item_id as qid, lower(text) as whole from benchmark),
+ kw as (select qid, word, count(*) as times from (select qid, unnest(list_filter(regexp_split_to_array(whole, '[ 	
+]+'), lambda w: w <> '')) as word from ka) group by 1, 2),
+ kx as (select qid, id, sum(times * (case when contains(text, word) then 100 else 0 end + case when contains(tag, word) then 150 else 0 end)) as n from kw, kd group by 1, 2),
+ kr as (select * from (select kx.qid, kx.id, (n + case when contains(text, whole) then 400 else 0 end + 10 * importance)::bigint as points, row_number() over (partition by kx.qid order by n + case when contains(text, whole) then 400 else 0 end + 10 * importance desc, kx.id) as rank
+   from kx join kd on kd.id = kx.id join ka on ka.qid = kx.qid) where rank <= {k})"""
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f

@@ -13,7 +13,8 @@ from memlake.operators import recall as Q
 from memlake.operators import report as R
 from memlake.operators import store as S
 from memlake.operators import vectors as V
-from memlake.plans.common import MEM, NOW, WORDS, bm25_sql, query, table
+from memlake.operators.substring import containing
+from memlake.plans.common import MEM, NOW, WORDS, bm25_sql, keyword_sql, query, table
 from memlake.schema import memories
 
 LIVE = f"live as (select * from mem where privacy_level = 'global' and not coalesce(ttl_days > 0 and {NOW} > age_minutes + ttl_days * 1440, false))"
@@ -176,12 +177,18 @@ def g7_explore(spark, d):
     return Q.explore(near, recorded, roots, about, liked.groupBy("a", "b").agg(F.avg("adjust").alias("adjust")), 3, 3)
 
 
-@query(rf"with {BM25}, {MEM}, k as (select qid, id, count(*) as n from q join (select distinct id, term from p) x using (term) group by 1, 2), kp as (select qid, k.id, 100 * n + case when contains(lower(content), lower(b.text)) then 400 else 0 end + 10 * importance as points from k join mem on mem.id = k.id join benchmark b on b.item_id = qid), kr as (select qid, id, row_number() over (partition by qid order by points desc, id) as rank from kp), every as (select 'words' as ranker, qid, id, rank from run where rank <= 5 union all select 'keyword', qid, id, rank from kr where rank <= 5), rel as (select qid, id from run join documents on doc_id = id join benchmark on item_id = qid where rank <= 20 and contains(documents.text, substr(benchmark.text, 1, 60))), h as (select n.ranker, rel.qid, min(rank) as first, count(rank) as hits, count(*) as relevant from rel cross join (select distinct ranker from every) n left join every on every.ranker = n.ranker and every.qid = rel.qid and every.id = rel.id group by 1, 2) select ranker, qid, round(coalesce(1.0 / first, 0), 6) as rr, hits, round(hits / relevant, 6) as recall, coalesce(first, 6) as first from h")
+KEYWORD = keyword_sql("select id, content, importance, null as tag from mem", 5)
+
+
+@query(rf"""with {BM25}, {MEM}, {KEYWORD}, every as (select 'words' as ranker, qid, id, rank from run where rank <= 5 union all select 'keyword', qid, id, rank from kr),
+ rel as (select item_id as qid, doc_id as id from documents, benchmark where contains(documents.text, benchmark.text)),
+ h as (select n.ranker, rel.qid, min(rank) as first, count(rank) as hits, count(*) as relevant from rel cross join (select distinct ranker from every) n left join every on every.ranker = n.ranker and every.qid = rel.qid and every.id = rel.id group by 1, 2)
+ select ranker, qid, round(coalesce(1.0 / first, 0), 6) as rr, hits, round(hits / relevant, 6) as recall, coalesce(first, 6) as first from h""")
 def p3_rankers(spark, d):
+    """Rankers judged on all documents that hold an item's whole passage."""
     mem, q = memories(spark, d), asked(spark, d)
-    wide = A.bm25(q, mem, 20).select("qid", "id")
-    held = F.contains(F.col("content"), F.col("head"))
-    qrels = wide.join(q.select("qid", F.substring("content", 1, 60).alias("head")), "qid").join(mem.select("id", "content"), "id").where(held).select("qid", "id")
+    held = containing(mem.select("id", F.col("content").alias("text")), q.select(F.col("content").alias("needle")))
+    qrels = held.join(q.select("qid", F.col("content").alias("needle")), "needle").select("qid", "id")
     found = Q.evaluate_rankers({"words": A.bm25, "keyword": R.keyword_baseline}, q, mem, qrels, 5)
     return found.select("ranker", "qid", F.round("rr", 6).alias("rr"), "hits", F.round("recall", 6).alias("recall"), "first")
 

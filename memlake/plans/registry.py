@@ -127,11 +127,16 @@ def f15_stored_edge_guard(spark, d):
     return S.stored_edge_guard(links, memories(spark, d).where("memory_type != 'synthesis'"))
 
 
-@query(f"with {CONV} select x.id as a, y.id as b, x.event_id from conv x join conv y on x.event_id = y.event_id and x.id < y.id")
+@query(f"with {CONV} select x.id as a, y.id as b, x.event_id, 'pair' as linked_by from conv x join conv y on x.event_id = y.event_id and x.id < y.id")
 def j2_same_event(spark, d):
     return A.same_event(turns(spark, d))
 
 
+@query(f"with {CONV} select event_id, id, min(id) over (partition by event_id) as first, count(*) over (partition by event_id) as size from conv")
+def j2_event_members(spark, d):
+    return A.event_members(turns(spark, d))
+
+
 MENTIONS = "m as (select l_orderkey as doc, l_returnflag as name, l_orderkey % 200 as grp from lineitem), g as (select grp, count(distinct doc) as size from m group by grp), f as (select grp, name, count(distinct doc) as df from m group by grp, name), h as (select f.grp, name, df, size from f join g on f.grp = g.grp where df >= 5 and df >= 0.35 * size)"
 
 

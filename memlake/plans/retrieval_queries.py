@@ -11,7 +11,7 @@ from memlake.operators import corpus as C
 from memlake.operators import kmeans, stored_index, vector_index
 from memlake.operators import report as R
 from memlake.operators import write as L
-from memlake.plans.common import MEM, NOW, bm25_sql, query, table
+from memlake.plans.common import MEM, NOW, bm25_sql, keyword_sql, query, table
 from memlake.plans.corpus_queries import DISTILLED, WORDS_SQL, has, narration
 from memlake.schema import marked_turns, memories
 from memlake.storage import scratch
@@ -26,9 +26,13 @@ def asked(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("content"))
 
 
-@query(f"with {MEM}, {IDX}, f as (select qid, id, count(*) as n from q join ix on q.w = ix.w group by 1, 2), p as (select qid, f.id, 100 * n + case when contains(lower(content), lower(b.text)) then 400 else 0 end + 10 * importance as points from f join mem on mem.id = f.id join benchmark b on b.item_id = qid), r as (select *, row_number() over (partition by qid order by points desc, id) as rank from p) select * from r where rank <= 5")
+LIVE_ROWS = f"select id, content, importance, tag from mem where not coalesce(ttl_days > 0 and {NOW} > age_minutes + ttl_days * 1440, false)"
+
+
+@query(f"with {MEM}, {keyword_sql(LIVE_ROWS, 5)} select qid, id, points, rank from kr")
 def e7_keyword_baseline(spark, d):
-    return R.keyword_baseline(asked(spark, d), memories(spark, d), 5)
+    """With tags, without rows past their time, words found inside words too."""
+    return R.keyword_baseline(asked(spark, d), memories(spark, d).withColumn("tags", F.array("tag")), 5, NOW)
 
 
 @query(f"with p as (select doc_id as id, {WORDS_SQL} as ws from documents), t as (select id, len(ws) as length, unnest(ws) as term from p) select term, id, length::int as length, count(*) as tf from t group by 1, 2, 3")
@@ -148,7 +152,14 @@ def c5_declared_items(spark, d):
     return C.declared_items(said, "conv_id", "turn", "@@memory", {"decision": "decision", "preference": "preference"})
 
 
-@query()
+@query(rf"""with {DISTILLED}, e as (select conv_id, sentence, min({{'turn': turn, 'pos': pos}}) as o, max(score)::int as importance, count(*) as n from distilled group by 1, 2),
+ i as (select *, row_number() over (partition by conv_id order by o, sentence) as i, regexp_replace(sentence, '[\s!-/:-@\[-`{{-~]', '', 'g') as b from e),
+ g as (select *, case when length(b) < 2 then [] else list_distinct(list_transform(range(1, length(b)), lambda k: substr(b, k, 2))) end as g from i),
+ near as (select x.conv_id, x.i as x, y.i as y from g x join g y on x.conv_id is not distinct from y.conv_id and x.i < y.i where len(x.g) > 0 and len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) >= 0.85),
+ h as (select conv_id, y, min(x) as head from near where not exists (select 1 from near z where z.conv_id is not distinct from near.conv_id and z.y = near.x) group by 1, 2),
+ t as (select g.*, coalesce(h.head, g.i) as head from g left join h on h.conv_id is not distinct from g.conv_id and h.y = g.i),
+ m as (select conv_id, head, max(importance) as importance, sum(n)::bigint as n from t group by 1, 2)
+ select g.conv_id, g.o.turn as turn, g.o.pos as pos, g.sentence, m.importance, m.n from m join g on g.conv_id is not distinct from m.conv_id and g.i = m.head""")
 def l4_dedupe_within(spark, d):
     items = C.distill(marked_turns(spark, d), "conv_id", "turn").withColumn("importance", F.col("score").cast("int"))
     return C.dedupe_within(items, "conv_id", ["turn", "pos"], "sentence", "importance")
