@@ -106,3 +106,47 @@ def chunk_roles(files: DataFrame, key: str, content: str = "content") -> DataFra
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("role").isNotNull(), spoken).otherwise(F.col("line")).alias("line")))), lambda x: x["line"]), "\n")
     turns = told.groupBy(key, "turn_no").agg(F.max("role").alias("role"), (F.min("i") + 1).alias("start_line"), (F.max("i") + 1).alias("end_line"), bare(body).alias("content"))
     return turns.select(key, "turn_no", "role", "start_line", "end_line", "content")
+
+
+def chunk_corpus(files: DataFrame, key: str = "path", language: str = "language", content: str = "content") -> DataFrame:
+    """All files to chunks: key, start_line, end_line, chunk_type, name, signature, content, doc_comment, language.
+
+    Rust, Go, TypeScript, JavaScript and Python files give their definitions
+    (``chunk_code``), Markdown its sections, named by their heading.  Of other
+    texts those with role lines give turns, named by the role, and the rest
+    paragraphs.  A source file without any definition is read as paragraphs.
+    Null and blank texts give nothing.  Every kind is a pass of its own over
+    its files only.
+    """
+    from memlake.operators.corpus import chunk_markdown
+
+    files = files.select(F.col(key), F.coalesce(F.col(language), F.lit("text")).alias("language"), F.col(content).alias("content")).where("content is not null")
+    code = chunk_code(files, key, "language", "content")
+    columns = code.columns
+    source, sections = F.col("language").isin(*DEFINITIONS), F.col("language") == "markdown"
+    bare_source = files.where(source).join(code.select(key).distinct(), key, "left_anti")
+    named = "|".join(w for words in ROLES.values() for w in words)
+    spoken = F.col("content").rlike(rf"(?m)^\s*(?:{named})[:：]")
+    texts = files.where(~source & ~sections)
+
+    def shaped(chunks: DataFrame, kind: str, name: Column) -> DataFrame:
+        none, whose = F.lit(None).cast("string"), files.select(key, "language")
+        told = chunks.select(key, F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), F.lit(kind).alias("chunk_type"), name.alias("name"), none.alias("signature"), "content", none.alias("doc_comment"))
+        return told.join(whose, key).select(*columns)
+
+    heading = F.when(F.col("content").rlike("^#"), F.regexp_extract("content", r"^#+\s*(.*)", 1))
+    marked = shaped(chunk_markdown(files.where(sections), key, "content"), "section", heading)
+    turns = shaped(chunk_roles(texts.where(spoken), key, "content"), "turn", F.col("role"))
+    plain = shaped(paragraph_lines(texts.where(~spoken).unionByName(bare_source), key), "paragraph", F.lit(None).cast("string"))
+    typed = code.withColumn("start_line", F.col("start_line").cast("int")).withColumn("end_line", F.col("end_line").cast("int"))
+    return typed.unionByName(marked).unionByName(turns).unionByName(plain)
+
+
+def paragraph_lines(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """Runs of lines that aren't blank: key, start_line, end_line, content."""
+    lines = files.select(key, F.posexplode(F.split(F.col(content), "\r?\n")).alias("i", "line"))
+    blank = bare(F.col("line")) == ""
+    run = F.count_if(blank).over(W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
+    held = lines.withColumn("run", run).where(~blank).groupBy(key, "run")
+    return held.agg((F.min("i") + 1).alias("start_line"), (F.max("i") + 1).alias("end_line"), body.alias("content")).drop("run")

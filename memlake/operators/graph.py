@@ -54,6 +54,27 @@ def indirect(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return second.join(direct, ["root", "node"], "left_anti").groupBy("root", "node").agg(F.count("*").alias("paths"), F.min("via").alias("via"))
 
 
+def indirect_paths(edges: DataFrame, roots: DataFrame, events: tuple[str, ...] = ("same_event", "same_event_auto")) -> DataFrame:
+    """root, node, paths, path, via, why: nodes two typed steps away that are no direct neighbours.
+
+    Two steps that are both membership in an event (``events``) are no path:
+    they only say that all three share it.  ``path`` is root, the smallest
+    node between and the node, ``via`` the two relations of that path (the
+    smallest names), ``why`` says it in words; ``paths`` counts the nodes
+    between.
+    """
+    near = both_ways(edges.select("a", "b", "relation")).where("a != b").distinct()
+    first = roots.select(F.col("id").alias("root")).distinct().join(near, F.col("root") == near["a"]).select("root", F.col("b").alias("mid"), F.col("relation").alias("one"))
+    then = near.select(F.col("a").alias("mid"), F.col("b").alias("node"), F.col("relation").alias("two"))
+    merely = F.col("one").isin(*events) & F.col("two").isin(*events)
+    second = first.join(then, "mid").where((F.col("node") != F.col("root")) & ~merely)
+    direct = first.select("root", F.col("mid").alias("node")).distinct()
+    best = F.min(F.struct("mid", "one", "two")).alias("best")
+    found = second.join(direct, ["root", "node"], "left_anti").groupBy("root", "node").agg(F.count_distinct("mid").alias("paths"), best)
+    why = F.format_string("%s and %s (%s), %s and %s (%s)", "root", "best.mid", "best.one", "best.mid", "node", "best.two")
+    return found.select("root", "node", "paths", F.array("root", "best.mid", "node").alias("path"), F.concat_ws(" → ", "best.one", "best.two").alias("via"), why.alias("why"))
+
+
 def ego_graph(edges: DataFrame, roots: DataFrame, max_nodes: int = 50) -> DataFrame:
     """The nearest nodes of each root (2 to 500 with it; nearest hop and highest weight first) with total and truncated."""
     most, mine = min(max(max_nodes, 2), 500), W.partitionBy("root")
@@ -70,6 +91,21 @@ def ego_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("root", "a", "b", "relation", ((F.col("a") == F.col("root")) | (F.col("b") == F.col("root"))).alias("direct"))
 
 
+def ego_report(edges: DataFrame, roots: DataFrame, max_nodes: int = 50, events: tuple[str, ...] = ("same_event", "same_event_auto")) -> DataFrame:
+    """root, nodes (with it), direct and indirect edges among them, total and truncated: the counts of an ego graph.
+
+    Direct edges are recorded ones between two of its nodes, indirect ones
+    lead from the root by ``indirect_paths`` to one of its nodes.
+    """
+    nodes = ego_graph(edges, roots, max_nodes)
+    held = nodes.select("root", "node")
+    sizes = nodes.groupBy("root").agg((F.count("*") + 1).alias("nodes"), F.max("total").alias("total"), F.max("truncated").alias("truncated"))
+    direct = ego_edges(edges, held).groupBy("root").agg(F.count("*").alias("direct"))
+    far = indirect_paths(edges, roots, events).join(held, ["root", "node"], "left_semi").groupBy("root").agg(F.count("*").alias("indirect"))
+    joined = sizes.join(direct, "root", "left").join(far, "root", "left")
+    return joined.select("root", "nodes", F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("indirect", F.lit(0)).alias("indirect"), "total", "truncated")
+
+
 def ingest_edges(edges: DataFrame, alive: DataFrame, allowed: tuple[str, ...] = LOGICAL) -> DataFrame:
     """Edges from outside with their verdict: ok, loop, unknown_type or missing_end; types in either case."""
     ids = alive.select("id").distinct()

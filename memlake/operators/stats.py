@@ -198,3 +198,18 @@ def association_records(log: DataFrame, seen: DataFrame, gone: DataFrame, limit:
     rows = rows.withColumn("multi_hop", F.size("trail") > 1)
     keep = (F.col("multi_hop") if multi_hop else F.lit(True)) & (F.col("evidence").isNotNull() if evidence_only else F.lit(True))
     return page(rows.where(keep), [F.desc("ts"), F.desc("event_id")], limit, offset)
+
+
+def distinct_sketches(mem: DataFrame, by: list[str], columns: list[str], lg_k: int = 12) -> DataFrame:
+    """by, name, sketch: for each group and column a HyperLogLog sketch of its distinct values, to be stored and united later.
+
+    A sketch has a fixed size whatever it has seen; nulls are not counted.
+    """
+    each = mem.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("v"))
+    return each.groupBy(*by, F.col("v.name").alias("name")).agg(F.hll_sketch_agg("v.value", F.lit(lg_k)).alias("sketch"))
+
+
+def united_distinct(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, name, sketches, distinct: stored sketches united (groups, days, stores in any order), and what they estimate."""
+    united = sketches.groupBy(*(by or []), "name").agg(F.hll_union_agg("sketch").alias("u"), F.count("*").alias("sketches"))
+    return united.select(*(by or []), "name", "sketches", F.hll_sketch_estimate("u").alias("distinct"))

@@ -73,11 +73,29 @@ def expired(age_minutes: Column, ttl_days: Column, now_minutes: int) -> Column:
     return F.coalesce((ttl_days > 0) & (now_minutes > ends), F.lit(False))
 
 
-def filter_records(mem: DataFrame, memory_type: str | None = None, project: str | None = None, tags: list[str] | None = None, min_importance: int | None = None) -> DataFrame:
+def filter_records(mem: DataFrame, memory_type: str | None = None, project: str | None = None, tags: list[str] | None = None, min_importance: int | None = None, top_k: int | None = None) -> DataFrame:
+    """Rows that meet every condition given, the ``top_k`` most important of them (ties: the smaller id).
+
+    ``tags``: the row has any of them, in its array ``tags`` or, where there
+    is none, in its single ``tag``.
+    """
     out = mem
-    for value, cond in ((memory_type, F.col("memory_type") == memory_type), (project, F.col("project") == project), (tags, F.col("tag").isin(tags or [])), (min_importance, F.col("importance") >= (min_importance or 0))):
+    tagged = F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, tags or [""]))), F.lit(False)) if "tags" in mem.columns else F.col("tag").isin(tags or [])
+    for value, cond in ((memory_type, F.col("memory_type") == memory_type), (project, F.col("project") == project), (tags, tagged), (min_importance, F.col("importance") >= (min_importance or 0))):
         out = out.where(cond) if value is not None else out
-    return out
+    return out if top_k is None else out.orderBy(F.desc("importance"), "id").limit(top_k)
+
+
+def list_records(mem: DataFrame, now: int, sort_by: str = "age_minutes", descending: bool = True, limit: int = 20, offset: int = 0, include_expired: bool = False, **filters) -> DataFrame:
+    """A page of the rows that ``filter_records(**filters)`` keeps, with ``total`` and ``truncated``.
+
+    Sorted by any column (nulls last, then id).  Rows past their time
+    (age_minutes, ttl_days at ``now``) count only if asked for.  A negative
+    offset is 0, a limit lies between 0 and 1,000.
+    """
+    live = mem if include_expired else mem.where(~expired(F.col("age_minutes"), F.col("ttl_days"), now))
+    by = F.col(sort_by).desc_nulls_last() if descending else F.col(sort_by).asc_nulls_last()
+    return page(filter_records(live, **filters), [by, "id"], min(max(limit, 0), 1000), max(offset, 0))
 
 
 def page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:

@@ -189,3 +189,13 @@ def c8_chunk_roles(spark, d):
     said = table(spark, d, "conversations").select("conv_id", F.struct("turn", "text", F.concat(role, "text").alias("line")).alias("s"))
     whole = said.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["line"]), "\n").alias("content"))
     return K.chunk_roles(whole, "conv_id").select("conv_id", "turn_no", "role", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+
+
+@query()
+def c8_chunk_corpus(spark, d):
+    """Documents as Markdown and plain texts, conversations as texts with roles, and the code cases, all at once."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.when(F.col("doc_id") % 2 == 0, "markdown").otherwise("text").alias("language"), F.col("text").alias("content"))
+    said = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    role = lambda x: F.when(x["role"] == "assistant", "Assistant: ").otherwise("User: ")
+    talks = said.select(F.concat(F.lit("c"), "conv_id").alias("path"), F.lit("text").alias("language"), F.array_join(F.transform("t", lambda x: F.concat(role(x), F.coalesce(x["text"], F.lit("")))), "\n").alias("content"))
+    return K.chunk_corpus(docs.unionByName(talks))

@@ -56,6 +56,26 @@ def g4_indirect(spark, d):
     return G.indirect(links(spark, d), roots(spark, d))
 
 
+FAR = """far as (select x.a as root, y.b as node, x.b as mid, x.relation as one, y.relation as two from near x join near y on x.b = y.a where x.a in (select id from root) and y.b <> x.a and not (x.relation = 'temporal' and y.relation = 'temporal')),
+ ind as (select root, node, count(distinct mid) as paths, min({'mid': mid, 'one': one, 'two': two}) as z from far where not exists (select 1 from near where near.a = far.root and near.b = far.node) group by 1, 2)"""
+
+
+@query(f"with {LINKS}, {FAR} select root, node, paths, concat_ws('-', root, z.mid, node) as path, concat(z.one, ' → ', z.two) as via, concat(root, ' and ', z.mid, ' (', z.one, '), ', z.mid, ' and ', node, ' (', z.two, ')') as why from ind")
+def g4_indirect_paths(spark, d):
+    """Typed paths over two steps; two temporal ones in a row count as one event."""
+    return G.indirect_paths(links(spark, d), roots(spark, d), ("temporal",)).withColumn("path", F.array_join("path", "-"))
+
+
+@query(f"""with {LINKS}, {FAR}, {HOPS}, n as (select root, node, 1 as hop, weight from h1 union all select root, node, 2, weight from h2),
+ e as (select root, node, row_number() over (partition by root order by hop, weight desc, node) as rank, count(*) over (partition by root) as total from n), k as (select * from e where rank < 10),
+ h as (select root, node from k union select root, root from k), d as (select x.root, count(*) as direct from link join h x on x.node = link.a join h y on y.node = link.b and y.root = x.root group by 1),
+ f as (select root, count(*) as indirect from ind semi join k using (root, node) group by 1)
+ select k.root, count(*) + 1 as nodes, coalesce(any_value(direct), 0) as direct, coalesce(any_value(indirect), 0) as indirect, max(total) as total, max(total) >= 10 as truncated from k left join d on d.root = k.root left join f on f.root = k.root group by k.root""")
+def g5_ego_report(spark, d):
+    """Counts of the nearest nodes, their recorded edges and the indirect ones."""
+    return G.ego_report(links(spark, d), roots(spark, d), 10, ("temporal",))
+
+
 @query(f"with {LINKS}, {HOPS}, n as (select root, node, 1 as hop, weight from h1 union all select root, node, 2, weight from h2), r as (select root, node, hop, round(weight, 6) as weight, row_number() over (partition by root order by hop, round(weight, 6) desc, node) as rank, count(*) over (partition by root) as total from n) select *, total >= 10 as truncated from r where rank < 10")
 def g5_ego_graph(spark, d):
     return G.ego_graph(links(spark, d).withColumn("weight", F.round("weight", 6)), roots(spark, d), 10).withColumn("weight", F.round("weight", 6))

@@ -80,15 +80,22 @@ def s10_parse_op_log(spark, d):
     return S.parse_op_log(table(spark, d, "events").select("event_id", line.alias("line")), "line", "event_id", 50)
 
 
-@query(f"with {MEM} select id, importance from mem where memory_type = 'decision' and importance >= 4 and tag in ('en', 'de')")
+@query(f"with {MEM} select id, importance from mem where memory_type = 'decision' and importance >= 4 and (tag in ('en', 'de') or project = 'src1') order by importance desc, id limit 25")
 def f1_filter_records(spark, d):
-    return S.filter_records(memories(spark, d), memory_type="decision", tags=["en", "de"], min_importance=4).select("id", "importance")
+    """By any of several tags of an array, the most important ones."""
+    mem = memories(spark, d).withColumn("tags", F.array("tag", "project"))
+    return S.filter_records(mem, memory_type="decision", tags=["en", "de", "src1"], min_importance=4, top_k=25).select("id", "importance")
 
 
 @query(f"with {MEM}, r as (select id, importance from mem where not coalesce(ttl_days > 0 and {NOW} > age_minutes + ttl_days * 1440, false)) select id, importance, (select count(*) from r) as total, (select count(*) from r) > 30 as truncated from r order by importance desc, id limit 20 offset 10")
 def f2_list_records(spark, d):
-    live = memories(spark, d).where(~S.expired(F.col("age_minutes"), F.col("ttl_days"), NOW)).select("id", "importance")
-    return S.page(live, [F.desc("importance"), "id"], 20, 10)
+    return S.list_records(memories(spark, d), NOW, "importance", limit=20, offset=10).select("id", "importance", "total", "truncated")
+
+
+@query(f"with {MEM}, r as (select id, session_id from mem where memory_type = 'fact') select id, session_id, (select count(*) from r) as total, (select count(*) from r) > 45 as truncated from r order by session_id nulls last, id limit 40 offset 5")
+def f2_list_with_expired(spark, d):
+    """Ascending by a column with nulls, rows past their time too."""
+    return S.list_records(memories(spark, d), NOW, "session_id", descending=False, limit=40, offset=5, include_expired=True, memory_type="fact").select("id", "session_id", "total", "truncated")
 
 
 @query(f"with {MEM} select id, privacy_level = 'global' or (privacy_level = 'user' and user_id is not distinct from 'u1') as for_user, privacy_level = 'global' or (privacy_level = 'session' and user_id is null and session_id is not distinct from 's0') as for_session from mem")

@@ -130,6 +130,15 @@ def a18_mean_vector(spark, d):
     return V.mean_vector(v, 64).withColumn("mean", F.round("mean", 6))
 
 
+@query(f"with {MEM} select 'content' as name, count(distinct project) as sketches, true as close from mem union all select 'tag', count(distinct project), true from mem union all select 'user_id', count(distinct project), true from mem")
+def a19_united_sketches(spark, d):
+    """Sketches of each project, united: within 2 % of the exact numbers."""
+    mem, columns = memories(spark, d), ["content", "tag", "user_id"]
+    told = T.united_distinct(T.distinct_sketches(mem, ["project"], columns))
+    exact = mem.agg(*[F.count_distinct(c).alias(c) for c in columns]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("exact")) for c in columns])).alias("x")).select("x.*")
+    return told.join(exact, "name").select("name", "sketches", (F.abs(F.col("distinct") - F.col("exact")) <= 0.02 * F.col("exact")).alias("close"))
+
+
 @query()
 def a19_approx_distinct(spark, d):
     return memories(spark, d).agg(F.approx_count_distinct("content").alias("contents"), F.approx_count_distinct("user_id").alias("users"))

@@ -172,6 +172,18 @@ def l16_synthesise(spark, d):
     return L.synthesise(memories(spark, d), v, 0.4, 64, min_size=3)
 
 
+@query(f"""with w as (select doc_id as id, {WORDS_SQL} as t, regexp_replace(text, '[\\s!-/:-@\\[-`{{-~]', '', 'g') as b from documents), g as (select id, t, case when length(b) < 2 then [] else list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) end as g from w),
+ e as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings)
+ select g.id, len(g.t)::int as tokens, len(g.g)::int as pairs, round(list_dot_product(v, list_reverse(v)) / list_dot_product(v, v), 6) as cosine, array_to_string(list_sort(['你好', '好世', '世界', 'x1']), ' ') as wide from g left join e on e.id = g.id""")
+def p2_sql_functions(spark, d):
+    """Tokens, character pairs and cosines through SQL functions."""
+    M.register_sql(spark)
+    memories(spark, d).select("id", "content").createOrReplaceTempView("p2_texts")
+    table(spark, d, "embeddings").select("vec_id", "embedding").createOrReplaceTempView("p2_vectors")
+    return spark.sql("""select id, size(ml_tokens(content)) as tokens, size(ml_char_pairs(content)) as pairs, round(ml_cosine(embedding, reverse(embedding)), 6) as cosine, array_join(array_sort(ml_tokens('你好世界 x1')), ' ') as wide
+      from p2_texts left join p2_vectors on vec_id = id""")
+
+
 @query(r"select doc_id as id, length(text) % 97 as a, len(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda w: w <> ''))::int as words from documents")
 def p1_p2_extensions(spark, d):
     """A stand-in model (text length) through ``embed``, and a word count through an SQL function."""

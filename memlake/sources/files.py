@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +112,55 @@ def jdbc_load(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def jdbc_stage(rows: DataFrame, url: str, staging: str, **options: str) -> None:
-    """Rows into a staging table; the database's own MERGE by id then makes the upsert."""
-    rows.write.format("jdbc").options(url=url, dbtable=staging, **options).mode("overwrite").save()
+def jdbc_stage(rows: DataFrame, url: str, staging: str, batch: int = 1000, **options: str) -> None:
+    """Rows into a staging table, which is made anew; every partition sends its rows in batches."""
+    rows.write.format("jdbc").options(url=url, dbtable=staging, batchsize=str(batch), **options).mode("overwrite").save()
+
+
+def merge_statement(table: str, staging: str, key: str, columns: list[str]) -> str:
+    """Standard SQL that updates the rows of ``table`` whose key is staged and inserts the others."""
+    name = lambda c: '"' + c.replace('"', '""') + '"'
+    sets = ", ".join(f"{name(c)} = s.{name(c)}" for c in columns if c != key)
+    update = f"when matched then update set {sets} " if sets else ""
+    return f"merge into {table} t using {staging} s on t.{name(key)} = s.{name(key)} {update}when not matched then insert ({', '.join(map(name, columns))}) values ({', '.join('s.' + name(c) for c in columns)})"
+
+
+def jdbc_upsert(rows: DataFrame, url: str, table: str, key: str, order: str | None = None, statement: str | None = None, batch: int = 1000, **options: str) -> int:
+    """Insert or update rows by ``key``; returns how many rows the database changed.
+
+    The rows go into a staging table in batches, from all executors, and one
+    MERGE in one transaction takes them over: either all or none.  A table
+    that isn't there is created.  Rows without a key stay out; of rows that
+    share one the last by ``order`` counts (else the largest by all columns).
+    Columns are those of ``rows``.  Databases without a standard MERGE get
+    their own ``statement``, with ``{table}`` and ``{staging}``.  Running the
+    same rows again changes nothing in the table.
+    """
+    spark, columns = rows.sparkSession, rows.columns
+    rest = [c for c in columns if c != key]
+    named = rows.where(F.col(key).isNotNull())
+    if rest:
+        by = [order] if order else []
+        named = named.groupBy(key).agg(F.max(F.struct(*by, F.struct(*rest).alias("__row"))).alias("r")).select(key, "r.__row.*").select(*columns)
+    else:
+        named = named.distinct()
+    staging = f"{table}_staging_{uuid.uuid4().hex[:12]}"
+    rows.where("false").write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
+    jdbc_stage(named, url, staging, batch, **options)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, options.get("user"), options.get("password")) if "user" in options else spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        sql = (statement or merge_statement("{table}", "{staging}", key, columns)).replace("{table}", table).replace("{staging}", staging)
+        work = connection.createStatement()
+        try:
+            changed = work.executeUpdate(sql)
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            work.executeUpdate(f"drop table {staging}")
+            connection.commit()
+    finally:
+        connection.close()
+    return changed
