@@ -2,6 +2,7 @@
 
 import collections
 import gzip
+import hashlib
 import itertools
 import json
 import random
@@ -337,6 +338,48 @@ def test_op6(spark, sf):
         assert t == pytest.approx(want[of[i]]) and s == total[of[i]]
 
 
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_op6_comes_near_its_targets_and_reruns_agree(spark, table):
+    """Within five standard deviations of independent draws for every source, and within 2 % over all."""
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, keep=["doc_id", "source"]).selectExpr("doc.doc_id", "doc.source", "size", "source_size", "target", "copies").toPandas()
+    rate = mixed["target"] / mixed["source_size"]
+    odd = rate % 1
+    mixed = mixed.assign(taken=mixed["copies"] * mixed["size"], spread=mixed["size"] ** 2 * odd * (1 - odd))
+    per = mixed.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), spread=("spread", "sum"))
+    assert ((per["taken"] - per["target"]).abs() <= 5 * per["spread"] ** 0.5 + 1).all()
+    assert abs(per["taken"].sum() / per["target"].sum() - 1) < 0.05
+    again = mixing.mix(docs.repartition(7), keep=["doc_id"]).selectExpr("doc.doc_id", "copies").toPandas()
+    assert dict(zip(again.doc_id, again.copies, strict=True)) == dict(zip(mixed.doc_id, mixed.copies, strict=True))
+
+
+def test_mixing_stage_equals_brute_force(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("source is not null")
+    rows = docs.collect()
+    total = collections.Counter()
+    for r in rows:
+        total[r.source] += len(WORD.findall(r.text or ""))
+    names = sorted(total)
+    target = dict(zip(names, water_fill([total[s] for s in names], [1 + k % 3 for k in range(len(names))]), strict=True))
+    want = collections.Counter()
+    for r in rows:
+        rate = target[r.source] / total[r.source]
+        uniform = int(hashlib.md5(f"{r.doc_id}:17".encode()).hexdigest()[:12], 16) / 16**12
+        want[tuple(r)] += int(rate) + (uniform < rate - int(rate))
+    assert collections.Counter(map(tuple, p.mix_sources(spark, docs, sf).collect())) == +want
+
+
+def test_pipeline_runs_on_empty_tables(spark, sf, tmp_path):
+    import corpus_pipeline as p
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = p.run(spark, f"file://{tmp_path}")
+    assert out.count() == 0 and "ids" in out.columns
+
+
 def water_fill(sizes, weights, cap=3):
     target, left, open_ = [0.0] * len(sizes), float(sum(sizes)), set(range(len(sizes)))
     while open_:
@@ -639,5 +682,5 @@ def test_pipeline_stages_row_by_row(spark, sf, odd_documents, monkeypatch):
 
 def test_queries_have_names_and_json_schemas(spark, sf):
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
     assert json.loads(spark.read.parquet(f"{sf}/documents.parquet").schema.json())
