@@ -48,12 +48,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's rate says (``mixing.mix``); rows that repeat an id get equal numbers of copies."""
+    """Documents as often as their source's rate says (``mixing.mix``).
+
+    Rows that repeat an id get equal numbers of copies; a null source is a
+    source of its own, a null or empty text has no words and is taken as its
+    source's rate says.  Texts of any length count whole.  An empty table
+    gives an empty one, and columns of any name pass through.
+    """
     return mixing.repeat(mixing.mix(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their ids, sequence and offset; a null text is empty and holds the end id alone."""
+    """Token pieces: doc_id, start, length, doc_tokens, ids, sequence_id, offset and ids_crc32.
+
+    A null text is empty and holds the end id alone; longer texts than a
+    sequence make several pieces.  Rows that repeat an id, or have none, make
+    their own pieces each.  An empty table gives an empty one.  Columns but
+    doc_id and text are not read: the pieces are what training reads.
+    """
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END, SEQUENCE, drops_space=True, numbered=True)
     return packing.pack(pieces, SEQUENCE).withColumn("ids_crc32", F.crc32("ids"))
 
