@@ -12,6 +12,7 @@ from memlake.operators import vectors as V
 from memlake.operators import write as L
 from memlake.sources import files
 from memlake.streaming import operators as K
+from memlake.streaming import stateful
 from pyspark.sql import functions as F
 
 
@@ -23,10 +24,10 @@ def test_a_hot_key_in_several_arrow_batches(spark, tmp_path):
     last = K.latest(K.run_available(K.lifecycle_stream(stream), "hot"), ["id"]).first()
     assert (last.state, last.hits, last.last_hit) == ("active", 4999, 24_999)
     steps = stream.select(F.col("id").alias("user_id"), "seq", F.col("op").alias("item"), F.lit(0.0).alias("relevance"))
-    act = K.run_available(K.activation_stream(steps), "hot-act").where("item = 'touch'").first()
+    act = K.run_available(stateful.activation_stream(steps), "hot-act").where("item = 'touch'").first()
     assert act.stable == 4998  # hits that repeat the last item since the clear
     caps = stream.select(F.col("id").alias("user_id"), "seq", F.lit("d").alias("day"), F.lit("c").alias("category"), F.lit("candidate").alias("kind"))
-    assert sorted(r.seq for r in K.run_available(K.daily_cap_stream(caps), "hot-cap", "append").collect()) == [0, 1, 2]
+    assert sorted(r.seq for r in K.run_available(stateful.daily_cap_stream(caps), "hot-cap", "append").collect()) == [0, 1, 2]
 
 
 def test_a_chain_shows_edits_and_gaps(spark):
