@@ -123,22 +123,27 @@ def chunk_windows(rows: DataFrame, key: str, content: str = "content", n: int =
 
 
 def declared_items(turns: DataFrame, conv: str, turn: str, marker: str, kinds: dict[str, str], content: str = "content") -> DataFrame:
-    """Items of the last declared block of each conversation: kind, item, verdict (ok, unknown_kind, empty).
+    """Items of the last declared block of each conversation: turn, pos, kind, item, tags, verdict (ok, unknown_kind, empty).
 
     A block follows the marker line up to a heading, a rule or the end, as a
-    JSON array of {type, content} or as ``kind: text`` lines.
+    JSON array of {type, content, supersedes} or as ``kind: text`` lines.
+    Tags name where the item comes from, its kind and, by its first 40
+    characters, what it supersedes.  Without a conversation turns belong
+    together.
     """
     marked = turns.where(F.contains(content, F.lit(marker)))
     last = marked.groupBy(conv).agg(F.max_by(F.struct(F.col(turn).alias("turn"), F.col(content).alias("content")), turn).alias("t"))
     block = F.regexp_replace(F.element_at(F.split("t.content", r"\Q" + marker + r"\E"), -1), r"(?s)\n(?:#|---).*$", "")
     rows = last.select(conv, F.col("t.turn").alias(turn), R.bare(block).alias("b"))
-    parsed = F.from_json("b", "array<struct<type:string,content:string>>")
+    parsed = F.from_json("b", "array<struct<type:string,content:string,supersedes:string>>")
     lines = F.filter(F.split("b", "\n"), lambda x: x.rlike(r"^\s*[-*]?\s*\w+\s*[:：]"))
-    plain = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^\s*[-*]?\s*(\w+)", 1)).alias("type"), R.bare(F.regexp_extract(x, "[:：](.*)$", 1)).alias("content")))
+    plain = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^\s*[-*]?\s*(\w+)", 1)).alias("type"), R.bare(F.regexp_extract(x, "[:：](.*)$", 1)).alias("content"), F.lit(None).cast("string").alias("supersedes")))
     items = rows.select(conv, turn, F.posexplode(F.when(F.startswith("b", F.lit("[")), parsed).otherwise(plain)).alias("pos", "i"))
     known = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.lower("i.type")]
     verdict = F.when(known.isNull(), "unknown_kind").when(F.coalesce(F.trim("i.content"), F.lit("")) == "", "empty").otherwise("ok")
-    return items.select(conv, turn, "pos", known.alias("kind"), F.col("i.content").alias("item"), verdict.alias("verdict"))
+    instead = F.substring(R.bare(F.col("i.supersedes")), 1, 40)
+    tags = F.array_compact(F.array(F.lit("distilled"), F.lit("model_declared"), known, F.when(instead != "", F.concat(F.lit("supersedes:"), instead))))
+    return items.select(conv, turn, "pos", known.alias("kind"), F.col("i.content").alias("item"), tags.alias("tags"), verdict.alias("verdict"))
 
 
 def dedupe_within(items: DataFrame, by: str, order: list[str], text: str, importance: str, t: float = 0.85) -> DataFrame:

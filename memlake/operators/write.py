@@ -275,20 +275,26 @@ def purge_archived(archive: DataFrame, ids: DataFrame) -> DataFrame:
     return archive.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def synthesise(mem: DataFrame, vectors: DataFrame, t: float, dim: int, min_size: int = 5, least_gain: float = 0.01) -> DataFrame:
-    """New synthesis rows: one for each group of rows with similar vectors that adds something and has one owner.
+def synthesise(mem: DataFrame, vectors: DataFrame, t: float, dim: int, min_size: int = 5, least_gain: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """New synthesis rows, one for each group of rows with similar vectors that adds something and has one owner; and their sources.
 
     Groups (``cluster_vectors`` of exact pairs at t), their information gain,
-    the scope of their sources (mixed owners are rejected) and a digest.
+    the scope of their sources (mixed owners are rejected) and a digest.  A
+    row's id is a digest of its sources' ids, so the same group gives the same
+    row again.  The sources (id, source) are a table of their own: a group may
+    hold any number.
     """
     from memlake.operators.store import inherit_scope
     from memlake.operators.vectors import similar_pairs
 
     members = checkpointed(cluster_vectors(similar_pairs(vectors, t, dim), min_size))
+    sums = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("z"))
+    named = sums.select("cluster", F.concat(F.lit("synthesis-"), F.substring(F.sha2(F.concat_ws(":", "n", "s", "z"), 256), 1, 32)).alias("id"))
     gain = information_gain(members, vectors).where(F.col("gain") >= least_gain).select("cluster", "gain")
     scope = inherit_scope(mem.join(members.select("id", "cluster"), "id"), "cluster").where("level != 'rejected'")
-    rows = summarise_clusters(members, mem).join(gain, "cluster").join(scope, "cluster")
-    return rows.select("cluster", "total", "digest", "gain", "level", F.lit(7).alias("importance"), F.lit(0.65).alias("confidence"))
+    rows = checkpointed(summarise_clusters(members, mem).join(gain, "cluster").join(scope, "cluster").join(named, "cluster"))
+    sources = members.join(rows.select("cluster", F.col("id").alias("__id")), "cluster").select(F.col("__id").alias("id"), F.col("id").alias("source"))
+    return rows.select("id", "cluster", "total", "digest", "gain", "level", "owner", F.lit(7).alias("importance"), F.lit(0.65).alias("confidence")), sources
 
 
 def quarantine(synthesis: DataFrame, hits: DataFrame, least: int = 3, below: float = 0.3) -> DataFrame:

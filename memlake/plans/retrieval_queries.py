@@ -140,16 +140,21 @@ def c6_absorb(spark, d):
     return C.absorb(marked_turns(spark, d), "conv_id", "turn")
 
 
-@query("""with l as (select conv_id, arg_max(coalesce(regexp_extract(text, '[a-zA-Z]+'), ''), turn) as word, max(turn) as turn from conversations group by 1)
- select conv_id, turn, 0 as pos, case when conv_id % 3 = 2 then null else 'decision' end as kind, word as item, case when conv_id % 3 = 2 then 'unknown_kind' when word = '' then 'empty' else 'ok' end as verdict from l
- union all select conv_id, turn, 1, 'preference', null, 'empty' from l where conv_id % 3 = 0""")
+@query(r"""with l as (select conv_id, arg_max(coalesce(text, ''), turn) as text, max(turn) as turn from conversations group by 1),
+ f as (select *, regexp_replace(split_part(text, chr(10), 1), '^\s+|\s+$', '', 'g') as line from l)
+ select conv_id, turn, 0 as pos, case when conv_id % 3 = 2 then null else 'decision' end as kind, case when conv_id % 3 = 0 then text else line end as item,
+  concat('distilled model_declared', case when conv_id % 3 <> 2 then ' decision' else '' end, case when conv_id % 3 = 0 then concat(' supersedes:', substr(concat('turn ', turn - 1, ' of the conversation before this one'), 1, 40)) else '' end) as tags,
+  case when conv_id % 3 = 2 then 'unknown_kind' when (case when conv_id % 3 = 0 then trim(text) else line end) = '' then 'empty' else 'ok' end as verdict from f
+ union all select conv_id, turn, 1, 'preference', null, 'distilled model_declared preference', 'empty' from l where conv_id % 3 = 0""")
 def c5_declared_items(spark, d):
-    """Blocks that name the first word of each turn's text."""
-    word = F.coalesce(F.regexp_extract("text", "[a-zA-Z]+", 0), F.lit(""))
-    array = F.concat(F.lit('[{"type":"Decision","content":"'), word, F.lit('"},{"type":"preference"}]'))
-    block = F.when(F.col("conv_id") % 3 == 0, array).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("- decision: "), word, F.lit("\n# more: x"))).otherwise(F.concat(F.lit("gossip: "), word, F.lit("\n---\ndecision: d")))
-    said = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("\n@@memory\n"), block).alias("content"))
-    return C.declared_items(said, "conv_id", "turn", "@@memory", {"decision": "decision", "preference": "preference"})
+    """Blocks that hold each turn's text, as JSON with what it supersedes, or its first line."""
+    text = F.coalesce("text", F.lit(""))
+    first, line = F.struct(F.lit("Decision").alias("type"), text.alias("content"), F.concat(F.lit("turn "), F.col("turn") - 1, F.lit(" of the conversation before this one")).alias("supersedes")), F.get(F.split(text, "\n"), F.lit(0))
+    none = F.lit(None).cast("string")
+    array = F.to_json(F.array(first, F.struct(F.lit("preference").alias("type"), none.alias("content"), none.alias("supersedes"))))
+    block = F.when(F.col("conv_id") % 3 == 0, array).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("- decision: "), line, F.lit("\n# more: x"))).otherwise(F.concat(F.lit("gossip: "), line, F.lit("\n---\ndecision: d")))
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.concat(text, F.lit("\n@@memory\n"), block).alias("content"))
+    return C.declared_items(said, "conv_id", "turn", "@@memory", {"decision": "decision", "preference": "preference"}).withColumn("tags", F.array_join("tags", " "))
 
 
 @query(rf"""with {DISTILLED}, e as (select conv_id, sentence, min({{'turn': turn, 'pos': pos}}) as o, max(score)::int as importance, count(*) as n from distilled group by 1, 2),
@@ -169,7 +174,13 @@ def l4_dedupe_within(spark, d):
 def l16_synthesise(spark, d):
     """Groups of similar vectors with enough gain, digested from the documents of the same ids."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return L.synthesise(memories(spark, d), v, 0.4, 64, min_size=3)
+    return L.synthesise(memories(spark, d), v, 0.4, 64, min_size=3)[0]
+
+
+@query()
+def l16_sources(spark, d):
+    """The sources of the new rows."""
+    return L.synthesise(memories(spark, d), vectors_of(spark, d), 0.4, 64, min_size=3)[1]
 
 
 @query(f"""with w as (select doc_id as id, {WORDS_SQL} as t, regexp_replace(text, '[\\s!-/:-@\\[-`{{-~]', '', 'g') as b from documents), g as (select id, t, case when length(b) < 2 then [] else list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) end as g from w),

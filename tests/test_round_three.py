@@ -1,10 +1,13 @@
 """Upserts over JDBC, united sketches, filters and pages, typed indirect paths, mixed files."""
 
+import numpy as np
 import pytest
 from memlake.operators import chunks as K
+from memlake.operators import corpus as C
 from memlake.operators import graph as G
 from memlake.operators import stats as T
 from memlake.operators import store as S
+from memlake.operators import write as L
 from memlake.sources import files
 from pyspark.sql import functions as F
 
@@ -88,3 +91,42 @@ def test_mixed_files_are_routed(spark):
         "c.txt": [("turn", "User", 1, 1), ("turn", "Assistant", 2, 3)], "d.txt": [("paragraph", None, 1, 2), ("paragraph", None, 5, 5)], "e.rs": [("paragraph", None, 1, 1), ("paragraph", None, 3, 3)],
         "f.go": [("func", "Run", 1, 3)], "g.ts": [("class", "A", 1, 3)], "h.yaml": [("paragraph", None, 1, 1)],
     }
+
+
+def test_synthesis_equals_plain_groups(spark):
+    """Groups, gain, scope and digest worked out without Spark; the same groups give the same ids."""
+    rng = np.random.default_rng(3)
+    means = np.eye(8)[:4]
+    x = np.concatenate([m + rng.normal(scale=0.12, size=(6, 8)) for m in means] + [rng.normal(size=(2, 8))])
+    owner = lambda i: {0: (None, "global"), 1: ("u", "user"), 2: (f"v{i % 2}", "user"), 3: ("w", "user")}.get(i // 6, (None, "global"))
+    mem = spark.createDataFrame([(i, f"text {i} " + "x" * 200, owner(i)[0], None, owner(i)[1]) for i in range(len(x))], "id long, content string, user_id string, session_id string, privacy_level string")
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = list(range(len(x)))
+    for _ in x:
+        label = [min(label[j] for j in range(len(x)) if u[i] @ u[j] >= 0.6) for i in range(len(x))]
+    want = {}
+    for c in set(label):
+        group = [i for i in range(len(x)) if label[i] == c]
+        owners = {owner(i)[0] for i in group if owner(i)[1] != "global"}
+        if len(group) >= 5 and len(owners) < 2:
+            pairs = [u[i] @ u[j] for i in group for j in group if i < j]
+            want[c] = (len(group), round(1 - sum(pairs) / len(pairs), 6), "user" if owners else "global", "\n".join(f"text {i} {'x' * 200}"[:100] for i in group[:5]), group)
+    rows, sources = L.synthesise(mem, vectors, 0.6, 8)
+    got = {r.cluster: r for r in rows.collect()}
+    assert len(want) == 3 and {c: (r.total, round(r.gain, 6), r.level, r.digest) for c, r in got.items()} == {c: w[:4] for c, w in want.items()}
+    held = {}
+    for r in sources.collect():
+        held.setdefault(r.id, []).append(r.source)
+    assert {r.id: w[4] for c, w in want.items() for r in [got[c]]} == {i: sorted(s) for i, s in held.items()}
+    again = L.synthesise(mem.repartition(3), vectors.repartition(3), 0.6, 8)[0]
+    assert {r.id for r in again.collect()} == {r.id for r in got.values()} and all((r.importance, r.confidence) == (7, 0.65) for r in got.values())
+
+
+def test_declared_items_name_what_they_supersede(spark):
+    block = '[{"type": "decision", "content": "use B", "supersedes": "  we use A ' + "x" * 60 + '"}, {"type": "fact", "content": "c", "supersedes": " "}]'
+    said = spark.createDataFrame([(1, 1, "@@m\n" + block), (None, 1, "@@m\ndecision: d")], "conv int, turn int, content string")
+    got = {(r.conv, r.pos): (r["item"], r.tags) for r in C.declared_items(said, "conv", "turn", "@@m", {"decision": "decision", "fact": "fact"}).collect()}
+    assert got == {
+        (1, 0): ("use B", ["distilled", "model_declared", "decision", "supersedes:" + ("we use A " + "x" * 60)[:40]]), (1, 1): ("c", ["distilled", "model_declared", "fact"]), (None, 0): ("d", ["distilled", "model_declared", "decision"]),
+    }
