@@ -46,6 +46,6 @@ def register_sql(spark) -> None:
     pairs = f"flatten(transform(regexp_extract_all(lower(t), '{cjk}+', 0), r -> transform(sequence(1, greatest(char_length(r) - 1, 1)), i -> substring(r, i, 2))))"
     wide = f"octet_length(t) - char_length(t) >= 0.6 * char_length(t) and regexp_count(lower(t), '{cjk}') / greatest(char_length(lower(t)), 1) >= 0.3"
     spark.sql(f"create or replace temporary function ml_tokens(t string) returns array<string> return case when {wide} then concat(regexp_extract_all(lower(t), '[a-z0-9_-]+', 0), {pairs}) else ml_words(t) end")
-    single = r"split(regexp_replace(t, '[\\s!-/:-@\\[-`{-~]', ''), '')"
+    single = r"regexp_extract_all(regexp_replace(t, '[\\s!-/:-@\\[-`{-~]', ''), '(?s).', 0)"
     spark.sql(f"create or replace temporary function ml_char_pairs(t string) returns array<string> return array_distinct(filter(zip_with({single}, slice({single}, 2, 1000000000), (x, y) -> x || y), p -> p is not null))")
     spark.sql("create or replace temporary function ml_cosine(a array<float>, b array<float>) returns double return ml_dot(a, b) / nullif(sqrt(ml_dot(a, a)) * sqrt(ml_dot(b, b)), 0)")

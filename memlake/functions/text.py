@@ -44,8 +44,9 @@ def index_terms(text: Column) -> Column:
 
 def char_bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters, white space and ASCII punctuation removed."""
-    bare = F.regexp_replace(text, r"[\s!-/:-@\[-`{-~]", "")
-    return F.when(F.length(bare) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(bare) - 1), lambda i: F.substring(bare, i, F.lit(2)))))
+    # The characters once, and each with its neighbour: linear in the text, however long.
+    one = F.regexp_extract_all(F.regexp_replace(text, r"[\s!-/:-@\[-`{-~]", ""), F.lit("(?s)."), F.lit(0))
+    return F.array_distinct(F.filter(F.zip_with(one, F.slice(one, F.lit(2), F.greatest(F.size(one), F.lit(1))), lambda x, y: F.concat(x, y)), lambda p: p.isNotNull()))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -75,6 +75,15 @@ def l12_kmeans(spark, d):
     return kmeans.kmeans(vectors_of(spark, d), 20, 64)
 
 
+@query(rf"""with b as (select doc_id as id, regexp_replace(text, '[\s!-/:-@\[-`{{-~]', '', 'g') as b from documents),
+ g as (select id, list_sort(list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2)))) as g from b where length(b) >= 2), s as (select g, min(id) as id, len(g) as n from g group by g),
+ e as (select id, n, unnest(g) as w from s), c as (select x.id as a, y.id as b, count(*) as common from e x join e y on x.w = y.w and x.id < y.id and least(x.n, y.n) >= 0.85 * greatest(x.n, y.n) - 1e-9 group by 1, 2)
+ select a, b, round(common / (x.n + y.n - common), 6) as similarity from c join s x on x.id = a join s y on y.id = b where common / (x.n + y.n - common) >= 0.85""")
+def j10_near_dup_char_pairs(spark, d):
+    """The character form, over all documents."""
+    return A.near_dup_char_pairs(memories(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def j11_near_dup_pairs_lsh(spark, d):
     return A.near_dup_pairs_lsh(memories(spark, d))

@@ -1,7 +1,10 @@
 """Upserts over JDBC, united sketches, filters and pages, typed indirect paths, mixed files."""
 
+import random
+
 import numpy as np
 import pytest
+from memlake.operators import analyse as A
 from memlake.operators import chunks as K
 from memlake.operators import corpus as C
 from memlake.operators import graph as G
@@ -130,3 +133,18 @@ def test_declared_items_name_what_they_supersede(spark):
     assert got == {
         (1, 0): ("use B", ["distilled", "model_declared", "decision", "supersedes:" + ("we use A " + "x" * 60)[:40]]), (1, 1): ("c", ["distilled", "model_declared", "fact"]), (None, 0): ("d", ["distilled", "model_declared", "decision"]),
     }
+
+
+def test_character_pairs_equal_brute_force(spark):
+    r = random.Random(6)
+    base = ["".join(r.choice("abcde fg") for _ in range(60)) for _ in range(12)]
+    texts = [t[: r.randrange(50, 60)] + r.choice(["", "x", "yz!"]) for t in base for _ in range(8)] + ["", None, "a", "..", "ab", "ab", "a b", "的的的", "的的"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    grams = {}
+    for i, t in enumerate(texts):
+        bare = "".join(c for c in t or "" if not c.isspace() and not (c.isascii() and not c.isalnum()))
+        grams.setdefault(frozenset(bare[k : k + 2] for k in range(len(bare) - 1)), i)
+    grams.pop(frozenset())
+    for t in (0.5, 0.85, 1.0):
+        want = {(a, b) for x, a in grams.items() for y, b in grams.items() if a < b and len(x & y) / len(x | y) >= t}
+        assert {(p.a, p.b) for p in A.near_dup_char_pairs(docs, t).collect()} == want and (want or t == 1.0)
