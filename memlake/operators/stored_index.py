@@ -20,8 +20,8 @@ from memlake.functions import text as X
 from memlake.operators.analyse import postings, topk
 from memlake.storage import delete, file_names, read_text, write_text
 
-#: Buckets of a new index, and parts that the rows of one term are dealt into when a segment is written.
-BUCKETS, SALT = 32, 8
+#: Buckets of a new index.
+BUCKETS = 32
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
@@ -53,8 +53,8 @@ def _table(spark: SparkSession, root: str, info: dict, segment: int, kind: str)
 
 def _put(df: DataFrame, root: str, info: dict, segment: int, kind: str) -> None:
     key = "id" if kind == "docs" else "term"
-    spot = [key] if kind != "postings" else [key, F.pmod(F.xxhash64("id"), F.lit(SALT))]  # a word of most texts is written by several tasks
-    dealt = df.repartition(info["buckets"] * (SALT if kind == "postings" else 1), *spot)
+    # Dealt by the bucket itself, so a bucket is one file, or several where adaptive execution splits a large one.
+    dealt = df.withColumn("__bucket", F.pmod(F.hash(key), F.lit(info["buckets"]))).hint("rebalance", "__bucket").drop("__bucket")
     dealt.write.format("parquet").mode("overwrite").bucketBy(info["buckets"], key).sortBy(key).option("path", f"{root}/segments/{segment}/{kind}").saveAsTable(_name(root, segment, kind))
 
 

@@ -28,6 +28,9 @@ def test_appends_and_a_merge_rank_like_one_pass(spark):
     assert want and found(S.search(asked, root, 3)) == want
     assert S.statistics(spark, root) == (7, pytest.approx(18 / 7))
     S.merge(spark, root)
+    for kind in ("postings", "df", "docs"):
+        folder = f"{root}/segments/{S.manifest(spark, root)['segments'][0]['segment']}/{kind}"
+        assert sum(n.startswith("part-") for n in S.file_names(spark, folder)) <= 4  # a file a bucket
     assert len(S.manifest(spark, root)["segments"]) == 1 and found(S.search(asked, root, 3)) == want
     for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("memlake_")]:
         spark.sql(f"drop table {name}")  # another session knows no tables of the index
