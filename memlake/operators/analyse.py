@@ -140,15 +140,22 @@ def append_postings(index: DataFrame, docs: DataFrame) -> DataFrame:
 def bm25_points(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """qid, id, points for every query(qid, content) and document that share a term.
 
-    Query terms meet the postings by term; words that no query holds drop out
-    before anything is counted.  Term scores are rounded to whole millionths before they are
-    summed, so the order of summing doesn't matter.
+    Every text is read and split once: words that no query holds are counted
+    together as one row a document, which with the words asked for goes
+    through a reliable checkpoint; numbers, lengths and frequencies are taken
+    from there.  Term scores are rounded to whole millionths before they are
+    summed, so the order of summing doesn't matter.  Null texts count as
+    documents, but not in the average length.
     """
-    stats = docs.select(F.size(X.tokenize(F.col("content"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_length"))
     wanted = queries.select("qid", F.explode(F.array_distinct(X.tokenize(F.col("content")))).alias("term"))
-    terms = wanted.select("term").distinct()
-    tokens = docs.select("id", X.tokenize(F.col("content")).alias("t")).select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    hits = tokens.join(terms, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    terms = wanted.select("term").distinct().withColumn("asked", F.lit(True))
+    # The outer form, since the other has a filter inferred that splits every text a second time.
+    tokens = docs.select("id", X.tokenize(F.col("content")).alias("t")).select("id", F.size("t").alias("length"), F.posexplode_outer("t").alias("pos", "term"))
+    own = F.when(F.col("asked"), F.col("term")).alias("term")
+    held = checkpointed(tokens.join(terms, "term", "left").groupBy(own, "id", "length").agg(F.count("*").alias("tf"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("first")))
+    known = F.when(F.col("length").isNotNull(), F.col("first"))
+    stats = held.agg(F.sum("first").alias("docs"), (F.sum(known * F.col("length")) / F.sum(known)).alias("avg_length"))
+    hits = held.where("term is not null").drop("first")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(df, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

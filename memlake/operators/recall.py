@@ -13,6 +13,7 @@ from memlake.functions.rules import content_words
 from memlake.operators import analyse as A
 from memlake.operators import graph as G
 from memlake.operators import report as R
+from memlake.operators import stored_index
 from memlake.operators import vectors as V
 
 # Bounds of the checks on candidates, bonus and penalty of exploring.
@@ -20,17 +21,20 @@ INTENT, SEMANTIC, ROOT_SIMILARITY, ROOT_CENTRED = 0.5, 0.75, 0.55, 0.18
 ON_TOPIC, DRIFT, FEEDBACK = 0.10, 0.20, 0.30
 
 
-def recall_fast(queries: DataFrame, mem: DataFrame, k: int, now_minutes: int) -> DataFrame:
+def recall_fast(queries: DataFrame, mem: DataFrame, k: int, now_minutes: int, index: str | None = None) -> DataFrame:
     """BM25 times 1 + 0.1 ln(1 + decayed importance), each content once a query: qid, id, rank, score, normal.
 
     ``mem`` holds the rows a caller may see (id, content, importance,
     age_minutes); nothing is written back.  Copies are told by a digest, so
-    texts don't travel with the scores.
+    texts don't travel with the scores.  With the path of a stored ``index``
+    the words are looked up there and weighed by its statistics; what it holds
+    beyond ``mem`` is left out of the ranking.
     """
     hours = F.floor((now_minutes - F.col("age_minutes")) / 60)
     prior = F.round(1 + 0.1 * F.log1p(F.col("importance") * X.decay(F.col("importance"), hours, F.lit(0.0))), 6)
     about = mem.select("id", prior.alias("prior"), F.sha2("content", 256).alias("digest"))
-    weighed = A.bm25_points(queries, mem).join(about, "id").withColumn("points", F.round(F.col("points") * F.col("prior")).cast("long"))
+    found = A.bm25_points(queries, mem) if index is None else stored_index.points(queries, index)
+    weighed = found.join(about, "id").withColumn("points", F.round(F.col("points") * F.col("prior")).cast("long"))
     first = F.row_number().over(W.partitionBy("qid", "digest").orderBy(F.desc("points"), "id"))
     best = A.topk(weighed.withColumn("nth", first).where("nth = 1"), "qid", "points", "id", k)
     return A.rank_normalise(best.select("qid", "id", "rank", (F.col("points") / 1e6).alias("score")), "score", "qid")

@@ -12,10 +12,12 @@ from memlake.operators import graph as G
 from memlake.operators import recall as Q
 from memlake.operators import report as R
 from memlake.operators import store as S
+from memlake.operators import stored_index
 from memlake.operators import vectors as V
 from memlake.operators.substring import containing
 from memlake.plans.common import MEM, NOW, WORDS, bm25_sql, keyword_sql, query, table
 from memlake.schema import memories
+from memlake.storage import scratch
 
 LIVE = f"live as (select * from mem where privacy_level = 'global' and not coalesce(ttl_days > 0 and {NOW} > age_minutes + ttl_days * 1440, false))"
 BM25 = bm25_sql("select doc_id as id, text as content from documents", 20)
@@ -42,13 +44,23 @@ def links(spark, d):
     return G.relations({"stored": pair(F.col("doc_id") * 7 % 500), "neighbour": pair(F.col("doc_id") + 1)})
 
 
-@query(
-    f"with {MEM}, {LIVE}, {bm25_sql('select id, content from live', 5)}, w as (select qid, id, content, round(points * round(1 + 0.1 * ln(1 + importance * least(greatest(exp(-0.05 * (({NOW} - age_minutes) // 60 / 24.0) / importance), 0), 1)), 6))::bigint as points from sc join live using (id)), n as (select *, row_number() over (partition by qid, content order by points desc, id) as nth from w), r as (select qid, id, row_number() over (partition by qid order by points desc, id) as rank, points / 1e6 as score from n where nth = 1) select *, score / max(score) over (partition by qid) as normal from r where rank <= 5"
-)
+FAST = f"with {MEM}, {LIVE}, {bm25_sql('select id, content from live', 5)}, w as (select qid, id, content, round(points * round(1 + 0.1 * ln(1 + importance * least(greatest(exp(-0.05 * (({NOW} - age_minutes) // 60 / 24.0) / importance), 0), 1)), 6))::bigint as points from sc join live using (id)), n as (select *, row_number() over (partition by qid, content order by points desc, id) as nth from w), r as (select qid, id, row_number() over (partition by qid order by points desc, id) as rank, points / 1e6 as score from n where nth = 1) select *, score / max(score) over (partition by qid) as normal from r where rank <= 5"
+
+
+@query(FAST)
 def r2_recall_fast(spark, d):
     return Q.recall_fast(asked(spark, d), live(spark, d), 5, NOW)
 
 
+@query(FAST)
+def r2_recall_stored(spark, d):
+    """The same ranking from a stored index of two segments; texts are read only to tell copies."""
+    rows, root = live(spark, d), scratch(spark, "recall-index")
+    stored_index.create(rows.where("id % 2 = 0"), root)
+    stored_index.append(rows.where("id % 2 = 1"), root)
+    return Q.recall_fast(asked(spark, d), rows, 5, NOW, index=root)
+
+
 def letters(texts):
     """A stand-in model: how often each of 64 classes of letter pairs occurs, less the mean."""
     import zlib

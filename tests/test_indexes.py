@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from memlake.operators import analyse as A
 from memlake.operators import kmeans as K
+from memlake.operators import recall as R
 from memlake.operators import stored_index as S
 from memlake.operators import vector_index as VI
 from memlake.operators import vectors as V
@@ -139,3 +140,33 @@ def test_vector_index_with_share_one_is_exact_over_parts(spark, monkeypatch):
     assert sorted((x.qid, x.rank, x.id) for x in VI.search(q, root, 6, share=1).collect()) == want
     VI.build(v.limit(0), root, 5)
     assert VI.search(q, root, 6).collect() == []
+
+
+def test_one_pass_counts_every_document_and_every_length(spark):
+    """A text of asked words only, empty and null texts, and a repeated row count as the plain formula has it."""
+    texts = [(1, "red fox"), (2, "red hen hen"), (3, ""), (4, None), (5, "owl sees owl"), (5, "owl sees owl"), (6, "Fox\tred fox")]
+    docs = spark.createDataFrame(texts, "id long, content string")
+    asked = spark.createDataFrame([(1, "red fox"), (2, "hen red red"), (3, None), (4, "")], "qid long, content string")
+    words = {(n, i): (t or "").lower().split() for n, (i, t) in enumerate(texts)}
+    average = sum(len(w) for w in words.values()) / sum(t is not None for _, t in texts)
+    want = {}
+    for q, content in ((1, "red fox"), (2, "hen red")):
+        for w in content.split():
+            df = sum(w in ws for ws in words.values())
+            for (_, i), ws in words.items():
+                if tf := ws.count(w):
+                    score = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / average))
+                    want[q, i] = want.get((q, i), 0) + int(score * 1e6 + 0.5)
+    assert {(r.qid, r.id): r.points for r in A.bm25_points(asked, docs).collect()} == want
+    assert A.bm25_points(asked, docs.limit(0)).count() == 0 and A.bm25_points(asked.limit(0), docs).count() == 0
+
+
+def test_recall_from_an_index_leaves_out_what_may_not_be_seen(spark):
+    rows = [(i, t, 5, i * 60) for i, t in enumerate(["red fox", "red hen", "red fox", "blue fox runs"])]
+    mem, root = spark.createDataFrame(rows, "id long, content string, importance int, age_minutes long"), scratch(spark, "recall")
+    asked = spark.createDataFrame([(1, "red fox")], "qid long, content string")
+    S.create(mem, root, buckets=2)
+    told = lambda df: [tuple(r) for r in df.orderBy("rank").collect()]
+    assert told(R.recall_fast(asked, mem, 5, 1000, index=root)) == told(R.recall_fast(asked, mem, 5, 1000))
+    seen = told(R.recall_fast(asked, mem.where("id != 3"), 5, 1000, index=root))
+    assert seen and 3 not in [r[1] for r in seen]
