@@ -34,81 +34,114 @@ DISTRICT, RELEASED = 4096, 4
 ISLANDS, EPOCHS, PACKINGS, CROSSOVERS = 3, 2, 5, 40
 
 Packing = list[list[int]]
+#: A packing and the tokens that each of its sequences holds.
+Filled = tuple[Packing, list[int]]
 
 
-def place_best_fit(bins: Packing, pieces: list[int], lengths: list[int], size: int) -> Packing:
+def filled(bins: Packing, lengths: list[int]) -> Filled:
+    """``bins`` with what each of them holds, which the steps below keep up to date."""
+    return bins, [sum([lengths[i] for i in held]) for held in bins]
+
+
+def place_best_fit(bins: Packing, pieces: list[int], lengths: list[int], size: int, fills: list[int] | None = None) -> Packing:
     """``bins`` with ``pieces`` added, longest first, each where the least room is left; opens bins as needed."""
-    gaps = sorted((size - sum(lengths[i] for i in held), b) for b, held in enumerate(bins))
-    for i in sorted(pieces, key=lambda i: -lengths[i]):
-        k = bisect_left(gaps, (lengths[i], -1))
+    fills = filled(bins, lengths)[1] if fills is None else fills
+    many = len(bins) + len(pieces) + 1  # a pair (room, sequence) is one number, room * many + sequence
+    gaps = sorted([(size - fill) * many + b for b, fill in enumerate(fills)])
+    for i in sorted(pieces, key=lengths.__getitem__, reverse=True):
+        length = lengths[i]
+        k = bisect_left(gaps, length * many)
         if k < len(gaps):
-            gap, b = gaps.pop(k)
+            gap = gaps.pop(k)
+            b = gap % many
             bins[b].append(i)
+            fills[b] += length
         else:
-            gap, b = size, len(bins)
+            gap = size * many + len(bins)
             bins.append([i])
-        if gap > lengths[i]:
-            insort(gaps, (gap - lengths[i], b))
+            fills.append(length)
+        gap -= length * many
+        if gap >= many:
+            insort(gaps, gap)
     return bins
 
 
-def rank(bins: Packing, lengths: list[int], size: int) -> tuple[int, float]:
+def rank(fills: list[int], size: int) -> tuple[int, float]:
     """Smaller is better: fewer sequences, then fuller ones beside emptier ones."""
-    return len(bins), -sum((sum(lengths[i] for i in held) / size) ** 2 for held in bins)
+    return len(fills), -sum([(fill / size) ** 2 for fill in fills])
 
 
-def trade(bins: Packing, displaced: list[int], lengths: list[int], size: int) -> list[int]:
+def trade(bins: Packing, displaced: list[int], lengths: list[int], size: int, fills: list[int]) -> list[int]:
     """Fill sequences further: in each, the displaced piece that gains most takes a shorter one's place; returns what is displaced then."""
-    out = sorted((-lengths[i], i) for i in displaced)
-    for held in bins:
-        gap, best = size - sum(lengths[i] for i in held), (0, 0, 0)
+    many = len(lengths)  # a pair (-length, piece) is one number, piece - length * many
+    out = sorted([i - lengths[i] * many for i in displaced])
+    for b, held in enumerate(bins):
+        gap, gain = size - fills[b], 0
+        if not gap:
+            continue
         for at, i in enumerate(held):
-            k = bisect_left(out, (-lengths[i] - gap, -1))
-            if k < len(out) and -out[k][0] - lengths[i] > best[0]:
-                best = (-out[k][0] - lengths[i], at, k)
-        if best[0]:
-            _, at, k = best
-            i, held[at] = held[at], out.pop(k)[1]
-            insort(out, (-lengths[i], i))
-    return [i for _, i in out]
+            length = lengths[i]
+            k = bisect_left(out, -(length + gap) * many)
+            if k < len(out) and lengths[out[k] % many] - length > gain:
+                gain, best = lengths[out[k] % many] - length, (at, k)
+                if gain == gap:  # no other fills it further
+                    break
+        if gain:
+            at, k = best
+            i, held[at] = held[at], out.pop(k) % many
+            insort(out, i - lengths[i] * many)
+            fills[b] += gain
+    return [pair % many for pair in out]
 
 
 def cross(one: Packing, other: Packing, lengths: list[int], size: int, draw: random.Random) -> Packing:
     """``one`` with half of the well-filled sequences of ``other`` injected; its emptiest and a few others are packed anew."""
-    order = sorted(range(len(other)), key=lambda b: -sum(lengths[i] for i in other[b]))
+    return cross_filled(filled(one, lengths), filled(other, lengths), lengths, size, draw)[0]
+
+
+def cross_filled(one: Filled, other: Filled, lengths: list[int], size: int, draw: random.Random) -> Filled:
+    """``cross`` for packings whose fills are known, so that none is summed up again."""
+    order = sorted(range(len(other[0])), key=other[1].__getitem__, reverse=True)
     full = order[: max(1, len(order) // 2)]
-    injected = [list(other[b]) for b in draw.sample(full, max(1, len(full) // 2))]
-    taken = {i for held in injected for i in held}
-    whole = [list(held) for held in one if taken.isdisjoint(held)]
-    displaced = [i for held in one if not taken.isdisjoint(held) for i in held if i not in taken]
-    bins = injected + whole
-    bins.sort(key=lambda held: sum(lengths[i] for i in held))
+    injected = draw.sample(full, max(1, len(full) // 2))
+    bins, fills = [list(other[0][b]) for b in injected], [other[1][b] for b in injected]
+    taken = {i for held in bins for i in held}
+    displaced = []
+    for held, fill in zip(*one, strict=True):
+        if taken.isdisjoint(held):
+            bins.append(list(held))
+            fills.append(fill)
+        else:
+            displaced += [i for i in held if i not in taken]
+    order = sorted(range(len(bins)), key=fills.__getitem__)
     few = max(2, len(bins) // 32)
-    displaced += [i for held in bins[:few] for i in held]
-    bins = bins[few:]
-    for _ in range(min(few, len(bins) - 1)):
-        displaced += bins.pop(draw.randrange(len(bins)))
-    return place_best_fit(bins, trade(bins, displaced, lengths, size), lengths, size)
+    displaced += [i for b in order[:few] for i in bins[b]]
+    order = order[few:]
+    for _ in range(min(few, len(order) - 1)):
+        displaced += bins[order.pop(draw.randrange(len(order)))]
+    bins, fills = [bins[b] for b in order], [fills[b] for b in order]
+    rest = trade(bins, displaced, lengths, size, fills)
+    return place_best_fit(bins, rest, lengths, size, fills), fills
 
 
 def evolve(packings: list[Packing], lengths: list[int], size: int, bound: int, seed: str, crossovers: int = CROSSOVERS) -> Packing:
     """The best packing of an island after an epoch; it begins with ``packings`` and random ones."""
     draw = random.Random(seed)
-    held = [list(map(list, p)) for p in packings]
+    held = [filled(list(map(list, p)), lengths) for p in packings]
     while len(held) < PACKINGS:
-        pieces = list(range(len(lengths)))
+        pieces, fills = list(range(len(lengths))), []
         draw.shuffle(pieces)
-        early = place_best_fit([], pieces[: len(pieces) // 4], lengths, size)  # some pieces at random, then the rest
-        held.append(place_best_fit(early, pieces[len(pieces) // 4 :], lengths, size))
-    ranked = sorted(((rank(p, lengths, size), k, p) for k, p in enumerate(held)), key=lambda x: x[:2])
+        early = place_best_fit([], pieces[: len(pieces) // 4], lengths, size, fills)  # some pieces at random, then the rest
+        held.append((place_best_fit(early, pieces[len(pieces) // 4 :], lengths, size, fills), fills))
+    ranked = sorted(((rank(p[1], size), k, p) for k, p in enumerate(held)), key=lambda x: x[:2])
     for k in range(crossovers):
         if ranked[0][0][0] <= bound:
             break
         one, other = draw.sample(ranked, 2)
-        child = cross(one[2], other[2], lengths, size, draw)
-        ranked[-1] = (rank(child, lengths, size), len(held) + k, child)
+        child = cross_filled(one[2], other[2], lengths, size, draw)
+        ranked[-1] = (rank(child[1], size), len(held) + k, child)
         ranked.sort(key=lambda x: x[:2])
-    return ranked[0][2]
+    return ranked[0][2][0]
 
 
 def _bins_of(assigned: bytes) -> Packing:
@@ -154,12 +187,12 @@ def _solve(pool: DataFrame, districts: int, size: int) -> DataFrame:
                     lengths = np.frombuffer(r.lengths, "<i4").tolist()
                     start = [_bins_of(b) for b in (r.bins, r.guest) if b is not None]
                     best = evolve(start, lengths, size, r.bound, f"{r.district}:{r.island}:{epoch}")
-                    n, waste = rank(best, lengths, size)
+                    n, waste = rank(filled(best, lengths)[1], size)
                     out.append((r.district, r.lengths, r.bound, r.island, _assigned(best, len(lengths)), n, waste))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in _ELITE.split(", ")])
 
-        # A number of its own: by their bytes, hours of work would be one task's.
-        spread = elite.repartition(min(districts * ISLANDS, max(shuffle_width(pool.sparkSession), districts * ISLANDS // 32)), "district", "island")
+        # A number of its own: by their bytes, hours of work would be one task's.  The key is another than the join's, whose exchange would else do for both.
+        spread = elite.repartition(min(districts * ISLANDS, max(shuffle_width(pool.sparkSession), districts * ISLANDS // 32)), F.xxhash64("district", "island"))
         evolved = materialise(spread.mapInPandas(work, _ELITE), "islands")
         done = evolved.where("n_bins <= bound").select("district").distinct()
         guests = evolved.select("district", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("bins").alias("guest"))

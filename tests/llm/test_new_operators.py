@@ -113,6 +113,73 @@ def test_islands_improve_written_districts(spark):
     assert packed.select("sequence_id").distinct().count() == 9 and packed.count() == 30
 
 
+class Counted(list):
+    """Lengths that count how often they are read."""
+
+    reads = 0
+
+    def __getitem__(self, i):
+        Counted.reads += 1
+        return super().__getitem__(i)
+
+
+def test_a_crossover_does_not_sum_up_whole_packings():
+    draw = random.Random(5)
+    lengths = Counted(draw.randint(1, 100) for _ in range(2000))
+    plain = grouping.place_best_fit([], list(range(2000)), lengths, 100)
+    before = Counted.reads
+    grouping.evolve([plain], lengths, 100, 0, "a", crossovers=0)
+    began = Counted.reads
+    grouping.evolve([plain], lengths, 100, 0, "a", crossovers=20)
+    assert (Counted.reads - began) - (began - before) < 20 * 3 * 2000
+
+
+def test_fills_stay_those_of_the_sequences():
+    draw = random.Random(4)
+    lengths = [draw.randint(1, 100) for _ in range(300)]
+    one, other = (grouping.filled(grouping.place_best_fit([], draw.sample(range(300), 300), lengths, 100), lengths) for _ in range(2))
+    for _ in range(20):
+        bins, fills = one = grouping.cross_filled(one, other, lengths, 100, draw)
+        assert fills == [sum(lengths[i] for i in held) for held in bins] and max(fills) <= 100
+        assert sorted(i for held in bins for i in held) == list(range(300))
+
+
+def test_best_fit_against_a_plain_search():
+    draw = random.Random(6)
+    lengths = [draw.randint(1, 100) for _ in range(300)]
+    want = []
+    for i in sorted(range(300), key=lambda i: -lengths[i]):
+        room = [(100 - sum(lengths[j] for j in held), b) for b, held in enumerate(want)]
+        fits = [(gap, b) for gap, b in room if gap >= lengths[i]]
+        if fits:
+            want[min(fits)[1]].append(i)
+        else:
+            want.append([i])
+    assert grouping.place_best_fit([], list(range(300)), lengths, 100) == want
+
+
+def test_every_epoch_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "DISTRICT", 8)
+    plain, spread = grouping.materialise, []
+
+    def noted(df, name):
+        out = plain(df, name)
+        if name == "islands":
+            spread.append(len(out.inputFiles()))  # a file a task that had rows
+        return out
+
+    monkeypatch.setattr(grouping, "materialise", noted)
+    pieces = spark.createDataFrame([(0, i, 60) for i in range(64)], "part int, row long, length long")  # never at the bound
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins as at size
+    try:
+        packed = grouping.pack(plain(pieces, "p"), 100)
+        assert packed.select("sequence_id").distinct().count() == 64
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert len(spread) >= grouping.EPOCHS and min(spread[: grouping.EPOCHS]) > 1
+
+
 # Spelling variants
 
 
