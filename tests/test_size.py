@@ -51,3 +51,18 @@ def test_topk_in_blocks_keeps_ties_and_the_best_of_several_vectors(spark, monkey
         want |= {(q, j, n + 1) for n, (_, j) in enumerate(ranked)}
     v = vectors_of(spark, x, ids)
     assert {(r.qid, r.id, r["rank"]) for r in V.vector_topk(v, v, 4).collect()} == want
+
+
+def test_lsh_search_makes_no_row_for_a_band_or_pair(spark):
+    x = np.random.default_rng(2).standard_normal((40, 8))
+    v = vectors_of(spark, x, range(40))
+    found = V.vector_topk_lsh(v.where("id % 5 = 0"), v, 3, 8, 6, 3)
+    assert "Join" not in plan(found)
+    planes = np.random.default_rng(3).standard_normal((18, 8))
+    codes = ((x @ planes.T > 0).reshape(40, 6, 3) * [1, 2, 4]).sum(2)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = set()
+    for q in range(0, 40, 5):
+        met = [j for j in range(40) if j != q and (codes[q] == codes[j]).any()]
+        want |= {(q, j) for j in sorted(met, key=lambda j: -(unit[q] @ unit[j]))[:3]}
+    assert {(r.qid, r.id) for r in found.collect()} == want
