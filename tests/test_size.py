@@ -66,3 +66,11 @@ def test_lsh_search_makes_no_row_for_a_band_or_pair(spark):
         met = [j for j in range(40) if j != q and (codes[q] == codes[j]).any()]
         want |= {(q, j) for j in sorted(met, key=lambda j: -(unit[q] @ unit[j]))[:3]}
     assert {(r.qid, r.id) for r in found.collect()} == want
+
+
+def test_deep_recall_embeds_each_window_once(spark):
+    x = np.random.default_rng(4).standard_normal((30, 8))
+    windows, n = seen(spark, vectors_of(spark, x, [i // 3 for i in range(30)]), "vec")
+    asked = vectors_of(spark, x[:2] + 0.01, [-1, -1])
+    got = Q.recall_deep(asked, windows, spark.range(10), 2, 8, 12, 2).collect()
+    assert got[0].id == 0 and len({(r.qid, r.id) for r in got}) == len(got) == 2 and n.value == 30
