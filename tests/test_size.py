@@ -1,6 +1,7 @@
 """Searches and joins that must not grow past their input: what is made once, what is no longer shuffled, and their results by brute force."""
 
 import numpy as np
+from memlake.operators import analyse as A
 from memlake.operators import recall as Q
 from memlake.operators import vectors as V
 from pyspark.sql import functions as F
@@ -74,3 +75,37 @@ def test_deep_recall_embeds_each_window_once(spark):
     asked = vectors_of(spark, x[:2] + 0.01, [-1, -1])
     got = Q.recall_deep(asked, windows, spark.range(10), 2, 8, 12, 2).collect()
     assert got[0].id == 0 and len({(r.qid, r.id) for r in got}) == len(got) == 2 and n.value == 30
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def near_texts(seed, n):
+    """Word sets of 1 to 400 words, with copies and changed copies."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(n):
+        if sets and rng.random() < 0.6:
+            s = set(sets[rng.integers(len(sets))])
+            for _ in range(int(rng.integers(0, max(2, len(s) // 2)))):
+                s.discard(sorted(s)[rng.integers(len(s))]) if rng.random() < 0.5 and len(s) > 1 else s.add(f"w{rng.integers(900)}")
+        else:
+            s = {f"w{i}" for i in rng.integers(0, 900, int(rng.choice([1, 2, 3, 8, 30, 120, 400])))}
+        sets.append(frozenset(s))
+    return sets
+
+
+def test_char_pairs_meet_by_their_sketches(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcde"), int(rng.integers(2, 60)))) for _ in range(60)]
+    texts += [t[:-1] for t in texts[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(frozenset(x + y for x, y in zip(t, t[1:], strict=False)), i)
+    first.pop(frozenset(), None)
+    want = {(a, b) for s, a in first.items() for r, b in first.items() if a < b and jaccard(s, r) >= 0.85}
+    found = A.near_dup_char_pairs(docs)
+    assert "Generate" not in plan(found) and want
+    assert {(r.a, r.b) for r in found.collect()} == want
