@@ -2,6 +2,7 @@
 
 import numpy as np
 from memlake.operators import analyse as A
+from memlake.operators import close_sets as C
 from memlake.operators import recall as Q
 from memlake.operators import vectors as V
 from pyspark.sql import functions as F
@@ -96,6 +97,19 @@ def near_texts(seed, n):
     return sets
 
 
+def test_near_pairs_need_no_row_for_a_word(spark, monkeypatch):
+    monkeypatch.setattr(C, "SHARD", 7)
+    sets = near_texts(5, 90)
+    docs = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)] + [(900, ""), (901, None)], "id long, content string")
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    want = {(a, b): jaccard(s, r) for s, a in first.items() for r, b in first.items() if a < b and jaccard(s, r) >= 0.85}
+    found = A.near_dup_pairs(docs)
+    assert "Generate" not in plan(found) and want
+    assert {(r.a, r.b): r.similarity for r in found.collect()} == want
+
+
 def test_char_pairs_meet_by_their_sketches(spark):
     rng = np.random.default_rng(6)
     texts = ["".join(rng.choice(list("abcde"), int(rng.integers(2, 60)))) for _ in range(60)]
