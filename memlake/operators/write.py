@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as X
 from memlake.operators.analyse import class_sizes, components, near_dup_pairs
+from memlake.operators.close_sets import closest
 from memlake.storage import checkpointed
 
 
@@ -76,28 +77,13 @@ def merge_into(existing: DataFrame, matched: DataFrame, keep: int = 5) -> DataFr
 def best_match(incoming: DataFrame, existing: DataFrame, t: float, scope: list[str]) -> DataFrame:
     """For each new row the most similar existing one of its scope (word Jaccard of t or more): id, target, similarity.
 
-    Candidates share one of the rare words that any partner at t must share
-    (prefix filter within the scope); nothing is compared across scopes.  A
-    null in a scope column is a scope value of its own.
+    Sketches of word sets are compared within the scope, and only where the
+    sizes allow t (``close_sets.closest``).  A null in a scope column is a
+    scope value of its own.
     """
-    keys = [f"__{i}" for i in range(len(scope))]
-    words = lambda f: f.select("id", *[F.col(c).alias(k) for c, k in zip(scope, keys, strict=True)], F.array_distinct(X.tokenize(F.col("content"))).alias("s"))
-    new, old = words(incoming), words(existing)
-    df = new.unionByName(old).select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-
-    def prefix(sets: DataFrame, name: str) -> DataFrame:
-        mine = W.partitionBy("id")
-        w = sets.select("id", *keys, F.explode("s").alias("w")).join(df, "w").withColumn("place", F.row_number().over(mine.orderBy("df", "w"))).withColumn("n", F.count("*").over(mine))
-        rare = w.where(F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
-        return rare.select(*[F.col(k).alias(k + name) for k in keys], F.col("w").alias("w" + name), F.col("id").alias(name), F.col("n").alias("n_" + name))
-
-    same = F.col("wnew") == F.col("wold")
-    for k in keys:
-        same = same & F.col(k + "new").eqNullSafe(F.col(k + "old"))
-    pairs = prefix(new, "new").join(prefix(old, "old"), same).where(F.least("n_new", "n_old") >= t * F.greatest("n_new", "n_old") - 1e-9).select("new", "old").distinct()
-    full = pairs.join(new.select(F.col("id").alias("new"), F.col("s").alias("a")), "new").join(old.select(F.col("id").alias("old"), F.col("s").alias("b")), "old")
-    scored = full.withColumn("similarity", X.jaccard(F.col("a"), F.col("b"))).where(F.col("similarity") >= t)
-    return scored.groupBy(F.col("new").alias("id")).agg(F.min_by("old", F.struct(-F.col("similarity"), "old")).alias("target"), F.max("similarity").alias("similarity"))
+    mark = F.to_json(F.struct(*[F.col(c).cast("string").alias(str(i)) for i, c in enumerate(scope)])) if scope else F.lit("")
+    words = lambda f: f.select("id", mark.alias("scope"), F.array_sort(F.array_distinct(X.tokenize(F.col("content")))).alias("s"))
+    return closest(words(incoming), words(existing), t)
 
 
 def remember_batch(incoming: DataFrame, existing: DataFrame, t: float, scope: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from memlake.operators import analyse as A
 from memlake.operators import close_sets as C
 from memlake.operators import recall as Q
 from memlake.operators import vectors as V
+from memlake.operators import write as L
 from pyspark.sql import functions as F
 
 
@@ -123,3 +124,18 @@ def test_char_pairs_meet_by_their_sketches(spark):
     found = A.near_dup_char_pairs(docs)
     assert "Generate" not in plan(found) and want
     assert {(r.a, r.b) for r in found.collect()} == want
+
+
+def test_best_match_needs_no_row_for_a_word_and_stays_in_its_scope(spark, monkeypatch):
+    monkeypatch.setattr(C, "SHARD", 5)
+    sets = near_texts(7, 100)
+    rows = [(i, " ".join(sorted(s)), [None, "u1", ""][i // 7 % 3]) for i, s in enumerate(sets)]
+    docs = spark.createDataFrame(rows, "id long, content string, user_id string")
+    want = {}
+    for i, _, u in rows[1::2]:
+        near = [(-jaccard(sets[i], sets[j]), j) for j, _, v in rows[::2] if u == v and jaccard(sets[i], sets[j]) >= 0.5]
+        if near:
+            want[i] = min(near)[::-1]
+    found = L.best_match(docs.where("id % 2 = 1"), docs.where("id % 2 = 0"), 0.5, ["user_id"])
+    assert "Generate" not in plan(found) and len(want) > 10
+    assert {r.id: (r.target, -r.similarity) for r in found.collect()} == want
