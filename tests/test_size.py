@@ -139,3 +139,15 @@ def test_best_match_needs_no_row_for_a_word_and_stays_in_its_scope(spark, monkey
     found = L.best_match(docs.where("id % 2 = 1"), docs.where("id % 2 = 0"), 0.5, ["user_id"])
     assert "Generate" not in plan(found) and len(want) > 10
     assert {r.id: (r.target, -r.similarity) for r in found.collect()} == want
+
+
+TEXTS = ["The Cat sat on the mat", "a  b\tcat", None, "", "concat enate", "the end", "x" * 30 + " y", "cats and the\nmat the cat"]
+
+
+def test_targets_are_looked_up_without_a_row_for_a_word(spark):
+    mem = spark.createDataFrame([(i, t, [None, "u1", "u2"][i % 3]) for i, t in enumerate(TEXTS * 2)], "id long, content string, user_id string")
+    asked = [(None, "The c"), ("u1", "cat"), ("u2", "E\nM"), ("u2", " "), ("u1", None), (None, "x" * 20 + " Y"), ("u2", "the")]
+    found = L.suppress_matching(mem, spark.createDataFrame(asked, "user_id string, target string"))
+    assert "Generate" not in plan(found) and "Join" not in plan(found)
+    want = {i for i, t in enumerate(TEXTS * 2) for o, n in asked if t is not None and n and n.strip() and o == [None, "u1", "u2"][i % 3] and n.lower() in t.lower()}
+    assert sorted(r.id for r in found.collect()) == sorted(want) and want
