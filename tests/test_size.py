@@ -4,6 +4,7 @@ import numpy as np
 from memlake.operators import analyse as A
 from memlake.operators import close_sets as C
 from memlake.operators import recall as Q
+from memlake.operators import report as R
 from memlake.operators import vectors as V
 from memlake.operators import write as L
 from pyspark.sql import functions as F
@@ -151,3 +152,22 @@ def test_targets_are_looked_up_without_a_row_for_a_word(spark):
     assert "Generate" not in plan(found) and "Join" not in plan(found)
     want = {i for i, t in enumerate(TEXTS * 2) for o, n in asked if t is not None and n and n.strip() and o == [None, "u1", "u2"][i % 3] and n.lower() in t.lower()}
     assert sorted(r.id for r in found.collect()) == sorted(want) and want
+
+
+def test_keyword_points_are_summed_in_the_task(spark, monkeypatch):
+    monkeypatch.setattr(R, "ASKED", 2)
+    tags = [["Cat", "the mat"], None, ["", None, "cat"], ["cat", "cat"]]
+    rows = [(i, t, i % 4 + 1 if i else None, tags[i % 4]) for i, t in enumerate(TEXTS * 3)]
+    docs = spark.createDataFrame(rows, "id long, content string, importance int, tags array<string>")
+    asked = {1: "the cat", 2: "Cat cat nothing", 3: " ", 4: "zzz", 5: None}
+    found = R.keyword_baseline(spark.createDataFrame(list(asked.items()), "qid long, content string"), docs, 4)
+    assert "Generate" not in plan(found) and "Join" not in plan(found)
+    want = set()
+    for q, whole in asked.items():
+        points = []
+        for i, t, weight, some in rows:
+            n = sum(100 * (w in (t or "").lower()) + 150 * sum(w in (x or "").lower() for x in some or []) for w in (whole or "").lower().split())
+            n += 400 * (whole is not None and t is not None and whole.lower() in t.lower())
+            points.append((weight is None, -(n + 10 * (weight or 0)), i))
+        want |= {(q, i, n + 1) for n, (_, _, i) in enumerate(sorted(points)[:4])}
+    assert {(r.qid, r.id, r["rank"]) for r in found.collect()} == want
