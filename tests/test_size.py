@@ -5,6 +5,7 @@ from memlake.operators import analyse as A
 from memlake.operators import close_sets as C
 from memlake.operators import recall as Q
 from memlake.operators import report as R
+from memlake.operators import substring as S
 from memlake.operators import vectors as V
 from memlake.operators import write as L
 from pyspark.sql import functions as F
@@ -171,3 +172,11 @@ def test_keyword_points_are_summed_in_the_task(spark, monkeypatch):
             points.append((weight is None, -(n + 10 * (weight or 0)), i))
         want |= {(q, i, n + 1) for n, (_, _, i) in enumerate(sorted(points)[:4])}
     assert {(r.qid, r.id, r["rank"]) for r in found.collect()} == want
+
+
+def test_passages_are_found_without_a_row_for_a_word(spark, monkeypatch):
+    monkeypatch.setattr(S, "AT_ONCE", 2)
+    needles = ["The Cat", "cat", "x y", " ", "", None, "the\nmat", "at", "x" * 20 + " y"]
+    found = S.containing(spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string"), spark.createDataFrame([(n,) for n in needles], "needle string"))
+    assert "Generate" not in plan(found) and "Join" not in plan(found)
+    assert {(r.id, r.needle) for r in found.collect()} == {(i, n) for i, t in enumerate(TEXTS) for n in needles if t is not None and n and n.strip() and n in t}
