@@ -180,3 +180,21 @@ def test_passages_are_found_without_a_row_for_a_word(spark, monkeypatch):
     found = S.containing(spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string"), spark.createDataFrame([(n,) for n in needles], "needle string"))
     assert "Generate" not in plan(found) and "Join" not in plan(found)
     assert {(r.id, r.needle) for r in found.collect()} == {(i, n) for i, t in enumerate(TEXTS) for n in needles if t is not None and n and n.strip() and n in t}
+
+
+def test_bm25_counts_the_words_asked_for_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(A, "TERMS", 2)
+    texts = ["a b b c", "a", None, "c c d e", "", "x y z", "b a d"]
+    asked = {1: "a b b", 2: "c q d", 3: "", 4: "z a"}
+    n, words = len(texts), [None if t is None else t.split() for t in texts]
+    mean = sum(len(w) for w in words if w is not None) / sum(w is not None for w in words)
+    want = {}
+    for q, text in asked.items():
+        for i, w in enumerate(words):
+            for term in set(text.split()) & set(w or []):
+                df, tf = sum(term in (x or []) for x in words), w.count(term)
+                value = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+                want[q, i] = want.get((q, i), 0) + round(value * 1e6)
+    frame = lambda rows: spark.createDataFrame(list(rows), "n long, content string")
+    found = A.bm25_points(frame(asked.items()).withColumnRenamed("n", "qid"), frame(enumerate(texts)).withColumnRenamed("n", "id"))
+    assert {(r.qid, r.id): r.points for r in found.collect()} == want
