@@ -198,3 +198,11 @@ def test_bm25_counts_the_words_asked_for_in_passes(spark, monkeypatch):
     frame = lambda rows: spark.createDataFrame(list(rows), "n long, content string")
     found = A.bm25_points(frame(asked.items()).withColumnRenamed("n", "qid"), frame(enumerate(texts)).withColumnRenamed("n", "id"))
     assert {(r.qid, r.id): r.points for r in found.collect()} == want
+
+
+def test_a_batch_is_judged_without_shuffling_texts(spark):
+    rows = spark.createDataFrame([(1, "a b c d", "x"), (2, "a b c d", "x"), (3, "a b c e", "x"), (4, "q", "x"), (5, "q", "x"), (6, "q", "y"), (7, "a b c f", None)], "id long, content string, tag string")
+    judged = L.remember_batch(rows.where("id > 1"), rows.where("id = 1"), 0.5, ["tag"])
+    above = [line for line in plan(judged).split("\n") if "Window" in line]
+    assert above and not any("content#" in line for line in above)
+    assert {tuple(r) for r in judged.collect()} == {(2, 1, "no_op"), (3, 1, "merge"), (4, None, "new"), (5, 4, "no_op"), (6, None, "new"), (7, None, "new")}
