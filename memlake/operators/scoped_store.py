@@ -56,8 +56,7 @@ def create(rows: DataFrame, root: str, scope: list[str], buckets: int = BUCKETS)
     """A new store with these rows; their ids are unique and not null."""
     if _manifests(rows.sparkSession, root):
         raise ValueError(f"there is a store at {root}")
-    kept = write.merge_into(rows, rows.where("false").withColumn("target", F.col("id")))
-    _write(kept, root, {"version": 1, "scope": scope, "buckets": buckets, "held": {}})
+    _write(write.with_history(rows), root, {"version": 1, "scope": scope, "buckets": buckets, "held": {}})
 
 
 def read(spark: SparkSession, root: str, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
